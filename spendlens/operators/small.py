@@ -1,0 +1,25 @@
+"""Broadcast a small aggregate only after checking its size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest aggregate (rows) shipped to every executor as a broadcast.
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``df`` as a broadcast relation when it has at most ``max_rows`` rows.
+
+    The aggregate is evaluated once (at most ``max_rows + 1`` rows come
+    back), so the size is proven, not estimated; the join that uses it then
+    streams the big side through a hash probe with no shuffle.  Beyond the
+    bound the frame is returned as is and the join stays a shuffled join,
+    with AQE's skew-join splitting hot keys.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    spark = df.sparkSession
+    return F.broadcast(spark.createDataFrame(rows, df.schema))

@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysed workload is a batch analysis: it has no streams, watermarks,
+windows over event time or state.  Nothing is built here; every operator in
+this package is a batch DataFrame plan.
+"""
