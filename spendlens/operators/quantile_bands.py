@@ -24,6 +24,7 @@ Finding the q+1 order statistics is distributed in three bounded passes:
 from __future__ import annotations
 
 from collections import defaultdict
+from fractions import Fraction
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -32,13 +33,31 @@ from pyspark.sql import functions as F
 _ALL = "__all__"
 
 
+def _positions(n: int, q: int) -> list[tuple[int, int, Fraction]]:
+    """(floor, ceil, fraction) of h_i = (n - 1) * i / q, exactly."""
+    out = []
+    for i in range(q + 1):
+        f, r = divmod((n - 1) * i, q)
+        out.append((f, f + 1 if r else f, Fraction(r, q)))
+    return out
+
+
 def _targets(n: int, q: int) -> list[int]:
-    return [((n - 1) * i) // q for i in range(q + 1)]
+    return sorted({k for f, c, _ in _positions(n, q) for k in (f, c)})
+
+
+class Edges(list):
+    """Lower order statistics e_0..e_q (what the band rule compares with),
+    plus the exact linear-interpolated edges used to detect duplicates."""
+
+    def __init__(self, lower, interpolated):
+        super().__init__(lower)
+        self.interpolated = interpolated
 
 
 def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None,
                          n_buckets: int = 1024, relative_error: float = 1e-3) -> dict:
-    """Return {group: [e_0, ..., e_q]} (empty list for a group without values)."""
+    """Return {group: Edges([e_0, ..., e_q])} (empty for a group without values)."""
     g = F.col(by) if by else F.lit(_ALL)
     vals = df.select(g.alias("g"), F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -51,19 +70,20 @@ def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None =
     per_group = defaultdict(dict)
     for r in counts:
         per_group[r["g"]][int(r["b"])] = int(r["c"])
-    wanted = []  # (group, bucket, local rank, i)
+    wanted = []  # (group, bucket, local rank, global rank)
+    sizes = {}
     for grp, bc in per_group.items():
-        n = sum(bc.values())
+        n = sizes[grp] = sum(bc.values())
         offsets, acc = {}, 0
         for b in sorted(bc):
             offsets[b] = acc
             acc += bc[b]
-        for i, k in enumerate(_targets(n, q)):
+        for k in _targets(n, q):
             for b in sorted(bc):
                 if offsets[b] <= k < offsets[b] + bc[b]:
-                    wanted.append((grp, b, k - offsets[b], i))
+                    wanted.append((grp, b, k - offsets[b], k))
                     break
-    result = {grp: [None] * (q + 1) for grp in per_group}
+    stats = {grp: {} for grp in per_group}
     if wanted:
         cells = sorted({(grp, b) for grp, b, _, _ in wanted})
         keep = None
@@ -79,26 +99,43 @@ def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None =
                  & (F.col("lo") <= lk) & (F.col("hi") > lk))
             pick = c if pick is None else pick | c
         found = ranked.where(pick).select("g", "b", "v", "lo", "hi").collect()
-        for grp, b, lk, i in wanted:
+        for grp, b, lk, k in wanted:
             for r in found:
                 if r["g"] == grp and int(r["b"]) == b and r["lo"] <= lk < r["hi"]:
-                    result[grp][i] = r["v"]
+                    stats[grp][k] = r["v"]
+    result = {}
+    for grp, st in stats.items():
+        pos = _positions(sizes[grp], q)
+        lower = [st[f] for f, _, _ in pos]
+        interp = [Fraction(st[f]) + fr * (Fraction(st[c]) - Fraction(st[f])) for f, c, fr in pos]
+        result[grp] = Edges(lower, interp)
     if not by:
-        return {None: result.get(_ALL, [])}
+        return {None: result.get(_ALL, Edges([], []))}
     return result
 
 
 def check_edges(edges: list, on_duplicates: str = "raise") -> list:
-    """Interior edges used by the band rule, after the duplicate policy."""
+    """Interior edges used by the band rule, after the duplicate policy.
+
+    Duplicates are judged on the interpolated edges (two equal lower order
+    statistics need not give equal cut points).  ``merge`` drops repeated
+    cut points, as a quantile cut that drops duplicate bins does; each kept
+    cut point is compared through its lower order statistic.
+    """
     if not edges:
         return []
-    if len(set(edges)) < len(edges):
+    interp = getattr(edges, "interpolated", None) or [Fraction(e) for e in edges]
+    if len(set(interp)) < len(interp):
         if on_duplicates == "raise":
-            raise ValueError(f"Bin edges must be unique: {edges}")
+            raise ValueError(f"Bin edges must be unique: {[float(x) for x in interp]}")
         if on_duplicates != "merge":
             raise ValueError(f"unknown on_duplicates {on_duplicates!r}")
-        lo = edges[0]
-        return sorted({e for e in edges[1:-1] if e != lo})
+        keep, seen = [], {interp[0]}
+        for e, cut in zip(list(edges)[1:-1], interp[1:-1]):
+            if cut not in seen:
+                seen.add(cut)
+                keep.append(e)
+        return keep
     return list(edges[1:-1])
 
 

@@ -7,10 +7,10 @@ individual  <- customer
 
 All amounts are summed as decimals, so totals are exact and identical in any
 engine.  Lineitem is scanned and joined to orders once: lines are first
-aggregated per order (the join output is already hash-partitioned by order
-key, so that aggregate needs no shuffle), then per customer with one column
-set per year.  Every relation is a filter over that one per-customer frame,
-which lets Spark reuse the shuffle instead of rescanning lineitem.
+aggregated per order (when the join is a shuffled join its output is already
+hash-partitioned by order key, so that aggregate adds no shuffle), then per
+customer with one column set per year.  That per-customer frame is
+materialized once and every relation is a filter over it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendlens.session import materialize
 from spendlens.sources.relations import AMOUNT, conform
 
 DEC = "decimal(18,2)"
@@ -134,10 +135,16 @@ def latest_order_status(orders: DataFrame, b: Binding) -> DataFrame:
             .select(F.col("o_custkey").alias("party_id"), F.col("o_orderstatus").alias("intent")))
 
 
-def bind_tables(spark: SparkSession, sf_dir: str, b: Binding = Binding()) -> dict[str, DataFrame]:
+def bind_tables(spark: SparkSession, sf_dir: str, b: Binding = Binding(),
+                materialize_mode: str = "checkpoint") -> dict[str, DataFrame]:
+    """The six relations.  The per-customer yearly aggregate (the only
+    lineitem-sized work) is materialized once - checkpointed to the
+    cluster's checkpoint dir - so the four relations cut from it do not each
+    rescan and rejoin lineitem (column pruning makes their plans differ, so
+    Spark could not reuse the shuffle)."""
     t = read_tables(spark, sf_dir, ["orders", "lineitem", "customer", "nation", "region"])
     orders, lineitem, customer = t["orders"], t["lineitem"], t["customer"]
-    pc = per_customer_years(orders, lineitem, b)
+    pc = materialize(per_customer_years(orders, lineitem, b), materialize_mode)
     key = F.col("o_custkey").alias("party_id")
 
     def amt(c):

@@ -1,0 +1,35 @@
+"""Plan checks: no Python UDFs, no cartesian products, pushdown, top-1 as a group limit."""
+
+import pytest
+
+from conftest import SF01
+from spendlens.plans.queries import QUERIES
+
+FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
+             "FlatMapGroupsInPandas", "MapInPandas"]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["population_joined", "churn_and_yoy", "group_summary_continuous",
+                                  "coverage_profile", "balanced_sample_by_segment", "cohort_grid"])
+def test_no_python_or_cartesian(spark, name):
+    p = plan_text(QUERIES[name](spark, SF01))
+    for f in FORBIDDEN:
+        assert f not in p, f"{name}: {f}"
+
+
+def test_latest_survey_is_group_limit_and_pushed_down(spark):
+    p = plan_text(QUERIES["latest_survey"](spark, SF01))
+    assert "WindowGroupLimit" in p and "Partial" in p
+    assert "GreaterThanOrEqual(o_orderdate,2000-01-01" in p
+
+
+def test_share_join_is_broadcast(spark):
+    df = QUERIES["churn_and_yoy"](spark, SF01)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    # the per-category share table is broadcast; rows are never shuffled by category
+    assert "hashpartitioning(category" not in p
