@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spendlens.functions import recodes as R
 from spendlens.functions.numeric import guarded_log10, sign_category
 from spendlens.operators.share import with_group_share
+from spendlens.session import materialize
 
 # The columns filled with 0 after the filters (a person in year
 # 1 but absent in year 2 counts as churned); first-year total spend is not
@@ -46,15 +47,22 @@ def fill_zero(df: DataFrame, cols=FILL_ZERO) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in cols})
 
 
-def derive_base(dt1: DataFrame, share_mode: str = "epsilon") -> DataFrame:
+def derive_base(dt1: DataFrame, share_mode: str = "epsilon",
+                materialize_mode: str | None = None) -> DataFrame:
     """The analysis base: people with a first-year record and a customer value.
 
     Order matters: shares are taken before the fill (sums skip nulls, so it
     is the same either way); the zero flag and raw copies precede the fill;
     the churn label follows it.  Null categories drop out with the share
     grouping, as in the analysed workload.
+
+    ``materialize_mode`` (e.g. ``'table'``) writes the filtered people once
+    before the share step, so the share aggregate and every later consumer
+    read that table instead of recomputing the population joins.
     """
     dt2 = dt1.where(F.col("own_rev_y1").isNotNull() & F.col("cust_value").isNotNull())
+    if materialize_mode:
+        dt2 = materialize(dt2, materialize_mode)
     dt2 = with_group_share(dt2, SHARE_SPECS, ["category"], share_mode)
     dt2 = dt2.withColumns({
         "zero_flag": F.coalesce(F.col("own_rev_y2") == 0, F.lit(False)).cast("int"),

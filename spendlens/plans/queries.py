@@ -52,8 +52,9 @@ def dt1(spark, sf_dir) -> DataFrame:
 
 
 def dt2(spark, sf_dir, materialized: bool = True) -> DataFrame:
-    d = derive_base(dt1(spark, sf_dir))
-    return materialize(d) if materialized else d
+    """The analysis base; ``materialized`` writes the filtered people once
+    (before the share step) for queries that read the base several times."""
+    return derive_base(dt1(spark, sf_dir), materialize_mode="table" if materialized else None)
 
 
 def banded_base(spark, sf_dir) -> DataFrame:
@@ -222,11 +223,11 @@ def q_spend_share_balanced_by_segment(spark, sf_dir):
 
 
 def q_group_summary_continuous(spark, sf_dir):
-    return summarize_continuous(dt2(spark, sf_dir), CONTINUOUS)
+    return summarize_continuous(dt2(spark, sf_dir, materialized=False), CONTINUOUS)
 
 
 def q_group_summary_categorical(spark, sf_dir):
-    return summarize_categorical(dt2(spark, sf_dir), CATEGORICAL)
+    return summarize_categorical(dt2(spark, sf_dir, materialized=False), CATEGORICAL)
 
 
 def q_outcome_report(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -52,13 +53,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+def materialize(df: DataFrame, how: str = "table") -> DataFrame:
     """Cut lineage of a frame that several jobs reuse.
 
-    ``checkpoint`` writes to the reliable checkpoint dir (survives executor
-    loss without recomputing the upstream joins); ``persist`` keeps blocks
-    on executors and recomputes lost ones from lineage.
+    ``table`` (default) writes the frame once as parquet under the cluster's
+    checkpoint dir and reads it back: one computation, columnar re-reads with
+    pushdown, and nothing lost when an executor dies.  ``checkpoint`` is
+    Spark's reliable checkpoint (computes the plan twice when eager);
+    ``persist`` keeps blocks on executors and recomputes lost ones from
+    lineage.
     """
+    if how == "table":
+        base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+        path = f"{base}/spendlens-tables/{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        return df.sparkSession.read.parquet(path)
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

@@ -136,9 +136,9 @@ def latest_order_status(orders: DataFrame, b: Binding) -> DataFrame:
 
 
 def bind_tables(spark: SparkSession, sf_dir: str, b: Binding = Binding(),
-                materialize_mode: str = "checkpoint") -> dict[str, DataFrame]:
+                materialize_mode: str = "table") -> dict[str, DataFrame]:
     """The six relations.  The per-customer yearly aggregate (the only
-    lineitem-sized work) is materialized once - checkpointed to the
+    lineitem-sized work) is materialized once - written as a table under the
     cluster's checkpoint dir - so the four relations cut from it do not each
     rescan and rejoin lineitem (column pruning makes their plans differ, so
     Spark could not reuse the shuffle)."""
