@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendlens.functions import recodes as R
 from spendlens.functions.numeric import zin, zin_sum
 from spendlens.operators.latest import latest_per_key
+from spendlens.sources.relations import assert_unique
 from spendlens.sources.tpch_binding import PRIMARY_HUBS, SECONDARY_HUBS
 
 
@@ -31,13 +32,18 @@ def latest_survey(survey: DataFrame, start, end, keep_null_party: bool = False)
 
 def build_population(tables: dict[str, DataFrame], start, end,
                      primary_hubs=PRIMARY_HUBS, secondary_hubs=SECONDARY_HUBS,
-                     home_country: str = "AMERICA", keep_null_party: bool = False) -> DataFrame:
+                     home_country: str = "AMERICA", keep_null_party: bool = False,
+                     check_unique: bool = False) -> DataFrame:
     """One row per person: latest survey left-joined to spend, value and demographics.
 
     The survey is deduplicated *before* the joins (the right sides are keyed
     by person), so each join sees one row per person and every join after the
     first reuses the hash partitioning on ``party_id``.
     """
+    if check_unique:
+        # one distributed aggregate per relation; fails before a join fans out
+        for name in ("spend_y2", "spend_y1", "cust_y1", "cust_y2", "individual"):
+            assert_unique(tables[name], "party_id", name)
     a = latest_survey(tables["survey"], start, end, keep_null_party)
     b = tables["spend_y2"].withColumnRenamed("own_rev", "own_rev_y2") \
                           .withColumnRenamed("total_spend", "total_spend_y2")

@@ -69,8 +69,10 @@ def outcome_report(df: DataFrame, keys: Sequence[str] = (), by: str = "category"
     long = means.unionByName(sizes).unionByName(churn).where(F.col("group").isin(list(groups)))
     labels = [(SIZE_ROW[0], SIZE_ROW[1])] + [(r[0], r[1]) for r in REPORT_ROWS] + [(CHURN_ROW[0], CHURN_ROW[1])]
     wide = (long.groupBy(*keys, "row_order").pivot("group", list(groups)).agg(F.first("value")))
-    return wide.select(*keys, "row_order", _case("row_order", labels).alias("row_label"),
-                       *[F.col(g).cast("double").alias(g) for g in groups])
+    # ordering only the final few dozen rows
+    return (wide.select(*keys, "row_order", _case("row_order", labels).alias("row_label"),
+                        *[F.col(g).cast("double").alias(g) for g in groups])
+            .orderBy(*keys, "row_order"))
 
 
 def format_report(report: DataFrame, groups: Sequence[str] = CATEGORIES) -> DataFrame:
@@ -82,9 +84,11 @@ def format_report(report: DataFrame, groups: Sequence[str] = CATEGORIES) -> Data
     cols = []
     for g in groups:
         v = F.col(g)
+        # SQL format_number with a pattern (no grouping separator)
+        num = F.call_function("format_number", v, F.lit("0.0"))
         txt = (F.when(kind == "n", F.when(v.isNull(), F.lit("")).otherwise(v.cast("long").cast("string")))
-               .when(kind == "money", F.concat(F.lit("$"), F.format_number(v, "0.0")))
-               .otherwise(F.concat(F.format_number(v, "0.0"), F.lit(" %"))))
+               .when(kind == "money", F.concat(F.lit("$"), num))
+               .otherwise(F.concat(num, F.lit(" %"))))
         cols.append(txt.alias(g))
     other = [c for c in report.columns if c not in groups]
     return report.select(*other, *cols)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -17,3 +18,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
         w.option("header", "true").csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def run_stamp(tz: str = "America/Chicago") -> Column:
+    """Current day in a time zone as 'yyyy_MM_dd' (for report file names)."""
+    return F.date_format(F.from_utc_timestamp(F.current_timestamp(), tz), "yyyy_MM_dd")
