@@ -69,20 +69,29 @@ def stratum_shares(df: DataFrame, strata: Sequence[str], category: str = "catego
     pair and its normalised form (a diagnostic, not used by the quotas)."""
     cnt = stratum_counts(df, strata, category, categories, by)
     keys = list(by) + list(strata)
-    # totals per by-group: the count table has one row per stratum, so this
-    # window holds strata, not people
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    a, b = ref_pair
     out = cnt
-    for c in categories:
-        tot = F.sum(f"n_{c}").over(w)
-        out = out.withColumn(f"total_{c}", tot)
+    if by:
+        # totals per by-group (e.g. cohort): the count table has one row per
+        # stratum, so each window partition holds strata, not people
+        w = Window.partitionBy(*by)
+        for c in categories:
+            out = out.withColumn(f"total_{c}", F.sum(f"n_{c}").over(w))
+    else:
+        # one global total per category: a map-side partial aggregate, one
+        # row back, used as literals
+        t = cnt.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in categories]).first()
+        for c in categories:
+            out = out.withColumn(f"total_{c}", F.lit(int(t[c])).cast("long"))
     for c in categories:
         out = out.withColumn(f"share_{c}", F.when(F.col(f"total_{c}") > 0,
                                                   F.col(f"n_{c}") / F.col(f"total_{c}"))
                              .otherwise(F.lit(0.0)))
-    a, b = ref_pair
     out = out.withColumn("minp", F.least(F.col(f"share_{a}"), F.col(f"share_{b}")))
-    tot_minp = F.sum("minp").over(w)
+    if by:
+        tot_minp = F.sum("minp").over(Window.partitionBy(*by))
+    else:
+        tot_minp = F.lit(out.agg(F.sum("minp")).first()[0] or 0.0)
     out = out.withColumn("adjustp", F.when(tot_minp > 0, F.col("minp") / tot_minp))
     return out.select(*keys, *[f"n_{c}" for c in categories], *[f"total_{c}" for c in categories],
                       *[f"share_{c}" for c in categories], "minp", "adjustp")
