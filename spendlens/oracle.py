@@ -237,9 +237,9 @@ vb_e AS (
   SELECT g.i, r.cust_value AS e FROM vb_r r JOIN generate_series(0, 10) AS g(i)
     ON r.r = ((r.n - 1) * g.i) // 10),
 dtb AS (
-  SELECT t.*, CASE WHEN t.cust_value IS NULL THEN NULL ELSE 1 + (
+  SELECT t.*, CAST(CASE WHEN t.cust_value IS NULL THEN NULL ELSE 1 + (
            SELECT count(*) FROM vb_e WHERE vb_e.i BETWEEN 1 AND 9 AND t.cust_value > vb_e.e) END
-         AS value_band
+         AS INTEGER) AS value_band
   FROM dt2 t)
 """
 
@@ -278,7 +278,7 @@ def sql_stratum_shares(name: str, src: str, strata, by=()) -> str:
     keys = list(by) + list(strata)
     part = f"PARTITION BY {_cols(by)}" if by else ""
     counts = ", ".join(f"count(*) FILTER (WHERE category = {q(c)}) AS n_{c}" for c in CATEGORIES)
-    totals = ", ".join(f"sum(n_{c}) OVER ({part}) AS total_{c}" for c in CATEGORIES)
+    totals = ", ".join(f"CAST(sum(n_{c}) OVER ({part}) AS BIGINT) AS total_{c}" for c in CATEGORIES)
     shares = ", ".join(f"CASE WHEN total_{c} > 0 THEN CAST(n_{c} AS DOUBLE) / total_{c} ELSE CAST(0 AS DOUBLE) END"
                        f" AS share_{c}" for c in CATEGORIES)
     a, b = "Detractor", "Promoter"
@@ -479,8 +479,8 @@ def _value_band_edges() -> str:
   SELECT r.cohort, g.i, r.cust_value AS e FROM ce_r r JOIN generate_series(0, 10) AS g(i)
     ON r.r = ((r.n - 1) * g.i) // 10)"""
     banded = """ce_b AS (
-  SELECT m.cohort, 1 + (SELECT count(*) FROM ce_e WHERE ce_e.cohort = m.cohort AND ce_e.i BETWEEN 1 AND 9
-                        AND m.cust_value > ce_e.e) AS band
+  SELECT m.cohort, CAST(1 + (SELECT count(*) FROM ce_e WHERE ce_e.cohort = m.cohort AND ce_e.i BETWEEN 1 AND 9
+                        AND m.cust_value > ce_e.e) AS INTEGER) AS band
   FROM cohort_members m WHERE m.cust_value IS NOT NULL)"""
     return with_ctes(cm, ranked, edges, banded) + """
 SELECT b.cohort, b.band, lo.e AS lo, hi.e AS hi, count(*) AS n
@@ -524,7 +524,7 @@ ORACLE_SQL: dict[str, str] = {
     "spend_share_signed": with_ctes() + _share_on("base0", "epsilon"),
     "spend_share_clamped": with_ctes() + _share_on("base0", "clamp"),
     "crosstab_margins": with_ctes() + _crosstab("dt1", "population") + "\nUNION ALL\n" + _crosstab("base0", "base"),
-    "match_rate_by_segment": with_ctes() + "SELECT segment, level, count(*) AS n, sum(match_flag) AS matched, "
+    "match_rate_by_segment": with_ctes() + "SELECT segment, level, count(*) AS n, CAST(sum(match_flag) AS BIGINT) AS matched, "
         "CAST(sum(match_flag) AS DOUBLE) / count(*) AS match_rate FROM (" + " UNION ALL ".join(
             f"SELECT {q(c)} AS segment, CAST({c} AS VARCHAR) AS level, match_flag FROM dt1" for c in _SEGMENTS)
         + ") t GROUP BY segment, level",
