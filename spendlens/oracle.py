@@ -489,6 +489,24 @@ FROM ce_b b JOIN ce_e lo ON lo.cohort = b.cohort AND lo.i = b.band - 1
 GROUP BY b.cohort, b.band, lo.e, hi.e"""
 
 
+def _cohort_band_profile() -> str:
+    cm = cohort_members("dt2")
+    ranked = """cb_r AS (
+  SELECT cohort, cust_value, row_number() OVER (PARTITION BY cohort ORDER BY cust_value) - 1 AS r,
+         count(*) OVER (PARTITION BY cohort) AS n
+  FROM cohort_members WHERE cust_value IS NOT NULL)"""
+    edges = """cb_e AS (
+  SELECT r.cohort, g.i, r.cust_value AS e FROM cb_r r JOIN generate_series(0, 10) AS g(i)
+    ON r.r = ((r.n - 1) * g.i) // 10)"""
+    banded = """cb_m AS (
+  SELECT m.cohort, m.category, CASE WHEN m.cust_value IS NULL THEN NULL ELSE 1 + (
+           SELECT count(*) FROM cb_e WHERE cb_e.cohort = m.cohort AND cb_e.i BETWEEN 1 AND 9
+             AND m.cust_value > cb_e.e) END AS value_band_cohort
+  FROM cohort_members m)"""
+    return with_ctes(cm, ranked, edges, banded) + \
+        f"SELECT * FROM ({sql_categorical('cb_m', ['value_band_cohort'], keys=['cohort'])}) z"
+
+
 def _crosstab(src: str, scope: str) -> str:
     return f"""
 SELECT CASE WHEN GROUPING(own_rev_y1_cat) = 1 THEN 'Total' ELSE own_rev_y1_cat END AS own_rev_y1_cat,
@@ -533,6 +551,7 @@ ORACLE_SQL: dict[str, str] = {
         + f"UNION ALL SELECT *, 'category' AS by_var FROM ({sql_categorical('dt1', _COVERAGE)}) y",
     "value_band": with_ctes() + "SELECT party_id, cust_value, value_band FROM dtb",
     "value_band_edges": _value_band_edges(),
+    "cohort_band_profile": _cohort_band_profile(),
     "stratum_shares": with_ctes(sql_stratum_shares("ss", "dtb", REF_STRATA))
         + "SELECT * REPLACE (round(adjustp, 9) AS adjustp) FROM ss",
     "balance_quota": with_ctes(sql_stratum_shares("ss", "dtb", REF_STRATA), sql_quota("qq", "ss", REF_STRATA))

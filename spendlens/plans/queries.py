@@ -179,6 +179,17 @@ def q_value_band_edges(spark, sf_dir):
     return counts.select("cohort", "band", lo.alias("lo"), hi.alias("hi"), "n")
 
 
+def q_cohort_band_profile(spark, sf_dir):
+    """Raw cohorts: the value band recut within each cohort, as a categorical
+    summary by category (the slice tables print this band; the balancing key
+    keeps the base band)."""
+    ex = explode_cohorts(dt2(spark, sf_dir), DEFAULT_COHORTS)
+    edges = exact_quantile_edges(ex, "cust_value", 10, by="cohort")
+    ex = ex.withColumn("value_band_cohort",
+                       grouped_band_expr(F.col("cust_value"), F.col("cohort"), edges))
+    return summarize_categorical(ex, ["value_band_cohort"], keys=["cohort"])
+
+
 def q_stratum_shares(spark, sf_dir):
     s = stratum_shares(banded_base(spark, sf_dir), REF_STRATA)
     return s.withColumn("adjustp", F.round("adjustp", 9))
@@ -259,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_profile": q_coverage_profile,
     "value_band": q_value_band,
     "value_band_edges": q_value_band_edges,
+    "cohort_band_profile": q_cohort_band_profile,
     "stratum_shares": q_stratum_shares,
     "balance_quota": q_balance_quota,
     "balanced_sample": q_balanced_sample,
