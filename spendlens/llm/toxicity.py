@@ -7,8 +7,8 @@ negative, the step goes against it (the non-negative estimator's correction).
 Labels other than "toxic" are not used as negatives; all labelled texts give
 the class prior.
 
-Features are the distinct words of the whole text, hashed; each weighs the
-log-ratio of its share in P and in U.  The fit runs in numpy on a bounded
+Features are the distinct words of the whole text and their first four to six
+characters, hashed; each weighs the log-ratio of its share in P and in U.  The fit runs in numpy on a bounded
 sample: at most about ``max_positive`` toxic and ``max_unlabelled`` other texts,
 chosen by a hash of the text's id (documented bound, the only sample here).
 Scoring reads every whole text of every row on the executors; the model is one
@@ -36,17 +36,20 @@ from pyspark.sql import types as T
 from spendlens.llm.common import crc_remainder
 
 BITS = 18
+PREFIXES = (4, 5, 6)  # characters
 _WORD = re.compile(r"[^\W\d_]+")
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 THRESHOLD = 0.3
 
 
 def features(text: str | None) -> np.ndarray:
-    """The hashed distinct words of the whole text."""
+    """The hashed distinct words of the whole text, and the beginnings of its words."""
     if not text:
         return np.zeros(0, dtype="<u4")
     words = set(_WORD.findall(text.lower()))
-    return np.unique(np.array([crc32(w.encode("utf-8", "replace")) for w in words], dtype="<u4") & np.uint32((1 << BITS) - 1))
+    parts = {w[:k] + "*" for k in PREFIXES for w in words if len(w) > k}
+    codes = [crc32(w) for w in "\n".join(words | parts).encode("utf-8", "replace").split(b"\n")] if words else []
+    return np.unique(np.array(codes, dtype="<u4") & np.uint32((1 << BITS) - 1))
 
 
 @dataclass
@@ -65,15 +68,23 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05,
-             l2: float = 1e-4, min_texts: int = 3, min_ratio: float = 0.7) -> ToxicityModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
+             l2: float = 2e-3, min_share: float = 0.02, min_texts: int = 4, min_ratio: float = 0.7, min_z: float = 5.0) -> ToxicityModel:
+    """Full-batch Adam on the non-negative risk with the logistic loss.
+
+    Used are words that stand in at least ``min_share`` (and ``min_texts``) of
+    the toxic texts, clearly more often than in the unlabelled ones.  Texts with
+    the same words count once, so that copies are no evidence.
+    """
     size = 1 << BITS
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(size, dtype="float32"), -500.0)
+    positive, unlabelled = ([np.frombuffer(x, dtype="<u4") for x in sorted({f.tobytes() for f in rows})] for rows in (positive, unlabelled))
     (po, pf), (uo, uf) = _flat(positive), _flat(unlabelled)
     in_p, in_u = np.bincount(pf, minlength=size), np.bincount(uf, minlength=size)
     ratio = np.log((in_p + 0.5) / (len(positive) + 1.0)) - np.log((in_u + 0.5) / (len(unlabelled) + 1.0))
-    used = (in_p >= min_texts) & (ratio >= min_ratio)
+    share = (in_u + 0.5) / (len(unlabelled) + 1.0)
+    z = (in_p - len(positive) * share) / np.sqrt(len(positive) * share * (1 - share) + 0.25)
+    used = (in_p >= max(min_texts, min_share * len(positive))) & (ratio >= min_ratio) & (z >= min_z)
     column = np.cumsum(used) - 1
     keep = used[pf]
     po, pf = po[keep], column[pf[keep]]
