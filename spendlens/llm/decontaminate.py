@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import materialize
+from spendlens.llm.common import materialize, unused
 
 WINDOW = 13
 MAX_TEST_TERMS = 400_000
@@ -48,8 +48,8 @@ BLOCK_DOCS = 4_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 DOC_ROWS = "\x00documents"  # no term contains this character
-_INDEX = "block string, term string, n_docs bigint, positions binary, ids binary"
-_SPANS = "uid string, doc_id bigint, n_words bigint, spans array<struct<item_id:bigint,start:bigint,length:bigint,kind:string>>"
+_INDEX = "block string, term string, n_docs bigint, positions binary, keys array<string>"
+_SPANS = "uid string, key string, n_words bigint, spans array<struct<item_id:bigint,start:bigint,length:bigint,kind:string>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,8 +82,8 @@ def build_index(docs: DataFrame, terms: set[bytes], key: str = "doc_id", text: s
 
     ``positions`` are little-endian int32 in the block's stream, in which
     documents stand ``gap`` words apart, so that no phrase runs from one into
-    the next.  ``ids`` is filled in the row of the documents: document ids (and
-    which are null), starts and numbers of words.
+    the next.  The row of the documents has their ids in ``keys`` and in
+    ``positions`` their starts and numbers of words.
     """
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,11 +110,8 @@ def build_index(docs: DataFrame, terms: set[bytes], key: str = "doc_id", text: s
                 arr = np.array(ps, dtype="<i4")
                 n_docs = len(np.unique(np.searchsorted(starts_, arr, side="right")))
                 rows.append((f"{part}-{number}", w.decode("utf-8", "replace"), n_docs, arr.tobytes(), None))
-            ids = np.array([0 if i is None else i for i, _ in block], dtype="<i8")
-            no_id = np.array([i is None for i, _ in block], dtype="<i8")
-            rows.append((f"{part}-{number}", DOC_ROWS, len(block), None,
-                         np.concatenate([ids, no_id, starts_, np.array(counts, dtype="<i8")]).astype("<i8").tobytes()))
-            return pd.DataFrame(rows, columns=["block", "term", "n_docs", "positions", "ids"])
+            rows.append((f"{part}-{number}", DOC_ROWS, len(block), np.array(starts + counts, dtype="<i4").tobytes(), [i for i, _ in block]))
+            return pd.DataFrame(rows, columns=["block", "term", "n_docs", "positions", "keys"])
 
         n = 0
         for frame in frames:
@@ -123,13 +120,12 @@ def build_index(docs: DataFrame, terms: set[bytes], key: str = "doc_id", text: s
                 if block and (n + len(words) > BLOCK_WORDS or len(block) >= BLOCK_DOCS):
                     yield flush()
                     block, n = [], 0
-                block.append((None if i is None or i != i else int(i), words))
+                block.append((i, words))
                 n += len(words) + gap
         if block:
             yield flush()
 
-    # ids as text, so that a null id does not turn the others into floats
-    rows = docs.select(F.col(key).cast("bigint").cast("string").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     return materialize(rows.mapInPandas(index, _INDEX), name)
 
 
@@ -162,7 +158,7 @@ def _chains(places: dict[bytes, np.ndarray], window: tuple[bytes, ...], order: l
 
 
 def phrase_matches(index: DataFrame, items: list[tuple[int, str]], size: int = WINDOW, slack: int = 0) -> DataFrame:
-    """One row per indexed document: its id, number of words and matched spans (item, start, length, kind)."""
+    """One row per indexed document: its id (as text), number of words and matched spans (item, start, length, kind)."""
     windows: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
     for item, t in items:
         for w in item_windows(t, size):
@@ -178,13 +174,12 @@ def phrase_matches(index: DataFrame, items: list[tuple[int, str]], size: int = W
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         # the block of a row is not a column of its own here: a group is a block
         places: dict[bytes, np.ndarray] = {}
-        meta = None
-        for term, pos, ids in zip(frame["term"], frame["positions"], frame["ids"], strict=True):
+        starts, counts, doc_keys = (), (), ()
+        for term, pos, keys in zip(frame["term"], frame["positions"], frame["keys"], strict=True):
             if term == DOC_ROWS:
-                meta = np.frombuffer(ids, dtype="<i8").reshape(4, -1)
+                (starts, counts), doc_keys = np.frombuffer(pos, dtype="<i4").astype("int64").reshape(2, -1), keys
             else:
                 places[term.encode()] = np.frombuffer(pos, dtype="<i4").astype("int64")
-        doc_ids, no_id, starts, counts = meta
         spans: dict[int, set] = defaultdict(set)
 
         def add(at: int, length: int, ids: list[int], kind: str) -> None:
@@ -213,8 +208,8 @@ def phrase_matches(index: DataFrame, items: list[tuple[int, str]], size: int = W
         block = frame["block"].iloc[0]
         return pd.DataFrame({
             "uid": [f"{block}-{d}" for d in range(len(starts))],
-            "doc_id": pd.array([None if no_id[d] else int(doc_ids[d]) for d in range(len(starts))], dtype="Int64"),
-            "n_words": counts.astype("int64"),
+            "key": list(doc_keys),
+            "n_words": counts,
             "spans": [[{"item_id": i, "start": s, "length": n, "kind": k} for i, s, n, k in sorted(spans.get(d, ()))] for d in range(len(starts))],
         })
 
@@ -223,13 +218,14 @@ def phrase_matches(index: DataFrame, items: list[tuple[int, str]], size: int = W
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text", size: int = WINDOW, slack: int = 0, max_terms: int = MAX_TEST_TERMS) -> DataFrame:
-    """One row per document: ``uid``, ``doc_id``, ``n_words`` and ``spans`` of all items."""
+    """One row per document: ``uid``, ``key``, ``n_words`` and ``spans`` of all items."""
     gap = size + slack
+    key_type = docs.schema[key].dataType
     found = None
     blocks = test_blocks(items, item_key, item_text, max_terms)
     first, second = next(blocks, None), next(blocks, None)
     if second:  # several passes name the same documents only over files that do not change
-        docs = materialize(docs.select(F.col(key).cast("bigint").alias(key), text), "texts")
+        docs = materialize(docs.select(key, text), "texts")
     for block in chain((b for b in (first, second) if b), blocks):
         terms = {w for _, t in block for w in words_of(t)}
         index = build_index(docs, terms, key, text, gap)
@@ -238,10 +234,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
             found = part
         else:
             more = part.select("uid", F.col("spans").alias("more"))
-            found = found.join(more, "uid", "left").select("uid", "doc_id", "n_words", F.concat("spans", F.coalesce("more", F.array())).alias("spans"))
+            found = found.join(more, "uid", "left").select("uid", "key", "n_words", F.concat("spans", F.coalesce("more", F.array())).alias("spans"))
     if found is None:
         found = phrase_matches(build_index(docs, set(), key, text, gap), [], size)
-    return found
+    return found.withColumn("key", F.col("key").cast(key_type)).withColumnRenamed("key", key)
 
 
 def hit_words(spans: Column) -> Column:
@@ -254,11 +250,19 @@ def hit_words(spans: Column) -> Column:
     return ends["n"]
 
 
-def digest(found: DataFrame) -> DataFrame:
+def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The contamination ledger of ``contamination``'s result: phrase hits, items and the verdict (20 * n_hit >= n_words)."""
     phrases = F.filter("spans", lambda s: s["kind"] == "phrase")
     return (found.withColumn("p", phrases)
             .withColumn("items", F.array_sort(F.array_distinct(F.transform("p", lambda s: s["item_id"].cast("string")))))
-            .select("uid", "doc_id", "n_words", hit_words(F.col("p")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+            .select("uid", F.col(key), F.col("n_words"), hit_words(F.col("p")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` without its contaminated rows.  The verdict depends on the text alone, so rows go by their text's SHA-256."""
+    h = unused(docs, "_sha")
+    keyed = docs.withColumn(h, F.sha2(F.col(text), 256))
+    ledger = digest(contamination(keyed.select(h, text), items, key=h, text=text, **options), h)
+    return keyed.join(ledger.where("contaminated").select(h).distinct(), h, "left_anti").drop(h)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, packing, quality, toxicity, url_filter
+from spendlens.llm import decontaminate, ngram_join, packing, quality, toxicity, url_filter
 from spendlens.llm.common import read_table, ship_package
 
 
@@ -32,6 +32,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(ledger, quality.POLICIES[quality.DEFAULT_POLICY])
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [url_filter.Rule("block", "net"), url_filter.Rule("allow", "example.net", "/en/"),
              url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 
@@ -64,6 +68,7 @@ def _shipped(query: Callable) -> Callable:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipped(q) for q in (
     op1_best_fit_packing,
     op3_quality_rules,
+    op5_ngram_jaccard_join,
     op6_url_filters,
     op7_toxicity,
     op9_benchmark_decontamination,
