@@ -53,7 +53,43 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
+_TOOL_CALLS = """
+WITH RECURSIVE
+t AS (SELECT conv_id, turn, role, text FROM conversations),
+calls AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'configure' ELSE role END AS name, text,
+         CASE WHEN role = 'user' AND turn >= 2 THEN turn - 2 END AS ref
+  FROM t WHERE role IS DISTINCT FROM 'assistant'),
+known AS (SELECT c.*, p.turn AS parent FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.ref),
+lev AS (
+  SELECT conv_id, turn, 0::BIGINT AS level FROM known WHERE parent IS NULL
+  UNION ALL
+  SELECT k.conv_id, k.turn, l.level + 1 FROM known k JOIN lev l ON l.conv_id = k.conv_id AND l.turn = k.parent),
+judged AS (
+  SELECT k.*, l.level,
+         concat_ws('; ',
+           CASE WHEN name NOT IN ('reply', 'configure') THEN 'unknown tool ' || name END,
+           CASE WHEN text IS NULL THEN '$: text is missing' END,
+           CASE WHEN text = '' THEN '$.text: too short' END,
+           CASE WHEN name = 'configure' AND turn > 0 THEN '$.turn: above maximum' END,
+           CASE WHEN turn < 0 THEN '$.turn: below minimum' END,
+           CASE WHEN ref IS NOT NULL AND parent IS NULL THEN 'unknown reference c' || ref END) AS errors
+  FROM known k JOIN lev l USING (conv_id, turn)),
+results AS (SELECT conv_id, turn, 'c' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant')
+SELECT coalesce(j.conv_id, r.conv_id) AS conv_id, coalesce(j.call_id, r.call_id) AS call_id, coalesce(j.turn, r.turn) AS turn,
+       CASE WHEN j.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'missing_result' ELSE 'linked' END AS status,
+       j.call_id IS NOT NULL AND j.errors = '' AS valid, coalesce(j.errors, '') AS errors, j.level,
+       '{' || concat_ws(',',
+         CASE WHEN j.call_id IS NOT NULL THEN '"call":{"arguments":{'
+           || CASE WHEN j.ref IS NOT NULL THEN '"history":{"$ref":"c' || j.ref || '"},' ELSE '' END
+           || CASE WHEN j.text IS NOT NULL THEN '"text":' || to_json(j.text)::VARCHAR || ',' ELSE '' END
+           || '"turn":' || j.turn || '},"id":"' || j.call_id || '","name":"' || j.name || '"}' END,
+         CASE WHEN r.call_id IS NOT NULL THEN '"result":{"content":' || coalesce(to_json(r.text)::VARCHAR, 'null') || ',"id":"' || r.call_id || '"}' END) || '}' AS message
+FROM judged j FULL JOIN results r ON r.conv_id = j.conv_id AND r.call_id = j.call_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _QUALITY,
     "op9_benchmark_decontamination": _DECONTAMINATION,
+    "op10_tool_call_linking": _TOOL_CALLS,
 }

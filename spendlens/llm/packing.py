@@ -211,6 +211,20 @@ def text_encoder(path: str):
     return ids
 
 
+def byte_pieces(path: str) -> dict[bytes, int]:
+    """The pieces (as bytes) of a byte-level vocabulary file, without special tokens."""
+    import json
+
+    return _as_bytes(json.load(open(path, encoding="utf-8")))
+
+
+def _as_bytes(spec: dict) -> dict[bytes, int]:
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as themselves
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+
+
 def _ranked(spec: dict):
     """A faster encoder of the same byte-level BPE, where the file's vocabulary is in merge order; else None."""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -218,16 +232,12 @@ def _ranked(spec: dict):
         return None
     import tiktoken
 
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as themselves
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     merged = [model["vocab"][a + b] for a, b in merges]
     if merged != sorted(merged):
         return None
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=_as_bytes(spec), special_tokens={}).encode_ordinary
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = SEQUENCE,

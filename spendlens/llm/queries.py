@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import decontaminate, ngram_join, packing, quality, toxicity, url_filter
+from spendlens.llm import decontaminate, html_extract, lattice_lm, ngram_join, packing, quality, tool_calls, toxicity, url_filter, warc
 from spendlens.llm.common import read_table, ship_package
 
 
@@ -27,11 +27,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.build_ledger(read_table(spark, sf_dir, "documents"))
     return quality.apply_policy(ledger, quality.POLICIES[quality.DEFAULT_POLICY])
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = warc.response_records(read_table(spark, sf_dir, "pages"))
+    return warc.derive(responses).withColumn("page_id", F.col("source_id").cast("bigint")).drop("source_id")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read_table(spark, sf_dir, "documents"))
 
@@ -52,11 +61,43 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_texts(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found).drop("uid")
 
 
+TOOLS = {
+    "reply": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {
+        "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "history": {"type": "object"}}},
+    "configure": {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {
+        "text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0, "maximum": 0}}},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns as tool calls and results: what is not the assistant's calls a tool, the assistant's next turn is the result.
+
+    A user's call refers to the call two turns before as its history.
+    """
+    asked = turns.where("role <> 'assistant' OR role IS NULL")
+    history = F.when((F.col("role") == "user") & (F.col("turn") >= 2), F.struct(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")).alias("$ref")))
+    calls = asked.select("conv_id", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), "turn",
+                         F.when(F.col("role") == "user", "reply").when(F.col("role") == "system", "configure").otherwise(F.col("role")).alias("name"),
+                         F.to_json(F.struct("text", "turn", history.alias("history"))).alias("arguments"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(read_table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(calls, results, TOOLS).withColumn("errors", F.array_join("errors", "; "))
+
+
 def _shipped(query: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -67,9 +108,13 @@ def _shipped(query: Callable) -> Callable:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shipped(q) for q in (
     op1_best_fit_packing,
+    op2_html_extraction,
     op3_quality_rules,
+    op4_warc_derivatives,
     op5_ngram_jaccard_join,
     op6_url_filters,
     op7_toxicity,
+    op8_lm_scoring,
     op9_benchmark_decontamination,
+    op10_tool_call_linking,
 )}
