@@ -139,14 +139,15 @@ def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = SEQU
 
     # written once, so that the numbers within a partition stay as counted
     numbered = materialize(items.mapInArrow(number, schema), "pieces")
-    counts = numbered.groupBy(part, length).agg(F.count(F.lit(1)).alias("n"))
+    n = unused(numbered, "_n")
+    counts = numbered.groupBy(part, length).agg(F.count(F.lit(1)).alias(n))
     counts = materialize(counts, "piece-counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("n")).collect()}  # at most ``capacity`` rows
+    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum(n)).collect()}  # at most ``capacity`` rows
     plan = np.array(plan_best_fit(histogram, capacity), dtype="int64").reshape(-1, 6)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     keys = plan[:, 0] << 48 | plan[:, 1]  # by length, then by first rank
     before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(part, length, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(rank + "0"))
+    base = counts.select(part, length, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(rank + "0"))
     placed = numbered.join(base, [part, length]).select(*items.columns, (F.col(rank) + F.col(rank + "0")).alias(rank))
 
     @F.pandas_udf("struct<s:bigint,o:bigint>")

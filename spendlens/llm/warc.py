@@ -18,8 +18,7 @@ records.  ``record_bytes`` serialises a record.
 Every step is a row-wise map: nothing is shuffled, however large a site is.
 
 Defined cases: a null URL gives a record without ``WARC-Target-URI``; a null
-page an empty payload and an empty conversion; a null id the id's text is empty;
-a response without a status line or blank line counts as a payload alone
+page an empty payload and an empty conversion; a null id stays null; a response without a status line or blank line counts as a payload alone
 (status 0) and has no conversion; a null or missing block gives no records;
 repeated rows give the same records again; an empty table gives an empty
 result; other columns are not read.
