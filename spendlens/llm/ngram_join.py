@@ -215,8 +215,9 @@ def verified_links(docs: DataFrame, text: str, texts: DataFrame, clusters: DataF
     n_small = clusters.count() // BLOCK + 1
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # grouped before the join: of many copies a map task sends one
     whole = (docs.where(_has_words(F.col(text))).select(_digest(F.col(text)).alias("h"), F.col(text).alias("t"))
-             .join(members.select("h"), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")))
+             .groupBy("h").agg(F.min("t").alias("t")))
     rows = materialize(members.withColumn("own", own).join(whole, "h").drop("h"), "members")
     rows = rows.withColumn("other", other).select(
         "label", "node", "own", "sig", "t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -290,7 +291,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     found = linked_texts(docs, key, text, threshold)
     h, n = unused(docs, "_h"), unused(docs, "_n")
     stay = found.where("h = class_h").select(F.col("h").alias(h))
-    rows = docs.where(_has_words(F.col(text))).withColumn(h, _digest(F.col(text))).join(stay, h, "left_semi")
-    first = Window.partitionBy(h).orderBy(F.col(key).asc_nulls_last())
-    rows = rows.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n, h)
+    rows = docs.where(_has_words(F.col(text))).withColumn(h, _digest(F.col(text)))
+    first = Window.partitionBy(h).orderBy(F.col(key).asc_nulls_last())  # a limit per group: of many copies a map task sends one
+    rows = rows.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n).join(stay, h, "left_semi").drop(h)
     return rows.unionByName(docs.where(~_has_words(F.col(text))))
