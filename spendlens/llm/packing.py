@@ -33,7 +33,7 @@ from spendlens.llm.common import materialize, unused
 
 SEQUENCE = 1024
 END_TOKEN = 2
-WORD_CACHE = 300_000  # words whose ids a Python worker remembers
+WORD_CACHE = 200_000  # words whose ids a Python worker remembers
 
 
 class CapacityTree:
