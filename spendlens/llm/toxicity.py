@@ -24,6 +24,7 @@ scored each; other columns are kept.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import crc_remainder
+from spendlens.llm.common import crc_remainder, materialize
 
 BITS = 18
 PREFIXES = (4, 5, 6)  # characters
@@ -67,24 +68,27 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.concatenate(rows) if rows else np.zeros(0, dtype="<u4")
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05,
-             l2: float = 2e-3, min_share: float = 0.02, min_texts: int = 4, min_ratio: float = 0.7, min_z: float = 5.0) -> ToxicityModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss.
+def toxic_features(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, min_share: float = 0.02, min_texts: int = 4,
+                   min_ratio: float = 0.7, min_z: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Which features are used, and every feature's log-ratio, from the numbers of texts that have them.
 
-    Used are words that stand in at least ``min_share`` (and ``min_texts``) of
-    the toxic texts, clearly more often than in the unlabelled ones.  Texts with
-    the same words count once, so that copies are no evidence.
+    Used are those that stand in at least ``min_share`` (and ``min_texts``) of the
+    toxic texts, clearly more often than in the unlabelled ones.
     """
+    share = (in_u + 0.5) / (n_u + 1.0)
+    ratio = np.log((in_p + 0.5) / (n_p + 1.0)) - np.log(share)
+    z = (in_p - n_p * share) / np.sqrt(n_p * share * (1 - share) + 0.25)
+    return (in_p >= max(min_texts, min_share * n_p)) & (ratio >= min_ratio) & (z >= min_z), ratio
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-3) -> ToxicityModel:
+    """Full-batch Adam on the non-negative risk with the logistic loss, over the ``toxic_features`` of the rows."""
     size = 1 << BITS
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(size, dtype="float32"), -500.0)
-    positive, unlabelled = ([np.frombuffer(x, dtype="<u4") for x in sorted({f.tobytes() for f in rows})] for rows in (positive, unlabelled))
     (po, pf), (uo, uf) = _flat(positive), _flat(unlabelled)
     in_p, in_u = np.bincount(pf, minlength=size), np.bincount(uf, minlength=size)
-    ratio = np.log((in_p + 0.5) / (len(positive) + 1.0)) - np.log((in_u + 0.5) / (len(unlabelled) + 1.0))
-    share = (in_u + 0.5) / (len(unlabelled) + 1.0)
-    z = (in_p - len(positive) * share) / np.sqrt(len(positive) * share * (1 - share) + 0.25)
-    used = (in_p >= max(min_texts, min_share * len(positive))) & (ratio >= min_ratio) & (z >= min_z)
+    used, ratio = toxic_features(in_p, in_u, len(positive), len(unlabelled))
     column = np.cumsum(used) - 1
     keep = used[pf]
     po, pf = po[keep], column[pf[keep]]
@@ -137,10 +141,31 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share_p, share_u = min(1.0, max_positive / n_pos), min(1.0, max_unlabelled / n_docs)
     toxic = marks.where((F.col("y") == 1) & (draw < share_p)).select("id")
-    p = texts.where(draw < share_p).join(toxic, "id", "left_semi").select(_features("t")).limit(2 * max_positive).toPandas()
-    u = texts.where(draw < share_u).select(_features("t")).limit(2 * max_unlabelled).toPandas()
-    rows = [[np.frombuffer(x, dtype="<u4") for x in f.iloc[:, 0]] for f in (p, u)]
-    return fit_nnpu(*rows, prior=min(0.9, max(0.01, n_pos / n_lab)))
+    p = texts.where(draw < share_p).join(toxic, "id", "left_semi").select(F.lit(1).alias("p"), _features("t").alias("f")).limit(2 * max_positive)
+    u = texts.where(draw < share_u).select(F.lit(0).alias("p"), _features("t").alias("f")).limit(2 * max_unlabelled)
+    sample = materialize(p.unionByName(u).distinct(), "toxicity-sample")  # texts with the same words are one: copies are no evidence
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for kind, part in f.groupby("p"):
+                got, n = np.unique(np.frombuffer(b"".join(part["f"]), dtype="<u4"), return_counts=True)
+                yield pd.DataFrame({"p": np.int32(kind), "feature": got.astype("int64"), "n": n})
+
+    sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
+    texts_with = {k: np.zeros(1 << BITS, dtype="int64") for k in (0, 1)}
+    counted = sample.mapInPandas(count, "p int, feature bigint, n bigint").groupBy("p", "feature").agg(F.sum("n").alias("n"))
+    for kind, part in counted.toPandas().groupby("p"):  # at most 2 ** BITS rows for each
+        texts_with[kind][part["feature"].to_numpy()] = part["n"].to_numpy()
+    used, _ = toxic_features(texts_with[1], texts_with[0], sizes.get(1, 0), sizes.get(0, 0))
+
+    @F.pandas_udf(T.BinaryType())
+    def only_used(rows: pd.Series) -> pd.Series:
+        sets = (np.frombuffer(x, dtype="<u4") for x in rows)
+        return pd.Series([x[used[x]].tobytes() for x in sets], dtype="object")
+
+    rows = sample.select("p", only_used("f").alias("f")).toPandas()  # the bounded sample, a few features each
+    sides = [[np.frombuffer(x, dtype="<u4") for x in rows.loc[rows["p"] == kind, "f"]] for kind in (1, 0)]
+    return fit_nnpu(*sides, prior=min(0.9, max(0.01, n_pos / n_lab)))
 
 
 def scorer(spark: SparkSession, model: ToxicityModel):
