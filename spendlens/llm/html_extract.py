@@ -278,6 +278,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", min_pag
     templates = site_templates(subtrees, min_pages, min_share)
     hits = (subtrees.where("hash IS NOT NULL").select("uid", "host", "hash", "element").join(templates, ["host", "hash"])
             .groupBy("uid").agg(F.collect_set("element").alias("template")))
+    hits = materialize(hits, "template-hits")  # its size is known then, and where it is small the pages need no shuffle
     rows = parsed.join(hits.withColumnRenamed("uid", uid), uid, "left")
     template = F.coalesce("template", F.array().cast("array<int>"))
     blocks = F.filter(F.col(f"{page}.blocks"), lambda b: ~F.arrays_overlap(b["inside"], template))
