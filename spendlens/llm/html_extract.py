@@ -1,6 +1,7 @@
 """Main-text extraction with site-template removal.
 
-1. Every page is parsed once on the executors.  Elements that are no article
+1. Every page is parsed on the executors (once for the templates, once for its text:
+   a written copy of the parsed pages would be as large as they are).  Elements that are no article
    text by their kind (menus, headers, footers, asides, forms, scripts ...) or by
    their class, id or role (adverts, notices, comments ...) go at once.  Of what
    is left, the text of the page's ``article`` elements counts, else of its
@@ -12,9 +13,9 @@
    count once, so that copies of an article do not make it a template.
 
 Scale: counts are keyed by (host, subtree) after partial aggregation, so a host
-with a third of all pages is spread over its subtrees; template hits go back to
-the pages by a join that adaptive execution may split.  No page list is ever
-collected.
+with a third of all pages is spread over its subtrees; the templates go back to
+the pages by a join that adaptive execution may split.  No list of pages is
+ever collected.
 
 A block is the text between two block tags; white space inside becomes one
 space, blocks are joined by two line feeds in page order.
@@ -36,6 +37,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.llm.common import materialize, unused
 from spendlens.llm.url_filter import url_host
@@ -234,53 +236,56 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
     return [(b[0], b[1]) for b in chosen], [s for s in subtrees if s[0] in used]
 
 
-_PARSED = "struct<blocks:array<struct<text:string,inside:array<int>>>,subtrees:array<struct<element:int,hash:bigint>>,content:bigint>"
+_OUTLINE = T.StructType([T.StructField("content", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
 
-def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The pages' other columns, and ``_uid``, ``_host`` and the parsed page in ``_page``; written once."""
+@F.pandas_udf(_OUTLINE)
+def outline(pages: pd.Series) -> pd.DataFrame:
+    """A hash of the page's content and the distinct hashes of its subtrees."""
+    rows = []
+    for page in pages:
+        blocks, subtrees = parse_page(page)
+        content = hashlib.blake2b("\x00".join(b[0] for b in blocks).encode("utf-8", "replace"), digest_size=8).digest()
+        rows.append((int.from_bytes(content, "little", signed=True), list({h for _, h in subtrees})))
+    return pd.DataFrame(rows, columns=["content", "hashes"])
 
-    @F.pandas_udf(_PARSED)
-    def parsed(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            blocks, subtrees = parse_page(t)
-            content = hashlib.blake2b("\x00".join(b[0] for b in blocks).encode("utf-8", "replace"), digest_size=8).digest()
-            rows.append(([{"text": b, "inside": i} for b, i in blocks], [{"element": e, "hash": h} for e, h in subtrees],
-                         int.from_bytes(content, "little", signed=True)))
-        return pd.DataFrame(rows, columns=["blocks", "subtrees", "content"])
 
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    uid, host, page = (unused(pages, c) for c in ("_uid", "_host", "_page"))
-    rows = pages.select(*keep, F.when(F.col(url).isNotNull(), url_host(F.col(url))).alias(host), parsed(F.col(html)).alias(page))
-    return materialize(rows.withColumn(uid, F.monotonically_increasing_id()), "parsed-pages")
+@F.pandas_udf(T.StringType())
+def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
+    """The blocks that stand in no template, joined."""
+    out = []
+    for page, template in zip(pages, templates, strict=True):
+        blocks, subtrees = parse_page(page)
+        if template is not None and len(template):
+            known = set(template.tolist())
+            gone = {e for e, h in subtrees if h in known}
+            blocks = [b for b in blocks if gone.isdisjoint(b[1])]
+        out.append("\n\n".join(b[0] for b in blocks))
+    return pd.Series(out, dtype="object")
+
 
+def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host`` and ``hashes`` of the subtrees that recur on the host.
 
-def site_templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host`` and ``hash`` of the recurring subtrees, from ``host``, ``content`` (of the page) and ``hash`` (null: the page itself)."""
-    different = subtrees.select("host", "hash", "content").distinct()
-    counts = different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages))
-    sites = counts.where(F.col("hash").isNull() & (F.col("n") >= min_pages)).select("host", F.col("n").alias("n_pages"))
-    return often.join(sites, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("host", "hash")
+    A host has at most 1 / ``min_share`` times as many as its pages have subtrees
+    on average, so a list does not grow with the number of pages.
+    """
+    whole = F.array(F.lit(None).cast("bigint"))  # stands for the page itself
+    rows = (pages.where(F.col(url).isNotNull()).select(url_host(F.col(url)).alias("host"), outline(F.col(html)).alias("o"))
+            .select("host", "o.content", F.explode(F.concat("o.hashes", whole)).alias("hash")))
+    counts = rows.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sites = counts.where("hash IS NULL").select("host", F.col("n").alias("n_pages"))
+    often = counts.where("hash IS NOT NULL").join(sites, "host").where(F.col("n") >= min_share * F.col("n_pages"))
+    return often.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """The pages' other columns, ``text`` and ``n_chars`` (code points)."""
-    uid, host, page = (unused(pages, c) for c in ("_uid", "_host", "_page"))
+    host, hashes, text = (unused(pages, c) for c in ("_host", "_hashes", "_text"))
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    parsed = parse_pages(pages, url, html)
-    nothing = F.struct(F.lit(None).cast("int").alias("element"), F.lit(None).cast("bigint").alias("hash"))
-    subtrees = (parsed.where(F.col(host).isNotNull())
-                .select(F.col(uid).alias("uid"), F.col(host).alias("host"), F.col(f"{page}.content").alias("content"),
-                        F.explode(F.concat(F.col(f"{page}.subtrees"), F.array(nothing))).alias("s"))
-                .select("uid", "host", "content", "s.element", "s.hash"))
-    templates = site_templates(subtrees, min_pages, min_share)
-    hits = (subtrees.where("hash IS NOT NULL").select("uid", "host", "hash", "element").join(templates, ["host", "hash"])
-            .groupBy("uid").agg(F.collect_set("element").alias("template")))
-    hits = materialize(hits, "template-hits")  # its size is known then, and where it is small the pages need no shuffle
-    rows = parsed.join(hits.withColumnRenamed("uid", uid), uid, "left")
-    template = F.coalesce("template", F.array().cast("array<int>"))
-    blocks = F.filter(F.col(f"{page}.blocks"), lambda b: ~F.arrays_overlap(b["inside"], template))
-    return (rows.select(*keep, F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n").alias("text"))
-            .withColumn("n_chars", F.length("text").cast("bigint")))
+    # written, so that the planner knows its size: most often the pages need no shuffle for it
+    templates = materialize(site_templates(pages, url, html, min_pages, min_share), "site-templates")
+    rows = pages.withColumn(host, F.when(F.col(url).isNotNull(), url_host(F.col(url))))
+    rows = rows.join(templates.select(F.col("host").alias(host), F.col("hashes").alias(hashes)), host, "left")
+    rows = rows.select(*keep, main_text(F.col(html), F.col(hashes)).alias(text))
+    return rows.select(*keep, F.col(text).alias("text"), F.length(text).cast("bigint").alias("n_chars"))
