@@ -12,7 +12,6 @@ Layout:
               balancing, long-form summaries
   plans/      population pull, derivations, cohort grid, outcome report,
               the named query registry
-  streaming/  (the analysed workload has no streaming part)
 """
 
 __version__ = "0.1.0"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Denominator used when a group's total is zero (signed share)
+# The denominator where a group's total is zero (signed share)
 # or below it (clamped share).
 SHARE_EPSILON = 1e-10
+# The sign categories
+ZERO, POSITIVE, MISSING, CHECKING = "0", ">0", "Missing", "Checking"
 
 
 def zin(c: Column) -> Column:
@@ -39,11 +41,9 @@ def guarded_log10(c: Column, zero_to_zero: bool = True, parity: bool = False) ->
 
 
 def sign_category(c: Column) -> Column:
-    """First true of: == 0 -> '0', > 0 -> '>0', null -> 'Missing'; else 'Checking'."""
-    return (F.when(c == 0, F.lit("0"))
-            .when(c > 0, F.lit(">0"))
-            .when(c.isNull(), F.lit("Missing"))
-            .otherwise(F.lit("Checking")))
+    """Zero, positive, missing, or (negative) to be checked."""
+    return (F.when(c == 0, F.lit(ZERO)).when(c > 0, F.lit(POSITIVE))
+            .when(c.isNull(), F.lit(MISSING)).otherwise(F.lit(CHECKING)))
 
 
 def safe_ratio_pct(num: Column, den: Column, mode: str = "epsilon") -> Column:
@@ -55,17 +55,12 @@ def safe_ratio_pct(num: Column, den: Column, mode: str = "epsilon") -> Column:
     """
     num = num.cast("double")
     den = den.cast("double")
+    if mode == "null":
+        return F.when(den != 0, F.lit(100.0) * num / den)
     if mode == "epsilon":
-        d = F.when(den != 0, den).otherwise(F.lit(SHARE_EPSILON))
+        guarded = F.when(den != 0, den).otherwise(F.lit(SHARE_EPSILON))
     elif mode == "clamp":
-        d = F.greatest(den, F.lit(SHARE_EPSILON))
-    elif mode == "null":
-        return F.when(den != 0, F.lit(100.0) * num / den)
+        guarded = F.greatest(den, F.lit(SHARE_EPSILON))
     else:
         raise ValueError(f"unknown zero_den mode {mode!r}")
-    return F.lit(100.0) * num / d
-
-
-def exact_mean(c: Column) -> Column:
-    """Mean of a decimal column as one double division of exact totals."""
-    return F.sum(c).cast("double") / F.count(c)
+    return F.lit(100.0) * num / guarded

@@ -1,44 +1,14 @@
-"""Recodes of the population pull, as CASE expressions (JVM-side, codegen'd).
-
-Order of the WHEN branches matters and follows the analysed workload.
-"""
+"""Recodes as column expressions, driven by label tables that the caller supplies."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# Fixed values (labels and bounds the recodes produce)
-# ---------------------------------------------------------------------------
-# transactor stage code -> label; other codes pass through unchanged
-TRANSACTOR_STAGE_LABELS = [
-    ("2", "2 Member"),
-    ("1", "1 No membership"),
-    ("3", "3 Member+Card"),
-]
-# customer type code -> stage label; anything else -> 'U'
-CUSTOMER_STAGE_LABELS = [
-    ("2_FLIGHT_EARN_ONLY", "Stage 2: Flight earning + No Currency earning (member)"),
-    ("3_FLIGHT_AND_CURRENCY_EARN", "Stage 3: Flight & Currency earning (member)"),
-    ("1_NON_MEMBER", "Stage 1: Non-member"),
-    ("4_CURRENCY_EARN_ONLY_OR_NO_EARN", "Stage 4: Currency Earning Only + No Flight Earning (member)"),
-]
-CUSTOMER_STAGE_OTHER = "U"
-# membership flag 'N' wins; then tier code -> label; no match -> null
-NON_MEMBER_FLAG = "N"
-NON_MEMBER_LABEL = "Non-member"
-TIER_LABELS = [
-    ("1_C", "1 Tier One"),
-    ("2_E", "2 Tier Two"),
-    ("3_T", "3 Tier Three"),
-    ("4_P", "4 Tier Four"),
-    ("5_G", "5 Tier Five"),
-    ("6_R", "6 Regular"),
-]
-# birth year bands, both ends inclusive; else not available
+# Labels of the age bands (birth years, both ends inclusive)
 AGE_BANDS = [
     (1928, 1945, "1_Silent_Generation"),
     (1946, 1964, "2_Baby_Boomers"),
@@ -48,84 +18,82 @@ AGE_BANDS = [
     (2013, 2025, "6_Alpha"),
 ]
 AGE_BAND_NA = "7_Age_band_Not_Available"
-# travel frequency labels
+# Travel frequency labels
 NON_FLYER = "Non-Flyers"
-TRIP_LABELS = [(1, "1 Trip"), (2, "2 Trips"), (3, "3 Trips")]
+TRIP_LABELS = {1: "1 Trip", 2: "2 Trips", 3: "3 Trips"}
 MANY_TRIPS = (4, "4+ Trips")
 FREQUENCY_ERROR = "Error"
-# home-location buckets
+# Home-location buckets
 LOC_PRIMARY = "1 - PRIMARY HUBS"
 LOC_SECONDARY = "2 - SECONDARY HUBS + FOCUS CITIES"
 LOC_DOMESTIC = "3 - DOMESTIC SPOKES"
 LOC_INTERNATIONAL = "4 - INTERNATIONAL SPOKES"
 LOC_UNKNOWN = "5 - UNK"
-# churn labels
+# Churn labels
 CHURNED = "Churned"
 NOT_CHURNED = "Not Churned"
 
 
-def _chain(pairs, col: Column, otherwise: Column | None):
-    expr = None
-    for code, label in pairs:
-        cond = col == F.lit(code)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr if otherwise is None else expr.otherwise(otherwise)
+@dataclass(frozen=True)
+class Labels:
+    """The vocabulary of a deployment: what its codes are called."""
+
+    transactor_stages: Mapping[str, str]
+    customer_stages: Mapping[str, str]
+    other_stage: str
+    tiers: Mapping[str, str]
+    non_member_flag: str
+    non_member: str
+    hubs: Mapping[str, str]
+    home_country: str
+    normalize_codes: bool = False
 
 
-def transactor_stage_label(stage: Column) -> Column:
-    """'1','2','3' -> labels; anything else (incl. null) passes through."""
-    return _chain(TRANSACTOR_STAGE_LABELS, stage, stage)
+def normalized(code: Column, labels: Labels) -> Column:
+    """Codes of a warehouse that compares them ignoring case and trailing blanks."""
+    return F.upper(F.rtrim(code)) if labels.normalize_codes else code
 
 
-def customer_stage(cust_type: Column) -> Column:
-    """Four type codes -> stage labels; anything else (incl. null) -> 'U'."""
-    return _chain(CUSTOMER_STAGE_LABELS, cust_type, F.lit(CUSTOMER_STAGE_OTHER))
+def recode(code: Column, table: Mapping, default: Column | None = None) -> Column:
+    """Look a code up; codes that are not in the table (null too) give the default."""
+    out = F.lit(None) if default is None else default
+    for key, label in table.items():
+        out = F.when(code == F.lit(key), F.lit(label)).otherwise(out)
+    return out
 
 
-def stage_label(code: str) -> str:
-    return dict(CUSTOMER_STAGE_LABELS)[code]
+def transactor_stage_label(stage: Column, labels: Labels) -> Column:
+    """Known codes get a label, others pass through."""
+    return recode(normalized(stage, labels), labels.transactor_stages, stage)
 
 
-def tier(member_ind: Column, tier_code: Column) -> Column:
-    """Non-member flag first, then six tier codes; no ELSE, so null."""
-    expr = F.when(member_ind == F.lit(NON_MEMBER_FLAG), F.lit(NON_MEMBER_LABEL))
-    for code, label in TIER_LABELS:
-        expr = expr.when(tier_code == F.lit(code), F.lit(label))
-    return expr
+def customer_stage(cust_type: Column, labels: Labels) -> Column:
+    return recode(normalized(cust_type, labels), labels.customer_stages, F.lit(labels.other_stage))
 
 
-def age_band(birth_year: Column) -> Column:
-    expr = None
-    for lo, hi, label in AGE_BANDS:
-        cond = birth_year.between(lo, hi)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(AGE_BAND_NA))
+def tier(member_ind: Column, tier_code: Column, labels: Labels) -> Column:
+    """The flag of non-members comes before the code; unknown codes have no tier."""
+    code = recode(normalized(tier_code, labels), labels.tiers, F.lit(None).cast("string"))
+    return F.when(normalized(member_ind, labels) == F.lit(labels.non_member_flag), F.lit(labels.non_member)).otherwise(code)
+
+
+def age_band(birth_year: Column, bands: Sequence[tuple[int, int, str]] = tuple(AGE_BANDS)) -> Column:
+    named = [F.when(birth_year.between(lo, hi), F.lit(label)) for lo, hi, label in bands]
+    return F.coalesce(*named, F.lit(AGE_BAND_NA))
 
 
 def travel_frequency(rpm_raw: Column, trips: Column) -> Column:
-    """Ordered: raw rpm == 0 -> non-flyer; trips 1/2/3; >= 4; else 'Error'."""
-    expr = F.when(rpm_raw == 0, F.lit(NON_FLYER))
-    for n, label in TRIP_LABELS:
-        expr = expr.when(trips == n, F.lit(label))
-    return expr.when(trips >= MANY_TRIPS[0], F.lit(MANY_TRIPS[1])).otherwise(F.lit(FREQUENCY_ERROR))
+    """A raw rpm of 0 is a non-flyer whatever the trips say."""
+    by_trips = recode(trips, TRIP_LABELS, F.when(trips >= MANY_TRIPS[0], F.lit(MANY_TRIPS[1])).otherwise(F.lit(FREQUENCY_ERROR)))
+    return F.when(rpm_raw == 0, F.lit(NON_FLYER)).otherwise(by_trips)
 
 
-def home_location(airport: Column, country: Column, primary: Sequence[str],
-                  secondary: Sequence[str], home_country: str) -> Column:
-    """Five-way bucket with SQL three-valued logic kept (a null airport falls to UNK)."""
-    hubs = list(primary) + list(secondary)
-    return (F.when(airport.isin(list(primary)), F.lit(LOC_PRIMARY))
-            .when(airport.isin(list(secondary)), F.lit(LOC_SECONDARY))
-            .when(~airport.isin(hubs) & (country == F.lit(home_country)), F.lit(LOC_DOMESTIC))
-            .when((country != F.lit(home_country)) & country.isNotNull() & airport.isNotNull(),
-                  F.lit(LOC_INTERNATIONAL))
-            .otherwise(F.lit(LOC_UNKNOWN)))
+def home_location(airport: Column, country: Column, labels: Labels) -> Column:
+    """A hub by its own table; any other known airport by its country; the rest is unknown."""
+    hub = recode(normalized(airport, labels), labels.hubs, F.lit(None).cast("string"))
+    spoke = F.when(country == F.lit(labels.home_country), F.lit(LOC_DOMESTIC)).when(country.isNotNull(), F.lit(LOC_INTERNATIONAL))
+    return F.coalesce(hub, F.when(airport.isNotNull(), spoke), F.lit(LOC_UNKNOWN))
 
 
 def churn_label(own_rev_category: Column) -> Column:
     return F.when(own_rev_category == F.lit("0"), F.lit(CHURNED)).otherwise(F.lit(NOT_CHURNED))
-
-
-def normalize_code(c: Column) -> Column:
-    """Optional code normalisation for warehouses that compare codes ignoring case/trailing blanks."""
-    return F.upper(F.rtrim(c))

@@ -1,24 +1,23 @@
 """Exact-size, seeded, stratified down-sampling that balances categories.
 
-Quotas (per stratum s, per category c):
-    share_c(s) = count_c(s) / N_c          N_c = rows of category c
-    m(s)       = min(share_D(s), share_P(s))   (the two reference categories)
-    quota_c(s) = min(count_c(s), floor(N_c * m(s)))
-Passives are only capped, not part of the minimum, so they may stay
-unbalanced.  ``quota='double'`` does this in floating point like the analysed
-workload (``floor(49 * (1/49))`` is 0); ``quota='exact'`` uses integers.
-
-Sample: within each (stratum, category) keep the ``quota`` rows with the
-smallest ``md5('<seed>:<id>')`` (ties by id).  The order depends on seed and
-id only, never on partitioning, so it is reproducible and can be checked
-against SQL.
-
-Skew: a single (stratum, category) may hold a third of all rows, so the rows
-are never sorted per group.  The hash gives a uniform 12-bit bucket; counts
-per (group, bucket) are aggregated map-side, a running sum over at most
-4096 buckets per group finds the bucket where the quota is reached, rows in
-lower buckets are kept as they are, and only the rows of that one boundary
-bucket (about 1/4096 of the group) are ranked.
+Quotas (stratum s, category c, N_c rows of the category):
+    share_c(s) = count_c(s) / N_c
+    least(s)   = least share_c(s) of the two reference categories
+    quota_c(s) = min(count_c(s), floor(N_c * least(s)))
+Other categories are only capped, so they may stay unbalanced.
+``quota='double'`` does this in floating point, where ``floor(49 * (1/49))`` is 0;
+``quota='exact'`` in integers (decimal(38,0) products).
+
+Sample: of each (stratum, category) the ``quota`` rows with the smallest
+``md5('<seed>:<id>')`` (ties by id).  The order depends on seed and id only,
+never on partitioning, so it can be checked against SQL.
+
+Plan: one aggregate counts rows by (group, first bits of the hash); group
+counts, quotas and the bucket in which a quota is reached all come from it.
+Only the rows of that one bucket (1 / 2**hash_bits of a group) are ranked, which gives
+each group the last (hash, id) that is in, and the sample is one filter of the
+rows against it.  A group with a third of all rows is never sorted, and the
+join to the rows spreads it.  Nothing is collected, no job runs while building.
 """
 
 from __future__ import annotations
@@ -28,144 +27,117 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.operators.small import bounded_broadcast
+from spendlens.operators.attach import attach
 
 CATEGORIES = ("Detractor", "Passive", "Promoter")
 REF_PAIR = ("Detractor", "Promoter")
 HASH_BITS = 12
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null matches null (null strata are real strata)."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def sample_key(seed, id_col: str) -> Column:
     """md5 of '<seed>:<id>' as lowercase hex (identical in Spark and DuckDB)."""
     s = seed if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat(s.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
 
 
-def stratum_counts(df: DataFrame, strata: Sequence[str], category: str = "category",
-                   categories: Sequence[str] = CATEGORIES, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, stratum): count per category (the crosstab, unnormalised)."""
-    keys = list(by) + list(strata)
-    return df.groupBy(*keys).agg(*[
-        F.count(F.when(F.col(category) == F.lit(c), 1)).cast("long").alias(f"n_{c}")
-        for c in categories])
+def _hash_bucket(h: Column, bits: int) -> Column:
+    """The first ``bits`` (up to 32) bits of a hex hash."""
+    return F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), 32 - bits)
 
 
-def stratum_shares(df: DataFrame, strata: Sequence[str], category: str = "category",
-                   categories: Sequence[str] = CATEGORIES, ref_pair=REF_PAIR,
-                   by: Sequence[str] = ()) -> DataFrame:
-    """Counts, column shares (count / category total), min share of the reference
-    pair and its normalised form (a diagnostic, not used by the quotas)."""
-    cnt = stratum_counts(df, strata, category, categories, by)
-    keys = list(by) + list(strata)
+def _shares(counts: DataFrame, strata: Sequence[str], category: str, categories: Sequence[str], ref_pair, by: Sequence[str]) -> DataFrame:
+    """Wide counts, totals and shares per (by, stratum) from ``(by, strata, category, n)``."""
+    keys = [*by, *strata]
+    wide = counts.groupBy(*keys).agg(*[
+        F.coalesce(F.sum(F.when(F.col(category) == F.lit(c), F.col("n"))), F.lit(0)).cast("long").alias(f"n_{c}") for c in categories])
+    place = [*by, "_all"]
+    wide = wide.withColumn("_all", F.lit(0))
+    totals = wide.groupBy(*place).agg(*[F.sum(f"n_{c}").cast("long").alias(f"total_{c}") for c in categories])
+    out = attach(wide, totals, place, spread=strata[0])
+    out = out.withColumns({f"share_{c}": F.when(F.col(f"total_{c}") > 0, F.col(f"n_{c}") / F.col(f"total_{c}")).otherwise(F.lit(0.0))
+                           for c in categories})
     a, b = ref_pair
-    out = cnt
-    if by:
-        # totals per by-group (e.g. cohort): the count table has one row per
-        # stratum, so each window partition holds strata, not people
-        w = Window.partitionBy(*by)
-        for c in categories:
-            out = out.withColumn(f"total_{c}", F.sum(f"n_{c}").over(w))
-    else:
-        # one global total per category: a map-side partial aggregate, one
-        # row back, used as literals
-        t = cnt.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in categories]).first()
-        for c in categories:
-            out = out.withColumn(f"total_{c}", F.lit(int(t[c])).cast("long"))
-    for c in categories:
-        out = out.withColumn(f"share_{c}", F.when(F.col(f"total_{c}") > 0,
-                                                  F.col(f"n_{c}") / F.col(f"total_{c}"))
-                             .otherwise(F.lit(0.0)))
-    out = out.withColumn("minp", F.least(F.col(f"share_{a}"), F.col(f"share_{b}")))
-    if by:
-        tot_minp = F.sum("minp").over(Window.partitionBy(*by))
-    else:
-        tot_minp = F.lit(out.agg(F.sum("minp")).first()[0] or 0.0)
-    out = out.withColumn("adjustp", F.when(tot_minp > 0, F.col("minp") / tot_minp))
-    return out.select(*keys, *[f"n_{c}" for c in categories], *[f"total_{c}" for c in categories],
-                      *[f"share_{c}" for c in categories], "minp", "adjustp")
-
-
-def balance_quota(df: DataFrame, strata: Sequence[str], category: str = "category",
-                  categories: Sequence[str] = CATEGORIES, ref_pair=REF_PAIR,
-                  by: Sequence[str] = (), quota: str = "double") -> DataFrame:
-    """One row per (by, stratum, category) with its quota and available count."""
-    sh = stratum_shares(df, strata, category, categories, ref_pair, by)
-    keys = list(by) + list(strata)
+    return out.withColumn("least_share", F.least(f"share_{a}", f"share_{b}"))
+
+
+def stratum_counts(df: DataFrame, strata: Sequence[str], category: str = "category", by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by, *strata, category).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stratum_shares(df: DataFrame, strata: Sequence[str], category: str = "category", categories: Sequence[str] = CATEGORIES,
+                   ref_pair=REF_PAIR, by: Sequence[str] = ()) -> DataFrame:
+    """Counts, totals, column shares, the least share of the reference pair and
+    its part of all least shares (a diagnostic that no quota uses)."""
+    sh = _shares(stratum_counts(df, strata, category, by), strata, category, categories, ref_pair, by)
+    place = [*by, "_all"]
+    total = sh.groupBy(*place).agg(F.sum("least_share").alias("_sum"))
+    out = attach(sh, total, place, spread=strata[0])
+    out = out.withColumn("least_share_norm", F.when(F.col("_sum") > 0, F.col("least_share") / F.col("_sum")))
+    return out.select(*by, *strata, *[f"{p}_{c}" for p in ("n", "total", "share") for c in categories], "least_share", "least_share_norm")
+
+
+def _quotas(counts: DataFrame, strata: Sequence[str], category: str, categories: Sequence[str], ref_pair, by: Sequence[str], quota: str) -> DataFrame:
+    sh = _shares(counts, strata, category, categories, ref_pair, by)
     a, b = ref_pair
-    cols = []
+    each = []
     for c in categories:
-        n, N = F.col(f"n_{c}"), F.col(f"total_{c}")
         if quota == "double":
-            q = F.floor(N.cast("double") * F.col("minp"))
+            q = F.floor(F.col(f"total_{c}").cast("double") * F.col("least_share"))
         elif quota == "exact":
-            # min(n_a/N_a, n_b/N_b) compared by cross-multiplication, then
-            # N_c * n / N in integer division
+            big = lambda x: f"CAST({x} AS DECIMAL(19, 0))"
             q = F.expr(
-                f"CASE WHEN `total_{a}` = 0 OR `total_{b}` = 0 THEN 0 "
-                f"WHEN `n_{a}` * `total_{b}` <= `n_{b}` * `total_{a}` THEN (`total_{c}` * `n_{a}`) div `total_{a}` "
-                f"ELSE (`total_{c}` * `n_{b}`) div `total_{b}` END")
+                f"CASE WHEN total_{a} = 0 OR total_{b} = 0 THEN 0 "
+                f"WHEN {big(f'n_{a}')} * {big(f'total_{b}')} <= {big(f'n_{b}')} * {big(f'total_{a}')} "
+                f"THEN ({big(f'total_{c}')} * {big(f'n_{a}')}) div {big(f'total_{a}')} "
+                f"ELSE ({big(f'total_{c}')} * {big(f'n_{b}')}) div {big(f'total_{b}')} END")
         else:
             raise ValueError(f"unknown quota mode {quota!r}")
-        q = F.least(n, F.coalesce(q.cast("long"), F.lit(0).cast("long")))
-        cols.append(F.struct(F.lit(c).alias(category), n.alias("available"),
-                             q.alias("quota")))
-    return (sh.select(*keys, F.explode(F.array(*cols)).alias("_q"))
-            .select(*keys, "_q.*"))
-
-
-def balance(df: DataFrame, strata: Sequence[str], category: str = "category",
-            ref_pair=REF_PAIR, id_col: str = "party_id", seed=0,
-            categories: Sequence[str] = CATEGORIES, by: Sequence[str] = (),
-            quota: str = "double", hash_bits: int = HASH_BITS) -> DataFrame:
-    """Balanced sample of ``df`` (same columns).  ``by`` balances each group
-    (e.g. cohort) on its own; ``seed`` may be a column (one seed per group)."""
-    rows = df.where(F.col(category).isin(list(categories)))
-    group = list(by) + list(strata) + [category]
-    q = balance_quota(rows, strata, category, categories, ref_pair, by, quota)
-    q = bounded_broadcast(q.where(F.col("quota") > 0).select(*group, "quota"))
+        capped = F.least(F.col(f"n_{c}"), F.coalesce(q.cast("long"), F.lit(0).cast("long")))
+        each.append(F.struct(F.lit(c).alias(category), F.col(f"n_{c}").alias("available"), capped.alias("quota")))
+    return sh.select(*by, *strata, F.explode(F.array(*each)).alias("q")).select(*by, *strata, "q.*")
+
+
+def balance_quota(df: DataFrame, strata: Sequence[str], category: str = "category", categories: Sequence[str] = CATEGORIES,
+                  ref_pair=REF_PAIR, by: Sequence[str] = (), quota: str = "double") -> DataFrame:
+    """One row per (by, stratum, category) with its quota and available count."""
+    return _quotas(stratum_counts(df, strata, category, by), strata, category, categories, ref_pair, by, quota)
+
+
+def mark_sample(df: DataFrame, strata: Sequence[str], category: str = "category", ref_pair=REF_PAIR, id_col: str = "party_id", seed=0,
+                categories: Sequence[str] = CATEGORIES, by: Sequence[str] = (), quota: str = "double",
+                hash_bits: int = HASH_BITS, mark: str = "sampled") -> DataFrame:
+    """``df`` with a boolean column: the row is in the balanced sample.
+
+    ``by`` balances each group (e.g. cohort) on its own; ``seed`` may be a column
+    (one seed per group).  Rows of a category that is not in ``categories`` are in
+    no sample (``balance_diagnostics`` reports them).
+    """
+    group = [*by, *strata, category]
     h = sample_key(seed, id_col)
-    nhex = (hash_bits + 3) // 4
-    keyed = (_null_safe_join(rows, q, group)
-             .withColumn("_h", h)
-             .withColumn("_b", F.conv(F.substring(F.col("_h"), 1, nhex), 16, 10).cast("int")))
-    # running count over buckets: a few thousand rows per group at most
-    bc = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("quota").alias("quota"))
-    wb = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    bc = bc.withColumn("_cum", F.sum("_c").over(wb))
-    cut = (bc.where((F.col("_cum") >= F.col("quota")) & (F.col("_cum") - F.col("_c") < F.col("quota")))
-           .select(*group, F.col("_b").alias("_bstar"),
-                   (F.col("quota") - (F.col("_cum") - F.col("_c"))).alias("_need")))
-    cut = bounded_broadcast(cut)
-    sel = _null_safe_join(keyed, cut, group)
-    below = sel.where(F.col("_b") < F.col("_bstar"))
-    wr = Window.partitionBy(*group).orderBy("_h", id_col)
-    edge = (sel.where(F.col("_b") == F.col("_bstar"))
-            .withColumn("_rn", F.row_number().over(wr))
-            .where(F.col("_rn") <= F.col("_need")).drop("_rn"))
-    return below.unionByName(edge).drop("_h", "_b", "_bstar", "_need", "quota")
-
-
-def balance_diagnostics(df: DataFrame, sample: DataFrame, category: str = "category",
-                        categories: Sequence[str] = CATEGORIES, by: Sequence[str] = ()) -> DataFrame:
-    """Per (by, category): rows available, rows sampled, sampled share in percent."""
-    keys = list(by) + [category]
-    avail = (df.where(F.col(category).isin(list(categories)))
-             .groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("available")))
-    got = sample.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("sampled"))
-    out = _null_safe_join(avail, got, keys, "left")
-    return out.select(*keys, "available",
-                      F.coalesce(F.col("sampled"), F.lit(0).cast("long")).alias("sampled"),
-                      (F.lit(100.0) * F.coalesce(F.col("sampled"), F.lit(0)) / F.col("available"))
-                      .alias("sampled_pct"))
+    hashed = df.withColumns({"_h": h, "_b": _hash_bucket(h, hash_bits)})
+    buckets = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("c"))
+    counts = buckets.groupBy(*group).agg(F.sum("c").alias("n"))
+    quotas = _quotas(counts, strata, category, categories, ref_pair, by, quota).where("quota > 0").select(*group, "quota")
+    up_to = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**hash_bits rows a group
+    cut = (attach(buckets, quotas, group, spread="_b").withColumn("cum", F.sum("c").over(up_to))
+           .where((F.col("cum") >= F.col("quota")) & (F.col("cum") - F.col("c") < F.col("quota")))
+           .select(*group, F.col("_b").alias("_cut"), (F.col("quota") - F.col("cum") + F.col("c")).alias("_need")))
+    edge = attach(hashed.select(*group, id_col, "_h", "_b"), cut, group, spread=id_col).where(F.col("_b") == F.col("_cut"))
+    in_order = Window.partitionBy(*group).orderBy("_h", id_col)
+    last = (edge.withColumn("rn", F.row_number().over(in_order)).where(F.col("rn") == F.col("_need"))
+            .select(*group, F.col("_h").alias("_last_h"), F.col(id_col).alias("_last_id")))
+    marked = attach(hashed, last, group, spread=id_col, how="left")
+    inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(id_col) <= F.col("_last_id")))
+    return marked.select(*df.columns, F.coalesce(inside, F.lit(False)).alias(mark))
+
+
+def balance(df: DataFrame, strata: Sequence[str], **options) -> DataFrame:
+    """The balanced sample of ``df`` (same columns); options as for ``mark_sample``."""
+    return mark_sample(df, strata, **options, mark="_sampled").where("_sampled").drop("_sampled")
+
+
+def balance_diagnostics(marked: DataFrame, category: str = "category", by: Sequence[str] = (), mark: str = "sampled") -> DataFrame:
+    """Per (by, category), unknown categories included: rows available, rows sampled, sampled share in percent."""
+    n = F.count(F.lit(1)).cast("long")
+    out = marked.groupBy(*by, category).agg(n.alias("available"), F.count(F.when(F.col(mark), 1)).cast("long").alias("sampled"))
+    return out.withColumn("sampled_pct", F.lit(100.0) * F.col("sampled") / F.col("available"))

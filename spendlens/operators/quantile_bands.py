@@ -14,7 +14,8 @@ Finding the q+1 order statistics is distributed in three bounded passes:
 1. approximate quantiles (a mergeable sketch) give up to ``n_buckets`` split
    points, shared by all groups;
 2. a bucket id per row (binary search, JVM-side) and counts per
-   (group, bucket) - at most groups x buckets rows reach the driver;
+   (group, bucket) - at most ``max_groups`` x ``n_buckets`` rows reach the driver
+   (more groups are an error, not an approximation);
 3. only the buckets that hold a wanted rank are aggregated to (value, count)
    and ranked by a window partitioned by (group, bucket); each partition is
    one bucket, so about n / n_buckets values, and a value repeated by a third
@@ -56,8 +57,11 @@ class Edges(list):
 
 
 def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None,
-                         n_buckets: int = 1024, relative_error: float = 1e-3) -> dict:
-    """Return {group: Edges([e_0, ..., e_q])} (empty for a group without values)."""
+                         n_buckets: int = 1024, relative_error: float = 1e-3, max_groups: int = 1000) -> dict:
+    """Return {group: Edges([e_0, ..., e_q])}; null is a group like any other.
+
+    ``df`` is read three times: pass a narrow frame, persisted if it is costly.
+    """
     g = F.col(by) if by else F.lit(_ALL)
     vals = df.select(g.alias("g"), F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -66,7 +70,9 @@ def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None =
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vals)
-    counts = bucketed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")).collect()
+    counts = bucketed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")).limit(max_groups * (n_buckets + 1) + 1).collect()
+    if len({r["g"] for r in counts}) > max_groups:
+        raise ValueError(f"{col} has more than {max_groups} groups in {by}")
     per_group = defaultdict(dict)
     for r in counts:
         per_group[r["g"]][int(r["b"])] = int(r["c"])
@@ -85,17 +91,17 @@ def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None =
                     break
     stats = {grp: {} for grp in per_group}
     if wanted:
-        cells = sorted({(grp, b) for grp, b, _, _ in wanted})
+        cells = {(grp, b): None for grp, b, _, _ in wanted}
         keep = None
         for grp, b in cells:
-            c = (F.col("g") == F.lit(grp)) & (F.col("b") == F.lit(float(b)))
+            c = F.col("g").eqNullSafe(F.lit(grp)) & (F.col("b") == F.lit(float(b)))
             keep = c if keep is None else keep | c
         w = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ranked = (bucketed.where(keep).groupBy("g", "b", "v").agg(F.count(F.lit(1)).alias("c"))
                   .withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c")))
         pick = None
         for grp, b, lk, _ in wanted:
-            c = ((F.col("g") == F.lit(grp)) & (F.col("b") == F.lit(float(b)))
+            c = (F.col("g").eqNullSafe(F.lit(grp)) & (F.col("b") == F.lit(float(b)))
                  & (F.col("lo") <= lk) & (F.col("hi") > lk))
             pick = c if pick is None else pick | c
         found = ranked.where(pick).select("g", "b", "v", "lo", "hi").collect()
@@ -159,8 +165,22 @@ def with_value_band(df: DataFrame, col: str, out: str = "value_band", q: int = 1
 def grouped_band_expr(x: Column, group: Column, edges_by_group: dict,
                       on_duplicates: str = "raise") -> Column:
     """Band of x against the edges of its own group."""
-    out = None
+    out = F.lit(None).cast("int")
+    for grp, edges in edges_by_group.items():
+        own = band_expr(x, check_edges(edges, on_duplicates))
+        out = F.when(group.eqNullSafe(F.lit(grp)), own).otherwise(out)
+    return out
+
+
+def interval_rows(edges_by_group: dict, precision: int = 3) -> list[tuple]:
+    """(group, band, lo, hi, label) of every band: the interpolated cut points
+    ``(lo, hi]`` at ``precision`` decimals, the lowest nudged down so that it lies
+    inside.  A handful of rows per group."""
+    rows = []
     for grp, edges in edges_by_group.items():
-        e = band_expr(x, check_edges(edges, on_duplicates))
-        out = F.when(group == F.lit(grp), e) if out is None else out.when(group == F.lit(grp), e)
-    return out if out is not None else F.lit(None).cast("int")
+        if edges:
+            check_edges(edges)
+            cuts = [round(float(c), precision) for c in edges.interpolated]
+            cuts[0] = round(cuts[0] - 10 ** -precision, precision)
+            rows += [(grp, k + 1, lo, hi, f"({lo}, {hi}]") for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return rows

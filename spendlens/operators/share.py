@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions.numeric import safe_ratio_pct
-from spendlens.operators.small import bounded_broadcast
+from spendlens.operators.attach import attach
 
 
 def group_share(df: DataFrame, specs: Sequence[tuple[str, str, str]], by: Sequence[str],
@@ -16,10 +16,8 @@ def group_share(df: DataFrame, specs: Sequence[tuple[str, str, str]], by: Sequen
     """``100 * sum(num) / guarded(sum(den))`` per group, one row per group.
 
     ``specs``: (numerator column, denominator column, output column).
-    Sums of all-null columns count as 0 (a pandas-style sum), so a group
-    without any value gets share 0 instead of null.  Null group keys are
-    dropped, as a pandas groupby drops them.  Partial aggregation runs
-    map-side, so only a few rows per task reach the shuffle.
+    Sums of all-null columns count as 0, so a group without any value gets
+    share 0 instead of null.  Null group keys are dropped.
     """
     aggs, outs = [], []
     for num, den, out in specs:
@@ -33,15 +31,11 @@ def group_share(df: DataFrame, specs: Sequence[tuple[str, str, str]], by: Sequen
 
 
 def with_group_share(df: DataFrame, specs: Sequence[tuple[str, str, str]], by: Sequence[str],
-                     mode: str = "epsilon") -> DataFrame:
+                     mode: str = "epsilon", spread: str | None = None) -> DataFrame:
     """Attach the group shares to each row (rows with a null key are dropped).
 
-    The share table has one row per group.  It is computed first and
-    broadcast once its size is proven small, so the rows are never
-    shuffled; beyond the bound the join stays a shuffled join.  Never a
-    window or shuffle keyed by the group alone: three categories would
-    squeeze all rows into three tasks.
+    Reports do not need this: a share is a measure of the report's own
+    aggregate.  It is for shares of another set of rows than the report's.
     """
-    drop = [out for _, _, out in specs if out in df.columns]
-    shares = bounded_broadcast(group_share(df, specs, by, mode))
-    return df.drop(*drop).join(shares, list(by), "inner")
+    rows = df.drop(*[out for _, _, out in specs])
+    return attach(rows, group_share(df, specs, by, mode), list(by), spread)

@@ -1,571 +1,388 @@
 """DuckDB SQL oracles for the named queries.
 
-Each oracle recomputes its query from the raw parquet views (orders,
-lineitem, customer, nation, region) with plain SQL: the binding, the
-population pull, derivations, bands via exact row numbers, balancing via
-ROW_NUMBER() over md5 order, summaries via GROUPING SETS.  Fixed values
-(labels, lists, dates) come from the same constants as the Spark side; the
-logic is written independently.
+Each oracle recomputes its query from the raw parquet views (orders, lineitem,
+customer, nation, region) in plain SQL.  The recodes are joins with VALUES
+tables, bands come from row numbers, samples from ROW_NUMBER() over the md5
+order, reports from plain GROUP BYs.  Vocabulary and dates are the binding's.
 """
 
 from __future__ import annotations
 
 from spendlens.functions import recodes as R
 from spendlens.operators.balance import CATEGORIES
-from spendlens.plans.cohorts import DEFAULT_COHORTS, REF_STRATA
+from spendlens.plans.cohorts import REF_STRATA
 from spendlens.plans.derive import FILL_ZERO
-from spendlens.plans.report import CATEGORICAL, CHURN_ROW, CONTINUOUS, REPORT_ROWS, SIZE_ROW
+from spendlens.plans.queries import COVERAGE, SEED, SEGMENT_STRATA, SEGMENTS
+from spendlens.plans.report import CATEGORICAL, MEANS, REPORT_ROWS
 from spendlens.sources import tpch_binding as TB
 
-B = TB.Binding()
-SEED = 88
-SEGMENT_STRATA = ["value_band", "stage"]
-DECIMAL_VARS = {"own_rev_y1", "own_rev_y2", "own_rev_diff", "total_spend_y1", "total_spend_y2",
-                "total_spend_diff"}
+B, LABELS = TB.Binding(), TB.LABELS
 
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def qlist(xs) -> str:
-    return ", ".join(q(x) for x in xs)
-
-
 def d(x) -> str:
     return f"DATE '{x.isoformat()}'"
 
 
-def case_map(col: str, pairs, other: str | None) -> str:
-    body = " ".join(f"WHEN {col} = {q(k)} THEN {q(v)}" for k, v in pairs)
-    tail = f" ELSE {other}" if other is not None else ""
-    return f"CASE {body}{tail} END"
-
-
-def sign_cat(x: str) -> str:
-    return (f"CASE WHEN {x} = 0 THEN '0' WHEN {x} > 0 THEN '>0' "
-            f"WHEN {x} IS NULL THEN 'Missing' ELSE 'Checking' END")
-
-
-def share_expr(num: str, den: str, mode: str) -> str:
-    n = f"CAST(COALESCE(SUM({num}), 0) AS DOUBLE)"
-    dn = f"CAST(COALESCE(SUM({den}), 0) AS DOUBLE)"
-    if mode == "epsilon":
-        g = f"CASE WHEN {dn} <> 0 THEN {dn} ELSE CAST(1e-10 AS DOUBLE) END"
-    else:
-        g = f"GREATEST({dn}, CAST(1e-10 AS DOUBLE))"
-    return f"CAST(100 AS DOUBLE) * {n} / {g}"
-
-
-SHARES = [("own_rev_y2", "total_spend_y2", "spend_share_y2"),
-          ("own_rev_y1", "total_spend_y1", "spend_share_y1")]
-
-# ---------------------------------------------------------------------------
-# binding + population + derivations
-# ---------------------------------------------------------------------------
-_age = " ".join(f"WHEN y.birth_year BETWEEN {lo} AND {hi} THEN {q(lbl)}" for lo, hi, lbl in R.AGE_BANDS)
-_tier = " ".join(f"WHEN c.tier_code = {q(k)} THEN {q(v)}" for k, v in R.TIER_LABELS)
-_trips = " ".join(f"WHEN c.no_of_trips = {n} THEN {q(lbl)}" for n, lbl in R.TRIP_LABELS)
-_seg = " ".join(f"WHEN c_mktsegment = {q(s)} THEN {q(code)}" for s, code in TB.SEGMENT_TYPES)
-_tcode = " ".join(f"WHEN c_nationkey % 7 = {i} THEN {q(code)}" for i, code in enumerate(TB.TIER_CODES, 1))
-_hubs = TB.PRIMARY_HUBS + TB.SECONDARY_HUBS
-_fill = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in FILL_ZERO)
-
-BASE_CTES = f"""
-orders_b AS (
-  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE) AS odate
-  FROM orders),
-survey AS (
-  SELECT o_custkey AS party_id, o_orderkey AS survey_id, odate AS survey_dt,
-         CASE WHEN o_orderpriority IN ({qlist(TB.DETRACTOR_PRIORITIES)}) THEN 'Detractor'
-              WHEN o_orderpriority IN ({qlist(TB.PASSIVE_PRIORITIES)}) THEN 'Passive'
-              ELSE 'Promoter' END AS category,
-         CAST(o_custkey % 4 AS VARCHAR) AS transactor_stage,
-         CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_custkey % 3 AS VARCHAR) END AS tenure
-  FROM orders_b),
-li AS (
-  SELECT o.o_orderkey, o.o_custkey,
-         CASE WHEN o.odate <= {d(B.year1_end)} THEN 1 ELSE 2 END AS yr,
-         l_returnflag, l_linestatus,
-         CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS disc,
-         CAST(l_tax AS DECIMAL(18,2)) AS tax, CAST(l_quantity AS DECIMAL(18,2)) AS qty
-  FROM lineitem JOIN orders_b o ON l_orderkey = o.o_orderkey
-  WHERE o.odate BETWEEN {d(B.year1_start)} AND {d(B.year2_end)}),
-per_cy AS (
-  SELECT o_custkey, yr, count(*) AS n_lines, count(DISTINCT o_orderkey) AS trips,
-         count(*) FILTER (WHERE l_linestatus = 'F') AS n_f,
-         sum(CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'A' THEN price ELSE 0 END END) AS own_f,
-         sum(CASE WHEN l_linestatus = 'F' THEN price END) AS tot_f,
-         sum(price) AS ticket,
-         sum(CASE WHEN disc = 0 THEN price END) AS non_award,
-         sum(CAST(price * tax AS DECIMAL(18,2))) AS ancillary,
-         sum(CAST(price * disc AS DECIMAL(18,2))) AS displacement,
-         sum(price * (1 - disc)) AS flight_value,
-         sum(tax * qty) AS currency,
-         sum(qty) AS qty
-  FROM li GROUP BY o_custkey, yr),
-spend_y1 AS (
-  SELECT o_custkey AS party_id, CAST(own_f AS DECIMAL(18,2)) AS own_rev,
-         CAST(tot_f AS DECIMAL(18,2)) AS total_spend
-  FROM per_cy WHERE yr = 1 AND n_f > 0),
-spend_y2 AS (
-  SELECT o_custkey AS party_id, CAST(own_f AS DECIMAL(18,2)) AS own_rev,
-         CAST(tot_f AS DECIMAL(18,2)) AS total_spend,
-         CAST(CAST(tot_f AS DECIMAL(18,2)) - CAST(own_f AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS other_spend,
-         'Y' AS match_ind, CASE WHEN own_f > 0 THEN 'Y' ELSE 'N' END AS own_rev_ind
-  FROM per_cy WHERE yr = 2 AND n_f > 0),
-cust_y2 AS (
-  SELECT o_custkey AS party_id, CAST(ticket AS DECIMAL(18,2)) AS ticket_rev,
-         CAST(non_award AS DECIMAL(18,2)) AS ticket_rev_non_award,
-         CAST(ancillary AS DECIMAL(18,2)) AS ancillary_rev,
-         CAST(flight_value AS DOUBLE) AS flight_value, CAST(currency AS DOUBLE) AS currency_value
-  FROM per_cy WHERE yr = 2),
-latest_status AS (
-  SELECT o_custkey AS party_id, o_orderstatus AS intent FROM (
-    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY odate DESC, o_orderkey DESC) AS rn
-    FROM orders_b WHERE odate BETWEEN {d(B.survey_start)} AND {d(B.survey_end)}) t WHERE rn = 1),
-cust_attr AS (
-  SELECT c_custkey, c_acctbal AS cust_value,
-         CASE {_seg} ELSE 'U' END AS cust_type,
-         CASE WHEN c_nationkey % 7 = 0 THEN 'N' ELSE 'Y' END AS member_ind,
-         CASE {_tcode} END AS tier_code,
-         g.n_name AS home_airport, g.r_name AS home_country
-  FROM customer LEFT JOIN (SELECT n_nationkey, n_name, r_name FROM nation JOIN region
-                           ON n_regionkey = r_regionkey) g ON c_nationkey = g.n_nationkey),
-cust_y1 AS (
-  SELECT p.o_custkey AS party_id, CAST(p.ticket AS DECIMAL(18,2)) AS ticket_rev,
-         CAST(p.non_award AS DECIMAL(18,2)) AS ticket_rev_non_award,
-         CAST(p.ancillary AS DECIMAL(18,2)) AS ancillary_rev,
-         CAST(p.displacement AS DECIMAL(18,2)) AS displacement,
-         a.cust_value, CAST(p.flight_value AS DOUBLE) AS flight_value,
-         CAST(p.currency AS DOUBLE) AS currency_value, CAST(p.qty AS DOUBLE) AS rpm,
-         CAST(p.trips AS INTEGER) AS no_of_trips, a.cust_type, a.member_ind, a.tier_code,
-         ls.intent, a.home_airport, a.home_country
-  FROM per_cy p JOIN cust_attr a ON p.o_custkey = a.c_custkey
-  LEFT JOIN latest_status ls ON ls.party_id = p.o_custkey
-  WHERE p.yr = 1),
-individual AS (
-  SELECT c_custkey AS party_id, CAST(1920 + c_custkey % 110 AS INTEGER) AS birth_year FROM customer),
+def values(name: str, columns: str, rows) -> str:
+    """A lookup table as a CTE."""
+    lit = lambda x: q(x) if isinstance(x, str) else str(x)
+    body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+    return f"{name}({columns}) AS (VALUES {body})"
+
+
+LOOKUPS = ",\n".join([
+    values("category_of", "priority, category", TB.CATEGORY_OF.items()),
+    values("type_of", "segment, code", TB.TYPE_OF.items()),
+    values("code_of_nation", "rest, code", list(enumerate(TB.TIER_CODES, 1))),
+    values("stage_name", "code, label", LABELS.customer_stages.items()),
+    values("transactor_name", "code, label", LABELS.transactor_stages.items()),
+    values("tier_name", "code, label", LABELS.tiers.items()),
+    values("hub", "airport, label", LABELS.hubs.items()),
+    values("birth_band", "first_year, last_year, label", R.AGE_BANDS),
+    values("trip_name", "trips, label", R.TRIP_LABELS.items()),
+])
+
+# per class of merchant: spend, flag and top merchant
+_CLASS_SUMS = ", ".join(f"sum(price) FILTER (WHERE final AND l_suppkey % 3 = {k}) AS spent_{c}, max(l_suppkey) FILTER (WHERE final AND l_suppkey % 3 = {k}) AS top_{c}"
+                        for k, c in enumerate(TB.MERCHANT_CLASSES))
+_CLASS_COLS = ", ".join(f"CAST(spent_{c} AS DECIMAL(18,2)) AS {c}_spend, CASE WHEN spent_{c} > 0 THEN 'Y' ELSE 'N' END AS {c}_ind, 'S' || top_{c} AS {c}_merchants"
+                        for c in TB.MERCHANT_CLASSES)
+
+
+def _value_columns(year: int) -> str:
+    return f"""SELECT o_custkey AS party_id, ticket + ancillary AS flight_revenue_y{year}, ticket + ancillary + currency_value AS total_revenue_y{year},
+    COALESCE(non_award, 0) + COALESCE(ancillary, 0) AS flight_rev_y{year}, flight_value AS flight_value_y{year}, currency_value AS currency_rev_y{year}"""
+
+
+SOURCES = f"""
+{LOOKUPS},
+responses AS (
+  SELECT o_custkey AS party_id, o_orderkey AS survey_id, CAST(o_orderdate AS DATE) AS survey_dt, o_orderstatus,
+         CASE WHEN o_orderkey % {TB.NO_CATEGORY} <> 0 THEN COALESCE(category_of.category, '{TB.OTHER_CATEGORY}') END AS category,
+         CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey % 240 AS DOUBLE) END AS delay_mins
+  FROM orders LEFT JOIN category_of ON priority = o_orderpriority),
+in_window AS (SELECT * FROM responses WHERE party_id IS NOT NULL AND survey_dt BETWEEN {d(B.survey_start)} AND {d(B.survey_end)}),
 latest AS (
-  SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM (
-    SELECT *, row_number() OVER (PARTITION BY party_id ORDER BY survey_dt DESC, survey_id DESC) AS rn
-    FROM survey WHERE survey_dt BETWEEN {d(B.survey_start)} AND {d(B.survey_end)}
-      AND party_id IS NOT NULL) t WHERE rn = 1),
+  SELECT *, CAST(party_id % 4 AS VARCHAR) AS transactor_stage, CASE WHEN party_id % 7 <> 0 THEN CAST(party_id % 3 AS VARCHAR) END AS tenure,
+         CASE WHEN party_id % 13 <> 0 THEN 'G' || (party_id % 5) END AS generation,
+         CASE WHEN delay_mins >= 60 THEN 'long' WHEN delay_mins >= 1 THEN 'short' WHEN delay_mins IS NOT NULL THEN 'none' END AS delay_cat,
+         CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END AS disruption_ind
+  FROM in_window QUALIFY row_number() OVER (PARTITION BY party_id ORDER BY survey_dt DESC, survey_id DESC) = 1),
+bought AS (
+  SELECT o_custkey, o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) <= {d(B.year1_end)} THEN 1 ELSE 2 END AS yr, l_suppkey,
+         l_linestatus = 'F' AS final, l_returnflag = 'A' AS own, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+         CAST(l_discount AS DECIMAL(18,2)) AS disc, CAST(l_tax AS DECIMAL(18,2)) AS tax, CAST(l_quantity AS DECIMAL(18,2)) AS qty
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) BETWEEN {d(B.year1_start)} AND {d(B.year2_end)}),
+years AS (
+  SELECT o_custkey, yr, count(DISTINCT o_orderkey) AS trips, count(*) FILTER (WHERE final) AS n_final,
+         CAST(sum(CASE WHEN own THEN price ELSE 0 END) FILTER (WHERE final) AS DECIMAL(18,2)) AS own_rev, CAST(sum(price) FILTER (WHERE final) AS DECIMAL(18,2)) AS total,
+         CAST(sum(price) AS DECIMAL(18,2)) AS ticket, CAST(sum(price) FILTER (WHERE disc = 0) AS DECIMAL(18,2)) AS non_award,
+         CAST(sum(CAST(price * tax AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS ancillary, CAST(sum(CAST(price * disc AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS displacement,
+         CAST(sum(price * (1 - disc)) AS DOUBLE) AS flight_value, CAST(sum(tax * qty) AS DOUBLE) AS currency_value, CAST(sum(qty) AS DOUBLE) AS rpm, {_CLASS_SUMS}
+  FROM bought GROUP BY o_custkey, yr),
+first_spend AS (SELECT o_custkey AS party_id, own_rev AS own_rev_y1, total AS total_spend_y1 FROM years WHERE yr = 1 AND n_final > 0),
+second_spend AS (
+  SELECT *, CASE WHEN total_spend_y2 >= 600000 THEN 'high' WHEN total_spend_y2 >= 200000 THEN 'middle' ELSE 'low' END AS total_spend_band,
+         CASE WHEN own_share_pct >= 60 THEN 'main' WHEN own_share_pct >= 25 THEN 'shared' WHEN own_share_pct IS NOT NULL THEN 'minor' END AS own_share_band,
+         CASE WHEN total_spend_y2 >= 800000 THEN 'T1' WHEN total_spend_y2 >= 400000 THEN 'T2' ELSE 'T3' END AS total_spend_tier,
+         CASE WHEN own_share_pct >= 75 THEN 'S1' WHEN own_share_pct >= 40 THEN 'S2' WHEN own_share_pct IS NOT NULL THEN 'S3' END AS own_share_tier
+  FROM (SELECT o_custkey AS party_id, own_rev AS own_rev_y2, total AS total_spend_y2, CAST(total - own_rev AS DECIMAL(18,2)) AS other_spend,
+               CASE WHEN total <> 0 THEN CAST(100 AS DOUBLE) * CAST(own_rev AS DOUBLE) / CAST(total AS DOUBLE) END AS own_share_pct,
+               CASE WHEN n_final >= 8 THEN 'frequent' ELSE 'occasional' END AS customer_group, 'Y' AS match_ind,
+               CASE WHEN own_rev > 0 THEN 'Y' ELSE 'N' END AS own_rev_ind, CASE WHEN total > own_rev THEN 'Y' ELSE 'N' END AS other_spend_ind, {_CLASS_COLS}
+        FROM years WHERE yr = 2 AND n_final > 0)),
+second_value AS ({_value_columns(2)} FROM years WHERE yr = 2),
+home AS (SELECT n_nationkey, n_name AS airport, r_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey),
+person AS (
+  SELECT c_custkey AS party_id, c_acctbal AS cust_value, COALESCE(type_of.code, 'U') AS cust_type, CASE WHEN c_nationkey % 7 = 0 THEN 'N' ELSE 'Y' END AS member_ind,
+         code_of_nation.code AS tier_code, CASE WHEN c_custkey % 3 = 0 THEN 'agency' ELSE 'direct' END AS channel_type, 'Y' || (c_custkey % 6) AS cust_tenure,
+         CASE WHEN c_nationkey % 7 = 0 THEN {q(LABELS.non_member)} ELSE tier_name.label END AS tier, COALESCE(stage_name.label, {q(LABELS.other_stage)}) AS stage,
+         CASE WHEN hub.label IS NOT NULL THEN hub.label WHEN home.airport IS NULL OR home.country IS NULL THEN {q(R.LOC_UNKNOWN)}
+              WHEN home.country = {q(LABELS.home_country)} THEN {q(R.LOC_DOMESTIC)} ELSE {q(R.LOC_INTERNATIONAL)} END AS home_location
+  FROM customer LEFT JOIN type_of ON segment = c_mktsegment LEFT JOIN code_of_nation ON rest = c_nationkey % 7 LEFT JOIN home ON n_nationkey = c_nationkey
+  LEFT JOIN tier_name ON tier_name.code = code_of_nation.code LEFT JOIN stage_name ON stage_name.code = COALESCE(type_of.code, 'U') LEFT JOIN hub ON hub.airport = home.airport),
+first_value AS (
+  SELECT v.*, person.* EXCLUDE (party_id), y.trips, y.rpm AS miles, y.ticket + y.ancillary - y.displacement AS flight_rev_displacement,
+         CASE WHEN y.rpm = 0 THEN {q(R.NON_FLYER)} WHEN y.trips >= {R.MANY_TRIPS[0]} THEN {q(R.MANY_TRIPS[1])} ELSE COALESCE(trip_name.label, {q(R.FREQUENCY_ERROR)}) END AS frequency
+  FROM ({_value_columns(1)} FROM years WHERE yr = 1) v JOIN years y ON y.o_custkey = v.party_id AND y.yr = 1 JOIN person USING (party_id) LEFT JOIN trip_name USING (trips)),
+ages AS (SELECT c_custkey AS party_id, label FROM customer LEFT JOIN birth_band ON 1920 + c_custkey % 110 BETWEEN first_year AND last_year),
 population AS (
-  SELECT a.party_id, a.survey_dt, a.category,
-         CAST(NULL AS VARCHAR) AS delay_cat, CAST(NULL AS DOUBLE) AS delay_mins,
-         CAST(NULL AS VARCHAR) AS disruption_ind, a.transactor_stage, a.tenure,
-         {case_map('a.transactor_stage', R.TRANSACTOR_STAGE_LABELS, 'a.transactor_stage')} AS transactor_stage_label,
-         CAST(NULL AS VARCHAR) AS generation,
-         CAST(NULL AS VARCHAR) AS customer_group, b.match_ind, b.own_rev_ind,
-         CAST(NULL AS VARCHAR) AS other_spend_ind, CAST(NULL AS VARCHAR) AS national_ind,
-         CAST(NULL AS VARCHAR) AS budget_ind, CAST(NULL AS VARCHAR) AS foreign_ind,
-         b.own_rev AS own_rev_y2, b.other_spend,
-         CAST(NULL AS DECIMAL(18,2)) AS national_spend, CAST(NULL AS DECIMAL(18,2)) AS budget_spend,
-         CAST(NULL AS DECIMAL(18,2)) AS foreign_spend, b.total_spend AS total_spend_y2,
-         CAST(NULL AS DOUBLE) AS own_share_pct,
-         CAST(NULL AS VARCHAR) AS national_merchants, CAST(NULL AS VARCHAR) AS budget_merchants,
-         CAST(NULL AS VARCHAR) AS foreign_merchants, CAST(NULL AS VARCHAR) AS total_spend_band,
-         CAST(NULL AS VARCHAR) AS own_share_band, CAST(NULL AS VARCHAR) AS total_spend_tier,
-         CAST(NULL AS VARCHAR) AS own_share_tier,
-         e.own_rev AS own_rev_y1, e.total_spend AS total_spend_y1,
-         COALESCE(d.ticket_rev_non_award, 0) + COALESCE(d.ancillary_rev, 0) AS flight_rev_y2,
-         d.flight_value AS flight_value_y2,
-         d.ticket_rev + d.ancillary_rev AS flight_revenue_y2,
-         d.currency_value AS currency_rev_y2,
-         d.ticket_rev + d.ancillary_rev + d.currency_value AS total_revenue_y2,
-         COALESCE(c.ticket_rev_non_award, 0) + COALESCE(c.ancillary_rev, 0) AS flight_rev_y1,
-         c.cust_type, c.member_ind, c.tier_code, c.no_of_trips,
-         CAST(NULL AS VARCHAR) AS channel_type, CAST(NULL AS VARCHAR) AS cust_tenure,
-         c.cust_value, c.flight_value AS flight_value_y1, c.currency_value,
-         c.ticket_rev + c.ancillary_rev AS flight_revenue_y1,
-         c.currency_value AS currency_rev_y1,
-         c.ticket_rev + c.ancillary_rev + c.currency_value AS total_revenue_y1,
-         COALESCE(c.rpm, 0) AS rpm,
-         COALESCE(c.ticket_rev, 0) + COALESCE(c.ancillary_rev, 0) - COALESCE(c.displacement, 0)
-           AS flight_rev_displacement,
-         CASE WHEN c.home_airport IN ({qlist(TB.PRIMARY_HUBS)}) THEN {q(R.LOC_PRIMARY)}
-              WHEN c.home_airport IN ({qlist(TB.SECONDARY_HUBS)}) THEN {q(R.LOC_SECONDARY)}
-              WHEN c.home_airport NOT IN ({qlist(_hubs)}) AND c.home_country = {q(B.home_country)}
-                THEN {q(R.LOC_DOMESTIC)}
-              WHEN c.home_country <> {q(B.home_country)} AND c.home_country IS NOT NULL
-                   AND c.home_airport IS NOT NULL THEN {q(R.LOC_INTERNATIONAL)}
-              ELSE {q(R.LOC_UNKNOWN)} END AS home_location,
-         {case_map('c.cust_type', R.CUSTOMER_STAGE_LABELS, q(R.CUSTOMER_STAGE_OTHER))} AS stage,
-         CASE WHEN c.member_ind = {q(R.NON_MEMBER_FLAG)} THEN {q(R.NON_MEMBER_LABEL)} {_tier} END AS tier,
-         CASE {_age} ELSE {q(R.AGE_BAND_NA)} END AS age_band,
-         c.intent,
-         CASE WHEN c.rpm = 0 THEN {q(R.NON_FLYER)} {_trips}
-              WHEN c.no_of_trips >= {R.MANY_TRIPS[0]} THEN {q(R.MANY_TRIPS[1])}
-              ELSE {q(R.FREQUENCY_ERROR)} END AS travel_frequency
-  FROM latest a
-  LEFT JOIN spend_y2 b ON a.party_id = b.party_id
-  LEFT JOIN spend_y1 e ON a.party_id = e.party_id
-  LEFT JOIN cust_y1 c ON a.party_id = c.party_id
-  LEFT JOIN cust_y2 d ON a.party_id = d.party_id
-  LEFT JOIN individual y ON a.party_id = y.party_id),
-dt1 AS (
-  SELECT *, CASE WHEN own_rev_y2 IS NOT NULL THEN 1 ELSE 0 END AS match_flag,
-         CASE WHEN own_rev_y2 = 0 THEN CAST(0 AS DOUBLE)
-              WHEN own_rev_y2 > 0 THEN log10(CAST(own_rev_y2 AS DOUBLE)) END AS own_rev_log,
-         CASE WHEN total_spend_y2 > 0 THEN log10(CAST(total_spend_y2 AS DOUBLE)) END AS total_spend_log,
-         {sign_cat('own_rev_y2')} AS own_rev_y2_cat,
-         {sign_cat('own_rev_y1')} AS own_rev_y1_cat
-  FROM population),
-base0 AS (
-  SELECT * FROM dt1 WHERE own_rev_y1 IS NOT NULL AND cust_value IS NOT NULL AND category IS NOT NULL),
-share_base AS (
-  SELECT category, {share_expr('own_rev_y2', 'total_spend_y2', 'epsilon')} AS spend_share_y2,
-         {share_expr('own_rev_y1', 'total_spend_y1', 'epsilon')} AS spend_share_y1
-  FROM base0 GROUP BY category),
-dt2a AS (
-  SELECT b.*, s.spend_share_y2, s.spend_share_y1,
-         CASE WHEN b.own_rev_y2 = 0 THEN 1 ELSE 0 END AS zero_flag,
-         b.flight_revenue_y1 AS flight_revenue_y1_raw, b.flight_revenue_y2 AS flight_revenue_y2_raw
-  FROM base0 b JOIN share_base s ON b.category = s.category),
-dt2b AS (SELECT * REPLACE ({_fill}) FROM dt2a),
-dt2 AS (
-  SELECT *, {sign_cat('own_rev_y2')} AS own_rev_y2_cat2,
-         CASE WHEN ({sign_cat('own_rev_y2')}) = '0' THEN {q(R.CHURNED)} ELSE {q(R.NOT_CHURNED)} END AS churned,
-         own_rev_y2 - own_rev_y1 AS own_rev_diff,
-         total_spend_y2 - total_spend_y1 AS total_spend_diff
-  FROM dt2b),
-vb_r AS (
-  SELECT cust_value, row_number() OVER (ORDER BY cust_value) - 1 AS r, count(*) OVER () AS n
-  FROM dt2 WHERE cust_value IS NOT NULL),
-vb_e AS (
-  SELECT g.i, r.cust_value AS e FROM vb_r r JOIN generate_series(0, 10) AS g(i)
-    ON r.r = ((r.n - 1) * g.i) // 10),
-dtb AS (
-  SELECT t.*, CAST(CASE WHEN t.cust_value IS NULL THEN NULL ELSE 1 + (
-           SELECT count(*) FROM vb_e WHERE vb_e.i BETWEEN 1 AND 9 AND t.cust_value > vb_e.e) END
-         AS INTEGER) AS value_band
-  FROM dt2 t)
+  SELECT latest.* EXCLUDE (survey_id, o_orderstatus), COALESCE(transactor_name.label, transactor_stage) AS transactor_stage_label,
+         second_spend.* EXCLUDE (party_id), own_rev_y1, total_spend_y1,
+         second_value.* EXCLUDE (party_id) REPLACE (COALESCE(flight_rev_y2, 0) AS flight_rev_y2),
+         flight_revenue_y1, total_revenue_y1, COALESCE(flight_rev_y1, 0) AS flight_rev_y1, flight_value_y1, currency_rev_y1, currency_rev_y1 AS currency_value,
+         cust_type, member_ind, tier_code, CAST(trips AS INTEGER) AS no_of_trips, channel_type, cust_tenure, cust_value,
+         CASE WHEN first_value.party_id IS NOT NULL THEN latest.o_orderstatus END AS intent,
+         COALESCE(miles, 0) AS rpm, COALESCE(flight_rev_displacement, 0) AS flight_rev_displacement, COALESCE(home_location, {q(R.LOC_UNKNOWN)}) AS home_location,
+         COALESCE(stage, {q(LABELS.other_stage)}) AS stage, tier, COALESCE(frequency, {q(R.FREQUENCY_ERROR)}) AS travel_frequency, COALESCE(ages.label, {q(R.AGE_BAND_NA)}) AS age_band
+  FROM latest LEFT JOIN second_spend USING (party_id) LEFT JOIN first_spend USING (party_id) LEFT JOIN first_value USING (party_id)
+  LEFT JOIN second_value USING (party_id) LEFT JOIN ages USING (party_id) LEFT JOIN transactor_name ON transactor_name.code = transactor_stage)
+"""
+
+
+def sign_of(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'Missing' ELSE CASE sign({x}) WHEN 0 THEN '0' WHEN 1 THEN '>0' ELSE 'Checking' END END"
+
+
+_FILLED = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in FILL_ZERO)
+
+PEOPLE = f"""
+people AS (
+  SELECT *, CAST(own_rev_y2 IS NOT NULL AS INTEGER) AS match_flag, {sign_of('own_rev_y1')} AS own_rev_y1_cat, {sign_of('own_rev_y2')} AS own_rev_y2_cat,
+         CASE WHEN own_rev_y2 = 0 THEN CAST(0 AS DOUBLE) WHEN own_rev_y2 > 0 THEN log10(CAST(own_rev_y2 AS DOUBLE)) END AS own_rev_log,
+         CASE WHEN total_spend_y2 > 0 THEN log10(CAST(total_spend_y2 AS DOUBLE)) END AS total_spend_log
+  FROM population WHERE category IS NOT NULL),
+kept AS (SELECT * FROM people WHERE own_rev_y1 IS NOT NULL AND cust_value IS NOT NULL),
+filled AS (
+  SELECT * REPLACE ({_FILLED}), CASE WHEN own_rev_y2 = 0 THEN 1 ELSE 0 END AS zero_flag,
+         flight_revenue_y1 AS flight_revenue_y1_raw, flight_revenue_y2 AS flight_revenue_y2_raw FROM kept),
+base AS (
+  SELECT *, {sign_of('own_rev_y2')} AS own_rev_y2_cat2, CASE WHEN own_rev_y2 = 0 THEN '{R.CHURNED}' ELSE '{R.NOT_CHURNED}' END AS churned,
+         own_rev_y2 - own_rev_y1 AS own_rev_diff, total_spend_y2 - total_spend_y1 AS total_spend_diff FROM filled),
+ranked AS (SELECT cust_value AS v, row_number() OVER (ORDER BY cust_value) - 1 AS r, count(*) OVER () AS n FROM base),
+cuts AS (SELECT i, v FROM ranked JOIN range(1, 10) AS t(i) ON r = (n - 1) * i // 10),
+banded AS (SELECT base.*, CAST(1 + (SELECT count(*) FROM cuts WHERE base.cust_value > cuts.v) AS INTEGER) AS value_band FROM base)
 """
 
 
-def with_ctes(*extra: str) -> str:
-    ctes = BASE_CTES.strip()
-    for e in extra:
-        ctes += ",\n" + e.strip()
-    return "WITH " + ctes + "\n"
+def query(select: str, *more: str) -> str:
+    return "WITH " + ",\n".join(x.strip() for x in (SOURCES, PEOPLE, *more)) + "\n" + select
 
 
-def cohort_members(src: str = "dtb") -> str:
+def members(src: str) -> str:
     parts = []
-    for c in DEFAULT_COHORTS:
-        conds = []
-        if c.start is not None:
-            conds.append(f"survey_dt >= {d(c.start)}")
-        if c.end is not None:
-            conds.append(f"survey_dt <= {d(c.end)}")
-        if c.stage is not None:
-            conds.append(f"stage = {q(c.stage)}")
-        where = (" WHERE " + " AND ".join(conds)) if conds else ""
-        parts.append(f"SELECT {q(c.name)} AS cohort, {c.seed} AS seed, * FROM {src}{where}")
-    return "cohort_members AS (\n  " + "\n  UNION ALL ".join(parts) + ")"
-
-
-# ---------------------------------------------------------------------------
-# generic SQL builders (balancing, summaries, report)
-# ---------------------------------------------------------------------------
-
-def _cols(xs) -> str:
-    return ", ".join(xs)
-
-
-def sql_stratum_shares(name: str, src: str, strata, by=()) -> str:
-    keys = list(by) + list(strata)
-    part = f"PARTITION BY {_cols(by)}" if by else ""
-    counts = ", ".join(f"count(*) FILTER (WHERE category = {q(c)}) AS n_{c}" for c in CATEGORIES)
-    totals = ", ".join(f"CAST(sum(n_{c}) OVER ({part}) AS BIGINT) AS total_{c}" for c in CATEGORIES)
-    shares = ", ".join(f"CASE WHEN total_{c} > 0 THEN CAST(n_{c} AS DOUBLE) / total_{c} ELSE CAST(0 AS DOUBLE) END"
-                       f" AS share_{c}" for c in CATEGORIES)
-    a, b = "Detractor", "Promoter"
-    return f"""
-{name}_c AS (SELECT {_cols(keys)}, {counts} FROM {src} GROUP BY {_cols(keys)}),
-{name}_t AS (SELECT *, {totals} FROM {name}_c),
-{name}_s AS (SELECT *, {shares} FROM {name}_t),
-{name} AS (
-  SELECT *, LEAST(share_{a}, share_{b}) AS minp,
-         CASE WHEN sum(LEAST(share_{a}, share_{b})) OVER ({part}) > 0
-              THEN LEAST(share_{a}, share_{b}) / sum(LEAST(share_{a}, share_{b})) OVER ({part}) END AS adjustp
-  FROM {name}_s)"""
-
-
-def sql_quota(name: str, shares: str, strata, by=()) -> str:
-    keys = list(by) + list(strata)
-    parts = [f"SELECT {_cols(keys)}, {q(c)} AS category, n_{c} AS available, "
-             f"CAST(LEAST(n_{c}, FLOOR(CAST(total_{c} AS DOUBLE) * minp)) AS BIGINT) AS quota FROM {shares}"
-             for c in CATEGORIES]
-    return f"{name} AS (\n  " + "\n  UNION ALL ".join(parts) + ")"
-
-
-def sql_sample(name: str, src: str, quota: str, strata, by=(), seed_expr: str = str(SEED)) -> str:
-    keys = list(by) + list(strata) + ["category"]
-    on = " AND ".join(f"r.{k} IS NOT DISTINCT FROM qt.{k}" for k in keys)
-    return f"""
-{name}_r AS (
-  SELECT x.*, row_number() OVER (PARTITION BY {_cols(keys)}
-           ORDER BY md5(CAST({seed_expr} AS VARCHAR) || ':' || CAST(x.party_id AS VARCHAR)), x.party_id) AS _rn
-  FROM {src} x WHERE category IN ({qlist(CATEGORIES)})),
-{name} AS (
-  SELECT r.* EXCLUDE (_rn) FROM {name}_r r JOIN {quota} qt ON {on} WHERE r._rn <= qt.quota)"""
-
-
-def sql_shares_attach(name: str, src: str, keys, mode: str) -> str:
-    k = list(keys)
-    s = ", ".join(f"{share_expr(n, dd, mode)} AS {o}" for n, dd, o in SHARES)
-    on = " AND ".join(f"x.{c} = s.{c}" for c in k)
-    nn = " AND ".join(f"{c} IS NOT NULL" for c in k)
-    return f"""
-{name}_g AS (SELECT {_cols(k)}, {s} FROM {src} WHERE {nn} GROUP BY {_cols(k)}),
-{name} AS (
-  SELECT x.* EXCLUDE (spend_share_y2, spend_share_y1), s.spend_share_y2, s.spend_share_y1
-  FROM {src} x JOIN {name}_g s ON {on})"""
-
-
-def _gsets(keys, by="category") -> str:
-    k = list(keys)
-    a = _cols(k + [by])
-    b = _cols(k)
-    return f"GROUPING SETS (({a}), ({b}))"
-
-
-def _glabel(by="category") -> str:
-    return f"CASE WHEN GROUPING({by}) = 1 THEN 'Overall' ELSE CAST({by} AS VARCHAR) END"
-
-
-def sql_continuous(src: str, keys=(), columns=CONTINUOUS, digits: int = 6) -> str:
-    k = list(keys)
-    kk = (_cols(k) + ", ") if k else ""
+    for c in TB.COHORTS:
+        conditions = [f"survey_dt BETWEEN {d(c.start)} AND {d(c.end)}"] if c.start else []
+        conditions += [f"stage = {q(c.stage)}"] if c.stage else []
+        parts.append(f"SELECT {q(c.name)} AS cohort, {c.seed} AS seed, * FROM {src} WHERE {' AND '.join(conditions) or 'true'}")
+    return "members AS (" + " UNION ALL ".join(parts) + ")"
+
+
+# -- balancing ---------------------------------------------------------------
+
+def shares_of(src: str, strata, by=()) -> str:
+    """CTE ``strata_shares``: wide counts, totals and shares."""
+    keys = ", ".join([*by, *strata])
+    over = f"OVER (PARTITION BY {', '.join(by)})" if by else "OVER ()"
+    n = ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS n_{c}" for c in CATEGORIES)
+    total = ", ".join(f"CAST(sum(n_{c}) {over} AS BIGINT) AS total_{c}" for c in CATEGORIES)
+    share = ", ".join(f"CASE WHEN total_{c} > 0 THEN CAST(n_{c} AS DOUBLE) / total_{c} ELSE CAST(0 AS DOUBLE) END AS share_{c}" for c in CATEGORIES)
+    return f"""strata_n AS (SELECT {keys}, {n} FROM {src} GROUP BY {keys}),
+strata_total AS (SELECT *, {total} FROM strata_n), strata_share AS (SELECT *, {share} FROM strata_total),
+strata_shares AS (SELECT *, LEAST(share_Detractor, share_Promoter) AS least_share FROM strata_share)"""
+
+
+def quotas_of(strata, by=(), exact: bool = False) -> str:
+    """CTE ``quotas``: available and quota by (by, stratum, category)."""
+    def amount(c: str) -> str:
+        if not exact:
+            return f"floor(CAST(total_{c} AS DOUBLE) * least_share)"
+        part = lambda x: f"total_{c}::HUGEINT * n_{x} // total_{x}"
+        return f"CASE WHEN total_Detractor = 0 OR total_Promoter = 0 THEN 0 ELSE LEAST({part('Detractor')}, {part('Promoter')}) END"
+
+    keys = ", ".join([*by, *strata])
+    return "quotas AS (" + " UNION ALL ".join(
+        f"SELECT {keys}, '{c}' AS category, n_{c} AS available, CAST(LEAST(n_{c}, {amount(c)}) AS BIGINT) AS quota FROM strata_shares" for c in CATEGORIES) + ")"
+
+
+def sample_of(src: str, strata, by=(), seed: str = str(SEED)) -> str:
+    """CTE ``sample``: the rows of ``src`` within their quota."""
+    keys = [*by, *strata, "category"]
+    same = " AND ".join(f"o.{k} IS NOT DISTINCT FROM quotas.{k}" for k in keys)
+    return f"""{shares_of(src, strata, by)}, {quotas_of(strata, by)},
+in_order AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY md5({seed} || ':' || party_id), party_id) AS place FROM {src}),
+sample AS (SELECT o.* EXCLUDE (place) FROM in_order o JOIN quotas ON {same} WHERE place <= quota)"""
+
+
+# -- summaries and reports -----------------------------------------------------
+
+SHARES = {"spend_share_y2": ("own_rev_y2", "total_spend_y2"), "spend_share_y1": ("own_rev_y1", "total_spend_y1")}
+
+
+def share_sql(name: str, clamp: str = "false") -> str:
+    """``clamp``: a condition; where it holds the denominator is clamped, else only zero is replaced."""
+    num, den = (f"CAST(COALESCE(sum({c}), 0) AS DOUBLE)" for c in SHARES[name])
+    return f"CAST(100 AS DOUBLE) * {num} / CASE WHEN {clamp} THEN GREATEST({den}, 1e-10::DOUBLE) WHEN {den} <> 0 THEN {den} ELSE 1e-10::DOUBLE END"
+
+
+def mean_sql(c: str) -> str:
+    return f"CAST(sum({c}) AS DOUBLE) / nullif(count({c}), 0)"
+
+
+def continuous(src: str, keys=(), clamp: str = "false") -> str:
+    k = "".join(f"{x}, " for x in keys)
     parts = []
-    for c in columns:
-        if c in DECIMAL_VARS:
-            mean = f"CASE WHEN count({c}) > 0 THEN CAST(sum({c}) AS DOUBLE) / count({c}) END"
-        else:
-            mean = f"round(avg({c}), {digits})"
-        parts.append(
-            f"SELECT {kk}{q(c)} AS variable, {_glabel()} AS \"group\", count(*) AS n_rows, "
-            f"count({c}) AS n, count(*) - count({c}) AS n_missing, {mean} AS mean, "
-            f"round(stddev_samp(CAST({c} AS DOUBLE)), {digits}) AS sd "
-            f"FROM {src} GROUP BY {_gsets(k)}")
+    for label, group in (("category", f"GROUP BY {k}category"), ("'Overall'", f"GROUP BY {', '.join(keys)}" if keys else "")):
+        head = f"SELECT {k}{label} AS \"group\", count(*) AS n_rows"
+        for c in MEANS:
+            parts.append(f"{head}, '{c}' AS variable, count({c}) AS n, count(*) - count({c}) AS n_missing, {mean_sql(c)} AS mean, "
+                         f"round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS sd FROM {src} {group}")
+        for s in SHARES:
+            sd = "CASE WHEN count(*) > 1 THEN CAST(0 AS DOUBLE) END" if label == "category" else "CAST(NULL AS DOUBLE)"
+            parts.append(f"{head}, '{s}' AS variable, count(*) AS n, CAST(0 AS BIGINT) AS n_missing, {share_sql(s, clamp)} AS mean, {sd} AS sd FROM {src} {group}")
     return "\nUNION ALL ".join(parts)
 
 
-def sql_categorical(src: str, columns, keys=(), by: str = "category") -> str:
-    k = list(keys)
-    kk = (_cols(k) + ", ") if k else ""
-    long = "\n    UNION ALL ".join(
-        f"SELECT {kk}{by}, {q(c)} AS variable, CAST({c} AS VARCHAR) AS level FROM {src}" for c in columns)
-    part = _cols(k + ["variable", '"group"'])
-    den = f"sum(CASE WHEN level IS NOT NULL THEN n END) OVER (PARTITION BY {part})"
-    return f"""SELECT *, CASE WHEN level IS NOT NULL AND {den} > 0
-                    THEN CAST(100 AS DOUBLE) * n / {den} END AS pct
-FROM (
-  SELECT {kk}variable, level, {_glabel(by)} AS "group", count(*) AS n
-  FROM ({long}) t
-  GROUP BY GROUPING SETS (({_cols(k + ['variable', 'level', by])}), ({_cols(k + ['variable', 'level'])}))
-) a"""
-
-
-def sql_outcome(src: str, keys=()) -> str:
-    k = list(keys)
-    kk = (_cols(k) + ", ") if k else ""
-    order_case = "CASE " + " ".join(f"WHEN variable = {q(r[2])} THEN {r[0]}" for r in REPORT_ROWS) + " END"
-    labels = [(SIZE_ROW[0], SIZE_ROW[1])] + [(r[0], r[1]) for r in REPORT_ROWS] + [(CHURN_ROW[0], CHURN_ROW[1])]
-    label_case = "CASE " + " ".join(f"WHEN row_order = {o} THEN {q(lbl)}" for o, lbl in labels) + " END"
-    join_on = " AND ".join([f"g.{c} = c.{c}" for c in k] + ['g."group" = c."group"'])
-    gsel = ", ".join([f"g.{c}" for c in k] + ['g."group"'])
-    piv = ", ".join(f"max(CASE WHEN \"group\" = {q(g)} THEN value END) AS {g}" for g in CATEGORIES)
-    return f"""
-WITH cont AS ({sql_continuous(src, k)}),
-cat AS ({sql_categorical(src, ['churned'], k)}),
-rep_long AS (
-  SELECT {kk}{order_case} AS row_order, "group", mean AS value FROM cont
-    WHERE variable IN ({qlist([r[2] for r in REPORT_ROWS])})
-  UNION ALL
-  SELECT {kk}{SIZE_ROW[0]} AS row_order, {q(CATEGORIES[0])} AS "group", CAST(n_rows AS DOUBLE) AS value
-    FROM cont WHERE variable = {q(CONTINUOUS[0])} AND "group" = 'Overall'
-  UNION ALL
-  SELECT {gsel.replace('g."group"', '')}{CHURN_ROW[0]} AS row_order, g."group", COALESCE(c.pct, CAST(0 AS DOUBLE)) AS value
-    FROM (SELECT {kk}"group" FROM cont WHERE variable = {q(CONTINUOUS[0])}) g
-    LEFT JOIN (SELECT {kk}"group", pct FROM cat WHERE level = {q(R.CHURNED)}) c ON {join_on})
-SELECT {kk}row_order, {label_case} AS row_label, {piv}
-FROM rep_long WHERE "group" IN ({qlist(CATEGORIES)})
-GROUP BY {kk}row_order"""
-
-
-# ---------------------------------------------------------------------------
-# the oracles
-# ---------------------------------------------------------------------------
-
-def _pop(cols: str) -> str:
-    return with_ctes() + f"SELECT {cols} FROM population"
-
-
-def _dbl(cols) -> str:
-    return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
-
-
-POP_DEC = {"own_rev_y2", "other_spend", "national_spend", "budget_spend", "foreign_spend",
-           "total_spend_y2", "own_rev_y1", "total_spend_y1", "flight_rev_y2", "flight_revenue_y2",
-           "flight_rev_y1", "flight_revenue_y1", "flight_rev_displacement"}
-
-POP_COLS = [
-    "party_id", "survey_dt", "category", "delay_cat", "delay_mins", "disruption_ind",
-    "transactor_stage", "tenure", "transactor_stage_label", "generation", "customer_group",
-    "match_ind", "own_rev_ind", "other_spend_ind", "national_ind", "budget_ind", "foreign_ind",
-    "own_rev_y2", "other_spend", "national_spend", "budget_spend", "foreign_spend",
-    "total_spend_y2", "own_share_pct", "national_merchants", "budget_merchants",
-    "foreign_merchants", "total_spend_band", "own_share_band", "total_spend_tier",
-    "own_share_tier", "own_rev_y1", "total_spend_y1", "flight_rev_y2", "flight_value_y2",
-    "flight_revenue_y2", "currency_rev_y2", "total_revenue_y2", "flight_rev_y1", "cust_type",
-    "member_ind", "tier_code", "no_of_trips", "channel_type", "cust_tenure", "cust_value",
-    "flight_value_y1", "currency_value", "flight_revenue_y1", "currency_rev_y1",
-    "total_revenue_y1", "rpm", "flight_rev_displacement", "home_location", "stage", "tier",
-    "age_band", "intent", "travel_frequency",
-]
-
-
-def _out_cols(cols) -> str:
-    return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in POP_DEC or c in DECIMAL_VARS else c
-                     for c in cols)
-
-
-_SUMMARY_SRC_BAL = (sql_stratum_shares("bs_sh", "dtb", REF_STRATA),
-                    sql_quota("bs_q", "bs_sh", REF_STRATA),
-                    sql_sample("bs", "dtb", "bs_q", REF_STRATA))
-_SEG_SRC_BAL = (sql_stratum_shares("sg_sh", "dtb", SEGMENT_STRATA),
-                sql_quota("sg_q", "sg_sh", SEGMENT_STRATA),
-                sql_sample("sg", "dtb", "sg_q", SEGMENT_STRATA))
-
-
-def _balanced_diag(sample: str) -> str:
-    return f"""
-avail AS (SELECT category, count(*) AS available FROM dtb WHERE category IN ({qlist(CATEGORIES)}) GROUP BY category),
-got AS (SELECT category, count(*) AS sampled FROM {sample} GROUP BY category)
-SELECT a.category, a.available, COALESCE(g.sampled, 0) AS sampled,
-       CAST(100 AS DOUBLE) * COALESCE(g.sampled, 0) / a.available AS sampled_pct
-FROM avail a LEFT JOIN got g ON a.category IS NOT DISTINCT FROM g.category"""
-
-
-def _share_on(src: str, mode: str) -> str:
-    s = ", ".join(f"{share_expr(n, dd, mode)} AS {o}" for n, dd, o in SHARES)
-    return f"SELECT category, {s} FROM {src} WHERE category IS NOT NULL GROUP BY category"
-
-
-def _cohort_grid() -> str:
-    cm = cohort_members("dtb")
-    st = sql_stratum_shares("cg_sh", "cohort_members", REF_STRATA, by=["cohort"])
-    qt = sql_quota("cg_q", "cg_sh", REF_STRATA, by=["cohort"])
-    sm = sql_sample("cg_s", "cohort_members", "cg_q", REF_STRATA, by=["cohort"], seed_expr="x.seed")
-    raw = sql_shares_attach("cg_raw", "cohort_members", ["cohort", "category"], "epsilon")
-    bal = sql_shares_attach("cg_bal", "cg_s", ["cohort", "category"], "clamp")
-    frames = """cg_frames AS (
-  SELECT 'raw' AS variant, * FROM cg_raw
-  UNION ALL SELECT 'balanced' AS variant, * FROM cg_bal)"""
-    return with_ctes(cm, st, qt, sm, raw, bal, frames) + \
-        f"SELECT * FROM ({sql_outcome('cg_frames', ['cohort', 'variant'])}) z"
-
-
-def _value_band_edges() -> str:
-    cm = cohort_members("dt2")
-    ranked = """ce_r AS (
-  SELECT cohort, cust_value, row_number() OVER (PARTITION BY cohort ORDER BY cust_value) - 1 AS r,
-         count(*) OVER (PARTITION BY cohort) AS n
-  FROM cohort_members WHERE cust_value IS NOT NULL)"""
-    edges = """ce_e AS (
-  SELECT r.cohort, g.i, r.cust_value AS e FROM ce_r r JOIN generate_series(0, 10) AS g(i)
-    ON r.r = ((r.n - 1) * g.i) // 10)"""
-    banded = """ce_b AS (
-  SELECT m.cohort, CAST(1 + (SELECT count(*) FROM ce_e WHERE ce_e.cohort = m.cohort AND ce_e.i BETWEEN 1 AND 9
-                        AND m.cust_value > ce_e.e) AS INTEGER) AS band
-  FROM cohort_members m WHERE m.cust_value IS NOT NULL)"""
-    return with_ctes(cm, ranked, edges, banded) + """
-SELECT b.cohort, b.band, lo.e AS lo, hi.e AS hi, count(*) AS n
-FROM ce_b b JOIN ce_e lo ON lo.cohort = b.cohort AND lo.i = b.band - 1
-            JOIN ce_e hi ON hi.cohort = b.cohort AND hi.i = b.band
-GROUP BY b.cohort, b.band, lo.e, hi.e"""
-
-
-def _cohort_band_profile() -> str:
-    cm = cohort_members("dt2")
-    ranked = """cb_r AS (
-  SELECT cohort, cust_value, row_number() OVER (PARTITION BY cohort ORDER BY cust_value) - 1 AS r,
-         count(*) OVER (PARTITION BY cohort) AS n
-  FROM cohort_members WHERE cust_value IS NOT NULL)"""
-    edges = """cb_e AS (
-  SELECT r.cohort, g.i, r.cust_value AS e FROM cb_r r JOIN generate_series(0, 10) AS g(i)
-    ON r.r = ((r.n - 1) * g.i) // 10)"""
-    banded = """cb_m AS (
-  SELECT m.cohort, m.category, CASE WHEN m.cust_value IS NULL THEN NULL ELSE 1 + (
-           SELECT count(*) FROM cb_e WHERE cb_e.cohort = m.cohort AND cb_e.i BETWEEN 1 AND 9
-             AND m.cust_value > cb_e.e) END AS value_band_cohort
-  FROM cohort_members m)"""
-    return with_ctes(cm, ranked, edges, banded) + \
-        f"SELECT * FROM ({sql_categorical('cb_m', ['value_band_cohort'], keys=['cohort'])}) z"
-
-
-def _crosstab(src: str, scope: str) -> str:
-    return f"""
-SELECT CASE WHEN GROUPING(own_rev_y1_cat) = 1 THEN 'Total' ELSE own_rev_y1_cat END AS own_rev_y1_cat,
-       CASE WHEN GROUPING(own_rev_y2_cat) = 1 THEN 'Total' ELSE own_rev_y2_cat END AS own_rev_y2_cat,
-       count(*) AS n, {q(scope)} AS scope
-FROM {src} WHERE own_rev_y1_cat IS NOT NULL AND own_rev_y2_cat IS NOT NULL
-GROUP BY CUBE (own_rev_y1_cat, own_rev_y2_cat)"""
-
-
-_SEGMENTS = ["transactor_stage", "stage", "generation", "cust_type"]
-_COVERAGE = ["transactor_stage", "cust_type", "generation", "intent", "tier"]
+def parity() -> str:
+    """The plain summary, with overall shares as mean and SD of a share attached to every row."""
+    each = ", ".join(f"{share_sql(s)} AS {s}" for s in SHARES)
+    overall = " UNION ALL ".join(f"SELECT 'Overall' AS \"group\", '{s}' AS variable, avg({s}) AS m, stddev_samp({s}) AS s FROM attached" for s in SHARES)
+    return query('SELECT p."group", n_rows, p.variable, n, n_missing, round(COALESCE(o.m, p.mean), 6) AS mean, round(COALESCE(o.s, p.sd), 6) AS sd '
+                 'FROM plain p LEFT JOIN overall o ON o."group" = p."group" AND o.variable = p.variable',
+                 f"plain AS ({continuous('base')})", f"by_group AS (SELECT category, {each} FROM base GROUP BY category)",
+                 "attached AS (SELECT by_group.* FROM base JOIN by_group USING (category))", f"overall AS ({overall})")
+
+
+def categorical(src: str, columns, keys=(), by: str = "category") -> str:
+    k = "".join(f"{x}, " for x in keys)
+    counts = " UNION ALL ".join(
+        f"SELECT {k}'{c}' AS variable, CAST({c} AS VARCHAR) AS level, {label} AS \"group\", count(*) AS n FROM {src} GROUP BY ALL"
+        for c in columns for label in (f"CAST({by} AS VARCHAR)", "'Overall'"))
+    return f"""SELECT *, CASE WHEN level IS NOT NULL THEN CAST(100 AS DOUBLE) * n / sum(n) FILTER (WHERE level IS NOT NULL) OVER (PARTITION BY {k}variable, "group") END AS pct
+FROM ({counts})"""
+
+
+def report(src: str, keys=(), clamp: str = "false", shares: str | None = None) -> str:
+    """The ten rows, one SELECT per row and category."""
+    k = "".join(f"{x}, " for x in keys)
+    by = f"GROUP BY {', '.join(keys)}" if keys else ""
+    rows = []
+    for order, label, measure, _ in REPORT_ROWS:
+        head = f"SELECT {k}{order} AS row_order, {q(label)} AS row_label, "
+        if measure is None:
+            rows.append(f"{head}CAST(count(*) AS DOUBLE) AS Detractor, NULL::DOUBLE AS Passive, NULL::DOUBLE AS Promoter FROM {src} {by}")
+            continue
+        cells = []
+        for c in CATEGORIES:
+            if measure == "churn":
+                of = f"CAST(100 AS DOUBLE) * count(*) FILTER (WHERE churned = '{R.CHURNED}' AND category = '{c}') / nullif(count(*) FILTER (WHERE category = '{c}'), 0)"
+            elif measure in MEANS:
+                of = f"CAST(sum({measure}) FILTER (WHERE category = '{c}') AS DOUBLE) / nullif(count({measure}) FILTER (WHERE category = '{c}'), 0)"
+            elif shares:
+                of = f"CASE WHEN count(*) FILTER (WHERE category = '{c}') > 0 THEN (SELECT {measure} FROM {shares} s WHERE s.category = '{c}') END"
+            else:
+                num, den = (f"CAST(COALESCE(sum({x}) FILTER (WHERE category = '{c}'), 0) AS DOUBLE)" for x in SHARES[measure])
+                ratio = f"CAST(100 AS DOUBLE) * {num} / CASE WHEN {clamp} THEN GREATEST({den}, 1e-10::DOUBLE) WHEN {den} <> 0 THEN {den} ELSE 1e-10::DOUBLE END"
+                of = f"CASE WHEN count(*) FILTER (WHERE category = '{c}') > 0 THEN {ratio} END"
+            cells.append(f"{of} AS {c}")
+        rows.append(head + ", ".join(cells) + f" FROM {src} {by}")
+    return "\nUNION ALL ".join(rows)
+
+
+def text_report() -> str:
+    cells = []
+    for c in CATEGORIES:
+        number = f"printf('%.1f', {c})"
+        cells.append(f"CASE kind WHEN 'n' THEN COALESCE(CAST(CAST({c} AS BIGINT) AS VARCHAR), '') WHEN 'money' THEN '$' || {number} ELSE {number} || ' %' END AS {c}")
+    kinds = values("kinds", "row_order, kind", [(r[0], r[3]) for r in REPORT_ROWS])
+    return query(f"SELECT row_order, row_label, {', '.join(cells)} FROM rep JOIN kinds USING (row_order)", kinds, f"rep AS ({report('base')})")
+
+
+_DIAGNOSTICS = """SELECT b.category, count(*) AS available, count(s.party_id) AS sampled, CAST(100 AS DOUBLE) * count(s.party_id) / count(*) AS sampled_pct
+FROM banded b LEFT JOIN sample s ON s.party_id = b.party_id GROUP BY b.category"""
+
+
+def share_rows(src: str, clamp: str = "false") -> str:
+    return f"SELECT category, {', '.join(f'{share_sql(s, clamp)} AS {s}' for s in SHARES)} FROM {src} GROUP BY category"
+
+
+def frames(strata) -> tuple[str, ...]:
+    return (members("banded"), sample_of("members", strata, by=["cohort"], seed="seed"),
+            "frames AS (SELECT 'raw' AS variant, * FROM members UNION ALL SELECT 'balanced' AS variant, * FROM sample)")
+
+
+_BALANCED = "variant = 'balanced'"
+_COHORT_CUTS = """places AS (SELECT cohort, cust_value AS v, row_number() OVER (PARTITION BY cohort ORDER BY cust_value) - 1 AS r, count(*) OVER (PARTITION BY cohort) AS n FROM members),
+cohort_cuts AS (SELECT cohort, i, v FROM places JOIN range(0, 11) AS t(i) ON r = (n - 1) * i // 10),
+cohort_bands AS (SELECT m.*, CAST(1 + (SELECT count(*) FROM cohort_cuts c WHERE c.cohort = m.cohort AND i BETWEEN 1 AND 9 AND m.cust_value > c.v) AS INTEGER) AS band FROM members m)"""
+# the interpolated cut points come from DuckDB's own continuous quantile
+_CUT_POINTS = ("cut_points AS (SELECT cohort, i, round(quantile_cont(cust_value, [x / 10.0 for x in range(0, 11)])[i + 1], 3) - CASE WHEN i = 0 THEN 0.001 ELSE 0 END AS cut "
+               "FROM members, range(0, 11) AS t(i) GROUP BY cohort, i)")
+
+
+def crosstab(src: str, scope: str) -> str:
+    """Levels of both sides with their totals, each pair counted."""
+    side = lambda c, t: f"(SELECT DISTINCT {c} AS level, false AS total FROM {src} UNION ALL SELECT 'Total', true) {t}"
+    return f"""SELECT '{scope}' AS scope, r.level AS own_rev_y1_cat, c.level AS own_rev_y2_cat, r.total AS row_total, c.total AS col_total,
+  (SELECT count(*) FROM {src} x WHERE (r.total OR x.own_rev_y1_cat = r.level) AND (c.total OR x.own_rev_y2_cat = c.level)) AS n
+FROM {side('own_rev_y1_cat', 'r')}, {side('own_rev_y2_cat', 'c')}"""
+
+
+DECIMALS = {"own_rev_y2", "other_spend", "national_spend", "budget_spend", "foreign_spend", "total_spend_y2", "own_rev_y1", "total_spend_y1", "flight_rev_y2",
+            "flight_revenue_y2", "flight_rev_y1", "flight_revenue_y1", "flight_rev_displacement", "own_rev_diff", "total_spend_diff",
+            "flight_revenue_y1_raw", "flight_revenue_y2_raw"}
+
+
+def pick(columns, src: str = "population", digits: dict | None = None) -> str:
+    def one(c: str) -> str:
+        if c in (digits or {}):
+            return f"round({c}, {digits[c]}) AS {c}"
+        return f"CAST({c} AS DOUBLE) AS {c}" if c in DECIMALS else c
+
+    return query(f"SELECT {', '.join(map(one, columns.split()))} FROM {src}")
+
+
+_ALL = " ".join(["party_id survey_dt category delay_cat delay_mins disruption_ind transactor_stage tenure generation transactor_stage_label",
+                 "own_rev_y2 total_spend_y2 other_spend national_spend budget_spend foreign_spend own_share_pct customer_group match_ind own_rev_ind other_spend_ind",
+                 "national_ind budget_ind foreign_ind national_merchants budget_merchants foreign_merchants total_spend_band own_share_band total_spend_tier",
+                 "own_share_tier own_rev_y1 total_spend_y1 flight_rev_y1 flight_revenue_y1 total_revenue_y1 flight_value_y1 currency_rev_y1 cust_type member_ind",
+                 "tier_code no_of_trips channel_type cust_tenure cust_value currency_value intent rpm flight_rev_displacement home_location stage tier",
+                 "travel_frequency flight_rev_y2 flight_revenue_y2 total_revenue_y2 flight_value_y2 currency_rev_y2 age_band"])
+_REF, _SEG = sample_of("banded", REF_STRATA), sample_of("banded", SEGMENT_STRATA)
+_SIX = {"own_share_pct": 6, "own_rev_log": 6, "total_spend_log": 6}
 
 ORACLE_SQL: dict[str, str] = {
-    "latest_survey": with_ctes() + "SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM latest",
-    "population_joined": _pop(_out_cols(POP_COLS)),
-    "revenue_rollups": _pop(_out_cols([
-        "party_id", "flight_rev_y1", "flight_rev_y2", "flight_revenue_y1", "flight_revenue_y2",
-        "total_revenue_y1", "total_revenue_y2", "currency_rev_y1", "currency_rev_y2", "rpm",
-        "flight_rev_displacement"])),
-    "recode_stage": _pop("party_id, transactor_stage, transactor_stage_label, cust_type, stage"),
-    "recode_location": _pop("party_id, home_location"),
-    "recode_tier": _pop("party_id, member_ind, tier_code, tier"),
-    "age_band": _pop("party_id, age_band"),
-    "travel_frequency": _pop("party_id, rpm, no_of_trips, travel_frequency"),
-    "match_flag": with_ctes() + "SELECT party_id, match_flag FROM dt1",
-    "log_spend": with_ctes() + "SELECT party_id, round(own_rev_log, 9) AS own_rev_log, "
-                               "round(total_spend_log, 9) AS total_spend_log FROM dt1",
-    "sign_category": with_ctes() + "SELECT party_id, own_rev_y2_cat, own_rev_y1_cat FROM dt1",
-    "churn_and_yoy": with_ctes() + "SELECT " + _out_cols([
-        "party_id", "category", "zero_flag", "own_rev_y2", "own_rev_y2_cat2", "churned",
-        "own_rev_diff", "total_spend_diff", "flight_revenue_y1_raw", "flight_revenue_y1"]).replace(
-        "flight_revenue_y1_raw,", "CAST(flight_revenue_y1_raw AS DOUBLE) AS flight_revenue_y1_raw,") + " FROM dt2",
-    "spend_share_signed": with_ctes() + _share_on("base0", "epsilon"),
-    "spend_share_clamped": with_ctes() + _share_on("base0", "clamp"),
-    "crosstab_margins": with_ctes() + _crosstab("dt1", "population") + "\nUNION ALL\n" + _crosstab("base0", "base"),
-    "match_rate_by_segment": with_ctes() + "SELECT segment, level, count(*) AS n, CAST(sum(match_flag) AS BIGINT) AS matched, "
-        "CAST(sum(match_flag) AS DOUBLE) / count(*) AS match_rate FROM (" + " UNION ALL ".join(
-            f"SELECT {q(c)} AS segment, CAST({c} AS VARCHAR) AS level, match_flag FROM dt1" for c in _SEGMENTS)
-        + ") t GROUP BY segment, level",
-    "coverage_profile": with_ctes("dt1m AS (SELECT *, CAST(match_flag AS VARCHAR) AS match_group FROM dt1)")
-        + f"SELECT *, 'match_flag' AS by_var FROM ({sql_categorical('dt1m', _COVERAGE, by='match_group')}) x "
-        + f"UNION ALL SELECT *, 'category' AS by_var FROM ({sql_categorical('dt1', _COVERAGE)}) y",
-    "value_band": with_ctes() + "SELECT party_id, cust_value, value_band FROM dtb",
-    "value_band_edges": _value_band_edges(),
-    "cohort_band_profile": _cohort_band_profile(),
-    "stratum_shares": with_ctes(sql_stratum_shares("ss", "dtb", REF_STRATA))
-        + "SELECT * REPLACE (round(adjustp, 9) AS adjustp) FROM ss",
-    "balance_quota": with_ctes(sql_stratum_shares("ss", "dtb", REF_STRATA), sql_quota("qq", "ss", REF_STRATA))
-        + "SELECT * FROM qq",
-    "balanced_sample": with_ctes(*_SUMMARY_SRC_BAL)
-        + f"SELECT party_id, category, {_cols(REF_STRATA)} FROM bs",
-    "balanced_sample_by_segment": with_ctes(*_SEG_SRC_BAL)
-        + f"SELECT party_id, category, {_cols(SEGMENT_STRATA)} FROM sg",
-    "balance_diagnostics": with_ctes(*_SUMMARY_SRC_BAL) + "SELECT * FROM (" + "WITH " + _balanced_diag("bs").strip() + ") z",
-    "balance_diagnostics_by_segment": with_ctes(*_SEG_SRC_BAL) + "SELECT * FROM (" + "WITH " + _balanced_diag("sg").strip() + ") z",
-    "spend_share_balanced": with_ctes(*_SUMMARY_SRC_BAL) + _share_on("bs", "clamp"),
-    "spend_share_balanced_by_segment": with_ctes(*_SEG_SRC_BAL) + _share_on("sg", "clamp"),
-    "group_summary_continuous": with_ctes() + f"SELECT * FROM ({sql_continuous('dt2')}) z",
-    "group_summary_categorical": with_ctes() + f"SELECT * FROM ({sql_categorical('dt2', CATEGORICAL)}) z",
-    "outcome_report": with_ctes() + f"SELECT * FROM ({sql_outcome('dt2')}) z",
-    "cohort_grid": _cohort_grid(),
+    "latest_survey": query("SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM latest"),
+    "population_joined": pick(_ALL, digits={"own_share_pct": 6}),
+    "revenue_rollups": pick("party_id flight_rev_y1 flight_rev_y2 flight_revenue_y1 flight_revenue_y2 total_revenue_y1 total_revenue_y2 currency_rev_y1 currency_rev_y2 "
+                            "rpm flight_rev_displacement"),
+    "recode_stage": pick("party_id transactor_stage transactor_stage_label cust_type stage"),
+    "recode_location": pick("party_id home_location"),
+    "recode_tier": pick("party_id member_ind tier_code tier"),
+    "age_band": pick("party_id age_band"),
+    "travel_frequency": pick("party_id rpm no_of_trips travel_frequency"),
+    "match_flag": pick("party_id match_flag", "people"),
+    "log_spend": pick("party_id own_rev_log total_spend_log", "people", {"own_rev_log": 9, "total_spend_log": 9}),
+    "sign_category": pick("party_id own_rev_y2_cat own_rev_y1_cat", "people"),
+    "churn_and_yoy": pick("party_id category zero_flag own_rev_y2 own_rev_y2_cat2 churned own_rev_diff total_spend_diff flight_revenue_y1_raw flight_revenue_y1", "base"),
+    "filled_base": pick(" ".join(["party_id", *FILL_ZERO, "flight_revenue_y1_raw flight_revenue_y2_raw"]), "base", _SIX),
+    "spend_share_signed": query(share_rows("kept")),
+    "spend_share_clamped": query(share_rows("kept", "true")),
+    "crosstab_margins": query(crosstab("people", "population") + "\nUNION ALL " + crosstab("kept", "base")),
+    "match_rate_by_segment": query(" UNION ALL ".join(
+        f"SELECT '{c}' AS segment, CAST({c} AS VARCHAR) AS level, count(*) AS n, CAST(sum(match_flag) AS BIGINT) AS matched, CAST(sum(match_flag) AS DOUBLE) / count(*) AS match_rate "
+        f"FROM people GROUP BY {c}" for c in SEGMENTS)),
+    "coverage_profile": query(" UNION ALL ".join(f"SELECT *, '{by}' AS by_var FROM ({categorical('people', COVERAGE, by=by)})" for by in ("match_flag", "category"))),
+    "value_band": query("SELECT party_id, cust_value, value_band FROM banded"),
+    "value_band_edges": query("SELECT b.cohort, b.band, lo.v AS lo, hi.v AS hi, count(*) AS n FROM cohort_bands b JOIN cohort_cuts lo ON lo.cohort = b.cohort AND lo.i = b.band - 1 "
+                              "JOIN cohort_cuts hi ON hi.cohort = b.cohort AND hi.i = b.band GROUP BY ALL", members("base"), _COHORT_CUTS),
+    "value_band_intervals": query("SELECT b.cohort, b.band, round(lo.cut, 3) AS lo, hi.cut AS hi, '(' || round(lo.cut, 3) || ', ' || hi.cut || ']' AS label, count(*) AS n "
+                                  "FROM cohort_bands b JOIN cut_points lo ON lo.cohort = b.cohort AND lo.i = b.band - 1 "
+                                  "JOIN cut_points hi ON hi.cohort = b.cohort AND hi.i = b.band GROUP BY ALL", members("base"), _COHORT_CUTS, _CUT_POINTS),
+    "cohort_band_profile": query(f"SELECT * FROM ({categorical('renamed', ['value_band_cohort'], keys=['cohort'])})", members("base"), _COHORT_CUTS,
+                                 "renamed AS (SELECT *, band AS value_band_cohort FROM cohort_bands)"),
+    "stratum_shares": query("SELECT *, round(CASE WHEN sum(least_share) OVER () > 0 THEN least_share / sum(least_share) OVER () END, 9) AS least_share_norm FROM strata_shares",
+                            shares_of("banded", REF_STRATA)),
+    "balance_quota": query("SELECT * FROM quotas", shares_of("banded", REF_STRATA), quotas_of(REF_STRATA)),
+    "balance_quota_exact": query("SELECT * FROM quotas", shares_of("banded", SEGMENT_STRATA), quotas_of(SEGMENT_STRATA, exact=True)),
+    "balanced_sample": query(f"SELECT party_id, category, {', '.join(REF_STRATA)} FROM sample", _REF),
+    "balanced_sample_by_segment": query(f"SELECT party_id, category, {', '.join(SEGMENT_STRATA)} FROM sample", _SEG),
+    "balance_diagnostics": query(_DIAGNOSTICS, _REF),
+    "balance_diagnostics_by_segment": query(_DIAGNOSTICS, _SEG),
+    "spend_share_balanced": query(share_rows("sample", "true"), _REF),
+    "spend_share_balanced_by_segment": query(share_rows("sample", "true"), _SEG),
+    "group_summary_continuous": query(continuous("base")),
+    "group_summary_parity": parity(),
+    "group_summary_categorical": query(categorical("base", CATEGORICAL)),
+    "cohort_summary": query(continuous("frames", ["cohort", "variant"], _BALANCED), *frames(SEGMENT_STRATA)),
+    "cohort_summary_categorical": query(categorical("frames", CATEGORICAL, ["cohort", "variant"]), *frames(SEGMENT_STRATA)),
+    "outcome_report": query(report("base")),
+    "outcome_report_text": text_report(),
+    "cohort_grid": query(report("frames", ["cohort", "variant"], _BALANCED), *frames(REF_STRATA)),
+    "cohort_grid_by_segment": query(report("frames", ["cohort", "variant"], _BALANCED), *frames(SEGMENT_STRATA)),
+    "cohort_grid_base_share": query(report("members", ["cohort"], shares="whole"), members("base"), f"whole AS ({share_rows('base')})"),
 }

@@ -1,9 +1,9 @@
 """Cohort grid: {6 m, 3 m, 1 m, one stage} x {raw, balanced} in one plan.
 
 Instead of eight separate reports (eight scans, eight balancings), each base
-row is tagged with the cohorts it belongs to and exploded once; balancing,
-shares and summaries are then grouped by cohort, so every step is one
-aggregate or one window over all cohorts together.
+row is tagged with the cohorts it belongs to and exploded once; balancing and
+summaries are then grouped by cohort, so every step is one aggregate over all
+cohorts together.
 """
 
 from __future__ import annotations
@@ -15,13 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.recodes import stage_label
-from spendlens.operators.balance import balance
-from spendlens.operators.share import with_group_share
-from spendlens.plans.derive import SHARE_SPECS
+from spendlens.functions.numeric import safe_ratio_pct
+from spendlens.operators.balance import mark_sample
 
 # The balancing strata of the analysed workload
 REF_STRATA = ["value_band", "stage", "age_band", "intent", "tenure"]
+RAW, BALANCED = "raw", "balanced"
 
 
 @dataclass(frozen=True)
@@ -43,16 +42,7 @@ class Cohort:
         return c
 
 
-# Cohorts and their sampling seeds
-DEFAULT_COHORTS = [
-    Cohort("6m", 88),
-    Cohort("3m", 77, dt.date(2000, 4, 1), dt.date(2000, 6, 30)),
-    Cohort("1m", 88, dt.date(2000, 6, 1), dt.date(2000, 6, 30)),
-    Cohort("stage2", 88, stage=stage_label("2_FLIGHT_EARN_ONLY")),
-]
-
-
-def explode_cohorts(df: DataFrame, cohorts: Sequence[Cohort] = DEFAULT_COHORTS) -> DataFrame:
+def explode_cohorts(df: DataFrame, cohorts: Sequence[Cohort]) -> DataFrame:
     """One row per (cohort, member row) with columns cohort and seed (narrow, no shuffle)."""
     tags = F.array(*[F.when(c.condition(), F.struct(F.lit(c.name).alias("cohort"),
                                                      F.lit(c.seed).alias("seed")))
@@ -61,20 +51,16 @@ def explode_cohorts(df: DataFrame, cohorts: Sequence[Cohort] = DEFAULT_COHORTS)
             .select("_c.cohort", "_c.seed", *df.columns))
 
 
-def cohort_frames(base: DataFrame, cohorts: Sequence[Cohort] = DEFAULT_COHORTS,
-                  strata: Sequence[str] = REF_STRATA, share_scope: str = "cohort",
-                  quota: str = "double") -> DataFrame:
-    """Raw and balanced members of every cohort, with shares, tagged by variant.
+def cohort_frames(base: DataFrame, cohorts: Sequence[Cohort], strata: Sequence[str] = REF_STRATA, quota: str = "double") -> DataFrame:
+    """Raw and balanced members of every cohort, tagged by ``variant``.
 
-    Raw shares are recomputed per cohort (signed), or kept from the base
-    with ``share_scope='base'``; balanced shares are recomputed on the
-    sample (clamped).
+    A member is one row; it is doubled (narrow) where it is in the sample.
     """
-    ex = explode_cohorts(base, cohorts)
-    raw = with_group_share(ex, SHARE_SPECS, ["cohort", "category"], "epsilon") \
-        if share_scope == "cohort" else ex
-    bal = balance(ex, strata, by=["cohort"], seed=F.col("seed"), quota=quota)
-    bal = with_group_share(bal, SHARE_SPECS, ["cohort", "category"], "clamp")
-    cols = ex.columns
-    return (raw.select(*cols).withColumn("variant", F.lit("raw"))
-            .unionByName(bal.select(*cols).withColumn("variant", F.lit("balanced"))))
+    marked = mark_sample(explode_cohorts(base, cohorts), strata, by=["cohort"], seed=F.col("seed"), quota=quota, mark="_in")
+    variants = F.array_compact(F.array(F.lit(RAW), F.when(F.col("_in"), F.lit(BALANCED))))
+    return marked.withColumn("variant", F.explode(variants)).drop("_in")
+
+
+def variant_share(num: Column, den: Column) -> Column:
+    """Shares of raw cohorts are signed, those of balanced ones clamped."""
+    return F.when(F.col("variant") == BALANCED, safe_ratio_pct(num, den, "clamp")).otherwise(safe_ratio_pct(num, den, "epsilon"))

@@ -1,19 +1,17 @@
-"""Derivations on the pulled population (all narrow column expressions).
+"""Derivations on the pulled population: narrow column expressions, no shuffle.
 
-population -> derive_population (match flag, logs, sign categories)
-           -> derive_base (first-year and customer-value filters, shares,
-              zero flag, fill, churn, year-on-year differences)
+population -> profile (people with a category; match flag, logs, sign categories)
+           -> analysis_base (first-year and customer-value filters, zero flag,
+              fill, churn, year-on-year differences)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.functions import recodes as R
 from spendlens.functions.numeric import guarded_log10, sign_category
-from spendlens.operators.share import with_group_share
-from spendlens.session import materialize
 
 # The columns filled with 0 after the filters (a person in year
 # 1 but absent in year 2 counts as churned); first-year total spend is not
@@ -24,54 +22,53 @@ FILL_ZERO = [
     "flight_revenue_y2", "currency_rev_y1", "currency_rev_y2",
 ]
 
+#: shares: numerator, denominator, name
 SHARE_SPECS = [
     ("own_rev_y2", "total_spend_y2", "spend_share_y2"),
     ("own_rev_y1", "total_spend_y1", "spend_share_y1"),
 ]
 
 
-def derive_population(pop: DataFrame, log_parity: bool = False) -> DataFrame:
-    """Row-level flags on the whole pull (no shuffle)."""
-    return pop.withColumns({
-        "match_flag": F.col("own_rev_y2").isNotNull().cast("int"),
-        "own_rev_log": guarded_log10(F.col("own_rev_y2"), zero_to_zero=True),
-        "total_spend_log": guarded_log10(F.col("total_spend_y2"), zero_to_zero=False,
-                                         parity=log_parity),
-        "own_rev_y2_cat": sign_category(F.col("own_rev_y2")),
-        "own_rev_y1_cat": sign_category(F.col("own_rev_y1")),
-    })
+def profile(pop: DataFrame, log_parity: bool = False) -> DataFrame:
+    """People with a category and their row-level flags.
 
+    A person whose latest survey has no category drops out here (after the
+    deduplication, so an earlier survey does not take its place).  Flags
+    whose columns were not pulled are left out.
+    """
+    flags = {
+        "match_flag": ("own_rev_y2", lambda c: c.isNotNull().cast("int")),
+        "own_rev_log": ("own_rev_y2", lambda c: guarded_log10(c, zero_to_zero=True)),
+        "total_spend_log": ("total_spend_y2", lambda c: guarded_log10(c, zero_to_zero=False, parity=log_parity)),
+        "own_rev_y2_cat": ("own_rev_y2", sign_category),
+        "own_rev_y1_cat": ("own_rev_y1", sign_category),
+    }
+    return pop.where(F.col("category").isNotNull()).withColumns(
+        {name: of(F.col(c)) for name, (c, of) in flags.items() if c in pop.columns})
 
-def fill_zero(df: DataFrame, cols=FILL_ZERO) -> DataFrame:
-    types = dict(df.dtypes)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in cols})
 
+def in_base() -> Column:
+    """The analysis base: a first-year spend record and a customer value."""
+    return F.col("own_rev_y1").isNotNull() & F.col("cust_value").isNotNull()
 
-def derive_base(dt1: DataFrame, share_mode: str = "epsilon",
-                materialize_mode: str | None = None) -> DataFrame:
-    """The analysis base: people with a first-year record and a customer value.
 
-    Order matters: shares are taken before the fill (sums skip nulls, so it
-    is the same either way); the zero flag and raw copies precede the fill;
-    the churn label follows it.  Null categories drop out with the share
-    grouping, as in the analysed workload.
+def fill_zero(df: DataFrame, cols=tuple(FILL_ZERO)) -> DataFrame:
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in cols if c in types})
 
-    ``materialize_mode`` (e.g. ``'table'``) writes the filtered people once
-    before the share step, so the share aggregate and every later consumer
-    read that table instead of recomputing the population joins.
+
+def analysis_base(people: DataFrame) -> DataFrame:
+    """People of the base, filled, with churn label and year-on-year differences.
+
+    Order matters: the zero flag and the raw copies precede the fill, the churn
+    label follows it.  Shares are ratios of sums that skip nulls, so they are
+    the same before and after the fill; reports compute them as measures.
     """
-    dt2 = dt1.where(F.col("own_rev_y1").isNotNull() & F.col("cust_value").isNotNull())
-    if materialize_mode:
-        dt2 = materialize(dt2, materialize_mode)
-    dt2 = with_group_share(dt2, SHARE_SPECS, ["category"], share_mode)
-    dt2 = dt2.withColumns({
-        "zero_flag": F.coalesce(F.col("own_rev_y2") == 0, F.lit(False)).cast("int"),
-        "flight_revenue_y1_raw": F.col("flight_revenue_y1"),
-        "flight_revenue_y2_raw": F.col("flight_revenue_y2"),
-    })
-    dt2 = fill_zero(dt2)
-    dt2 = dt2.withColumn("own_rev_y2_cat2", sign_category(F.col("own_rev_y2")))
-    return dt2.withColumns({
+    base = people.where(in_base())
+    raw = {f"{c}_raw": F.col(c) for c in ("flight_revenue_y1", "flight_revenue_y2") if c in base.columns}
+    base = fill_zero(base.withColumns({"zero_flag": F.coalesce(F.col("own_rev_y2") == 0, F.lit(False)).cast("int"), **raw}))
+    base = base.withColumn("own_rev_y2_cat2", sign_category(F.col("own_rev_y2")))
+    return base.withColumns({
         "churned": R.churn_label(F.col("own_rev_y2_cat2")),
         "own_rev_diff": F.col("own_rev_y2") - F.col("own_rev_y1"),
         "total_spend_diff": F.col("total_spend_y2") - F.col("total_spend_y1"),

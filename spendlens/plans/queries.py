@@ -1,64 +1,77 @@
 """Named queries over the driver tables: (spark, sf_dir) -> DataFrame.
 
-Every query reads the whole tables through the binding.  Decimal outputs are
-cast to double at the end (exact totals convert to the same double in any
-engine), so results compare bit for bit with the SQL oracles.
+Every query pulls the columns it needs over the whole tables.  Decimal outputs
+are cast to double at the end (exact totals convert to the same double in any
+engine), float-derived ones are rounded here, so results compare bit for bit
+with the SQL oracles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.operators.balance import (balance, balance_diagnostics, balance_quota,
-                                         stratum_shares)
+from spendlens.operators.attach import attach
+from spendlens.operators.balance import balance, balance_diagnostics, balance_quota, mark_sample, stratum_shares
 from spendlens.operators.crosstab import crosstab_margins
-from spendlens.operators.quantile_bands import (exact_quantile_edges, grouped_band_expr,
-                                                with_value_band)
+from spendlens.operators.quantile_bands import exact_quantile_edges, grouped_band_expr, interval_rows, with_value_band
 from spendlens.operators.share import group_share
-from spendlens.operators.summary import summarize_categorical, summarize_continuous
-from spendlens.plans.cohorts import DEFAULT_COHORTS, REF_STRATA, cohort_frames, explode_cohorts
-from spendlens.plans.derive import SHARE_SPECS, derive_base, derive_population
+from spendlens.operators.summary import level_counts, summarize_categorical, summarize_continuous, summarize_levels
+from spendlens.plans.cohorts import REF_STRATA, cohort_frames, explode_cohorts, variant_share
+from spendlens.plans.derive import SHARE_SPECS, analysis_base, in_base, profile
 from spendlens.plans.population import build_population, latest_survey
-from spendlens.plans.report import CATEGORICAL, CONTINUOUS, outcome_report
-from spendlens.session import materialize
-from spendlens.sources.tpch_binding import Binding, bind_tables
+from spendlens.plans.report import CATEGORICAL, MEANS, base_shares, format_report, outcome_report
+from spendlens.session import reused
+from spendlens.sources.tpch_binding import COHORTS, LABELS, Binding, BoundTables
 
 BINDING = Binding()
 SEED = 88
 SEGMENTS = ["transactor_stage", "stage", "generation", "cust_type"]
 COVERAGE = ["transactor_stage", "cust_type", "generation", "intent", "tier"]
 SEGMENT_STRATA = ["value_band", "stage"]
+SPEND = ["own_rev_y1", "own_rev_y2", "total_spend_y1", "total_spend_y2"]
+REPORTED = [*MEANS, "churned", "own_rev_y1_cat"]
 
 
 def out(df: DataFrame) -> DataFrame:
     """Decimals to double for output."""
-    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
-                       for c, t in df.dtypes])
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
-def tables(spark, sf_dir):
-    return bind_tables(spark, sf_dir, BINDING)
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def population(spark, sf_dir) -> DataFrame:
-    return build_population(tables(spark, sf_dir), BINDING.survey_start, BINDING.survey_end)
+def tables(spark, sf_dir) -> BoundTables:
+    return BoundTables(spark, sf_dir, BINDING)
 
 
-def dt1(spark, sf_dir) -> DataFrame:
-    return derive_population(population(spark, sf_dir))
+def population(spark, sf_dir, columns: Sequence[str] | None = None) -> DataFrame:
+    return build_population(tables(spark, sf_dir), BINDING.survey_start, BINDING.survey_end, LABELS, columns)
 
 
-def dt2(spark, sf_dir, materialized: bool = True) -> DataFrame:
-    """The analysis base; ``materialized`` writes the filtered people once
-    (before the share step) for queries that read the base several times."""
-    return derive_base(dt1(spark, sf_dir), materialize_mode="table" if materialized else None)
+def people(spark, sf_dir, columns: Sequence[str]) -> DataFrame:
+    return profile(population(spark, sf_dir, ["category", *columns]))
 
 
-def banded_base(spark, sf_dir) -> DataFrame:
-    return with_value_band(dt2(spark, sf_dir), "cust_value", "value_band")
+def base(spark, sf_dir, columns: Sequence[str] = ()) -> DataFrame:
+    return analysis_base(people(spark, sf_dir, [*SPEND, "cust_value", *columns]))
+
+
+def narrow_base(spark, sf_dir, columns: Sequence[str] = ()) -> DataFrame:
+    """What the steps that read the base several times need of it."""
+    return reused(base(spark, sf_dir, columns).select("party_id", "category", "cust_value", *REPORTED, *columns))
+
+
+def banded_base(spark, sf_dir, strata: Sequence[str] = REF_STRATA, columns: Sequence[str] = ()) -> DataFrame:
+    pulled = dict.fromkeys([*[s for s in strata if s != "value_band"], *columns])
+    return with_value_band(narrow_base(spark, sf_dir, list(pulled)), "cust_value", "value_band")
+
+
+def grid_frames(spark, sf_dir, strata: Sequence[str] = REF_STRATA) -> DataFrame:
+    return cohort_frames(banded_base(spark, sf_dir, strata, ["survey_dt", "stage"]), COHORTS, strata)
 
 
 # ---------------------------------------------------------------------------
@@ -69,158 +82,160 @@ def q_latest_survey(spark, sf_dir):
 
 
 def q_population_joined(spark, sf_dir):
-    return out(population(spark, sf_dir))
+    return rounded(out(population(spark, sf_dir)), "own_share_pct")
 
 
 def q_revenue_rollups(spark, sf_dir):
-    return out(population(spark, sf_dir).select(
-        "party_id", "flight_rev_y1", "flight_rev_y2", "flight_revenue_y1", "flight_revenue_y2",
-        "total_revenue_y1", "total_revenue_y2", "currency_rev_y1", "currency_rev_y2", "rpm",
-        "flight_rev_displacement"))
+    return out(population(spark, sf_dir, [
+        "flight_rev_y1", "flight_rev_y2", "flight_revenue_y1", "flight_revenue_y2", "total_revenue_y1", "total_revenue_y2",
+        "currency_rev_y1", "currency_rev_y2", "rpm", "flight_rev_displacement"]))
 
 
 def q_recode_stage(spark, sf_dir):
-    return population(spark, sf_dir).select("party_id", "transactor_stage", "transactor_stage_label",
-                                            "cust_type", "stage")
+    return population(spark, sf_dir, ["transactor_stage", "transactor_stage_label", "cust_type", "stage"])
 
 
 def q_recode_location(spark, sf_dir):
-    return population(spark, sf_dir).select("party_id", "home_location")
+    return population(spark, sf_dir, ["home_location"])
 
 
 def q_recode_tier(spark, sf_dir):
-    return population(spark, sf_dir).select("party_id", "member_ind", "tier_code", "tier")
+    return population(spark, sf_dir, ["member_ind", "tier_code", "tier"])
 
 
 def q_age_band(spark, sf_dir):
-    return population(spark, sf_dir).select("party_id", "age_band")
+    return population(spark, sf_dir, ["age_band"])
 
 
 def q_travel_frequency(spark, sf_dir):
-    return population(spark, sf_dir).select("party_id", "rpm", "no_of_trips", "travel_frequency")
+    return population(spark, sf_dir, ["rpm", "no_of_trips", "travel_frequency"])
 
 
 def q_match_flag(spark, sf_dir):
-    return dt1(spark, sf_dir).select("party_id", "match_flag")
+    return people(spark, sf_dir, ["own_rev_y2"]).select("party_id", "match_flag")
 
 
 def q_log_spend(spark, sf_dir):
-    return dt1(spark, sf_dir).select("party_id", F.round("own_rev_log", 9).alias("own_rev_log"),
-                                     F.round("total_spend_log", 9).alias("total_spend_log"))
+    logs = people(spark, sf_dir, ["own_rev_y2", "total_spend_y2"]).select("party_id", "own_rev_log", "total_spend_log")
+    return rounded(logs, "own_rev_log", "total_spend_log", digits=9)
 
 
 def q_sign_category(spark, sf_dir):
-    return dt1(spark, sf_dir).select("party_id", "own_rev_y2_cat", "own_rev_y1_cat")
+    return people(spark, sf_dir, ["own_rev_y2", "own_rev_y1"]).select("party_id", "own_rev_y2_cat", "own_rev_y1_cat")
 
 
 def q_churn_and_yoy(spark, sf_dir):
-    return out(dt2(spark, sf_dir, materialized=False).select(
+    return out(base(spark, sf_dir, ["flight_revenue_y1"]).select(
         "party_id", "category", "zero_flag", "own_rev_y2", "own_rev_y2_cat2", "churned",
         "own_rev_diff", "total_spend_diff", "flight_revenue_y1_raw", "flight_revenue_y1"))
 
 
-def _base_pre_share(spark, sf_dir):
-    d = dt1(spark, sf_dir)
-    return d.where(F.col("own_rev_y1").isNotNull() & F.col("cust_value").isNotNull())
+def q_filled_base(spark, sf_dir):
+    """Every column that the fill touches, after it, with the copies taken before it."""
+    filled = ["own_share_pct", "other_spend", "flight_rev_y1", "flight_rev_y2", "flight_revenue_y1", "flight_revenue_y2", "currency_rev_y1", "currency_rev_y2"]
+    b = base(spark, sf_dir, filled).select("party_id", "own_rev_y2", "total_spend_y2", "own_rev_log", "total_spend_log", *filled,
+                                           "flight_revenue_y1_raw", "flight_revenue_y2_raw")
+    return rounded(out(b), "own_share_pct", "own_rev_log", "total_spend_log")
+
+
+def _in_base(spark, sf_dir):
+    return people(spark, sf_dir, [*SPEND, "cust_value"]).where(in_base())
 
 
 def q_spend_share_signed(spark, sf_dir):
-    return group_share(_base_pre_share(spark, sf_dir), SHARE_SPECS, ["category"], "epsilon")
+    return group_share(_in_base(spark, sf_dir), SHARE_SPECS, ["category"], "epsilon")
 
 
 def q_spend_share_clamped(spark, sf_dir):
-    return group_share(_base_pre_share(spark, sf_dir), SHARE_SPECS, ["category"], "clamp")
+    return group_share(_in_base(spark, sf_dir), SHARE_SPECS, ["category"], "clamp")
 
 
 def q_crosstab_margins(spark, sf_dir):
-    d1 = dt1(spark, sf_dir)
-    d2 = d1.where(F.col("own_rev_y1").isNotNull() & F.col("cust_value").isNotNull())
-    a = crosstab_margins(d1, "own_rev_y1_cat", "own_rev_y2_cat").withColumn("scope", F.lit("population"))
-    b = crosstab_margins(d2, "own_rev_y1_cat", "own_rev_y2_cat").withColumn("scope", F.lit("base"))
-    return a.unionByName(b)
+    who = people(spark, sf_dir, ["own_rev_y1", "own_rev_y2", "cust_value"])
+    scopes = F.array_compact(F.array(F.lit("population"), F.when(in_base(), F.lit("base"))))
+    return crosstab_margins(who.withColumn("scope", F.explode(scopes)), "own_rev_y1_cat", "own_rev_y2_cat", keys=["scope"])
 
 
 def q_match_rate_by_segment(spark, sf_dir):
-    d = dt1(spark, sf_dir)
-    recs = F.array(*[F.struct(F.lit(c).alias("segment"), F.col(c).cast("string").alias("level"))
-                     for c in SEGMENTS])
-    long = d.select("match_flag", F.explode(recs).alias("_r")).select("_r.*", "match_flag")
-    return long.groupBy("segment", "level").agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
-        F.sum("match_flag").cast("long").alias("matched"),
-        (F.sum("match_flag").cast("double") / F.count(F.lit(1))).alias("match_rate"))
+    who = people(spark, sf_dir, ["own_rev_y2", *SEGMENTS])
+    counts = who.groupBy(*SEGMENTS).agg(F.count(F.lit(1)).alias("n"), F.sum("match_flag").alias("matched"))
+    each = F.array(*[F.struct(F.lit(c).alias("segment"), F.col(c).cast("string").alias("level")) for c in SEGMENTS])
+    long = counts.select("n", "matched", F.explode(each).alias("r")).groupBy("r.segment", "r.level").agg(
+        F.sum("n").cast("long").alias("n"), F.sum("matched").cast("long").alias("matched"))
+    return long.withColumn("match_rate", F.col("matched").cast("double") / F.col("n"))
 
 
 def q_coverage_profile(spark, sf_dir):
-    d = dt1(spark, sf_dir).withColumn("match_group", F.col("match_flag").cast("string"))
-    a = summarize_categorical(d, COVERAGE, by="match_group").withColumn("by_var", F.lit("match_flag"))
-    b = summarize_categorical(d, COVERAGE, by="category").withColumn("by_var", F.lit("category"))
-    return a.unionByName(b)
+    who = people(spark, sf_dir, ["own_rev_y2", *COVERAGE])
+    counts = level_counts(who, COVERAGE, ["match_flag", "category"])
+    parts = [summarize_levels(counts, COVERAGE, by).withColumn("by_var", F.lit(by)) for by in ("match_flag", "category")]
+    return parts[0].unionByName(parts[1])
 
 
 def q_value_band(spark, sf_dir):
-    return banded_base(spark, sf_dir).select("party_id", "cust_value", "value_band")
+    return with_value_band(reused(base(spark, sf_dir).select("party_id", "cust_value")), "cust_value")
+
+
+def _cohort_bands(spark, sf_dir, columns: Sequence[str] = ()):
+    members = reused(base(spark, sf_dir, ["survey_dt", "stage"]).select("cust_value", "survey_dt", "stage", *columns))
+    members = explode_cohorts(members, COHORTS)
+    edges = exact_quantile_edges(members, "cust_value", 10, by="cohort")
+    return members.withColumn("band", grouped_band_expr(F.col("cust_value"), F.col("cohort"), edges)), edges
 
 
 def q_value_band_edges(spark, sf_dir):
-    ex = explode_cohorts(dt2(spark, sf_dir), DEFAULT_COHORTS)
-    edges = exact_quantile_edges(ex, "cust_value", 10, by="cohort")
-    band = grouped_band_expr(F.col("cust_value"), F.col("cohort"), edges)
-    counts = ex.withColumn("band", band).groupBy("cohort", "band").agg(
-        F.count(F.lit(1)).cast("long").alias("n"))
-    lo, hi = None, None
-    for grp, e in edges.items():
-        arr = F.array(*[F.lit(float(v)) for v in e])
-        c = F.col("cohort") == F.lit(grp)
-        lo = F.when(c, F.element_at(arr, F.col("band"))) if lo is None else \
-            lo.when(c, F.element_at(arr, F.col("band")))
-        hi = F.when(c, F.element_at(arr, F.col("band") + 1)) if hi is None else \
-            hi.when(c, F.element_at(arr, F.col("band") + 1))
-    return counts.select("cohort", "band", lo.alias("lo"), hi.alias("hi"), "n")
+    members, edges = _cohort_bands(spark, sf_dir)
+    counts = members.where("band IS NOT NULL").groupBy("cohort", "band").agg(F.count(F.lit(1)).alias("n"))
+    rows = [(g, k + 1, float(lo), float(hi)) for g, e in edges.items() for k, (lo, hi) in enumerate(zip(e, e[1:], strict=False))]
+    bounds = spark.createDataFrame(rows, "cohort string, band int, lo double, hi double")
+    return attach(counts, bounds, ["cohort", "band"]).select("cohort", "band", "lo", "hi", "n")
+
+
+def q_value_band_intervals(spark, sf_dir):
+    """The bands recut per cohort as intervals of the interpolated cut points."""
+    members, edges = _cohort_bands(spark, sf_dir)
+    counts = members.groupBy("cohort", "band").agg(F.count(F.lit(1)).alias("n"))
+    intervals = spark.createDataFrame(interval_rows(edges), "cohort string, band int, lo double, hi double, label string")
+    return attach(counts, intervals, ["cohort", "band"], how="left").select("cohort", "band", "lo", "hi", "label", "n")
 
 
 def q_cohort_band_profile(spark, sf_dir):
     """Raw cohorts: the value band recut within each cohort, as a categorical
     summary by category (the slice tables print this band; the balancing key
     keeps the base band)."""
-    ex = explode_cohorts(dt2(spark, sf_dir), DEFAULT_COHORTS)
-    edges = exact_quantile_edges(ex, "cust_value", 10, by="cohort")
-    ex = ex.withColumn("value_band_cohort",
-                       grouped_band_expr(F.col("cust_value"), F.col("cohort"), edges))
-    return summarize_categorical(ex, ["value_band_cohort"], keys=["cohort"])
+    members, _ = _cohort_bands(spark, sf_dir, ["category"])
+    return summarize_categorical(members.withColumnRenamed("band", "value_band_cohort"), ["value_band_cohort"], keys=["cohort"])
 
 
 def q_stratum_shares(spark, sf_dir):
-    s = stratum_shares(banded_base(spark, sf_dir), REF_STRATA)
-    return s.withColumn("adjustp", F.round("adjustp", 9))
+    return rounded(stratum_shares(banded_base(spark, sf_dir), REF_STRATA), "least_share_norm", digits=9)
 
 
 def q_balance_quota(spark, sf_dir):
     return balance_quota(banded_base(spark, sf_dir), REF_STRATA)
 
 
-def _balanced(spark, sf_dir, strata=REF_STRATA):
-    base = banded_base(spark, sf_dir)
-    return base, balance(base, strata, seed=SEED)
+def q_balance_quota_exact(spark, sf_dir):
+    return balance_quota(banded_base(spark, sf_dir, SEGMENT_STRATA), SEGMENT_STRATA, quota="exact")
 
 
 def q_balanced_sample(spark, sf_dir, strata=REF_STRATA):
-    _, s = _balanced(spark, sf_dir, strata)
-    return s.select("party_id", "category", *strata)
+    rows = banded_base(spark, sf_dir, strata).select("party_id", "category", *strata)
+    return balance(rows, strata, seed=SEED)
 
 
 def q_balance_diagnostics(spark, sf_dir, strata=REF_STRATA):
-    base, s = _balanced(spark, sf_dir, strata)
-    return balance_diagnostics(base, s)
+    rows = banded_base(spark, sf_dir, strata).select("party_id", "category", *strata)
+    return balance_diagnostics(mark_sample(rows, strata, seed=SEED))
 
 
 def q_spend_share_balanced(spark, sf_dir, strata=REF_STRATA):
-    _, s = _balanced(spark, sf_dir, strata)
-    return group_share(s, SHARE_SPECS, ["category"], "clamp")
+    rows = banded_base(spark, sf_dir, strata)
+    return group_share(balance(rows, strata, seed=SEED), SHARE_SPECS, ["category"], "clamp")
 
 
-# The reference's five-column key leaves near-singleton strata on small
-# samples; band x stage is the coarser key the fixtures were measured on.
+# Five strata columns leave near-singleton strata on small samples; band x
+# stage is the coarser key the fixtures were measured on.
 def q_balanced_sample_by_segment(spark, sf_dir):
     return q_balanced_sample(spark, sf_dir, SEGMENT_STRATA)
 
@@ -234,53 +249,52 @@ def q_spend_share_balanced_by_segment(spark, sf_dir):
 
 
 def q_group_summary_continuous(spark, sf_dir):
-    return summarize_continuous(dt2(spark, sf_dir, materialized=False), CONTINUOUS)
+    return rounded(summarize_continuous(base(spark, sf_dir), MEANS, ratios=SHARE_SPECS), "sd")
+
+
+def q_group_summary_parity(spark, sf_dir):
+    """The same with the overall share as the mean of the groups' shares."""
+    return rounded(summarize_continuous(base(spark, sf_dir), MEANS, ratios=SHARE_SPECS, overall_ratio="mean"), "mean", "sd")
 
 
 def q_group_summary_categorical(spark, sf_dir):
-    return summarize_categorical(dt2(spark, sf_dir, materialized=False), CATEGORICAL)
+    return summarize_categorical(base(spark, sf_dir), CATEGORICAL)
+
+
+def q_cohort_summary(spark, sf_dir):
+    """All eight frames: rows, missing, mean and SD by category and overall."""
+    frames = grid_frames(spark, sf_dir, SEGMENT_STRATA)
+    return rounded(summarize_continuous(frames, MEANS, keys=["cohort", "variant"], ratios=SHARE_SPECS, share_mode=variant_share), "sd")
+
+
+def q_cohort_summary_categorical(spark, sf_dir):
+    return summarize_categorical(grid_frames(spark, sf_dir, SEGMENT_STRATA), CATEGORICAL, keys=["cohort", "variant"])
 
 
 def q_outcome_report(spark, sf_dir):
-    return outcome_report(dt2(spark, sf_dir))
+    return outcome_report(base(spark, sf_dir))
+
+
+def q_outcome_report_text(spark, sf_dir):
+    return format_report(outcome_report(base(spark, sf_dir)))
+
+
+def _grid(spark, sf_dir, strata):
+    return outcome_report(grid_frames(spark, sf_dir, strata), keys=["cohort", "variant"], share_mode=variant_share)
 
 
 def q_cohort_grid(spark, sf_dir):
-    frames = materialize(cohort_frames(banded_base(spark, sf_dir)))
-    return outcome_report(frames, keys=["cohort", "variant"])
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "latest_survey": q_latest_survey,
-    "population_joined": q_population_joined,
-    "revenue_rollups": q_revenue_rollups,
-    "recode_stage": q_recode_stage,
-    "recode_location": q_recode_location,
-    "recode_tier": q_recode_tier,
-    "age_band": q_age_band,
-    "travel_frequency": q_travel_frequency,
-    "match_flag": q_match_flag,
-    "log_spend": q_log_spend,
-    "sign_category": q_sign_category,
-    "churn_and_yoy": q_churn_and_yoy,
-    "spend_share_signed": q_spend_share_signed,
-    "spend_share_clamped": q_spend_share_clamped,
-    "crosstab_margins": q_crosstab_margins,
-    "match_rate_by_segment": q_match_rate_by_segment,
-    "coverage_profile": q_coverage_profile,
-    "value_band": q_value_band,
-    "value_band_edges": q_value_band_edges,
-    "cohort_band_profile": q_cohort_band_profile,
-    "stratum_shares": q_stratum_shares,
-    "balance_quota": q_balance_quota,
-    "balanced_sample": q_balanced_sample,
-    "balance_diagnostics": q_balance_diagnostics,
-    "spend_share_balanced": q_spend_share_balanced,
-    "balanced_sample_by_segment": q_balanced_sample_by_segment,
-    "balance_diagnostics_by_segment": q_balance_diagnostics_by_segment,
-    "spend_share_balanced_by_segment": q_spend_share_balanced_by_segment,
-    "group_summary_continuous": q_group_summary_continuous,
-    "group_summary_categorical": q_group_summary_categorical,
-    "outcome_report": q_outcome_report,
-    "cohort_grid": q_cohort_grid,
-}
+    return _grid(spark, sf_dir, REF_STRATA)
+
+
+def q_cohort_grid_by_segment(spark, sf_dir):
+    return _grid(spark, sf_dir, SEGMENT_STRATA)
+
+
+def q_cohort_grid_base_share(spark, sf_dir):
+    """Raw cohorts with the shares of the whole base, as slices of a finished base report them."""
+    whole = narrow_base(spark, sf_dir, ["survey_dt", "stage"])
+    return outcome_report(explode_cohorts(whole, COHORTS), keys=["cohort"], shares=base_shares(whole))
+
+
+QUERIES: dict[str, Callable] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.recodes import CHURNED
+from spendlens.functions.recodes import CHURNED, recode
+from spendlens.operators.attach import attach
 from spendlens.operators.balance import CATEGORIES
-from spendlens.operators.summary import OVERALL, summarize_categorical, summarize_continuous
+from spendlens.operators.share import group_share
+from spendlens.operators.summary import group_measures
+from spendlens.plans.derive import SHARE_SPECS
 
-# The reported variables in report order
-CONTINUOUS = [
-    "own_rev_y1", "own_rev_y2", "own_rev_diff", "spend_share_y2",
-    "total_spend_y1", "total_spend_y2", "total_spend_diff", "spend_share_y1",
-]
+# The summarised variables
+MEANS = ["own_rev_y1", "own_rev_y2", "own_rev_diff", "total_spend_y1", "total_spend_y2", "total_spend_diff"]
 CATEGORICAL = ["churned", "own_rev_y1_cat"]
 
-# Report rows (order, label, source, display kind)
-SIZE_ROW = (0, "Sample size", None, "n")
+# Report rows (order, label, measure, display kind)
 REPORT_ROWS = [
+    (0, "Sample size", None, "n"),
     (1, "Own revenue (year 1, average)", "own_rev_y1", "money"),
     (2, "Own revenue (year 2, average)", "own_rev_y2", "money"),
     (3, "Own revenue YoY change (average)", "own_rev_diff", "money"),
@@ -29,58 +29,48 @@ REPORT_ROWS = [
     (6, "Total spend (year 2, average)", "total_spend_y2", "money"),
     (7, "Total spend YoY change (average)", "total_spend_diff", "money"),
     (8, "Share of spend (year 1)", "spend_share_y1", "percent"),
+    (9, "Churn rate (%)", "churn", "percent"),
 ]
-CHURN_ROW = (9, "Churn rate (%)", "churned", "percent")
-
-
-def _case(col: str, pairs) -> F.Column:
-    out = None
-    for k, v in pairs:
-        c = F.col(col) == F.lit(k)
-        out = F.when(c, F.lit(v)) if out is None else out.when(c, F.lit(v))
-    return out
 
 
-def outcome_report(df: DataFrame, keys: Sequence[str] = (), by: str = "category",
-                   groups: Sequence[str] = CATEGORIES) -> DataFrame:
+def outcome_report(df: DataFrame, keys: Sequence[str] = (), by: str = "category", groups: Sequence[str] = CATEGORIES,
+                   share_mode="epsilon", shares: DataFrame | None = None) -> DataFrame:
     """(keys..., row_order, row_label, <group columns>) of doubles.
 
-    Sample size: the overall count, placed in the first group's column
-    (the others null).  Means come from the continuous summary, the churn
-    rate is the percent of the 'Churned' level.  One aggregate pass over
-    ``df`` per summary; the pivot works on a few dozen rows.
+    Sample size: the overall count in the first group's column, the others
+    null.  All measures come from one aggregate over ``df``; the rest works on
+    its few rows.  ``shares``: shares by group of another set of rows, instead
+    of the report's own.
     """
     keys = list(keys)
-    cont = summarize_continuous(df, CONTINUOUS, by, keys)
-    cat = summarize_categorical(df, ["churned"], by, keys)
-    means = (cont.where(F.col("variable").isin([r[2] for r in REPORT_ROWS]))
-             .select(*keys, _case("variable", [(r[2], r[0]) for r in REPORT_ROWS]).alias("row_order"),
-                     "group", F.col("mean").alias("value")))
-    sizes = (cont.where((F.col("variable") == F.lit(CONTINUOUS[0])) & (F.col("group") == F.lit(OVERALL)))
-             .select(*keys, F.lit(SIZE_ROW[0]).alias("row_order"), F.lit(groups[0]).alias("group"),
-                     F.col("n_rows").cast("double").alias("value")))
-    # churn: every group present in the summary gets a value (0 when no one churned)
-    churn_n = (cat.where(F.col("level") == F.lit(CHURNED))
-               .select(*keys, "group", F.col("pct").alias("value")))
-    grp = cont.where(F.col("variable") == F.lit(CONTINUOUS[0])).select(*keys, "group")
-    churn = (grp.join(churn_n, [*keys, "group"], "left")
-             .select(*keys, F.lit(CHURN_ROW[0]).alias("row_order"), "group",
-                     F.coalesce(F.col("value"), F.lit(0.0)).alias("value")))
-    long = means.unionByName(sizes).unionByName(churn).where(F.col("group").isin(list(groups)))
-    labels = [(SIZE_ROW[0], SIZE_ROW[1])] + [(r[0], r[1]) for r in REPORT_ROWS] + [(CHURN_ROW[0], CHURN_ROW[1])]
-    wide = (long.groupBy(*keys, "row_order").pivot("group", list(groups)).agg(F.first("value")))
+    churned = F.lit(100.0) * F.count(F.when(F.col("churned") == F.lit(CHURNED), 1)) / F.count("churned")
+    agg = group_measures(df, MEANS, by, keys, SHARE_SPECS, share_mode,
+                         extra=[F.when(F.count("churned") > 0, churned).alias("churn")])
+    if shares is not None:
+        agg = attach(agg.drop(*[s[2] for s in SHARE_SPECS]), shares, [by], how="left")
+    overall, known = F.col("_overall") == 1, F.col(by).isin(list(groups))
+    rows = [F.when(overall, F.struct(F.lit(0).alias("row_order"), F.lit(groups[0]).alias("group"), F.col("n_rows").cast("double").alias("value")))]
+    for order, _, measure, _ in REPORT_ROWS[1:]:
+        value = F.col(f"mean_{measure}") if measure in MEANS else F.col(measure)
+        rows.append(F.when(~overall & known, F.struct(F.lit(order).alias("row_order"), F.col(by).alias("group"), value.alias("value"))))
+    long = agg.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*keys, "r.*")
+    wide = long.groupBy(*keys, "row_order").pivot("group", list(groups)).agg(F.first("value"))
+    label = recode(F.col("row_order"), {r[0]: r[1] for r in REPORT_ROWS})
     # ordering only the final few dozen rows
-    return (wide.select(*keys, "row_order", _case("row_order", labels).alias("row_label"),
-                        *[F.col(g).cast("double").alias(g) for g in groups])
+    return (wide.select(*keys, "row_order", label.alias("row_label"), *[F.col(g).cast("double").alias(g) for g in groups])
             .orderBy(*keys, "row_order"))
 
 
+def base_shares(base: DataFrame, by: str = "category") -> DataFrame:
+    """The signed shares of the whole base by group, to report slices with."""
+    return group_share(base, SHARE_SPECS, [by], "epsilon")
+
+
 def format_report(report: DataFrame, groups: Sequence[str] = CATEGORIES) -> DataFrame:
     """String view: '$' amounts and '%' shares at one decimal (half-even on
     the exact binary value, as Python formats), sample size as an integer
     in the first group and blank in the others."""
-    kinds = [(SIZE_ROW[0], "n")] + [(r[0], r[3]) for r in REPORT_ROWS] + [(CHURN_ROW[0], CHURN_ROW[3])]
-    kind = _case("row_order", kinds)
+    kind = recode(F.col("row_order"), {r[0]: r[3] for r in REPORT_ROWS})
     cols = []
     for g in groups:
         v = F.col(g)

@@ -1,11 +1,7 @@
-"""Session helpers: a sane local/test session and lineage cutting."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +11,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Build (or reuse) a session with AQE on and the UI off.
 
     On a cluster, pass nothing: master and partition counts come from the
-    deployment.  ``spark.checkpoint.dir`` is only set when the deployment
-    left it unset (tests, local runs).
+    deployment.
     """
-    b = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app)
     if master:
-        b = b.master(master)
+        builder = builder.master(master)
     conf = {
         "spark.ui.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
@@ -30,49 +25,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint dir the cluster names; set a scratch one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-        named = tempfile.mkdtemp(prefix="spendlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    for key, value in {**conf, **(extra or {})}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
-def materialize(df: DataFrame, how: str = "table") -> DataFrame:
-    """Cut lineage of a frame that several jobs reuse.
+def reused(df: DataFrame) -> DataFrame:
+    """Mark a narrow frame that several steps read.
 
-    ``table`` (default) writes the frame once as parquet under the cluster's
-    checkpoint dir and reads it back: one computation, columnar re-reads with
-    pushdown, and nothing lost when an executor dies.  ``checkpoint`` is
-    Spark's reliable checkpoint (computes the plan twice when eager);
-    ``persist`` keeps blocks on executors and recomputes lost ones from
-    lineage.
+    Nothing runs here: the first reader fills the blocks, and a block lost with
+    its executor is computed again from the sources.  ``spark.catalog.clearCache()``
+    frees them.
     """
-    if how == "table":
-        base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-        path = f"{base}/spendlens-tables/{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
-        return df.sparkSession.read.parquet(path)
-    if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if how == "none":
-        return df
-    raise ValueError(f"unknown materialize mode {how!r}")
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

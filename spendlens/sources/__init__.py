@@ -1,8 +1,6 @@
 """Input relations, the binding of the driver tables, and sinks."""
 
-from spendlens.sources.relations import SCHEMAS, conform, conform_all, assert_unique, duplicate_keys
-from spendlens.sources.tpch_binding import Binding, bind_tables
+from spendlens.sources.relations import SCHEMAS, conform, one_per_key
 from spendlens.sources.sinks import write_report
 
-__all__ = ["SCHEMAS", "conform", "conform_all", "assert_unique", "duplicate_keys",
-           "Binding", "bind_tables", "write_report"]
+__all__ = ["SCHEMAS", "conform", "one_per_key", "write_report"]

@@ -1,8 +1,8 @@
-"""The six input relations: declared schemas, validation, uniqueness checks."""
+"""The six input relations: declared schemas, validation, one row per person."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,13 +47,6 @@ SCHEMAS: dict[str, list[tuple[str, T.DataType]]] = {
     "individual": [("party_id", LONG), ("birth_year", T.IntegerType())],
 }
 
-RELATIONS = tuple(SCHEMAS)
-
-
-def struct_type(name: str) -> T.StructType:
-    return T.StructType([T.StructField(c, t, True) for c, t in SCHEMAS[name]])
-
-
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Select the declared columns with declared types; NaN becomes null.
 
@@ -71,17 +64,20 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*cols)
 
 
-def conform_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {n: conform(tables[n], n) for n in RELATIONS}
+def one_per_key(df: DataFrame, key: str = "party_id", on_duplicates: str = "first", name: str = "relation") -> DataFrame:
+    """One row per key, so that a join cannot multiply people.
 
-
-def duplicate_keys(df: DataFrame, key: str = "party_id") -> DataFrame:
-    """Keys that occur more than once (a distributed aggregate; empty when unique)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
-
-
-def assert_unique(df: DataFrame, key: str = "party_id", name: str = "relation") -> None:
-    """Fail when a right-hand relation would fan out the population join."""
-    dup = duplicate_keys(df, key).limit(5).collect()
-    if dup:
-        raise ValueError(f"{name}: key {key} is not unique, e.g. {[r[key] for r in dup]}")
+    ``first`` keeps the least row of a key (by all its columns, deterministic);
+    ``raise`` fails the job that meets a repeated key; ``trust`` does nothing, for
+    relations that are known to be unique.
+    """
+    if on_duplicates == "trust":
+        return df
+    if on_duplicates not in ("first", "raise"):
+        raise ValueError(f"unknown on_duplicates {on_duplicates!r}")
+    place = Window.partitionBy(key).orderBy(*[F.col(c) for c in df.columns if c != key])
+    ranked = df.withColumn("_n", F.row_number().over(place))
+    if on_duplicates == "first":
+        return ranked.where(F.col("_n") == 1).drop("_n")
+    failed = F.raise_error(F.concat(F.lit(f"{name}: {key} is not unique: "), F.col(key).cast("string"))).cast("boolean")
+    return ranked.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(failed)).drop("_n")

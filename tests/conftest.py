@@ -16,13 +16,14 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    b = (SparkSession.builder.master("local[4]").appName("spendlens-tests")
-         .config("spark.sql.shuffle.partitions", "8")
+    scratch = tempfile.mkdtemp(prefix="spendlens-test-")
+    s = (SparkSession.builder.master("local[4]").appName("spendlens-tests")
+         .config("spark.sql.shuffle.partitions", "4")
          .config("spark.ui.enabled", "false")
-         .config("spark.sql.session.timeZone", "UTC"))
-    s = b.getOrCreate()
+         .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+         .config("spark.checkpoint.dir", f"{scratch}/shared")
+         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-test-ckpt-"))
     yield s
     s.stop()

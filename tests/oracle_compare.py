@@ -69,8 +69,8 @@ def close(a, b, tol=1e-9):
     return True
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
-    sdf = fn(spark, sf_dir)
+def compare(spark, con, name, fn, sql, sf_dir, sdf=None):
+    sdf = fn(spark, sf_dir) if sdf is None else sdf
     s_rows, s_names = _rows(sdf.columns, [tuple(r) for r in sdf.collect()])
     cur = con.execute(sql)
     d_names = [c[0] for c in cur.description]

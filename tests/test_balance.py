@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, SF01
-from spendlens.operators.balance import balance, balance_quota
+from spendlens.operators.balance import CATEGORIES, REF_PAIR, _quotas, balance, balance_diagnostics, balance_quota, mark_sample
 from spendlens.plans import queries as Q
 
 
@@ -50,7 +50,7 @@ def brute_quotas(rows):
     return q
 
 
-@pytest.mark.parametrize("hash_bits", [2, 12])
+@pytest.mark.parametrize("hash_bits", [1, 7, 12])
 def test_sample_matches_brute_force(spark, hash_bits):
     rows = make_rows(5)
     df = spark.createDataFrame(rows, "party_id long, category string, s1 string, s2 int").repartition(7)
@@ -100,19 +100,50 @@ def test_missing_category_and_null_strata(spark):
 
 
 @pytest.mark.parametrize("sf,strata,want", [
-    (SF01, ["value_band", "stage"], {"Detractor": 223, "Passive": 86, "Promoter": 195}),
+    (SF01, ["value_band", "stage"], {"Detractor": 213, "Passive": 84, "Promoter": 185}),
     (SF001, ["stage"], {"Detractor": 17, "Passive": 7, "Promoter": 27}),
 ])
 def test_measured_fixture_counts(spark, sf, strata, want):
-    base = Q.banded_base(spark, sf)
+    base = Q.banded_base(spark, sf, strata)
     got = {r.category: r["count"] for r in balance(base, strata, seed=88).groupBy("category").count().collect()}
     assert got == want
 
 
 def test_slice_sizes(spark):
-    base = Q.dt2(spark, SF01)
+    base = Q.narrow_base(spark, SF01, ["survey_dt"])
     def counts(a, b):
         d = base.where(F.col("survey_dt").between(F.lit(a).cast("date"), F.lit(b).cast("date")))
         return {r.category: r["count"] for r in d.groupBy("category").count().collect()}
-    assert counts("2000-04-01", "2000-06-30") == {"Detractor": 184, "Passive": 105, "Promoter": 183}
-    assert counts("2000-06-01", "2000-06-30") == {"Detractor": 76, "Passive": 37, "Promoter": 66}
+    assert counts("2000-04-01", "2000-06-30") == {"Detractor": 180, "Passive": 102, "Promoter": 180}
+    assert counts("2000-06-01", "2000-06-30") == {"Detractor": 75, "Passive": 37, "Promoter": 65}
+
+
+def test_unknown_categories_are_reported(spark):
+    rows = [(i, c, "x") for i, c in enumerate(["Detractor", "Promoter", "Passive", "Neutral", None, "Neutral"])]
+    marked = mark_sample(spark.createDataFrame(rows, "party_id long, category string, s string"), ["s"], seed=1)
+    out = {r.category: (r.available, r.sampled) for r in balance_diagnostics(marked).collect()}
+    assert out == {"Detractor": (1, 1), "Promoter": (1, 1), "Passive": (1, 1), "Neutral": (2, 0), None: (1, 0)}
+
+
+def test_many_strata_and_huge_counts(spark):
+    # more strata than any list on the driver should hold, one row of each reference category in each
+    n = 120_000
+    df = (spark.range(2 * n).select(F.col("id").alias("party_id"), F.when(F.col("id") % 2 == 0, "Detractor").otherwise("Promoter").alias("category"),
+                                    F.floor(F.col("id") / 2).alias("s")))
+    assert balance(df, ["s"], seed=3, quota="exact").count() == 2 * n
+    huge = 4 * 10 ** 12
+    counts = spark.createDataFrame([("x", "Detractor", huge), ("x", "Promoter", huge // 2), ("y", "Promoter", huge), ("y", "Detractor", 1)], "s string, category string, n long")
+    got = {(r.s, r.category): r.quota for r in _quotas(counts, ["s"], "category", CATEGORIES, REF_PAIR, [], "exact").collect()}
+    assert got["x", "Detractor"] == (huge + 1) * (huge // 2) // (huge + huge // 2) and got["y", "Promoter"] == 1
+
+
+def test_nothing_runs_while_building(spark):
+    df = spark.createDataFrame([(1, "Detractor", "a")], "party_id long, category string, s string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        balance(df, ["s"], seed=1)
+        balance_quota(df, ["s"])
+        assert list(tracker.getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.operators.quantile_bands import (band_expr, check_edges, exact_quantile_edges,
-                                                with_value_band)
+                                                grouped_band_expr, interval_rows, with_value_band)
 
 
 def brute_edges(values, q=10):
@@ -53,6 +53,27 @@ def test_random_against_brute_force(spark, seed):
         assert all(got[i] == brute_band(v, edges) for i, v in enumerate(vals))
 
 
+def test_null_is_a_group(spark):
+    rows = [(None, float(i)) for i in range(21)] + [("b", float(-i)) for i in range(31)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    e = exact_quantile_edges(df, "v", by="g")
+    assert list(e[None]) == brute_edges([float(i) for i in range(21)])
+    out = {(r.g, r.v): r.b for r in df.withColumn("b", grouped_band_expr(F.col("v"), F.col("g"), e)).collect()}
+    assert out[None, 0.0] == 1 and out[None, 20.0] == 10 and out["b", None] is None
+
+
+def test_too_many_groups_is_an_error(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(ValueError):
+        exact_quantile_edges(df, "v", by="g", n_buckets=4, max_groups=5)
+
+
+def test_intervals(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(16)], "v double")
+    rows = interval_rows(exact_quantile_edges(df, "v"))
+    assert rows[0] == (None, 1, -0.001, 1.5, "(-0.001, 1.5]") and rows[-1][1:4] == (10, 13.5, 15.0)
+
+
 def test_grouped_edges(spark):
     rows = [("a", float(i)) for i in range(21)] + [("b", float(i * i)) for i in range(31)]
     df = spark.createDataFrame(rows, "g string, v double")
