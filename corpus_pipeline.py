@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import decontaminate, ngram_join, packing, quality, queries, toxicity
-from spendlens.llm.common import materialize, read_table, ship_package
+from spendlens.llm.common import materialize, prepare, read_table
 
 #: the stages train a classifier and prune by estimates, which SQL cannot express
 ORACLE_SQL = None
@@ -21,33 +21,33 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule of the default policy fails go."""
-    ship_package(spark)
+    prepare(spark)
     judged, kept = quality.with_verdict(docs, quality.POLICIES[quality.DEFAULT_POLICY])
     return judged.where(F.col(kept)).drop(kept)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is trained on the stage's own documents."""
-    ship_package(spark)
+    prepare(spark)
     score = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"))
     return docs.where(score < toxicity.THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts stays."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents kept, packed."""
-    ship_package(spark)
+    prepare(spark)
     return queries.packed(docs, queries.tokenizer_path())
 
 

@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the session needs for rows that are whole documents: this package on the workers, small Arrow batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    ship_package(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per context (they may not have it installed)."""
     import zipfile

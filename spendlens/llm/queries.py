@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.llm import decontaminate, html_extract, lattice_lm, ngram_join, packing, quality, tool_calls, toxicity, url_filter, warc
-from spendlens.llm.common import read_table, ship_package
+from spendlens.llm.common import prepare, read_table
 
 
 def tokenizer_path() -> str:
@@ -100,7 +100,7 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shipped(query: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run
