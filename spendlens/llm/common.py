@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = " \t\n\x0b\x0c\r"  # the six separators of words: \x20 and \x09-\x0D
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,13 +66,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the work above) and fixes values that depend on the partitioning.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(text: str) -> str:
-    return text.translate(_ASCII_LOWER)
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written; frames that read it can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(df: DataFrame, base: str) -> str:
