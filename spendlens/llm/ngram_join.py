@@ -162,7 +162,8 @@ def connected_components(edges: DataFrame, name: str = "component") -> DataFrame
         rounds += 1
         arcs = both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("h"), c.alias("v"))  # noqa: B023, E731
-        one = arcs.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select("a", F.least("m", rank(F.col("a"))).alias("m"))
+        # written: a join of two plain shuffles can be split where a node has very many arcs
+        one = materialize(arcs.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select("a", F.least("m", rank(F.col("a"))).alias("m")), f"{name}-one")
         two = (arcs.join(one.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m2"))
                .join(one, "a").select(F.col("a").alias("node"), F.least("m", "m2")["v"].alias("to")))
         step = materialize(two, f"{name}-step")
