@@ -5,7 +5,11 @@
    text by their kind (menus, headers, footers, asides, forms, scripts ...) or by
    their class, id or role (adverts, notices, comments ...) go at once.  Of what
    is left, the text of the page's ``article`` elements counts, else of its
-   ``main`` element, else of its body without link lists.
+   ``main`` element, else of its body without link lists: lists (never headings or
+   paragraphs outside of lists) without a heading, of whose characters at least
+   ``LINK_SHARE`` stand in links, and most of whose items have no word outside of
+   links.  A link is an ``a`` with ``href``, up to its end, the next ``a`` or the end of
+   the block it stands in.
 2. Every remaining element's subtree (tag, text, children) is hashed.  Spark
    counts per host in how many different pages a subtree stands; one that stands
    in at least ``MIN_PAGES`` and a share of ``MIN_SHARE`` of the host's pages is the
@@ -43,7 +47,7 @@ from spendlens.llm.common import materialize, unused
 from spendlens.llm.url_filter import url_host
 
 MIN_PAGES, MIN_SHARE = 10, 0.5
-LINK_SHARE = 0.5  # of a block's characters, where a page has neither article nor main
+LINK_SHARE = 0.5  # of a list's characters, where a page has neither article nor main
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -53,6 +57,7 @@ VOID = frozenset("area base br col embed frame hr img input link meta param sour
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
 CLOSE_P = BLOCKS - frozenset("body head html td th tr tbody thead tfoot caption option optgroup template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS, ITEMS = frozenset("ul ol dl dir".split()), frozenset("li dt dd".split())
 # elements that are never article text
 GONE = frozenset(
     "head script style noscript template textarea title iframe noembed noframes nav footer aside form button select option optgroup "
@@ -74,6 +79,9 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$")  # the end of <a href="x"/>, but not of <a href=x/>
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -112,30 +120,52 @@ class _Element:
         self.anchor = tag in ("html", "body", "main", "article")  # holds the article: no template
 
 
+def _link_lists(blocks: list[tuple], kinds: dict[int, str]) -> set[int]:
+    """The lists of links, from the blocks and the kinds (tags) of the lists, items and headings they stand in."""
+    lists: dict[int, list] = {}
+    for text, inside, _, _, linked, words in blocks:
+        parts = [e for e in inside if e in kinds]
+        for k, e in enumerate(parts):
+            if kinds[e] in LISTS:
+                one = lists.setdefault(e, [0, 0, {}, False])
+                one[0] += len(text)
+                one[1] += linked
+                item = next((x for x in parts[k + 1:] if kinds[x] in ITEMS), e)
+                one[2][item] = one[2].get(item, False) or words
+                one[3] = one[3] or any(kinds[x] in HEADINGS for x in parts[k + 1:])
+    return {e for e, (size, linked, items, heading) in lists.items()
+            if not heading and linked >= LINK_SHARE * size and 2 * sum(items.values()) < len(items)}
+
+
 def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int]]]:
     """The blocks of the content, each with the elements it stands in, and (element, hash) of the subtrees."""
-    blocks: list[tuple[str, list[int], bool, bool, int]] = []
+    blocks: list[tuple[str, list[int], bool, bool, int, bool]] = []
     subtrees: list[tuple[int, int]] = []
     stack = [_Element("", False, False, False, 0)]
-    count, links, at = 1, 0, 0
+    count, at = 1, 0
+    links = 0  # inside a link: how many elements were open where it began
+    kinds: dict[int, str] = {}  # the tags of lists, items and headings
     buffer: list[str] = []
-    linked = 0  # characters of the buffer inside links
+    linked, words = 0, False  # characters of the buffer inside links, and whether it has a letter outside
     page = page or ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, words
         if buffer:
             text = " ".join("".join(buffer).split())
             top = stack[-1]
             if text and not top.gone:
-                blocks.append((text, [e.index for e in stack[1:]], top.article, top.main, linked))
+                blocks.append((text, [e.index for e in stack[1:]], top.article, top.main, linked, words))
                 top.parts.append(text.encode("utf-8", "replace"))
             buffer.clear()
-        linked = 0
+        linked, words = 0, False
 
     def pop() -> None:
+        nonlocal links
         flush()
         e = stack.pop()
+        if len(stack) < links:
+            links = 0
         if not e.gone and e.parts:
             digest = hashlib.blake2b(b"\x00".join([e.tag.encode(), *e.parts]), digest_size=8).digest()
             stack[-1].parts.append(digest)
@@ -156,12 +186,14 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
                 return
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, words
         if text and not stack[-1].gone:
             text = entities.unescape(text)
             buffer.append(text)
             if links:
-                linked += len(text.strip())
+                linked += len(" ".join(text.split()))
+            elif not words and _LETTER.search(text):
+                words = True
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -186,6 +218,7 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
                 e = stack[-1]
                 if e.gone:
                     stack.pop()
+                    links = links if links <= len(stack) else 0
                 else:
                     pop()
             continue
@@ -194,7 +227,7 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
                 buffer.append(" ")
             continue
         if tag == "a":
-            links = 1
+            links = len(stack) if _HREF.search(attributes) and not _EMPTY.search(attributes) else 0
         top = stack[-1]
         if tag in BLOCKS:
             flush()
@@ -222,6 +255,8 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
             continue
         if tag in BLOCKS or gone and not top.gone:  # of inline elements only those that go
             stack.append(_Element(tag, gone, top.article or tag == "article", top.main or tag == "main" or 'role="main"' in attributes, count))
+            if tag in LISTS or tag in ITEMS or tag in HEADINGS:
+                kinds[count] = tag
             count += 1
     while len(stack) > 1:
         pop()
@@ -231,7 +266,8 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
     elif any(b[3] for b in blocks):
         chosen = [b for b in blocks if b[3]]
     else:
-        chosen = [b for b in blocks if b[4] < LINK_SHARE * len(b[0])]
+        lists = _link_lists(blocks, kinds)
+        chosen = [b for b in blocks if lists.isdisjoint(b[1])]
     used = {i for b in chosen for i in b[1]}
     return [(b[0], b[1]) for b in chosen], [s for s in subtrees if s[0] in used]
 

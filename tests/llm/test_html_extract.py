@@ -32,6 +32,16 @@ def test_without_article():
     assert text(None) == text("") == text("<p></p>") == ""
 
 
+def test_only_lists_of_links_go():
+    assert text("<h1><a href=/x>Title</a></h1><p><a href=/y>all of it a link</a></p><div><a href=z>d</a></div>") == "Title\n\nall of it a link\n\nd"
+    references = "<ol><li><a href=/1>A rather long title</a> Miller 1999<li><a href=/2>Another rather long title</a> Smith</ol>"
+    assert text(f"<p>a</p>{references}") == "a\n\nA rather long title Miller 1999\n\nAnother rather long title Smith"
+    assert text("<p>a</p><ul><li><a href=/1>Home</a> (1)<li>Here<li><a href=/2>News</a><ul><li><a href=/3>Old</a></ul></ul><p>b</p>") == "a\n\nb"
+    for anchor in ('<a name="s1">', '<a id="x"/>', '<a name=x href="/y"/>', '<p><a href="/x">', '<a data-href=x>'):
+        assert text(f"<body><div>{anchor}</div><ul><li>one<li>two</ul><p>three</p></body>") == "one\n\ntwo\n\nthree"
+    assert text("<body><a name=s1><ul><li>one</ul><p><a href=x>l<a name=y>three</p><ul><li>four</ul>") == "one\n\nlthree\n\nfour"
+
+
 def test_site_templates(spark):
     rows = []
     for i in range(12):
