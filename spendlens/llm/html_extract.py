@@ -3,13 +3,19 @@
 1. Every page is parsed on the executors (once for the templates, once for its text:
    a written copy of the parsed pages would be as large as they are).  Elements that are no article
    text by their kind (menus, headers, footers, asides, forms, scripts ...) or by
-   their class, id or role (adverts, notices, comments ...) go at once.  Of what
+   their class, id or role (adverts, notices, comments ...) go at once.  A class or id
+   removes no element that holds the page's ``main``, an ``article`` or the only ``h1``
+   (one for comments, adverts or other articles goes with the articles in it, if the page
+   has ``main`` or an ``article`` elsewhere), and in an article no heading, and
+   an id there only counts if it says nothing but comments or adverts.  Of what
    is left, the text of the page's ``article`` elements counts, else of its
    ``main`` element, else of its body without link lists: lists (never headings or
    paragraphs outside of lists) without a heading, of whose characters at least
    ``LINK_SHARE`` stand in links, and most of whose items have no word outside of
    links.  A link is an ``a`` with ``href``, up to its end, the next ``a`` or the end of
-   the block it stands in.
+   the block it stands in.  Articles that all stand in elements with such a class or id
+   count alone only if they have half of that text, and never if the class is one for
+   comments, adverts or other articles.
 2. Every remaining element's subtree (tag, text, children) is hashed.  Spark
    counts per host in how many different pages a subtree stands; one that stands
    in at least ``MIN_PAGES`` and a share of ``MIN_SHARE`` of the host's pages is the
@@ -72,7 +78,13 @@ MARKS = frozenset(
 # words that do so unless the element says that it is content
 WEAK = frozenset("header banner notice notices alert social promo promotion widget widgets search login register meta tags byline rail".split())
 CONTENT = frozenset("article content main post entry story body text".split())
-UNLESS = frozenset("has with no without is".split())
+UNLESS = frozenset("has with no without is".split())  # what follows in a class or id says nothing of the element
+# marks of elements that may hold articles that are not the page's
+OTHERS = frozenset(
+    "ad ads adbox adsense advert adverts advertisement advertising advertorial sponsor sponsored sponsors promoted outbrain taboola "
+    "comment comments commentlist disqus respond replies related recommended recommendations trending".split())
+# all that an id in an article may say to mark its element: others are made from titles
+IDS = frozenset("ad ads adbox adsense advert adverts advertisement comment comments commentlist disqus outbrain taboola".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
@@ -84,38 +96,41 @@ _EMPTY = re.compile(r"(?:^|[\s\"'])/$")  # the end of <a href="x"/>, but not of
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no article text by its kind or by its attributes."""
+def boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, frozenset | set]:
+    """Whether an element is no article text by its kind, role or style, and the words of its class and id that say so."""
+    none: frozenset = frozenset()
     if tag in GONE or tag == "header" and not in_article:
-        return True
+        return True, none
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, none
     words: set[str] = set()
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, none
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return True, none
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, none
         if name in ("class", "id"):
             for one in value.split():
                 parts = [w.lower() for w in _SPLIT.findall(one)]
-                if parts and parts[0] not in UNLESS:
-                    words.update(parts)
-    if tag == "main":
-        return False
+                own = next((k for k, w in enumerate(parts) if w in UNLESS), len(parts))
+                if name == "class" or not in_article or IDS.issuperset(parts):
+                    words.update(parts[:own])
+    if tag == "main" or in_article and tag in HEADINGS:
+        return False, none
     if tag == "article":
-        return bool(words & {"comment", "comments", "ad", "ads", "advert", "advertisement", "related", "sponsored", "promoted"})
-    return bool(words & MARKS or words & WEAK and not words & CONTENT and tag not in HEADINGS)
+        return False, words & {"comment", "comments", "ad", "ads", "advert", "advertisement", "related", "sponsored", "promoted"}
+    return False, words & MARKS or (words & WEAK if not words & CONTENT and tag not in HEADINGS else none)
 
 
 class _Element:
-    __slots__ = ("tag", "gone", "article", "main", "parts", "index", "anchor")
+    __slots__ = ("tag", "gone", "kind", "marks", "article", "main", "parts", "index", "anchor")
 
-    def __init__(self, tag: str, gone: bool, article: bool, main: bool, index: int):
+    def __init__(self, tag: str, gone: bool, kind: bool, marks: frozenset | set, article: int, main: bool, index: int):
         self.tag, self.gone, self.article, self.main, self.index = tag, gone, article, main, index
+        self.kind, self.marks = kind, marks  # gone by kind, in itself or around it; marked by words
         self.parts: list[bytes] = []
         self.anchor = tag in ("html", "body", "main", "article")  # holds the article: no template
 
@@ -137,11 +152,32 @@ def _link_lists(blocks: list[tuple], kinds: dict[int, str]) -> set[int]:
             if not heading and linked >= LINK_SHARE * size and 2 * sum(items.values()) < len(items)}
 
 
+def _kept(holders: list[tuple[str, list[_Element]]], n_titles: int) -> tuple[set[int], set[int], bool]:
+    """The marked elements that stay for what they hold, those of them that do so for an article, and whether that may count alone.
+
+    ``holders``: the page's main, outer article and h1 elements, each with the marked elements around it.
+    """
+    kept = {e.index for kind, around in holders if kind == "main" or kind == "h1" and n_titles == 1 for e in around}
+    articles = [[e for e in around if e.index not in kept] for kind, around in holders if kind == "article"]
+    levels = [sum(bool(e.marks & OTHERS) for e in around) for around in articles]
+    least = 0 if any(kind == "main" for kind, _ in holders) else min(levels, default=0)
+    weak = {e.index for around, n in zip(articles, levels, strict=True) if n == least for e in around}
+    return kept | weak, weak, not least
+
+
 def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int]]]:
     """The blocks of the content, each with the elements it stands in, and (element, hash) of the subtrees."""
-    blocks: list[tuple[str, list[int], bool, bool, int, bool]] = []
+    content, kept = _parse(page, (set(), set(), True))
+    return _parse(page, kept)[0] if kept[0] else content  # the elements are numbered alike in both
+
+
+def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tuple, tuple[set[int], set[int], bool]]:
+    """``parse_page`` with these marked elements kept, and those that ought to be (``_kept``)."""
+    blocks: list[tuple[str, list[int], int, bool, int, bool]] = []
+    holders: list[tuple[str, list[_Element]]] = []
+    n_titles = 0
     subtrees: list[tuple[int, int]] = []
-    stack = [_Element("", False, False, False, 0)]
+    stack = [_Element("", False, False, frozenset(), 0, False, 0)]
     count, at = 1, 0
     links = 0  # inside a link: how many elements were open where it began
     kinds: dict[int, str] = {}  # the tags of lists, items and headings
@@ -153,9 +189,9 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
         nonlocal linked, words
         if buffer:
             text = " ".join("".join(buffer).split())
-            top = stack[-1]
-            if text and not top.gone:
-                blocks.append((text, [e.index for e in stack[1:]], top.article, top.main, linked, words))
+            if text:  # what is gone is not in the buffer
+                top = next(e for e in reversed(stack) if not e.gone)
+                blocks.append((text, [e.index for e in stack[1:] if not e.gone], top.article, top.main, linked, words))
                 top.parts.append(text.encode("utf-8", "replace"))
             buffer.clear()
         linked, words = 0, False
@@ -246,30 +282,47 @@ def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tupl
             elif tag == "body":
                 pop_to({"head"})
             top = stack[-1]
-        gone = top.gone or is_boilerplate(tag, attributes, top.article)
+        kind, marks = (True, frozenset()) if top.kind else boilerplate(tag, attributes, bool(top.article))
         if tag in RAW:  # up to its end tag, whatever stands there
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        if tag in BLOCKS or gone and not top.gone:  # of inline elements only those that go
-            stack.append(_Element(tag, gone, top.article or tag == "article", top.main or tag == "main" or 'role="main"' in attributes, count))
+        n_titles += tag == "h1"
+        if tag in BLOCKS or not top.kind and (kind or marks):  # of inline elements only those that go
+            gone = top.gone or kind or bool(marks) and count not in kept[0]
+            main = tag == "main" or 'role="main"' in attributes
+            article = top.article
+            around = [e for e in stack if e.marks] if not kind and (main or tag in ("article", "h1")) else []
+            if tag == "article" and not article:
+                article = 1 if any(e.index in kept[1] for e in around) else 2  # 1: stays for the article's sake
+            stack.append(_Element(tag, gone, kind, marks, article, top.main or main, count))
+            if not kind:
+                if main:
+                    holders.append(("main", around))
+                if tag == "h1":
+                    holders.append(("h1", [*around, stack[-1]] if marks else around))
+                if tag == "article" and not top.article and not marks:
+                    holders.append(("article", around))
             if tag in LISTS or tag in ITEMS or tag in HEADINGS:
                 kinds[count] = tag
             count += 1
     while len(stack) > 1:
         pop()
     flush()
-    if any(b[2] for b in blocks):
+    if any(b[2] == 2 for b in blocks):
         chosen = [b for b in blocks if b[2]]
-    elif any(b[3] for b in blocks):
-        chosen = [b for b in blocks if b[3]]
     else:
         lists = _link_lists(blocks, kinds)
-        chosen = [b for b in blocks if lists.isdisjoint(b[1])]
+        has_main = any(b[3] for b in blocks)
+        chosen = [b for b in blocks if (b[2] or b[3] if has_main else lists.isdisjoint(b[1]))]
+        articles = [b for b in chosen if b[2]]
+        if kept[2] and articles and 2 * sum(len(b[0]) for b in articles) >= sum(len(b[0]) for b in chosen):
+            chosen = articles
     used = {i for b in chosen for i in b[1]}
-    return [(b[0], b[1]) for b in chosen], [s for s in subtrees if s[0] in used]
+    content = [(b[0], b[1]) for b in chosen], [s for s in subtrees if s[0] in used]
+    return content, _kept(holders, n_titles)
 
 
 _OUTLINE = T.StructType([T.StructField("content", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])

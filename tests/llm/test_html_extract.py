@@ -42,6 +42,24 @@ def test_only_lists_of_links_go():
     assert text("<body><a name=s1><ul><li>one</ul><p><a href=x>l<a name=y>three</p><ul><li>four</ul>") == "one\n\nlthree\n\nfour"
 
 
+def test_words_that_remove_no_article():
+    for around in ("page-with-sidebar", "layout-sidebar", "nav-layout", "ad-page"):
+        assert text(f'<div>x</div><div class="{around}"><main><article><p>A</p></article><p>b</p></main></div>') == "A"
+        assert text(f'<div class="{around}"><div id="skip"><article><p>A</p></article></div></div>') == "A"
+    assert text('<div class="layout-sidebar">m<nav>n<article>o</article></nav></div><p>A</p>') == "A"  # gone by its kind
+    assert text('<div class="masthead"><h1>T</h1></div><p>A</p><div class="masthead">m</div>') == "T\n\nA"
+    assert text('<h1>S</h1><div class="masthead"><h1>T</h1></div><p>A</p>') == "S\n\nA"
+    assert text('<span class="skip"><main><p>A</p></main></span>') == "A"
+    assert text('<article><section id="related-work"><h2 id="sharing-data" class="share">S</h2><p>A <i class="ad">x</p></section><p id="ad-1">y') == "S\n\nA"
+    # other articles, and comments that are some, go where the page has its own
+    others = '<div class="related"><article>o</article></div>'
+    assert text(f'<article>A</article>{others}') == text(f'<main>A</main>{others}') == text(f'<div class="ads-page"><article>A</article>{others}</div>') == "A"
+    assert text('<article>A</article><div class="share-page"><article>B</article></div>') == "A\n\nB"
+    # without one nothing of the page is lost for them
+    assert text(f'<p>A long text</p>{others}') == "A long text\n\no"
+    assert text('<p>A long text</p><div class="sidebar"><article>s</article></div>') == "A long text\n\ns"
+
+
 def test_site_templates(spark):
     rows = []
     for i in range(12):
