@@ -1,6 +1,6 @@
 """Main-text extraction with site-template removal.
 
-1. Every page is parsed on the executors (once for the templates, once for its text:
+1. Every page is parsed on the executors (once for its outline, once for its text:
    a written copy of the parsed pages would be as large as they are).  Elements that are no article
    text by their kind (menus, headers, footers, asides, forms, scripts ...) or by
    their class, id or role (adverts, notices, comments ...) go at once.  A class or id
@@ -17,13 +17,24 @@
    count alone only if they have half of that text, and never if the class is one for
    comments, adverts or other articles.
 2. Every remaining element's subtree (tag, text, children) is hashed.  Spark
-   counts per host in how many different pages a subtree stands; one that stands
-   in at least ``MIN_PAGES`` and a share of ``MIN_SHARE`` of the host's pages is the
-   site's template, and is deleted from all of them.  Pages with the same content
-   count once, so that copies of an article do not make it a template.
-
-Scale: counts are keyed by (host, subtree) after partial aggregation, so a host
-with a third of all pages is spread over its subtrees; the templates go back to
+   counts per host in how many different pages a subtree stands, and in how many of
+   them with different content besides.  The site's templates, deleted from all of its
+   pages, are those that stand
+
+   * in at least ``MIN_PAGES`` and a share of ``MIN_SHARE`` of the host's pages, or
+   * with different content in at least ``MIN_PAGES``, a share of ``PART_SHARE`` of the host's pages
+     and a share of ``OWN_PAGES`` of those it stands in, or
+   * with different content in at least ``FEW_PAGES`` and a share of ``MIN_SHARE`` of the host's pages;
+
+   the last two but for headings, list items and parts of tables, which recur among
+   content too.  Pages with the same content count once, so that copies of an
+   article do not make it a template.  A page has different content besides a subtree if at least
+   ``OWN_SHARE`` of its other text stands on no other page of the host: blocks are compared by the
+   lowest and the highest hash of their shingles, so that an edited copy's paragraphs are no content of its own.
+
+Scale: the outlines of the pages (hashes, no text) are written once.  Counts are keyed by
+(host, subtree) or (host, shingle) after partial aggregation, so a host
+with a third of all pages is spread over them; the templates go back to
 the pages by a join that adaptive execution may split.  No list of pages is
 ever collected.
 
@@ -43,6 +54,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,6 +65,9 @@ from spendlens.llm.common import materialize, unused
 from spendlens.llm.url_filter import url_host
 
 MIN_PAGES, MIN_SHARE = 10, 0.5
+FEW_PAGES, PART_SHARE = 3, 0.05
+OWN_SHARE, OWN_PAGES = 0.1, 0.25
+SHINGLE = 4  # words
 LINK_SHARE = 0.5  # of a list's characters, where a page has neither article nor main
 
 BLOCKS = frozenset(
@@ -63,6 +78,7 @@ VOID = frozenset("area base br col embed frame hr img input link meta param sour
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
 CLOSE_P = BLOCKS - frozenset("body head html td th tr tbody thead tfoot caption option optgroup template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FRAGMENTS = HEADINGS | frozenset("li dt dd caption colgroup td th tr tbody thead tfoot".split())
 LISTS, ITEMS = frozenset("ul ol dl dir".split()), frozenset("li dt dd".split())
 # elements that are never article text
 GONE = frozenset(
@@ -165,8 +181,8 @@ def _kept(holders: list[tuple[str, list[_Element]]], n_titles: int) -> tuple[set
     return kept | weak, weak, not least
 
 
-def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int]]]:
-    """The blocks of the content, each with the elements it stands in, and (element, hash) of the subtrees."""
+def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, bool]]]:
+    """The blocks of the content, each with the elements it stands in, and (element, hash, whether of ``FRAGMENTS``) of the subtrees."""
     content, kept = _parse(page, (set(), set(), True))
     return _parse(page, kept)[0] if kept[0] else content  # the elements are numbered alike in both
 
@@ -176,7 +192,7 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
     blocks: list[tuple[str, list[int], int, bool, int, bool]] = []
     holders: list[tuple[str, list[_Element]]] = []
     n_titles = 0
-    subtrees: list[tuple[int, int]] = []
+    subtrees: list[tuple[int, int, bool]] = []
     stack = [_Element("", False, False, frozenset(), 0, False, 0)]
     count, at = 1, 0
     links = 0  # inside a link: how many elements were open where it began
@@ -208,7 +224,7 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
             if e.anchor:
                 stack[-1].anchor = True
             else:
-                subtrees.append((e.index, int.from_bytes(digest, "little", signed=True)))
+                subtrees.append((e.index, int.from_bytes(digest, "little", signed=True), e.tag in FRAGMENTS))
         elif e.anchor:
             stack[-1].anchor = True
 
@@ -325,18 +341,39 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
     return content, _kept(holders, n_titles)
 
 
-_OUTLINE = T.StructType([T.StructField("content", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+_OUTLINE = T.StructType([T.StructField("content", T.LongType()), T.StructField("size", T.LongType())] + [
+    T.StructField(name, T.ArrayType(kind)) for name, kind in (
+        ("hashes", T.LongType()), ("sizes", T.LongType()), ("fragments", T.BooleanType()), ("shingles", T.LongType()), ("weights", T.LongType()))])
+
+
+def _number(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def outline_page(page: str | None) -> tuple:
+    """A hash of the page's content and its characters; the distinct subtrees with theirs; two shingles of each block, weighted with its."""
+    blocks, subtrees = parse_page(page)
+    inside: dict[int, int] = {}
+    shingles: dict[int, int] = {}
+    for text, elements in blocks:
+        for e in elements:
+            inside[e] = inside.get(e, 0) + len(text)
+        words = text.encode("utf-8", "replace").split()
+        parts = [b" ".join(x) for x in zip(*(words[k:] for k in range(SHINGLE)))] or [b" ".join(words)]  # noqa: B905 - of different length
+        for part in (min(parts, key=crc32), max(parts, key=crc32)):
+            key = _number(part)
+            shingles[key] = shingles.get(key, 0) + len(text)
+    found: dict[int, list] = {}
+    for e, h, fragment in subtrees:
+        found.setdefault(h, [0, fragment])[0] += inside[e]
+    content = _number("\x00".join(b[0] for b in blocks).encode("utf-8", "replace"))
+    return (content, sum(len(b[0]) for b in blocks), list(found), [v[0] for v in found.values()], [v[1] for v in found.values()],
+            list(shingles), list(shingles.values()))
 
 
 @F.pandas_udf(_OUTLINE)
 def outline(pages: pd.Series) -> pd.DataFrame:
-    """A hash of the page's content and the distinct hashes of its subtrees."""
-    rows = []
-    for page in pages:
-        blocks, subtrees = parse_page(page)
-        content = hashlib.blake2b("\x00".join(b[0] for b in blocks).encode("utf-8", "replace"), digest_size=8).digest()
-        rows.append((int.from_bytes(content, "little", signed=True), list({h for _, h in subtrees})))
-    return pd.DataFrame(rows, columns=["content", "hashes"])
+    return pd.DataFrame([outline_page(page) for page in pages], columns=_OUTLINE.names)
 
 
 @F.pandas_udf(T.StringType())
@@ -347,33 +384,48 @@ def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
         blocks, subtrees = parse_page(page)
         if template is not None and len(template):
             known = set(template.tolist())
-            gone = {e for e, h in subtrees if h in known}
+            gone = {e for e, h, _ in subtrees if h in known}
             blocks = [b for b in blocks if gone.isdisjoint(b[1])]
         out.append("\n\n".join(b[0] for b in blocks))
     return pd.Series(out, dtype="object")
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                   few_pages: int = FEW_PAGES, part_share: float = PART_SHARE) -> DataFrame:
     """``host`` and ``hashes`` of the subtrees that recur on the host.
 
-    A host has at most 1 / ``min_share`` times as many as its pages have subtrees
+    A host has at most 1 / ``part_share`` times as many as its pages have subtrees
     on average, so a list does not grow with the number of pages.
     """
-    whole = F.array(F.lit(None).cast("bigint"))  # stands for the page itself
-    rows = (pages.where(F.col(url).isNotNull()).select(url_host(F.col(url)).alias("host"), outline(F.col(html)).alias("o"))
-            .select("host", "o.content", F.explode(F.concat("o.hashes", whole)).alias("hash")))
-    counts = rows.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sites = counts.where("hash IS NULL").select("host", F.col("n").alias("n_pages"))
-    often = counts.where("hash IS NOT NULL").join(sites, "host").where(F.col("n") >= min_share * F.col("n_pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
-
-
-def extract_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    outlines = materialize(pages.where(F.col(url).isNotNull()).select(url_host(F.col(url)).alias("host"), outline(F.col(html)).alias("o"))
+                           .select("host", "o.*"), "outlines")
+    key = ["host", "content"]
+    shingles = outlines.select(*key, F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select(*key, "s.*").distinct()
+    alone = shingles.groupBy("host", "shingles").agg(F.min("content").alias("content"), F.max("content").alias("other"), F.sum("weights").alias("weight"))
+    own = alone.where("content = other").groupBy(*key).agg(F.sum("weight").alias("own"))  # twice the characters: two shingles a block
+    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("hashes"), F.lit(0).cast("bigint").alias("sizes"), F.lit(True).alias("fragments")))  # the page itself
+    rows = outlines.select(*key, "size", F.explode(F.concat(F.arrays_zip("hashes", "sizes", "fragments"), whole)).alias("s")).select(*key, "size", "s.*")
+    rows = rows.distinct().join(own, key, "left")
+    different = F.coalesce(F.col("own"), F.lit(0)) >= F.greatest(F.lit(1.0), 2 * OWN_SHARE * (F.col("size") - F.col("sizes")))
+    counts = materialize(rows.groupBy("host", F.col("hashes").alias("hash")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((different & ~F.col("fragments")).cast("bigint")).alias("d"))
+        .where((F.col("n") >= min(min_pages, few_pages)) | F.col("hash").isNull()), "recurring")
+    n, d, n_pages = F.col("n"), F.col("d"), F.col("n_pages")
+    often = (n >= min_pages) & (n >= min_share * n_pages)
+    in_part = (d >= min_pages) & (d >= part_share * n_pages) & (d >= OWN_PAGES * n)
+    of_few = (d >= few_pages) & (d >= min_share * n_pages)
+    sites = counts.where("hash IS NULL").select("host", n.alias("n_pages"))
+    found = counts.where("hash IS NOT NULL").join(sites, "host").where(often | in_part | of_few)
+    return found.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+
+
+def extract_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                 few_pages: int = FEW_PAGES, part_share: float = PART_SHARE) -> DataFrame:
     """The pages' other columns, ``text`` and ``n_chars`` (code points)."""
     host, hashes, text = (unused(pages, c) for c in ("_host", "_hashes", "_text"))
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     # written, so that the planner knows its size: most often the pages need no shuffle for it
-    templates = materialize(site_templates(pages, url, html, min_pages, min_share), "site-templates")
+    templates = materialize(site_templates(pages, url, html, min_pages, min_share, few_pages, part_share), "site-templates")
     rows = pages.withColumn(host, F.when(F.col(url).isNotNull(), url_host(F.col(url))))
     rows = rows.join(templates.select(F.col("host").alias(host), F.col("hashes").alias(hashes)), host, "left")
     rows = rows.select(*keep, main_text(F.col(html), F.col(hashes)).alias(text))

@@ -76,3 +76,21 @@ def test_site_templates(spark):
     assert (got[200], got[None], got[201]) == ("n", "", "") and len(got[202]) == 99_999
     assert all(r.n_chars == len(r.text) for r in out)
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_templates_of_a_part_and_of_small_sites(spark):
+    rows = []
+    for i in range(100):  # a notice on 30 % of a host's pages, a heading and an item too
+        notice = "<div>Lesen Sie uns</div><p>every day</p><h2>Intro</h2><ul><li>yes<li>row " + f"{i}</ul>" if i % 10 < 3 else ""
+        rows.append((i, f"http://big.com/{i}", f"<article><p>own {i}</p>{notice}</article>"))
+    for i in range(5):
+        rows.append((200 + i, f"http://small.com/{i}", f"<article><p>own {i}</p><div>read us</div></article>"))
+    base = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(8)]
+    for i in range(40):  # edited copies of an article, each in three of its paragraphs, beside other articles
+        copy = [p.replace(f"x{(7 * i + k) % 50} ", f"x{i}new ") if (i + k) % 8 < 3 else p for k, p in enumerate(base)]
+        rows.append((300 + i, f"http://copies.com/{i}", "<article>" + "".join(f"<p>{p}</p>" for p in copy) + "</article>"))
+        rows += [(400 + 60 * m + i, f"http://copies.com/{m}/{i}", f"<article><p>other {i} {m}</p></article>") for m in range(2)]
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i].text == (f"own {i}\n\nIntro\n\nyes\n\nrow {i}" if i % 10 < 3 else f"own {i}") for i in range(100))
+    assert all(got[200 + i].text == f"own {i}" for i in range(5))
+    assert all(got[300 + i].text.count("\n\n") == 7 for i in range(40))
