@@ -15,7 +15,8 @@ of all documents share is spread like the documents.  A block is a bounded
 number of words and documents (a longer document is a block of its own).  The
 test items are a query set: they are taken in blocks of at most
 ``MAX_TEST_TERMS`` distinct terms, which bounds what each task gets with its
-code; more items mean more passes over the texts.
+code; more items mean more passes over the texts, which are then written once
+with an id for every row: the passes are joined on it, however Spark deals the files.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` (digits, a-z, all that is
 not ASCII).  A window is 13 consecutive words of an item; an item of fewer, but
@@ -48,7 +49,7 @@ BLOCK_DOCS = 4_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 DOC_ROWS = "\x00documents"  # no term contains this character
-_INDEX = "block string, term string, n_docs bigint, positions binary, keys array<string>"
+_INDEX = "block string, term string, n_docs bigint, positions binary, keys array<string>, uids array<string>"
 _SPANS = "uid string, key string, n_words bigint, spans array<struct<item_id:bigint,start:bigint,length:bigint,kind:string>>"
 
 
@@ -77,13 +78,14 @@ def test_blocks(items: DataFrame, key: str, text: str, max_terms: int) -> Iterat
 
 
 def build_index(docs: DataFrame, terms: set[bytes], key: str = "doc_id", text: str = "text", gap: int = WINDOW,
-                name: str = "postings") -> DataFrame:
+                name: str = "postings", uid: str | None = None) -> DataFrame:
     """The stored index: per block and term the positions, and one row per block with its documents.
 
     ``positions`` are little-endian int32 in the block's stream, in which
     documents stand ``gap`` words apart, so that no phrase runs from one into
     the next.  The row of the documents has their ids in ``keys`` and in
-    ``positions`` their starts and numbers of words.
+    ``positions`` their starts and numbers of words; ``uids`` has the values of the
+    column ``uid``, or else names that hold for this index alone.
     """
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +99,7 @@ def build_index(docs: DataFrame, terms: set[bytes], key: str = "doc_id", text: s
             number += 1
             lists: dict[bytes, list] = defaultdict(list)
             starts, counts, at = [], [], 0
-            for _, words in block:
+            for _, _, words in block:
                 starts.append(at)
                 counts.append(len(words))
                 for p, w in enumerate(words, at):
@@ -109,23 +111,25 @@ def build_index(docs: DataFrame, terms: set[bytes], key: str = "doc_id", text: s
             for w, ps in lists.items():
                 arr = np.array(ps, dtype="<i4")
                 n_docs = len(np.unique(np.searchsorted(starts_, arr, side="right")))
-                rows.append((f"{part}-{number}", w.decode("utf-8", "replace"), n_docs, arr.tobytes(), None))
-            rows.append((f"{part}-{number}", DOC_ROWS, len(block), np.array(starts + counts, dtype="<i4").tobytes(), [i for i, _ in block]))
-            return pd.DataFrame(rows, columns=["block", "term", "n_docs", "positions", "keys"])
+                rows.append((f"{part}-{number}", w.decode("utf-8", "replace"), n_docs, arr.tobytes(), None, None))
+            uids = [f"{part}-{number}-{d}" if u is None else u for d, (u, _, _) in enumerate(block)]
+            rows.append((f"{part}-{number}", DOC_ROWS, len(block), np.array(starts + counts, dtype="<i4").tobytes(), [i for _, i, _ in block], uids))
+            return pd.DataFrame(rows, columns=["block", "term", "n_docs", "positions", "keys", "uids"])
 
         n = 0
         for frame in frames:
-            for i, t in zip(frame["key"].tolist(), frame["text"].tolist(), strict=True):
+            for u, i, t in zip(frame["uid"].tolist(), frame["key"].tolist(), frame["text"].tolist(), strict=True):
                 words = words_of(t)
                 if block and (n + len(words) > BLOCK_WORDS or len(block) >= BLOCK_DOCS):
                     yield flush()
                     block, n = [], 0
-                block.append((i, words))
+                block.append((u, i, words))
                 n += len(words) + gap
         if block:
             yield flush()
 
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    own = F.lit(None) if uid is None else F.col(uid)
+    rows = docs.select(own.cast("string").alias("uid"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     return materialize(rows.mapInPandas(index, _INDEX), name)
 
 
@@ -172,12 +176,12 @@ def phrase_matches(index: DataFrame, items: list[tuple[int, str]], size: int = W
     plans = dict(plans)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        # the block of a row is not a column of its own here: a group is a block
         places: dict[bytes, np.ndarray] = {}
-        starts, counts, doc_keys = (), (), ()
-        for term, pos, keys in zip(frame["term"], frame["positions"], frame["keys"], strict=True):
+        starts, counts, doc_keys, doc_uids = (), (), (), ()
+        for term, pos, keys, uids in zip(frame["term"], frame["positions"], frame["keys"], frame["uids"], strict=True):
             if term == DOC_ROWS:
                 (starts, counts), doc_keys = np.frombuffer(pos, dtype="<i4").astype("int64").reshape(2, -1), keys
+                doc_uids = uids
             else:
                 places[term.encode()] = np.frombuffer(pos, dtype="<i4").astype("int64")
         spans: dict[int, set] = defaultdict(set)
@@ -205,9 +209,8 @@ def phrase_matches(index: DataFrame, items: list[tuple[int, str]], size: int = W
                     for s, length in _chains(places, w, order, slack).tolist():
                         if s not in exact or length != len(w):
                             add(s, length, ids, "proximity")
-        block = frame["block"].iloc[0]
         return pd.DataFrame({
-            "uid": [f"{block}-{d}" for d in range(len(starts))],
+            "uid": list(doc_uids),
             "key": list(doc_keys),
             "n_words": counts,
             "spans": [[{"item_id": i, "start": s, "length": n, "kind": k} for i, s, n, k in sorted(spans.get(d, ()))] for d in range(len(starts))],
@@ -221,14 +224,15 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """One row per document: ``uid``, ``key``, ``n_words`` and ``spans`` of all items."""
     gap = size + slack
     key_type = docs.schema[key].dataType
-    found = None
+    found, uid = None, None
     blocks = test_blocks(items, item_key, item_text, max_terms)
     first, second = next(blocks, None), next(blocks, None)
-    if second:  # several passes name the same documents only over files that do not change
-        docs = materialize(docs.select(key, text), "texts")
+    if second:  # several passes must name the same documents, so the names are written with them
+        uid = unused(docs, "_uid")
+        docs = materialize(docs.select(key, text, F.monotonically_increasing_id().alias(uid)), "texts")
     for block in chain((b for b in (first, second) if b), blocks):
         terms = {w for _, t in block for w in words_of(t)}
-        index = build_index(docs, terms, key, text, gap)
+        index = build_index(docs, terms, key, text, gap, uid=uid)
         part = phrase_matches(index, block, size, slack)
         if found is None:
             found = part

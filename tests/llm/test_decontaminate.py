@@ -58,6 +58,33 @@ def test_equals_brute_force(spark, monkeypatch, seed, max_terms, block_docs):
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == brute(docs, items)
 
 
+def test_passes_over_other_splits(spark, monkeypatch):
+    """The written texts are dealt to other partitions from the third pass on."""
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    plain = D.build_index
+    dealt = []
+
+    def build(docs, *args, **options):
+        if len(dealt) == 2:
+            for name in names:
+                spark.conf.set(name, "1")
+        again = docs.sparkSession.read.schema(docs.schema).parquet(*{f.rsplit("/", 1)[0] for f in docs.inputFiles()})  # planned anew
+        dealt.append(again.rdd.getNumPartitions())
+        return plain(again, *args, **options)
+
+    monkeypatch.setattr(D, "build_index", build)
+    monkeypatch.setattr(D, "BLOCK_DOCS", 7)
+    docs, items = corpus(3)
+    d = spark.createDataFrame(docs, "doc_id long, text string, _uid string").repartition(3)
+    try:
+        out = D.digest(D.contamination(d, spark.createDataFrame(items, "item_id long, text string"), max_terms=30)).collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert len(dealt) > 2 and len(set(dealt)) == 2
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == brute(docs, items)
+
+
 def test_rows_that_go(spark):
     docs, items = corpus(4)
     d = spark.createDataFrame(docs, "doc_id long, text string, _sha string")
