@@ -5,12 +5,13 @@ order falls back on the next shorter context as far as its context has been
 seen with few characters) are trained from the URLs that the rules accept and
 reject.  A URL without a rule is judged by the difference of the two
 log-likelihoods divided by its length, against a threshold calibrated on URLs
-left out of the training (every ``HOLD_OUT``-th by hash).
+left out of a first training (every ``HOLD_OUT``-th by hash); then their counts are added.
 
 Scale: characters are folded to ``SYMBOLS`` classes, so all n-gram counts of a
 model are one table of at most ``SYMBOLS ** ORDER`` cells (2.6 million), counted
 on the executors with partial aggregation and sent to them as one array: its
-size does not grow with the data.  All URLs count.
+size does not grow with the data.  All URLs count; those that differ only in the case of
+a-z, in digits or in other bytes (all that is not ASCII, and marks other than ``MARKS``) score alike.
 
 Rules: a rule is a host and a path.  It fits the host itself and its subdomains
 if the URL's path starts with the rule's path; of several the longest wins.
@@ -154,7 +155,7 @@ def scorer(spark, model: UrlModel):
 
 
 def train(labelled: DataFrame, url: str, accepted: str) -> UrlModel:
-    """Fit both models on four fifths (by hash) of the rows and calibrate the threshold on the rest.
+    """Fit both models on four fifths (by hash) of the rows, calibrate the threshold on the rest, and refit on all.
 
     The threshold is the score with the best balanced accuracy on the rows left
     out, the lowest of equal ones (accept when in doubt).
@@ -162,12 +163,19 @@ def train(labelled: DataFrame, url: str, accepted: str) -> UrlModel:
     spark = labelled.sparkSession
     rows = labelled.select(F.col(url).alias("u"), F.col(accepted).cast("int").alias("a")).where("a IS NOT NULL")
     held = F.pmod(F.xxhash64(F.coalesce("u", F.lit(""))), F.lit(HOLD_OUT)) == 0
-    counts = count_grams(rows.where(~held), "u", "a").toPandas()  # at most 2 * SYMBOLS ** ORDER rows
+    first, others = (count_grams(rows.where(part), "u", "a").toPandas() for part in (~held, held))  # at most 2 * SYMBOLS ** ORDER rows each
+    counts = pd.concat([first, others]).groupby(["g", "gram"], as_index=False)["n"].sum()
     if counts["g"].nunique() < 2:
         return UrlModel(None, 0.0)
-    logs = [log_probabilities(*(counts.loc[counts["g"] == g, c].to_numpy() for c in ("gram", "n"))) for g in (0, 1)]
-    model = UrlModel(logs[1] - logs[0], 0.0)
-    score = scorer(spark, model)
+
+    def ratio(counts: pd.DataFrame) -> np.ndarray:
+        logs = [log_probabilities(*(counts.loc[counts["g"] == g, c].to_numpy() for c in ("gram", "n"))) for g in (0, 1)]
+        return logs[1] - logs[0]
+
+    model = UrlModel(ratio(counts), 0.0)
+    if first["g"].nunique() < 2:
+        return model
+    score = scorer(spark, UrlModel(ratio(first), 0.0))
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((score("u") + REACH) / (2 * REACH) * BINS))).cast("int")
     seen = rows.where(held).select("a", bin_.alias("bin")).groupBy("a", "bin").count().collect()  # at most 2 * BINS rows
     table = np.zeros((2, BINS))

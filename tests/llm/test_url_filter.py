@@ -92,3 +92,10 @@ def test_without_training(spark):
     pages = spark.createDataFrame([(1, "http://a.b/"), (1, "http://a.b/"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in U.judge_urls(pages, []).collect()} == {"allow"}
     assert U.judge_urls(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_all_urls_count(spark):
+    rows = [(f"http://a.ok/{w}", 1) for w in "abcdefghijklmnop"] + [(f"http://b.no/{w}", 0) for w in "qrstuvwxyz"]
+    model = U.train(spark.createDataFrame(rows, "url string, ok int"), "url", "ok")
+    logs = [U.log_probabilities(*np.unique(U._grams([u for u, a in rows if a == g])[0], return_counts=True)) for g in (0, 1)]
+    assert np.array_equal(model.ratio, logs[1] - logs[0])
