@@ -88,8 +88,30 @@ SELECT coalesce(j.conv_id, r.conv_id) AS conv_id, coalesce(j.call_id, r.call_id)
 FROM judged j FULL JOIN results r ON r.conv_id = j.conv_id AND r.call_id = j.call_id
 """
 
+_COLLOCATIONS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_ASCII}) AS text FROM documents),
+p AS (SELECT r, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+grams AS (SELECT lang, k AS n, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM spots, range(1, 5) AS t(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, n, phrase, count(*) AS f FROM grams GROUP BY ALL),
+cand AS (SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE n > 1 AND f >= 30),
+cuts AS (SELECT lang, n, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:n], ' ') AS rp
+         FROM cand, range(1, 4) AS t(k) WHERE k < n),
+scored AS (SELECT c.lang, c.phrase, c.a, lf.f AS l, rf.f AS r, ((2000000::HUGEINT * a) // (lf.f + rf.f))::BIGINT AS score
+           FROM cuts c JOIN f lf ON lf.lang = c.lang AND lf.phrase = c.lp JOIN f rf ON rf.lang = c.lang AND rf.phrase = c.rp
+           QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS most
+          FROM cand, range(2, 4) AS t(m), range(1, 4) AS u(i) WHERE m < n AND i + m - 1 <= n GROUP BY 1, 2),
+kept AS (SELECT s.* FROM scored s LEFT JOIN parts USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE f.n = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, total.n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _QUALITY,
     "op9_benchmark_decontamination": _DECONTAMINATION,
     "op10_tool_call_linking": _TOOL_CALLS,
+    "op13_phrase_collocations": _COLLOCATIONS,
 }

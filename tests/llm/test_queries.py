@@ -9,7 +9,8 @@ from spendlens.llm.oracle import ORACLE_SQL
 from spendlens.llm.queries import QUERIES
 
 SF001 = "/root/testdata/sf0.001"
-NAMES = {"1": "packing", "2": "html", "3": "quality", "4": "warc", "5": "ngram", "6": "url", "7": "toxicity", "8": "lm", "9": "decontamination", "10": "tool"}
+NAMES = {"1": "packing", "2": "html", "3": "quality", "4": "warc", "5": "ngram", "6": "url", "7": "toxicity", "8": "lm", "9": "decontamination", "10": "tool",
+         "11": "prefix_trie", "12": "language", "13": "collocations"}
 
 
 def test_one_query_for_each_operator():
