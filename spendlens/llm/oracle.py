@@ -90,10 +90,15 @@ FROM judged j FULL JOIN results r ON r.conv_id = j.conv_id AND r.call_id = j.cal
 
 _COLLOCATIONS = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_ASCII}) AS text FROM documents),
-p AS (SELECT r, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-grams AS (SELECT lang, k AS n, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM spots, range(1, 5) AS t(k) WHERE i + k - 1 <= len(ws)),
+p AS (SELECT r, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS ps FROM d),
+q AS (SELECT r, lang, unnest(ps) AS piece, unnest(range(len(ps))) AS j FROM p),
+w AS (SELECT r, j, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM q),
+one AS (SELECT r, j, lang, unnest(ws) AS w1, unnest(range(len(ws))) AS i FROM w),
+next AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM one WINDOW o AS (PARTITION BY r, j ORDER BY i)),
+grams AS (SELECT lang, 1 AS n, w1 AS phrase FROM next
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM next WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM next WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM next WHERE w4 IS NOT NULL),
 f AS (SELECT lang, n, phrase, count(*) AS f FROM grams GROUP BY ALL),
 cand AS (SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE n > 1 AND f >= 30),
 cuts AS (SELECT lang, n, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:n], ' ') AS rp
