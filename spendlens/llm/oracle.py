@@ -114,9 +114,41 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
+_PREFIX_TRIE = """
+WITH RECURSIVE
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+crc(conv_id, k, c) AS (
+  SELECT conv_id, 0, 4294967295::BIGINT FROM own
+  UNION ALL
+  SELECT conv_id, k + 1, list_reduce([xor(c, ascii(substr(conv_id::VARCHAR, k + 1, 1))::BIGINT)] || range(8),
+           lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+  FROM crc WHERE k < length(conv_id::VARCHAR)),
+plan AS (SELECT o.conv_id, xor(c, 4294967295) % 6 AS h, o.conv_id - o.conv_id % 100 AS base FROM own o JOIN crc ON crc.conv_id = o.conv_id AND k = length(o.conv_id::VARCHAR)),
+rows AS (
+  SELECT p.conv_id, 0 AS part, t.pos, role, text FROM plan p JOIN t ON t.conv_id = p.base AND t.pos < p.h
+  UNION ALL
+  SELECT p.conv_id, 1, t.pos, role, text FROM plan p JOIN t ON t.conv_id = p.conv_id AND t.pos >= p.h),
+whole AS (SELECT p.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY part, pos) FILTER (WHERE role IS NOT NULL), []) AS ts
+          FROM plan p LEFT JOIN rows r ON r.conv_id = p.conv_id GROUP BY 1),
+paths AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM whole),
+nodes AS (SELECT ts[1:d] AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN length(ts[d].text) ELSE 0 END AS cp,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(ts) = d), '') AS ends
+          FROM paths GROUP BY ALL),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (node)),
+up AS (SELECT node[1:a] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * cp)::BIGINT AS saved
+       FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN up u ON u.node = f.node LEFT JOIN nodes p ON f.d > 0 AND p.node = f.node[1:f.d - 1]
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _QUALITY,
     "op9_benchmark_decontamination": _DECONTAMINATION,
     "op10_tool_call_linking": _TOOL_CALLS,
+    "op11_prefix_trie": _PREFIX_TRIE,
     "op13_phrase_collocations": _COLLOCATIONS,
 }

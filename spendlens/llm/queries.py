@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm import collocations, decontaminate, html_extract, language_id, lattice_lm, ngram_join, packing, quality, tool_calls, toxicity, url_filter, warc
+from spendlens.llm import collocations, decontaminate, html_extract, language_id, lattice_lm, ngram_join, packing, prefix_trie, quality, tool_calls, toxicity, url_filter, warc
 from spendlens.llm.common import prepare, read_table
 
 
@@ -98,6 +98,11 @@ def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_tool_calls(calls, results, TOOLS).withColumn("errors", F.array_join("errors", "; "))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt_conversations(prefix_trie.number_turns(read_table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie_report(prefix_trie.prefix_paths(turns, convs))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _shi
     op8_lm_scoring,
     op9_benchmark_decontamination,
     op10_tool_call_linking,
+    op11_prefix_trie,
     op12_language_id,
     op13_phrase_collocations,
 )}
