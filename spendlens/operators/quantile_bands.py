@@ -1,6 +1,6 @@
-"""Exact quantile bands (deciles) without a one-partition sort.
+"""Exact quantile bands (deciles), per group, by distributed multi-rank selection.
 
-Band rule (0-based order statistics x_(k) of the n non-null values):
+Band rule (0-based order statistics x_(k) of the n non-null values of a group):
 
     e_i = x_(floor((n - 1) * i / q)),  i = 0..q
     band(x) = 1 + #{ i in 1..q-1 : x > e_i }
@@ -10,139 +10,226 @@ evaluated on integer positions: no value lies strictly between two adjacent
 order statistics, so comparing with the lower one decides, with no float
 interpolation.  Duplicate edges raise, like the analysed workload, or merge.
 
-Finding the q+1 order statistics is distributed in three bounded passes:
-1. approximate quantiles (a mergeable sketch) give up to ``n_buckets`` split
-   points, shared by all groups;
-2. a bucket id per row (binary search, JVM-side) and counts per
-   (group, bucket) - at most ``max_groups`` x ``n_buckets`` rows reach the driver
-   (more groups are an error, not an approximation);
-3. only the buckets that hold a wanted rank are aggregated to (value, count)
-   and ranked by a window partitioned by (group, bucket); each partition is
-   one bucket, so about n / n_buckets values, and a value repeated by a third
-   of all rows collapses to one row in the partial aggregate.
+``quantile_edges`` finds the order statistics of all groups in one plan whose
+size depends neither on the number of groups nor on q; edges are rows, and
+nothing is collected.  A *part* is a group, or an interval of one that holds a
+wanted rank.  Parts of at most ``leaf_rows`` values are aggregated to (value,
+count) and ranked by running counts.  A larger part is cut: a mergeable sketch
+gives it up to ``splits`` split values, a row's cell is its place among them
+(the values equal to a split are a cell of their own, so a value repeated by a
+third of all rows is settled by its count), running counts of the cells say
+which wanted ranks a cell covers, and the cells that cover any are the next
+parts.  A round keeps about (q + 1) / ``splits`` of the rows, so a few rounds
+reach any size, and every cell is smaller than its part, so it always ends.
+Which ranks a value covers is arithmetic on its running count; no list of
+targets is joined.  The only job while building asks for the largest part.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from fractions import Fraction
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = "__all__"
+from spendlens.operators.attach import attach
+from spendlens.session import reused
 
-
-def _positions(n: int, q: int) -> list[tuple[int, int, Fraction]]:
-    """(floor, ceil, fraction) of h_i = (n - 1) * i / q, exactly."""
-    out = []
-    for i in range(q + 1):
-        f, r = divmod((n - 1) * i, q)
-        out.append((f, f + 1 if r else f, Fraction(r, q)))
-    return out
-
-
-def _targets(n: int, q: int) -> list[int]:
-    return sorted({k for f, c, _ in _positions(n, q) for k in (f, c)})
+LEAF_ROWS = 250_000
+SPLITS = 64
+_KEY = ["_g", "_part"]
 
 
 class Edges(list):
-    """Lower order statistics e_0..e_q (what the band rule compares with),
-    plus the exact linear-interpolated edges used to detect duplicates."""
+    """Lower order statistics e_0..e_q (what the band rule compares with); ``interpolated``: the exact cut points;
+    ``again``: cut i equals cut i - 1."""
 
-    def __init__(self, lower, interpolated):
+    def __init__(self, lower, interpolated, again):
         super().__init__(lower)
-        self.interpolated = interpolated
+        self.interpolated, self.again = interpolated, again
 
 
-def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None,
-                         n_buckets: int = 1024, relative_error: float = 1e-3, max_groups: int = 1000) -> dict:
-    """Return {group: Edges([e_0, ..., e_q])}; null is a group like any other.
+def _covered(lo: Column, hi: Column, last: Column, q: int, up: int) -> tuple[Column, Column]:
+    """The first and last i of 0..q whose position (n - 1) * i / q, rounded down (``up`` 0) or up (1), is a rank of [lo, hi).
 
-    ``df`` is read three times: pass a narrow frame, persisted if it is costly.
+    ``last`` is n - 1; everything is integer arithmetic.
     """
-    g = F.col(by) if by else F.lit(_ALL)
-    vals = df.select(g.alias("g"), F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    approx = vals.approxQuantile("v", probs, relative_error)
-    splits = [float("-inf")] + sorted(set(approx)) + [float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vals)
-    counts = bucketed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c")).limit(max_groups * (n_buckets + 1) + 1).collect()
-    if len({r["g"] for r in counts}) > max_groups:
-        raise ValueError(f"{col} has more than {max_groups} groups in {by}")
-    per_group = defaultdict(dict)
-    for r in counts:
-        per_group[r["g"]][int(r["b"])] = int(r["c"])
-    wanted = []  # (group, bucket, local rank, global rank)
-    sizes = {}
-    for grp, bc in per_group.items():
-        n = sizes[grp] = sum(bc.values())
-        offsets, acc = {}, 0
-        for b in sorted(bc):
-            offsets[b] = acc
-            acc += bc[b]
-        for k in _targets(n, q):
-            for b in sorted(bc):
-                if offsets[b] <= k < offsets[b] + bc[b]:
-                    wanted.append((grp, b, k - offsets[b], k))
-                    break
-    stats = {grp: {} for grp in per_group}
-    if wanted:
-        cells = {(grp, b): None for grp, b, _, _ in wanted}
-        keep = None
-        for grp, b in cells:
-            c = F.col("g").eqNullSafe(F.lit(grp)) & (F.col("b") == F.lit(float(b)))
-            keep = c if keep is None else keep | c
-        w = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = (bucketed.where(keep).groupBy("g", "b", "v").agg(F.count(F.lit(1)).alias("c"))
-                  .withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c")))
-        pick = None
-        for grp, b, lk, _ in wanted:
-            c = (F.col("g").eqNullSafe(F.lit(grp)) & (F.col("b") == F.lit(float(b)))
-                 & (F.col("lo") <= lk) & (F.col("hi") > lk))
-            pick = c if pick is None else pick | c
-        found = ranked.where(pick).select("g", "b", "v", "lo", "hi").collect()
-        for grp, b, lk, k in wanted:
-            for r in found:
-                if r["g"] == grp and int(r["b"]) == b and r["lo"] <= lk < r["hi"]:
-                    stats[grp][k] = r["v"]
-    result = {}
-    for grp, st in stats.items():
-        pos = _positions(sizes[grp], q)
-        lower = [st[f] for f, _, _ in pos]
-        interp = [Fraction(st[f]) + fr * (Fraction(st[c]) - Fraction(st[f])) for f, c, fr in pos]
-        result[grp] = Edges(lower, interp)
-    if not by:
-        return {None: result.get(_ALL, Edges([], []))}
-    return result
+    def floor_div(a: Column) -> Column:  # a / last for last > 0, rounded down
+        return F.floor((a - F.pmod(a, last)) / last).cast("long")
 
+    if up:  # ceil(p) >= lo  <=>  p > lo - 1, and ceil(p) < hi  <=>  p <= hi - 1
+        first, final = floor_div((lo - 1) * q) + 1, floor_div((hi - 1) * q)
+    else:  # floor(p) >= lo  <=>  p >= lo, and floor(p) < hi  <=>  p < hi
+        first, final = -floor_div(-lo * q), -floor_div(-hi * q) - 1
+    one = last == 0  # a single value: all positions are 0
+    hit = (lo <= 0) & (hi > 0)
+    return (F.when(one, F.when(hit, 0).otherwise(1)).otherwise(F.greatest(first, F.lit(0))),
+            F.when(one, F.when(hit, q).otherwise(0)).otherwise(F.least(final, F.lit(q))))
+
+
+def _hits(ranked: DataFrame, q: int) -> DataFrame:
+    """``(_g, i, n, lower, upper)`` of the wanted ranks that values ``_v`` with ranks [_lo, _hi) cover."""
+    out = []
+    for up, name in ((0, "lower"), (1, "upper")):
+        first, final = _covered(F.col("_lo"), F.col("_hi"), F.col("_n") - 1, q, up)
+        at = ranked.withColumns({"_first": first, "_final": final}).where(F.col("_first") <= F.col("_final"))
+        at = at.withColumn("i", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_final").cast("int"))))
+        value, other = F.col("_v").alias(name), F.lit(None).cast("double").alias("upper" if name == "lower" else "lower")
+        out.append(at.select("_g", "i", F.col("_n").alias("n"), *([value, other] if name == "lower" else [other, value])))
+    return out[0].unionByName(out[1])
+
+
+def _running(counted: DataFrame, order: str) -> DataFrame:
+    """Ranks [_lo, _hi) in the group, from counts ``c`` in the order of ``order`` within the part."""
+    within = Window.partitionBy(*_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_hi", F.sum("c").over(within) + F.col("_before")).withColumn("_lo", F.col("_hi") - F.col("c"))
 
-def check_edges(edges: list, on_duplicates: str = "raise") -> list:
-    """Interior edges used by the band rule, after the duplicate policy.
 
-    Duplicates are judged on the interpolated edges (two equal lower order
-    statistics need not give equal cut points).  ``merge`` drops repeated
-    cut points, as a quantile cut that drops duplicate bins does; each kept
-    cut point is compared through its lower order statistic.
+def quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None, leaf_rows: int = LEAF_ROWS, splits: int = SPLITS) -> DataFrame:
+    """``(group, i, n, lower, upper)``: for each group and i of 0..q the order statistics around position (n - 1) * i / q.
+
+    ``lower`` is e_i.  The group column has ``by``'s name (``group`` for the whole
+    frame); null is a group like any other; null and NaN values are none, and a
+    group without values has no edges; infinities are values.
+    """
+    group = F.col(by) if by else F.lit(0)
+    v = F.col(col).cast("double")
+    rows = df.select(group.alias("_g"), F.lit("").alias("_part"), v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    whole = reused(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_size")).withColumns({"_n": F.col("_size"), "_before": F.lit(0).cast("long")}))
+    parts, found, leaves = whole, [], []
+    count = F.count(F.lit(1)).alias("c")
+    while True:
+        largest = parts.agg(F.max("_size")).first()[0] or 0
+        if largest <= leaf_rows:
+            leaves.append(attach(rows.groupBy(*_KEY, "_v").agg(count), parts, _KEY, spread="_v"))
+            break
+        small = attach(rows, parts.where(F.col("_size") <= leaf_rows), _KEY, spread="_v")
+        leaves.append(small.groupBy(*_KEY, "_n", "_before", "_size", "_v").agg(count))
+        rows, parts, settled = _cut(rows, parts.where(F.col("_size") > leaf_rows), q, splits)
+        found.append(settled)
+    values = leaves[0]
+    for leaf in leaves[1:]:
+        values = values.unionByName(leaf)
+    edges = _hits(_running(values, "_v"), q)
+    for settled in found:
+        edges = edges.unionByName(settled)
+    edges = edges.groupBy("_g", "i", "n").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    return edges.withColumnRenamed("_g", by or "group")
+
+
+def _cut(rows: DataFrame, big: DataFrame, q: int, splits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: the rows and the parts that go on, and the edges settled by repeated values."""
+    grid = [k / splits for k in range(1, splits)]
+    inside = attach(rows, big, _KEY, spread="_v")
+    sketch = inside.groupBy(*_KEY).agg(F.percentile_approx("_v", grid, 100 * splits).alias("_at")).withColumn("_at", F.array_sort(F.array_distinct("_at")))
+    inside = attach(inside, sketch, _KEY, spread="_v")
+    cell = F.size(F.filter("_at", lambda s: s < F.col("_v"))) * 2 + F.array_contains("_at", F.col("_v")).cast("int")
+    celled = inside.withColumn("_cell", cell)
+    counted = celled.groupBy(*_KEY, "_n", "_before", "_cell").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("_v"))
+    ranked = reused(_running(counted, "_cell"))
+    last = F.col("_n") - 1
+    wanted = [first <= final for first, final in (_covered(F.col("_lo"), F.col("_hi"), last, q, up) for up in (0, 1))]
+    settled = F.col("_cell") % 2 == 1
+    part = F.concat_ws(".", "_part", F.col("_cell").cast("string"))
+    open_cells = ranked.where(~settled & (wanted[0] | wanted[1]))
+    parts = open_cells.select("_g", part.alias("_part"), F.col("c").alias("_size"), "_n", F.col("_lo").alias("_before"))
+    going = celled.where(F.col("_cell") % 2 == 0).select("_g", part.alias("_part"), "_v")
+    return going, parts, _hits(ranked.where(settled), q)
+
+
+def _edge_lists(edges: DataFrame, group: str) -> DataFrame:
+    """``(group, lower, upper)``: the edges of a group as arrays (q + 1 long)."""
+    each = F.sort_array(F.collect_list(F.struct("i", "lower", "upper")))
+    return edges.groupBy(group).agg(each.alias("_e")).select(group, F.col("_e.lower").alias("lower"), F.col("_e.upper").alias("upper"))
+
+
+def interior_edges(edges: DataFrame, group: str = "group", on_duplicates: str = "raise") -> DataFrame:
+    """``(group, interior)``: the edges that the band rule compares with, after the duplicate policy.
+
+    Duplicates are judged on the interpolated cut points (two equal lower order
+    statistics need not give equal ones): cut i + 1 equals cut i when the upper
+    statistic of i + 1 is the lower one of i.  ``raise`` fails the job, ``merge``
+    drops the repeated cut, as a quantile cut that drops duplicate bins does.
     """
+    if on_duplicates not in ("raise", "merge"):
+        raise ValueError(f"unknown on_duplicates {on_duplicates!r}")
+    lists = _edge_lists(edges, group)
+    inner = F.expr("transform(sequence(1, size(lower) - 2), k -> struct(lower[k] AS e, upper[k] = lower[k - 1] AS again))")
+    again = F.expr("exists(sequence(1, size(lower) - 1), k -> upper[k] = lower[k - 1])")
+    if on_duplicates == "merge":
+        kept = F.filter(inner, lambda x: ~x["again"])
+    else:
+        shown = F.concat(F.lit("Bin edges must be unique: "), F.array_join(F.transform("lower", lambda x: x.cast("string")), ", "))
+        kept = F.when(again, F.raise_error(shown).cast("array<struct<e:double,again:boolean>>")).otherwise(inner)
+    return lists.select(group, F.transform(kept, lambda x: x["e"]).alias("interior"))
+
+
+def with_group_band(df: DataFrame, col: str, by: str, edges: DataFrame, out: str = "band", on_duplicates: str = "raise") -> DataFrame:
+    """Add ``out``: the band of ``col`` among the edges of the row's group (null without a value or edges)."""
+    value = F.col(col).cast("double")
+    joined = attach(df, interior_edges(edges, by, on_duplicates).withColumnRenamed("interior", "_interior"), [by], spread=col, how="left")
+    band = F.size(F.filter("_interior", lambda e: e < value)) + 1
+    return joined.withColumn(out, F.when(value.isNotNull() & F.col("_interior").isNotNull(), band)).drop("_interior")
+
+
+def band_bounds(edges: DataFrame, by: str) -> DataFrame:
+    """``(by, band, lo, hi)``: the lower order statistics around each band."""
+    lists = _edge_lists(edges, by)
+    return lists.select(by, F.posexplode(F.expr("transform(sequence(1, size(lower) - 1), k -> struct(lower[k - 1] AS lo, lower[k] AS hi))")).alias("k", "r")) \
+        .select(by, (F.col("k") + 1).alias("band"), "r.lo", "r.hi")
+
+
+def _decimal_text(x: Column, precision: int) -> Column:
+    """A rounded double in plain notation, at least one digit after the point."""
+    text = F.regexp_replace(F.regexp_replace(x.cast(f"decimal(38,{precision})").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(x.isin(float("inf"), float("-inf")), F.lower(F.substring(x.cast("string"), 1, 4))).otherwise(text)
+
+
+def band_intervals(edges: DataFrame, by: str, precision: int = 3) -> DataFrame:
+    """``(by, band, lo, hi, label)`` of every band: the interpolated cut points ``(lo, hi]`` at ``precision`` decimals,
+    the lowest nudged down so that it lies inside."""
+    q = F.max("i").over(Window.partitionBy(by))  # q + 1 rows a group
+    part = F.pmod((F.col("n") - 1) * F.col("i"), F.col("q")) / F.col("q")
+    cut = F.col("lower") + F.when(F.col("upper") == F.col("lower"), 0.0).otherwise((F.col("upper") - F.col("lower")) * part)
+    cuts = edges.withColumn("q", q).select(by, "i", F.round(cut, precision).alias("cut"))
+    cuts = cuts.withColumn("cut", F.when(F.col("i") == 0, F.round(F.col("cut") - 10.0 ** -precision, precision)).otherwise(F.col("cut")))
+    before = F.lag("cut").over(Window.partitionBy(by).orderBy("i"))
+    bands = cuts.withColumn("lo", before).where("i > 0").select(by, F.col("i").alias("band"), "lo", F.col("cut").alias("hi"))
+    label = F.concat(F.lit("("), _decimal_text(F.col("lo"), precision), F.lit(", "), _decimal_text(F.col("hi"), precision), F.lit("]"))
+    return bands.withColumn("label", label)
+
+
+def exact_quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None, **options) -> dict:
+    """The same as {group: Edges([e_0, ..., e_q])}, for a caller with few groups: (q + 1) rows a group are collected."""
+    rows = quantile_edges(df, col, q, by, **options).collect()
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[by] if by else None, {})[r.i] = r
+    out = {}
+    for g, found in groups.items():
+        lower, upper = ([getattr(found[i], side) for i in range(q + 1)] for side in ("lower", "upper"))
+        again = [i > 0 and upper[i] == lower[i - 1] for i in range(q + 1)]
+        out[g] = Edges(lower, [_interpolated(found[i], q) for i in range(q + 1)], again)
+    return out if by else {None: out.get(None, Edges([], [], []))}
+
+
+def _interpolated(row, q: int):
+    infinite = [x for x in (row.lower, row.upper) if abs(x) == float("inf")]
+    if infinite:
+        return infinite[0]
+    return Fraction(row.lower) + Fraction((row.n - 1) * row.i % q, q) * (Fraction(row.upper) - Fraction(row.lower))
+
+
+def check_edges(edges: list, on_duplicates: str = "raise") -> list:
+    """Interior edges of one group used by the band rule, after the duplicate policy (see ``interior_edges``)."""
     if not edges:
         return []
-    interp = getattr(edges, "interpolated", None) or [Fraction(e) for e in edges]
-    if len(set(interp)) < len(interp):
-        if on_duplicates == "raise":
-            raise ValueError(f"Bin edges must be unique: {[float(x) for x in interp]}")
-        if on_duplicates != "merge":
-            raise ValueError(f"unknown on_duplicates {on_duplicates!r}")
-        keep, seen = [], {interp[0]}
-        for e, cut in zip(list(edges)[1:-1], interp[1:-1]):
-            if cut not in seen:
-                seen.add(cut)
-                keep.append(e)
-        return keep
-    return list(edges[1:-1])
+    again = getattr(edges, "again", None) or [i > 0 and e == edges[i - 1] for i, e in enumerate(edges)]
+    if on_duplicates not in ("raise", "merge"):
+        raise ValueError(f"unknown on_duplicates {on_duplicates!r}")
+    if any(again) and on_duplicates == "raise":
+        raise ValueError(f"Bin edges must be unique: {list(edges)}")
+    return [e for e, same in list(zip(edges, again, strict=True))[1:-1] if not same]
 
 
 def band_expr(x: Column, interior: list) -> Column:
@@ -156,31 +243,7 @@ def band_expr(x: Column, interior: list) -> Column:
 
 
 def with_value_band(df: DataFrame, col: str, out: str = "value_band", q: int = 10,
-                    on_duplicates: str = "raise", **kw) -> DataFrame:
-    """Add ``out`` = decile band of ``col`` over the whole frame."""
-    edges = exact_quantile_edges(df, col, q, **kw)[None]
+                    on_duplicates: str = "raise", **options) -> DataFrame:
+    """Add ``out`` = decile band of ``col`` over the whole frame (its q + 1 edges are literals of the plan)."""
+    edges = exact_quantile_edges(df, col, q, **options)[None]
     return df.withColumn(out, band_expr(F.col(col), check_edges(edges, on_duplicates)))
-
-
-def grouped_band_expr(x: Column, group: Column, edges_by_group: dict,
-                      on_duplicates: str = "raise") -> Column:
-    """Band of x against the edges of its own group."""
-    out = F.lit(None).cast("int")
-    for grp, edges in edges_by_group.items():
-        own = band_expr(x, check_edges(edges, on_duplicates))
-        out = F.when(group.eqNullSafe(F.lit(grp)), own).otherwise(out)
-    return out
-
-
-def interval_rows(edges_by_group: dict, precision: int = 3) -> list[tuple]:
-    """(group, band, lo, hi, label) of every band: the interpolated cut points
-    ``(lo, hi]`` at ``precision`` decimals, the lowest nudged down so that it lies
-    inside.  A handful of rows per group."""
-    rows = []
-    for grp, edges in edges_by_group.items():
-        if edges:
-            check_edges(edges)
-            cuts = [round(float(c), precision) for c in edges.interpolated]
-            cuts[0] = round(cuts[0] - 10 ** -precision, precision)
-            rows += [(grp, k + 1, lo, hi, f"({lo}, {hi}]") for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return rows

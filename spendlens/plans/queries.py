@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spendlens.operators.attach import attach
 from spendlens.operators.balance import balance, balance_diagnostics, balance_quota, mark_sample, stratum_shares
 from spendlens.operators.crosstab import crosstab_margins
-from spendlens.operators.quantile_bands import exact_quantile_edges, grouped_band_expr, interval_rows, with_value_band
+from spendlens.operators.quantile_bands import band_bounds, band_intervals, quantile_edges, with_group_band, with_value_band
 from spendlens.operators.share import group_share
 from spendlens.operators.summary import level_counts, summarize_categorical, summarize_continuous, summarize_levels
 from spendlens.plans.cohorts import REF_STRATA, cohort_frames, explode_cohorts, variant_share
@@ -177,26 +177,24 @@ def q_value_band(spark, sf_dir):
 
 
 def _cohort_bands(spark, sf_dir, columns: Sequence[str] = ()):
-    members = reused(base(spark, sf_dir, ["survey_dt", "stage"]).select("cust_value", "survey_dt", "stage", *columns))
-    members = explode_cohorts(members, COHORTS)
-    edges = exact_quantile_edges(members, "cust_value", 10, by="cohort")
-    return members.withColumn("band", grouped_band_expr(F.col("cust_value"), F.col("cohort"), edges)), edges
+    """Members of the raw cohorts with the value band recut within each cohort, and the edges."""
+    members = explode_cohorts(base(spark, sf_dir, ["survey_dt", "stage"]), COHORTS)
+    members = reused(members.select("cohort", "cust_value", *columns))
+    edges = reused(quantile_edges(members, "cust_value", 10, by="cohort"))
+    return with_group_band(members, "cust_value", "cohort", edges), edges
 
 
 def q_value_band_edges(spark, sf_dir):
     members, edges = _cohort_bands(spark, sf_dir)
     counts = members.where("band IS NOT NULL").groupBy("cohort", "band").agg(F.count(F.lit(1)).alias("n"))
-    rows = [(g, k + 1, float(lo), float(hi)) for g, e in edges.items() for k, (lo, hi) in enumerate(zip(e, e[1:], strict=False))]
-    bounds = spark.createDataFrame(rows, "cohort string, band int, lo double, hi double")
-    return attach(counts, bounds, ["cohort", "band"]).select("cohort", "band", "lo", "hi", "n")
+    return attach(counts, band_bounds(edges, "cohort"), ["cohort", "band"]).select("cohort", "band", "lo", "hi", "n")
 
 
 def q_value_band_intervals(spark, sf_dir):
     """The bands recut per cohort as intervals of the interpolated cut points."""
     members, edges = _cohort_bands(spark, sf_dir)
     counts = members.groupBy("cohort", "band").agg(F.count(F.lit(1)).alias("n"))
-    intervals = spark.createDataFrame(interval_rows(edges), "cohort string, band int, lo double, hi double, label string")
-    return attach(counts, intervals, ["cohort", "band"], how="left").select("cohort", "band", "lo", "hi", "label", "n")
+    return attach(counts, band_intervals(edges, "cohort"), ["cohort", "band"], how="left").select("cohort", "band", "lo", "hi", "label", "n")
 
 
 def q_cohort_band_profile(spark, sf_dir):

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spendlens.operators.quantile_bands import (band_expr, check_edges, exact_quantile_edges,
-                                                grouped_band_expr, interval_rows, with_value_band)
+from spendlens.operators.quantile_bands import (band_bounds, band_expr, band_intervals, check_edges, exact_quantile_edges,
+                                                quantile_edges, with_group_band, with_value_band)
 
 
 def brute_edges(values, q=10):
@@ -45,33 +45,88 @@ def test_random_against_brute_force(spark, seed):
             for _ in range(n)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double") \
         .repartition(5)
-    # tiny bucket count forces the multi-bucket path and buckets with many ranks
-    edges = exact_quantile_edges(df, "v", n_buckets=7, relative_error=0.05)[None]
+    # tiny parts force several rounds, and cells with many ranks
+    edges = exact_quantile_edges(df, "v", leaf_rows=9, splits=4)[None]
     assert list(edges) == brute_edges(vals)
     if len(set(edges.interpolated)) == len(edges):
-        got = {r.id: r.b for r in with_value_band(df, "v", "b", n_buckets=7).collect()}
+        got = {r.id: r.b for r in with_value_band(df, "v", "b", leaf_rows=60).collect()}
         assert all(got[i] == brute_band(v, edges) for i, v in enumerate(vals))
 
 
 def test_null_is_a_group(spark):
     rows = [(None, float(i)) for i in range(21)] + [("b", float(-i)) for i in range(31)] + [("b", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    e = exact_quantile_edges(df, "v", by="g")
-    assert list(e[None]) == brute_edges([float(i) for i in range(21)])
-    out = {(r.g, r.v): r.b for r in df.withColumn("b", grouped_band_expr(F.col("v"), F.col("g"), e)).collect()}
+    assert list(exact_quantile_edges(df, "v", by="g")[None]) == brute_edges([float(i) for i in range(21)])
+    out = {(r.g, r.v): r.b for r in with_group_band(df, "v", "g", quantile_edges(df, "v", by="g"), "b").collect()}
     assert out[None, 0.0] == 1 and out[None, 20.0] == 10 and out["b", None] is None
 
 
-def test_too_many_groups_is_an_error(spark):
-    df = spark.range(30).select(F.col("id").cast("string").alias("g"), F.col("id").cast("double").alias("v"))
-    with pytest.raises(ValueError):
-        exact_quantile_edges(df, "v", by="g", n_buckets=4, max_groups=5)
+@pytest.mark.parametrize(("leaf_rows", "splits"), [(250_000, 64), (20, 4)])
+def test_thousands_of_groups_in_one_plan(spark, leaf_rows, splits):
+    """2,000 groups of one to sixty values, a null group, infinities, repeats, NaN and null values."""
+    rnd = random.Random(9)
+    special = [float("inf"), float("-inf"), 0.0, -0.0, 1e300]
+    rows = []
+    for g in [None, *range(2000)]:
+        for _ in range(rnd.randint(1, 60)):
+            rows.append((g, rnd.choice(special) if rnd.random() < 0.05 else rnd.uniform(-9, 9) if rnd.random() < 0.8 else float(rnd.randint(0, 3))))
+        rows += [(g, None), (g, float("nan"))]
+    rows.append((5000, None))  # a group without values has no edges
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    got = {}
+    for r in quantile_edges(df, "v", by="g", leaf_rows=leaf_rows, splits=splits).collect():
+        got.setdefault(r.g, {})[r.i] = (r.n, r.lower, r.upper)
+    values = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            values.setdefault(g, []).append(v)
+    assert got.keys() == values.keys()
+    for g, vs in values.items():
+        xs, last = sorted(vs), len(vs) - 1
+        assert got[g] == {i: (len(vs), xs[last * i // 10], xs[-(-last * i // 10)]) for i in range(11)}
+
+
+def test_bands_of_many_groups(spark):
+    rnd = random.Random(11)
+    rows = [(g, rnd.uniform(-5, 5)) for g in [None, "a", "b", "c"] for _ in range(rnd.randint(20, 90))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    edges = quantile_edges(df, "v", by="g", leaf_rows=15, splits=3)
+    for r in with_group_band(df, "v", "g", edges).collect():
+        assert r.band == brute_band(r.v, brute_edges([v for g, v in rows if g == r.g]))
+    bounds = {(r.g, r.band): (r.lo, r.hi) for r in band_bounds(edges, "g").collect()}
+    own = brute_edges([v for g, v in rows if g == "a"])
+    assert [bounds["a", k + 1] for k in range(10)] == list(zip(own, own[1:]))
+
+
+def test_duplicates_in_a_group(spark):
+    rows = [("a", 0.0)] * 8 + [("a", 1.0), ("a", 2.0)] + [("b", float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    edges = quantile_edges(df, "v", by="g")
+    with pytest.raises(Exception, match="Bin edges must be unique"):
+        with_group_band(df, "v", "g", edges).collect()
+    interior = check_edges(exact_quantile_edges(df, "v", by="g")["a"], "merge")
+    for r in with_group_band(df, "v", "g", edges, on_duplicates="merge").where("g = 'a'").collect():
+        assert r.band == 1 + sum(r.v > e for e in interior)
+
+
+def test_one_value_repeated_beyond_a_part(spark):
+    df = spark.createDataFrame([(7.0,)] * 500 + [(float(i),) for i in range(7)], "v double")
+    assert list(exact_quantile_edges(df, "v", leaf_rows=50, splits=4)[None]) == brute_edges([7.0] * 500 + [float(i) for i in range(7)])
+
+
+def test_plan_does_not_grow_with_the_groups(spark):
+    plans = []
+    for groups in (4, 400):
+        df = spark.range(groups * 30).selectExpr(f"id % {groups} AS g", "cast(id as double) AS v")
+        edges = quantile_edges(df, "v", by="g")
+        plans.append(len(with_group_band(df, "v", "g", edges)._jdf.queryExecution().optimizedPlan().toString()))
+    assert plans[1] < 1.05 * plans[0]
 
 
 def test_intervals(spark):
     df = spark.createDataFrame([(float(i),) for i in range(16)], "v double")
-    rows = interval_rows(exact_quantile_edges(df, "v"))
-    assert rows[0] == (None, 1, -0.001, 1.5, "(-0.001, 1.5]") and rows[-1][1:4] == (10, 13.5, 15.0)
+    rows = [tuple(r) for r in band_intervals(quantile_edges(df, "v"), "group").orderBy("band").collect()]
+    assert rows[0] == (0, 1, -0.001, 1.5, "(-0.001, 1.5]") and rows[-1][1:] == (10, 13.5, 15.0, "(13.5, 15.0]")
 
 
 def test_grouped_edges(spark):
