@@ -17,6 +17,9 @@ Method (Savasere, Omiecinski and Navathe's partitioning, level by level):
    reported counts plus t - 1 for each silent shard; phrases whose bound stays
    below the support are not candidates.  (Where t is 1, from ``support`` equal
    shards on, every occurring phrase is locally frequent and the bound is f.)
+   A shard sends 40 bits of the hash and its surplus over t - 1 as a part of what
+   the language's surpluses must reach; phrases that share the bits add up, which
+   can only make candidates.
 4. The shards count the candidates, as text, and the sums are the exact f.
 
 Levels: words first, then pairs of frequent words, then the longer phrases all of
@@ -61,6 +64,7 @@ EXPLAINED = 80
 #: A-Z become a-z, a tab a space, and what ends a piece a full stop (no word holds one).
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz .........")
 _BREAK = b"."
+_UNITED = np.uint64((1 << 40) - 1)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -134,11 +138,12 @@ class Shard:
         return b" ".join([self.words[i] for i in self.ids[at:at + n]]).decode("utf-8")
 
 
-def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Shard]]:
+def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, Shard]]:
+    """Language, local support, what the reported surpluses must sum to, and the shard."""
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, local, vocab, ids = (batch.column(c)[i].as_py() for c in ("lang", "local", "vocab", "ids"))
-            yield lang, local, Shard(lang, vocab, ids)
+            lang, local, need, vocab, ids = (batch.column(c)[i].as_py() for c in ("lang", "local", "need", "vocab", "ids"))
+            yield lang, local, need, Shard(lang, vocab, ids)
 
 
 def repeated(value: str, n: int) -> pa.Array:
@@ -187,7 +192,7 @@ def _alive(shard: Shard, words: np.ndarray, pairs: np.ndarray | None, n: int) ->
     return np.flatnonzero(ok)
 
 
-def _level(shards: DataFrame, totals: DataFrame, lengths: range, words: bytes, pairs: bytes | None, support: int, bits: int) -> DataFrame:
+def _level(shards: DataFrame, lengths: range, words: bytes, pairs: bytes | None, support: int, bits: int) -> DataFrame:
     """``(lang, n, phrase, f)`` of the frequent phrases of these lengths: steps 2 to 4."""
     context = shards.sparkSession.sparkContext
     known = context.broadcast((words, pairs))
@@ -197,20 +202,19 @@ def _level(shards: DataFrame, totals: DataFrame, lengths: range, words: bytes, p
         return _alive(shard, np.frombuffer(w, np.uint8), None if p is None else np.frombuffer(p, np.uint8), n)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, local, shard in shards_in(batches):
+        for _, local, need, shard in shards_in(batches):
             for n in lengths:
                 _, h, count = shard.phrases(n, starts(shard, n))
                 frequent = count >= local
-                yield pa.RecordBatch.from_pydict({"lang": repeated(lang, int(frequent.sum())), "h": h[frequent].view(np.int64),
-                                                  "over": count[frequent] - (local - 1)})
+                yield pa.RecordBatch.from_pydict({"h": (h[frequent] & _UNITED).view(np.int64), "part": (count[frequent] - (local - 1)) / need})
 
-    united = shards.mapInArrow(mine, "lang string, h long, over long").groupBy("lang", "h").agg(F.sum("over").alias("over"))
-    candidates = bitmap_of(united.join(totals, "lang").where(F.col("over") + F.col("slack") >= support).select("h"), bits)
+    united = shards.mapInArrow(mine, "h long, part double").groupBy("h").agg(F.sum("part").alias("part"))
+    candidates = bitmap_of(united.where(F.col("part") >= 1 - 1e-6).select("h"), bits)
     wanted = context.broadcast(candidates)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.frombuffer(wanted.value, np.uint8)
-        for lang, _, shard in shards_in(batches):
+        for lang, _, _, shard in shards_in(batches):
             for n in lengths:
                 at, h, c = shard.phrases(n, starts(shard, n))
                 hit = marked(chosen, h)
@@ -247,10 +251,12 @@ def mine_phrases(docs: DataFrame, support: int = SUPPORT, max_words: int = MAX_W
     share = F.ceil(F.lit(support).cast("decimal(18,0)") * F.col("n_words") / F.col("all_words")).cast("long")
     shards = (attach(shards, words_by_lang.withColumnRenamed("n_words", "all_words"), ["lang"], spread="ids")
               .withColumn("local", F.greatest(F.lit(1).cast("long"), share)).drop("all_words"))
-    totals = materialize(shards.groupBy("lang").agg(F.sum(F.col("local") - 1).alias("slack")), "phrase-slack")
+    slack = shards.groupBy("lang").agg(F.sum(F.col("local") - 1).alias("slack"))  # below the support, as local - 1 is below the shard's share of it
+    needed = materialize(slack.select("lang", (F.lit(support).cast("long") - F.col("slack")).alias("need")), "phrase-slack")
+    shards = attach(shards, needed, ["lang"], spread="ids")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, shard in shards_in(batches):
+        for name, _, _, shard in shards_in(batches):
             counts = np.bincount(shard.ids, minlength=len(shard.words))
             texts = pa.array(shard.words[1:], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict({"lang": repeated(name, len(texts)), "phrase": texts, "f": counts[1:]})
@@ -258,10 +264,10 @@ def mine_phrases(docs: DataFrame, support: int = SUPPORT, max_words: int = MAX_W
     single = shards.mapInArrow(words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     levels = [materialize(single.where(F.col("f") >= support).select("lang", F.lit(1).alias("n"), "phrase", "f"), "phrase-words")]
     frequent_words = bitmap_of(phrase_hashes(levels[0]), filter_bits)
-    levels.append(materialize(_level(shards, totals, range(2, 3), frequent_words, None, support, filter_bits), "phrase-pairs"))
+    levels.append(materialize(_level(shards, range(2, 3), frequent_words, None, support, filter_bits), "phrase-pairs"))
     if max_words > 2:
         frequent_pairs = bitmap_of(phrase_hashes(levels[1]), filter_bits)
-        longer = _level(shards, totals, range(3, max_words + 1), frequent_words, frequent_pairs, support, filter_bits)
+        longer = _level(shards, range(3, max_words + 1), frequent_words, frequent_pairs, support, filter_bits)
         levels.append(materialize(longer, "phrase-longer"))
     found = levels[0]
     for level in levels[1:]:
