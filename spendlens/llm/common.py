@@ -28,13 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the session needs for rows that are whole documents: this package on the workers, small Arrow batches."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """What the session needs for rows that are whole documents: this package on the workers, Arrow batches small in rows and bytes.
+
+    Call it once before the operators where the package is not installed on the
+    workers; the registered queries and the pipeline's stages do.
+    """
+    rows, size = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     ship_package(spark)
 
 

@@ -2,7 +2,9 @@
 
 import os
 
-from spendlens.llm.common import materialize, release, shared_dir, unused
+from pyspark.sql import functions as F
+
+from spendlens.llm.common import materialize, prepare, release, shared_dir, unused
 
 
 def test_tables_are_written_to_the_shared_folder_and_released(spark):
@@ -16,3 +18,14 @@ def test_tables_are_written_to_the_shared_folder_and_released(spark):
 
 def test_unused(spark):
     assert unused(spark.range(1).selectExpr("id AS _X", "id AS _x_"), "_x") == "_x__"
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    prepare(spark)
+    long = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    got = long.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 300 and max(r.size for r in got) < 5 << 20
