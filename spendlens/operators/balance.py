@@ -12,12 +12,13 @@ Sample: of each (stratum, category) the ``quota`` rows with the smallest
 ``md5('<seed>:<id>')`` (ties by id).  The order depends on seed and id only,
 never on partitioning, so it can be checked against SQL.
 
-Plan: one aggregate counts rows by (group, first bits of the hash); group
-counts, quotas and the bucket in which a quota is reached all come from it.
-Only the rows of that one bucket (1 / 2**hash_bits of a group) are ranked, which gives
-each group the last (hash, id) that is in, and the sample is one filter of the
-rows against it.  A group with a third of all rows is never sorted, and the
-join to the rows spreads it.  Nothing is collected, no job runs while building.
+Plan: the rows are read twice.  The first reading counts them by (group, first
+bits of the hash); group counts, quotas and how many rows each bucket still has
+to give (all, some, none) come from these counts, which are kept.  The second
+reading joins the rows with that by (group, bucket) and numbers each bucket's rows by
+hash: both need the same partitioning, so it is one shuffle, and a bucket is
+1 / 2**hash_bits of a group, so one with a third of all rows is spread over as many
+tasks.  Nothing is collected, no job runs while building.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.operators.attach import attach
+from spendlens.session import reused
 
 CATEGORIES = ("Detractor", "Passive", "Promoter")
 REF_PAIR = ("Detractor", "Promoter")
@@ -53,7 +55,7 @@ def _shares(counts: DataFrame, strata: Sequence[str], category: str, categories:
     place = [*by, "_all"]
     wide = wide.withColumn("_all", F.lit(0))
     totals = wide.groupBy(*place).agg(*[F.sum(f"n_{c}").cast("long").alias(f"total_{c}") for c in categories])
-    out = attach(wide, totals, place, spread=strata[0])
+    out = attach(wide, totals, place)
     out = out.withColumns({f"share_{c}": F.when(F.col(f"total_{c}") > 0, F.col(f"n_{c}") / F.col(f"total_{c}")).otherwise(F.lit(0.0))
                            for c in categories})
     a, b = ref_pair
@@ -71,7 +73,7 @@ def stratum_shares(df: DataFrame, strata: Sequence[str], category: str = "catego
     sh = _shares(stratum_counts(df, strata, category, by), strata, category, categories, ref_pair, by)
     place = [*by, "_all"]
     total = sh.groupBy(*place).agg(F.sum("least_share").alias("_sum"))
-    out = attach(sh, total, place, spread=strata[0])
+    out = attach(sh, total, place)
     out = out.withColumn("least_share_norm", F.when(F.col("_sum") > 0, F.col("least_share") / F.col("_sum")))
     return out.select(*by, *strata, *[f"{p}_{c}" for p in ("n", "total", "share") for c in categories], "least_share", "least_share_norm")
 
@@ -115,20 +117,16 @@ def mark_sample(df: DataFrame, strata: Sequence[str], category: str = "category"
     group = [*by, *strata, category]
     h = sample_key(seed, id_col)
     hashed = df.withColumns({"_h": h, "_b": _hash_bucket(h, hash_bits)})
-    buckets = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("c"))
+    buckets = reused(hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("c")))
     counts = buckets.groupBy(*group).agg(F.sum("c").alias("n"))
     quotas = _quotas(counts, strata, category, categories, ref_pair, by, quota).where("quota > 0").select(*group, "quota")
-    up_to = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**hash_bits rows a group
-    cut = (attach(buckets, quotas, group, spread="_b").withColumn("cum", F.sum("c").over(up_to))
-           .where((F.col("cum") >= F.col("quota")) & (F.col("cum") - F.col("c") < F.col("quota")))
-           .select(*group, F.col("_b").alias("_cut"), (F.col("quota") - F.col("cum") + F.col("c")).alias("_need")))
-    edge = attach(hashed.select(*group, id_col, "_h", "_b"), cut, group, spread=id_col).where(F.col("_b") == F.col("_cut"))
-    in_order = Window.partitionBy(*group).orderBy("_h", id_col)
-    last = (edge.withColumn("rn", F.row_number().over(in_order)).where(F.col("rn") == F.col("_need"))
-            .select(*group, F.col("_h").alias("_last_h"), F.col(id_col).alias("_last_id")))
-    marked = attach(hashed, last, group, spread=id_col, how="left")
-    inside = (F.col("_h") < F.col("_last_h")) | ((F.col("_h") == F.col("_last_h")) & (F.col(id_col) <= F.col("_last_id")))
-    return marked.select(*df.columns, F.coalesce(inside, F.lit(False)).alias(mark))
+    before = F.sum("c").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # at most 2**hash_bits rows a group
+    place = F.struct(*group, "_b")  # nulls inside it are equal, as in the grouping
+    give = attach(buckets, quotas, group).withColumn("_give", F.col("quota") - F.coalesce(before, F.lit(0)))
+    give = give.where("_give > 0").select(place.alias("_place"), "_give")
+    placed = hashed.select(*df.columns, "_h", place.alias("_place")).join(give, "_place", "left")
+    nth = F.row_number().over(Window.partitionBy("_place").orderBy("_h", id_col))
+    return placed.select(*df.columns, F.coalesce(nth <= F.col("_give"), F.lit(False)).alias(mark))
 
 
 def balance(df: DataFrame, strata: Sequence[str], **options) -> DataFrame:

@@ -66,7 +66,7 @@ def summarize_continuous(df: DataFrame, columns: Sequence[str], by: str = "categ
         total = F.sum("n_rows")
         sums = [x for _, _, out in ratios for x in ((F.sum(F.col("n_rows") * F.col(out)) / total).alias(f"_mean_{out}"),
                                                     (F.sum(F.col("n_rows") * F.col(out) * F.col(out)) / total).alias(f"_square_{out}"))]
-        agg = attach(agg, named.groupBy(*place).agg(total.alias("_total"), *sums), place, spread=by, how="left")
+        agg = attach(agg, named.groupBy(*place).agg(total.alias("_total"), *sums), place, how="left")
         for _, _, out in ratios:
             variance = F.greatest(F.lit(0.0), F.col(f"_square_{out}") - F.pow(f"_mean_{out}", F.lit(2))) * F.col("_total") / (F.col("_total") - 1)
             agg = agg.withColumn(f"_sd_{out}", F.when(F.col("_total") > 1, F.sqrt(variance)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +36,27 @@ def reused(df: DataFrame) -> DataFrame:
     """Mark a narrow frame that several steps read.
 
     Nothing runs here: the first reader fills the blocks, and a block lost with
-    its executor is computed again from the sources.  ``spark.catalog.clearCache()``
-    frees them.
+    its executor is computed again from the sources.  ``release`` frees them.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
+    return df
+
+
+#: persisted frames by application
+_HELD: dict[str, list[DataFrame]] = {}
+
+
+def release(spark: SparkSession, keep: Sequence[DataFrame] = ()) -> int:
+    """Free the frames that queries of this application have persisted, but for those in ``keep``; returns how many.
+
+    Queries built before stay right: what they need again is computed again.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = _HELD.pop(spark.sparkContext.applicationId, [])
+    kept = [df for df in held if any(df is k for k in keep)]
+    for df in held:
+        if not any(df is k for k in kept):
+            df.unpersist()
+    if kept:
+        _HELD[spark.sparkContext.applicationId] = kept
+    return len(held) - len(kept)
