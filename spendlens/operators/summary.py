@@ -70,6 +70,12 @@ def summarize_continuous(df: DataFrame, columns: Sequence[str], by: str = "categ
         for _, _, out in ratios:
             variance = F.greatest(F.lit(0.0), F.col(f"_square_{out}") - F.pow(f"_mean_{out}", F.lit(2))) * F.col("_total") / (F.col("_total") - 1)
             agg = agg.withColumn(f"_sd_{out}", F.when(F.col("_total") > 1, F.sqrt(variance)))
+    return continuous_rows(agg, columns, by, keys, ratios, overall, overall_ratio)
+
+
+def continuous_rows(agg: DataFrame, columns: Sequence[str], by: str = "category", keys: Sequence[str] = (),
+                    ratios: Sequence[tuple[str, str, str]] = (), overall: str = OVERALL, overall_ratio: str = "true") -> DataFrame:
+    """The long rows of measures by (keys, by) and (keys)."""
     is_overall = F.col("_overall") == 1
     label = F.when(is_overall, F.lit(overall)).otherwise(F.col(by).cast("string"))
     rows = [F.struct(F.lit(c).alias("variable"), F.col(f"n_{c}").alias("n"), F.col(f"mean_{c}").alias("mean"), F.col(f"sd_{c}").alias("sd"))

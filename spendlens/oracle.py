@@ -15,6 +15,7 @@ from spendlens.plans.derive import FILL_ZERO
 from spendlens.plans.queries import COVERAGE, SEED, SEGMENT_STRATA, SEGMENTS
 from spendlens.plans.report import CATEGORICAL, MEANS, REPORT_ROWS
 from spendlens.sources import tpch_binding as TB
+from spendlens.sources.relations import SCHEMAS
 
 B, LABELS = TB.Binding(), TB.LABELS
 
@@ -335,6 +336,54 @@ _ALL = " ".join(["party_id survey_dt category delay_cat delay_mins disruption_in
 _REF, _SEG = sample_of("banded", REF_STRATA), sample_of("banded", SEGMENT_STRATA)
 _SIX = {"own_share_pct": 6, "own_rev_log": 6, "total_spend_log": 6}
 
+
+
+def contract_rows() -> str:
+    """Nulls of every declared column, rows outside bounds and allowed values, repeated keys: counted relation by relation."""
+    sources = {"survey": ("relation_survey", "survey_id"), "spend_y2": ("relation_spend_y2", "party_id"), "spend_y1": ("relation_spend_y1", "party_id"),
+               "cust_y1": ("relation_cust_y1", "party_id"), "cust_y2": ("relation_cust_y2", "party_id"), "individual": ("relation_individual", "party_id")}
+    limits = {("survey", "category"): 0.05, ("cust_y1", "cust_value"): 0.1}
+    never = {"survey": ["party_id", "survey_id", "survey_dt"], "spend_y2": ["party_id", "own_rev", "total_spend"], "spend_y1": ["party_id", "own_rev", "total_spend"],
+             "cust_y1": ["party_id", "ticket_rev"], "cust_y2": ["party_id", "ticket_rev"], "individual": ["party_id", "birth_year"]}
+    rules = [("spend_y2", "own_share_pct", "least", "own_share_pct < 0"), ("cust_y1", "no_of_trips", "least", "no_of_trips < 1"),
+             ("individual", "birth_year", "least", "birth_year < 1900"), ("cust_y1", "member_ind", "allowed", "member_ind NOT IN ('Y', 'N')"),
+             *[("spend_y2", c, "allowed", f"{c} NOT IN ('Y', 'N')") for c in ("match_ind", "own_rev_ind", "other_spend_ind")]]
+    rows = []
+    for name, (src, key) in sources.items():
+        head = f"SELECT '{name}' AS relation, "
+        for c, _ in SCHEMAS[name]:
+            share = 0.0 if c in never[name] else limits.get((name, c), 1.0)
+            rows.append(f"{head}'{c}' AS \"column\", 'nulls' AS rule, count(*) - count({c}) AS observed, count(*) AS n_rows, CAST(floor(CAST({share} AS DOUBLE) * count(*)) AS BIGINT) AS bound FROM {src}")
+            rows.append(f"{head}'{c}', 'type', CAST(0 AS BIGINT), count(*), CAST(0 AS BIGINT) FROM {src}")
+        rows += [f"{head}'{c}', '{rule}', count(*) FILTER (WHERE {bad}), count(*), CAST(0 AS BIGINT) FROM {src}" for r, c, rule, bad in rules if r == name]
+        rows.append(f"{head}'{key}', 'unique', count({key}) - count(DISTINCT {key}), count({key}), CAST(0 AS BIGINT) FROM {src}")
+    return "SELECT *, observed <= bound AS passed FROM (" + "\nUNION ALL ".join(rows) + ")"
+
+
+def _yearly(year: int) -> str:
+    return (f"SELECT o_custkey AS party_id, ticket AS ticket_rev, non_award AS ticket_rev_non_award, ancillary AS ancillary_rev, displacement, flight_value, "
+            f"currency_value, rpm, trips AS no_of_trips FROM years WHERE yr = {year}")
+
+
+_RELATIONS = (
+    """relation_survey AS (SELECT *, CASE WHEN delay_mins >= 60 THEN 'long' WHEN delay_mins >= 1 THEN 'short' WHEN delay_mins IS NOT NULL THEN 'none' END AS delay_cat,
+  CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END AS disruption_ind, CAST(party_id % 4 AS VARCHAR) AS transactor_stage,
+  CASE WHEN party_id % 7 <> 0 THEN CAST(party_id % 3 AS VARCHAR) END AS tenure, CASE WHEN party_id % 13 <> 0 THEN 'G' || (party_id % 5) END AS generation FROM responses)""",
+    "relation_spend_y2 AS (SELECT *, own_rev_y2 AS own_rev, total_spend_y2 AS total_spend FROM second_spend)",
+    "relation_spend_y1 AS (SELECT party_id, own_rev_y1 AS own_rev, total_spend_y1 AS total_spend FROM first_spend)",
+    f"""relation_cust_y1 AS (SELECT y.*, p.* EXCLUDE (party_id), h.airport AS home_airport, h.country AS home_country, latest.o_orderstatus AS intent
+  FROM ({_yearly(1)}) y JOIN person p USING (party_id) JOIN customer c ON c.c_custkey = y.party_id LEFT JOIN home h ON h.n_nationkey = c.c_nationkey
+  LEFT JOIN latest ON latest.party_id = y.party_id)""",
+    f"relation_cust_y2 AS ({_yearly(2)})",
+    "relation_individual AS (SELECT c_custkey AS party_id, 1920 + c_custkey % 110 AS birth_year FROM customer)",
+)
+_LEDGER_STEPS = [("in_window", f"SELECT count(*) FROM responses WHERE survey_dt BETWEEN {d(B.survey_start)} AND {d(B.survey_end)}"),
+                 ("with_person", "SELECT count(*) FROM in_window"), ("people", "SELECT count(*) FROM latest"),
+                 *[(f"in_{r}", f"SELECT count(*) FROM latest SEMI JOIN {src} USING (party_id)") for r, src in
+                   (("spend_y2", "second_spend"), ("spend_y1", "first_spend"), ("cust_y1", "first_value"), ("cust_y2", "second_value"), ("individual", "ages"))],
+                 ("with_category", "SELECT count(*) FROM people"), ("without_first_year", "SELECT count(*) FROM people WHERE own_rev_y1 IS NULL"),
+                 ("without_customer_value", "SELECT count(*) FROM people WHERE own_rev_y1 IS NOT NULL AND cust_value IS NULL"), ("base", "SELECT count(*) FROM kept")]
+
 ORACLE_SQL: dict[str, str] = {
     "latest_survey": query("SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM latest"),
     "population_joined": pick(_ALL, digits={"own_share_pct": 6}),
@@ -384,5 +433,12 @@ ORACLE_SQL: dict[str, str] = {
     "outcome_report_text": text_report(),
     "cohort_grid": query(report("frames", ["cohort", "variant"], _BALANCED), *frames(REF_STRATA)),
     "cohort_grid_by_segment": query(report("frames", ["cohort", "variant"], _BALANCED), *frames(SEGMENT_STRATA)),
+    "outcome_report_from_cube": query(report("members", ["cohort"]), members("base")),
+    "cohort_summary_from_cube": query(continuous("members", ["cohort"]), members("base")),
+    "latest_survey_incremental": query("SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM latest"),
+    "pull_ledger": query("\nUNION ALL ".join(f"SELECT {i} AS step_no, '{step}' AS step, ({sql}) AS n_rows" for i, (step, sql) in enumerate(_LEDGER_STEPS))),
+    "contract_report": query(contract_rows(), *_RELATIONS),
+    "report_store": query(report("base")),
+    "population_from_store": pick(_ALL, digits={"own_share_pct": 6}),
     "cohort_grid_base_share": query(report("members", ["cohort"], shares="whole"), members("base"), f"whole AS ({share_rows('base')})"),
 }

@@ -61,6 +61,12 @@ def cohort_frames(base: DataFrame, cohorts: Sequence[Cohort], strata: Sequence[s
     return marked.withColumn("variant", F.explode(variants)).drop("_in")
 
 
+def balanced_cohorts(base: DataFrame, cohorts: Sequence[Cohort], strata: Sequence[str] = REF_STRATA, quota: str = "double") -> DataFrame:
+    """The balanced members of every cohort."""
+    marked = mark_sample(explode_cohorts(base, cohorts), strata, by=["cohort"], seed=F.col("seed"), quota=quota, mark="_in")
+    return marked.where("_in").drop("_in")
+
+
 def variant_share(num: Column, den: Column) -> Column:
     """Shares of raw cohorts are signed, those of balanced ones clamped."""
     return F.when(F.col("variant") == BALANCED, safe_ratio_pct(num, den, "clamp")).otherwise(safe_ratio_pct(num, den, "epsilon"))

@@ -105,13 +105,14 @@ def latest_survey(survey: DataFrame, start, end, keep_null_party: bool = False)
 
 
 def build_population(tables: Mapping[str, DataFrame], start, end, labels: R.Labels, columns: Sequence[str] | None = None,
-                     keep_null_party: bool = False, on_duplicates: str = "first") -> DataFrame:
+                     keep_null_party: bool = False, on_duplicates: str = "first", flags: bool = False) -> DataFrame:
     """One row per person of the window with ``columns`` (default: all).
 
     The survey is deduplicated *before* the joins, and each right side has one
     row per person (``on_duplicates``: see ``one_per_key``), so a join never
     multiplies people and later joins reuse the hash partitioning on the key.
-    Relations that no column comes from are neither joined nor built.
+    Relations that no column comes from are neither joined nor built.  ``flags``
+    adds ``in_<relation>`` for each joined one: the person has a row in it.
     """
     wanted = None if columns is None else {KEY, *columns}
     pick = lambda part: {n: x for n, x in part.items() if wanted is None or n in wanted}
@@ -122,7 +123,10 @@ def build_population(tables: Mapping[str, DataFrame], start, end, labels: R.Labe
         part = pick(of(labels))
         if not part:
             continue
-        right = one_per_key(tables[relation], KEY, on_duplicates, relation).select(KEY, *[e.alias(n) for n, (e, _) in part.items()])
+        found = [F.lit(True).alias(f"in_{relation}")] if flags else []
+        right = one_per_key(tables[relation], KEY, on_duplicates, relation).select(KEY, *[e.alias(n) for n, (e, _) in part.items()], *found)
+        if flags:
+            part = {**part, f"in_{relation}": (None, False)}
         out = out.join(right, KEY, "left").withColumns(
             {n: F.coalesce(F.col(n), F.lit(other).cast(right.schema[n].dataType)) for n, (_, other) in part.items() if other is not None})
         names += part

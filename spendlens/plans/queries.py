@@ -8,6 +8,7 @@ with the SQL oracles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -16,15 +17,22 @@ from pyspark.sql import functions as F
 from spendlens.operators.attach import attach
 from spendlens.operators.balance import balance, balance_diagnostics, balance_quota, mark_sample, stratum_shares
 from spendlens.operators.crosstab import crosstab_margins
+from spendlens.operators.cube import cube_measures
 from spendlens.operators.quantile_bands import band_bounds, band_intervals, quantile_edges, with_group_band, with_value_band
 from spendlens.operators.share import group_share
-from spendlens.operators.summary import level_counts, summarize_categorical, summarize_continuous, summarize_levels
-from spendlens.plans.cohorts import REF_STRATA, cohort_frames, explode_cohorts, variant_share
+from spendlens.operators.summary import continuous_rows, level_counts, summarize_categorical, summarize_continuous, summarize_levels
+from spendlens.plans.cohorts import BALANCED, RAW, REF_STRATA, balanced_cohorts, cohort_frames, explode_cohorts, variant_share
+from spendlens.plans.incremental import LatestSurveys
 from spendlens.plans.derive import SHARE_SPECS, analysis_base, in_base, profile
+from spendlens.plans.ledger import observed_pull
 from spendlens.plans.population import build_population, latest_survey
-from spendlens.plans.report import CATEGORICAL, MEANS, base_shares, format_report, outcome_report
-from spendlens.session import reused
+from spendlens.plans.report import CATEGORICAL, MEANS, base_shares, format_report, outcome_cube, outcome_report, outcome_report_from_cube
+from spendlens.session import reused, shared_folder
+from spendlens.sources import contracts
+from spendlens.sources.relation_store import RelationStore, write_store
+from spendlens.sources.relations import CONTRACTS
 from spendlens.sources.tpch_binding import COHORTS, LABELS, Binding, BoundTables
+from spendlens.sources.versions import VersionedTable
 
 BINDING = Binding()
 SEED = 88
@@ -278,7 +286,14 @@ def q_outcome_report_text(spark, sf_dir):
 
 
 def _grid(spark, sf_dir, strata):
-    return outcome_report(grid_frames(spark, sf_dir, strata), keys=["cohort", "variant"], share_mode=variant_share)
+    """Raw cohorts from the cube of the base, balanced ones from their sample."""
+    banded = banded_base(spark, sf_dir, strata, ["survey_dt", "stage"])
+    raw = outcome_report_from_cube(explode_cohorts(outcome_cube(banded), COHORTS), keys=["cohort"])
+    sample = balanced_cohorts(banded, COHORTS, strata)
+    balanced = outcome_report(sample, keys=["cohort"], share_mode="clamp")
+    both = [r.withColumn("variant", F.lit(v)) for r, v in ((raw, RAW), (balanced, BALANCED))]
+    columns = ["cohort", "variant", *[c for c in raw.columns if c != "cohort"]]
+    return both[0].unionByName(both[1]).select(*columns).orderBy("cohort", "variant", "row_order")
 
 
 def q_cohort_grid(spark, sf_dir):
@@ -295,4 +310,56 @@ def q_cohort_grid_base_share(spark, sf_dir):
     return outcome_report(explode_cohorts(whole, COHORTS), keys=["cohort"], shares=base_shares(whole))
 
 
+def q_outcome_report_from_cube(spark, sf_dir):
+    """Every raw cohort from one stored cube, without the people."""
+    cube = VersionedTable(spark, _scratch(spark, "cube"))
+    cube.write(outcome_cube(base(spark, sf_dir, ["survey_dt", "stage"])))
+    return outcome_report_from_cube(explode_cohorts(cube.read(), COHORTS), keys=["cohort"])
+
+
+def q_cohort_summary_from_cube(spark, sf_dir):
+    """Rows, missing, mean and SD of every raw cohort from the cube's moments."""
+    cube = explode_cohorts(outcome_cube(base(spark, sf_dir, ["survey_dt", "stage"])), COHORTS)
+    measures = cube_measures(cube, MEANS, "category", ["cohort"], SHARE_SPECS)
+    return rounded(continuous_rows(measures, MEANS, keys=["cohort"], ratios=SHARE_SPECS), "sd")
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/core/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def q_latest_survey_incremental(spark, sf_dir):
+    """The latest survey per person, merged batch by batch; the batches are no date order, so most bring late rows."""
+    survey = tables(spark, sf_dir)["survey"].select("party_id", "survey_id", "survey_dt", "category", "transactor_stage", "tenure")
+    state = LatestSurveys(VersionedTable(spark, _scratch(spark, "latest")), BINDING.survey_start, BINDING.survey_end)
+    return state.advance_all((f"batch-{k}", survey.where(F.col("survey_id") % 3 == k)) for k in range(3))
+
+
+def q_pull_ledger(spark, sf_dir):
+    """Row counts of the pull's steps, observed in the job that pulls."""
+    people, ledger = observed_pull(tables(spark, sf_dir), BINDING.survey_start, BINDING.survey_end, LABELS, ["category"])
+    people.write.format("noop").mode("overwrite").save()
+    return ledger.frame(spark)
+
+
+def q_contract_report(spark, sf_dir):
+    """Every expectation of the six relations, with what the scans found."""
+    return contracts.report_all(tables(spark, sf_dir), list(CONTRACTS.values()))
+
+
+def q_report_store(spark, sf_dir):
+    """The outcome report written as a version of a store and read back through its manifest."""
+    store = VersionedTable(spark, _scratch(spark, "reports"))
+    store.write(outcome_report(base(spark, sf_dir)).repartition(1), notes={"report": "outcome"})
+    return store.read()
+
+
+def q_population_from_store(spark, sf_dir):
+    """The whole pull from relations written bucketed by person and partitioned by month."""
+    prefix = f"spendlens_{uuid.uuid4().hex}"
+    write_store(tables(spark, sf_dir), prefix, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store = RelationStore(spark, prefix, BINDING.survey_start, BINDING.survey_end)
+    return rounded(out(build_population(store, BINDING.survey_start, BINDING.survey_end, LABELS, on_duplicates="trust")), "own_share_pct")
+
+
 QUERIES: dict[str, Callable] = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.recodes import CHURNED, recode
 from spendlens.operators.attach import attach
 from spendlens.operators.balance import CATEGORIES
+from spendlens.operators.cube import build_cube, cube_measures
 from spendlens.operators.share import group_share
 from spendlens.operators.summary import group_measures
 from spendlens.plans.derive import SHARE_SPECS
@@ -17,6 +18,8 @@ from spendlens.plans.derive import SHARE_SPECS
 # The summarised variables
 MEANS = ["own_rev_y1", "own_rev_y2", "own_rev_diff", "total_spend_y1", "total_spend_y2", "total_spend_diff"]
 CATEGORICAL = ["churned", "own_rev_y1_cat"]
+#: what the stored cube can be sliced by
+CUBE_DIMENSIONS = ["survey_dt", "stage", "category", *CATEGORICAL]
 
 # Report rows (order, label, measure, display kind)
 REPORT_ROWS = [
@@ -48,6 +51,25 @@ def outcome_report(df: DataFrame, keys: Sequence[str] = (), by: str = "category"
                          extra=[F.when(F.count("churned") > 0, churned).alias("churn")])
     if shares is not None:
         agg = attach(agg.drop(*[s[2] for s in SHARE_SPECS]), shares, [by], how="left")
+    return report_rows(agg, keys, by, groups)
+
+
+def outcome_report_from_cube(cube: DataFrame, keys: Sequence[str] = (), by: str = "category", groups: Sequence[str] = CATEGORIES,
+                             share_mode="epsilon") -> DataFrame:
+    """The same from the cells of ``outcome_cube``, without the people."""
+    known = F.sum(F.when(F.col("churned").isNotNull(), F.col("n_rows")))
+    churned = F.lit(100.0) * F.coalesce(F.sum(F.when(F.col("churned") == F.lit(CHURNED), F.col("n_rows"))), F.lit(0)) / known
+    agg = cube_measures(cube, MEANS, by, list(keys), SHARE_SPECS, share_mode, extra=[F.when(known > 0, churned).alias("churn")])
+    return report_rows(agg, list(keys), by, groups)
+
+
+def outcome_cube(base: DataFrame) -> DataFrame:
+    """The base by day, stage, category and the levels of the categorical variables."""
+    return build_cube(base, CUBE_DIMENSIONS, MEANS)
+
+
+def report_rows(agg: DataFrame, keys: Sequence[str], by: str = "category", groups: Sequence[str] = CATEGORIES) -> DataFrame:
+    """The ten rows from measures by (keys, by) and (keys)."""
     overall, known = F.col("_overall") == 1, F.col(by).isin(list(groups))
     rows = [F.when(overall, F.struct(F.lit(0).alias("row_order"), F.lit(groups[0]).alias("group"), F.col("n_rows").cast("double").alias("value")))]
     for order, _, measure, _ in REPORT_ROWS[1:]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -60,3 +62,14 @@ def release(spark: SparkSession, keep: Sequence[DataFrame] = ()) -> int:
     if kept:
         _HELD[spark.sparkContext.applicationId] = kept
     return len(held) - len(kept)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``; one is set only with a local master and none named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spendlens-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlens.sources.contracts import Contract, Expect, check_columns, typed
+
 AMOUNT = T.DecimalType(18, 2)
 STR = T.StringType()
 DBL = T.DoubleType()
@@ -47,21 +52,41 @@ SCHEMAS: dict[str, list[tuple[str, T.DataType]]] = {
     "individual": [("party_id", LONG), ("birth_year", T.IntegerType())],
 }
 
-def conform(df: DataFrame, name: str) -> DataFrame:
+#: what must not be null, and how much of a relation may lack a value that the base needs
+REQUIRED: dict[str, dict[str, float]] = {
+    "survey": {"party_id": 0.0, "survey_id": 0.0, "survey_dt": 0.0, "category": 0.05},
+    "spend_y2": {"party_id": 0.0, "own_rev": 0.0, "total_spend": 0.0},
+    "spend_y1": {"party_id": 0.0, "own_rev": 0.0, "total_spend": 0.0},
+    "cust_y1": {"party_id": 0.0, "ticket_rev": 0.0, "cust_value": 0.1},
+    "cust_y2": {"party_id": 0.0, "ticket_rev": 0.0},
+    "individual": {"party_id": 0.0, "birth_year": 0.0},
+}
+_BOUNDS = {("spend_y2", "own_share_pct"): {"least": 0.0}, ("cust_y1", "no_of_trips"): {"least": 1.0}, ("individual", "birth_year"): {"least": 1900.0},
+           **{("spend_y2", c): {"allowed": ("Y", "N")} for c in ("match_ind", "own_rev_ind", "other_spend_ind")}, ("cust_y1", "member_ind"): {"allowed": ("Y", "N")}}
+
+CONTRACTS: dict[str, Contract] = {
+    name: Contract(name, tuple(Expect(c, t, max_null_share=REQUIRED[name].get(c, 1.0), **_BOUNDS.get((name, c), {})) for c, t in columns),
+                   key=("survey_id",) if name == "survey" else ("party_id",))
+    for name, columns in SCHEMAS.items()
+}
+
+
+def conform(df: DataFrame, name: str, absent: Sequence[str] = ()) -> DataFrame:
     """Select the declared columns with declared types; NaN becomes null.
 
-    Missing columns are added as typed nulls, so a source that does not carry
-    an unused attribute still binds.  Spark treats NaN as equal to itself and
-    greater than every number, so NaN must not reach the categorisers.
+    A declared column that the source does not have, or has in a type that
+    cannot be cast, raises ``SchemaError`` (a renamed spend column would
+    otherwise make everybody churned); ``absent`` names those that a source is
+    known not to carry: they are bound as null.  Spark treats NaN as equal to
+    itself and greater than every number, so NaN must not reach the categorisers.
     """
-    have = set(df.columns)
-    cols = []
-    for c, t in SCHEMAS[name]:
-        col = F.col(c).cast(t) if c in have else F.lit(None).cast(t)
-        if isinstance(t, (T.DoubleType, T.FloatType)):
-            col = F.nanvl(col, F.lit(None).cast(t))
-        cols.append(col.alias(c))
-    return df.select(*cols)
+    contract = CONTRACTS[name]
+    unknown = set(absent) - {e.column for e in contract.columns}
+    if unknown:
+        raise ValueError(f"relation {name} declares no {sorted(unknown)}")
+    contract = replace(contract, columns=tuple(replace(e, optional=e.column in absent) for e in contract.columns))
+    check_columns(df, contract)
+    return df.select(*[typed(df, e, strict=True).alias(e.column) for e in contract.columns])
 
 
 def one_per_key(df: DataFrame, key: str = "party_id", on_duplicates: str = "first", name: str = "relation") -> DataFrame:
