@@ -6,8 +6,9 @@
    their class, id or role (adverts, notices, comments ...) go at once.  A class or id
    removes no element that holds the page's ``main``, an ``article`` or the only ``h1``
    (one for comments, adverts or other articles goes with the articles in it, if the page
-   has ``main`` or an ``article`` elsewhere), and in an article no heading, and
-   an id there only counts if it says nothing but comments or adverts.  Of what
+   has ``main`` or an ``article`` elsewhere), and in an article no heading; there
+   a class only counts if all its words are marks or say nothing, and an id if it says
+   nothing but comments or adverts.  Of what
    is left, the text of the page's ``article`` elements counts, else of its
    ``main`` element, else of its body without link lists: lists (never headings or
    paragraphs outside of lists) without a heading, of whose characters at least
@@ -22,7 +23,8 @@
    pages, are those that stand
 
    * in at least ``MIN_PAGES`` and a share of ``MIN_SHARE`` of the host's pages, or
-   * with different content in at least ``MIN_PAGES``, a share of ``PART_SHARE`` of the host's pages
+   * with different content in at least ``MIN_PAGES``, a share of the host's pages (``PART_SHARE`` for
+     containers, ``PARAGRAPH_SHARE`` for paragraphs and what else holds text itself)
      and a share of ``OWN_PAGES`` of those it stands in, or
    * with different content in at least ``FEW_PAGES`` and a share of ``MIN_SHARE`` of the host's pages;
 
@@ -65,25 +67,27 @@ from spendlens.llm.common import materialize, unused
 from spendlens.llm.url_filter import url_host
 
 MIN_PAGES, MIN_SHARE = 10, 0.5
-FEW_PAGES, PART_SHARE = 3, 0.05
+FEW_PAGES, PART_SHARE, PARAGRAPH_SHARE = 3, 0.05, 0.25
 OWN_SHARE, OWN_PAGES = 0.1, 0.25
 SHINGLE = 4  # words
 LINK_SHARE = 0.5  # of a list's characters, where a page has neither article nor main
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary "
     "table tbody td template tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr keygen basefont bgsound".split())
 RAW = frozenset("script style textarea title iframe noembed noframes".split())
-CLOSE_P = BLOCKS - frozenset("body head html td th tr tbody thead tfoot caption option optgroup template".split())
+CLOSE_P = BLOCKS - frozenset("body head html td th tr tbody thead tfoot caption template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FRAGMENTS = HEADINGS | frozenset("li dt dd caption colgroup td th tr tbody thead tfoot".split())
+CONTAINERS = frozenset("div section ul ol dl dir table figure details hgroup center".split())
+CONTAINER, PARAGRAPH, FRAGMENT = range(3)  # kinds of subtrees
 LISTS, ITEMS = frozenset("ul ol dl dir".split()), frozenset("li dt dd".split())
 # elements that are never article text
 GONE = frozenset(
     "head script style noscript template textarea title iframe noembed noframes nav footer aside form button select option optgroup "
-    "datalist fieldset legend input object embed applet audio video canvas map svg math menu dialog".split())
+    "datalist fieldset legend input object embed applet audio video canvas map svg annotation annotation-xml menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 # words of class, id and role that mark what is no article text wherever they stand
 MARKS = frozenset(
@@ -93,7 +97,11 @@ MARKS = frozenset(
     "share sharing related recommended recommendations trending popup modal overlay paywall skip".split())
 # words that do so unless the element says that it is content
 WEAK = frozenset("header banner notice notices alert social promo promotion widget widgets search login register meta tags byline rail".split())
+NOTICES = frozenset("banner notice notices promo promotion widget widgets".split())  # those of them that do so in an article too
 CONTENT = frozenset("article content main post entry story body text".split())
+# words that say nothing of what an element holds: in an article a class marks it only if all its other words are marks
+NEUTRAL = frozenset("box container wrapper wrap inner outer block unit slot area panel section bar list item items links link buttons button form "
+                    "articles posts stories story small large top bottom left right".split())
 UNLESS = frozenset("has with no without is".split())  # what follows in a class or id says nothing of the element
 # marks of elements that may hold articles that are not the page's
 OTHERS = frozenset(
@@ -138,6 +146,8 @@ def boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, froz
         return False, none
     if tag == "article":
         return False, words & {"comment", "comments", "ad", "ads", "advert", "advertisement", "related", "sponsored", "promoted"}
+    if in_article:
+        return False, words & (MARKS | NOTICES) if words - NEUTRAL <= MARKS | WEAK else none
     return False, words & MARKS or (words & WEAK if not words & CONTENT and tag not in HEADINGS else none)
 
 
@@ -181,8 +191,12 @@ def _kept(holders: list[tuple[str, list[_Element]]], n_titles: int) -> tuple[set
     return kept | weak, weak, not least
 
 
-def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, bool]]]:
-    """The blocks of the content, each with the elements it stands in, and (element, hash, whether of ``FRAGMENTS``) of the subtrees."""
+def kind_of(tag: str) -> int:
+    return FRAGMENT if tag in FRAGMENTS else CONTAINER if tag in CONTAINERS else PARAGRAPH
+
+
+def parse_page(page: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, int]]]:
+    """The blocks of the content, each with the elements it stands in, and (element, hash, kind) of the subtrees."""
     content, kept = _parse(page, (set(), set(), True))
     return _parse(page, kept)[0] if kept[0] else content  # the elements are numbered alike in both
 
@@ -192,7 +206,7 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
     blocks: list[tuple[str, list[int], int, bool, int, bool]] = []
     holders: list[tuple[str, list[_Element]]] = []
     n_titles = 0
-    subtrees: list[tuple[int, int, bool]] = []
+    subtrees: list[tuple[int, int, int]] = []
     stack = [_Element("", False, False, frozenset(), 0, False, 0)]
     count, at = 1, 0
     links = 0  # inside a link: how many elements were open where it began
@@ -224,7 +238,7 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
             if e.anchor:
                 stack[-1].anchor = True
             else:
-                subtrees.append((e.index, int.from_bytes(digest, "little", signed=True), e.tag in FRAGMENTS))
+                subtrees.append((e.index, int.from_bytes(digest, "little", signed=True), kind_of(e.tag)))
         elif e.anchor:
             stack[-1].anchor = True
 
@@ -293,8 +307,6 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
                 pop_to({"td", "th"}, {"table"})
             elif tag == "tr":
                 pop_to({"tr"}, {"table"})
-            elif tag in ("option", "optgroup"):
-                pop_to({"option"}, {"select"})
             elif tag == "body":
                 pop_to({"head"})
             top = stack[-1]
@@ -343,7 +355,7 @@ def _parse(page: str | None, kept: tuple[set[int], set[int], bool]) -> tuple[tup
 
 _OUTLINE = T.StructType([T.StructField("content", T.LongType()), T.StructField("size", T.LongType())] + [
     T.StructField(name, T.ArrayType(kind)) for name, kind in (
-        ("hashes", T.LongType()), ("sizes", T.LongType()), ("fragments", T.BooleanType()), ("shingles", T.LongType()), ("weights", T.LongType()))])
+        ("hashes", T.LongType()), ("sizes", T.LongType()), ("kinds", T.IntegerType()), ("shingles", T.LongType()), ("weights", T.LongType()))])
 
 
 def _number(text: bytes) -> int:
@@ -364,8 +376,8 @@ def outline_page(page: str | None) -> tuple:
             key = _number(part)
             shingles[key] = shingles.get(key, 0) + len(text)
     found: dict[int, list] = {}
-    for e, h, fragment in subtrees:
-        found.setdefault(h, [0, fragment])[0] += inside[e]
+    for e, h, kind in subtrees:
+        found.setdefault(h, [0, kind])[0] += inside[e]
     content = _number("\x00".join(b[0] for b in blocks).encode("utf-8", "replace"))
     return (content, sum(len(b[0]) for b in blocks), list(found), [v[0] for v in found.values()], [v[1] for v in found.values()],
             list(shingles), list(shingles.values()))
@@ -391,7 +403,7 @@ def main_text(pages: pd.Series, templates: pd.Series) -> pd.Series:
 
 
 def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-                   few_pages: int = FEW_PAGES, part_share: float = PART_SHARE) -> DataFrame:
+                   few_pages: int = FEW_PAGES, part_share: float = PART_SHARE, paragraph_share: float = PARAGRAPH_SHARE) -> DataFrame:
     """``host`` and ``hashes`` of the subtrees that recur on the host.
 
     A host has at most 1 / ``part_share`` times as many as its pages have subtrees
@@ -403,16 +415,18 @@ def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_p
     shingles = outlines.select(*key, F.explode(F.arrays_zip("shingles", "weights")).alias("s")).select(*key, "s.*").distinct()
     alone = shingles.groupBy("host", "shingles").agg(F.min("content").alias("content"), F.max("content").alias("other"), F.sum("weights").alias("weight"))
     own = alone.where("content = other").groupBy(*key).agg(F.sum("weight").alias("own"))  # twice the characters: two shingles a block
-    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("hashes"), F.lit(0).cast("bigint").alias("sizes"), F.lit(True).alias("fragments")))  # the page itself
-    rows = outlines.select(*key, "size", F.explode(F.concat(F.arrays_zip("hashes", "sizes", "fragments"), whole)).alias("s")).select(*key, "size", "s.*")
+    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("hashes"), F.lit(0).cast("bigint").alias("sizes"), F.lit(FRAGMENT).alias("kinds")))  # the page itself
+    rows = outlines.select(*key, "size", F.explode(F.concat(F.arrays_zip("hashes", "sizes", "kinds"), whole)).alias("s")).select(*key, "size", "s.*")
     rows = rows.distinct().join(own, key, "left")
     different = F.coalesce(F.col("own"), F.lit(0)) >= F.greatest(F.lit(1.0), 2 * OWN_SHARE * (F.col("size") - F.col("sizes")))
     counts = materialize(rows.groupBy("host", F.col("hashes").alias("hash")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((different & ~F.col("fragments")).cast("bigint")).alias("d"))
+        F.count(F.lit(1)).alias("n"), F.sum((different & (F.col("kinds") != FRAGMENT)).cast("bigint")).alias("d"),
+        F.max("kinds").alias("kind"))  # a subtree's hash has its tag: one kind
         .where((F.col("n") >= min(min_pages, few_pages)) | F.col("hash").isNull()), "recurring")
     n, d, n_pages = F.col("n"), F.col("d"), F.col("n_pages")
     often = (n >= min_pages) & (n >= min_share * n_pages)
-    in_part = (d >= min_pages) & (d >= part_share * n_pages) & (d >= OWN_PAGES * n)
+    share = F.when(F.col("kind") == CONTAINER, part_share).otherwise(paragraph_share)
+    in_part = (d >= min_pages) & (d >= share * n_pages) & (d >= OWN_PAGES * n)
     of_few = (d >= few_pages) & (d >= min_share * n_pages)
     sites = counts.where("hash IS NULL").select("host", n.alias("n_pages"))
     found = counts.where("hash IS NOT NULL").join(sites, "host").where(often | in_part | of_few)
@@ -420,12 +434,12 @@ def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_p
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-                 few_pages: int = FEW_PAGES, part_share: float = PART_SHARE) -> DataFrame:
+                 few_pages: int = FEW_PAGES, part_share: float = PART_SHARE, paragraph_share: float = PARAGRAPH_SHARE) -> DataFrame:
     """The pages' other columns, ``text`` and ``n_chars`` (code points)."""
     host, hashes, text = (unused(pages, c) for c in ("_host", "_hashes", "_text"))
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     # written, so that the planner knows its size: most often the pages need no shuffle for it
-    templates = materialize(site_templates(pages, url, html, min_pages, min_share, few_pages, part_share), "site-templates")
+    templates = materialize(site_templates(pages, url, html, min_pages, min_share, few_pages, part_share, paragraph_share), "site-templates")
     rows = pages.withColumn(host, F.when(F.col(url).isNotNull(), url_host(F.col(url))))
     rows = rows.join(templates.select(F.col("host").alias(host), F.col("hashes").alias(hashes)), host, "left")
     rows = rows.select(*keep, main_text(F.col(html), F.col(hashes)).alias(text))

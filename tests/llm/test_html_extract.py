@@ -1,5 +1,10 @@
 """Main text: single pages by hand, templates per site, defined cases."""
 
+import random
+
+import pytest
+
+from spendlens.llm import html_extract as H
 from spendlens.llm.html_extract import extract_text, parse_page
 
 
@@ -94,3 +99,100 @@ def test_templates_of_a_part_and_of_small_sites(spark):
     assert all(got[i].text == (f"own {i}\n\nIntro\n\nyes\n\nrow {i}" if i % 10 < 3 else f"own {i}") for i in range(100))
     assert all(got[200 + i].text == f"own {i}" for i in range(5))
     assert all(got[300 + i].text.count("\n\n") == 7 for i in range(40))
+
+
+def test_class_words_inside_an_article():
+    kept = ['<section class="related-work">', '<blockquote class="social">', '<p class="search results">', '<div class="comment-on-the-text">', '<p class="tags">']
+    for tag in kept:
+        assert text(f"<article><p>a</p>{tag}b</{tag[1:].split()[0]}><p>c</p></article>") == "a\n\nb\n\nc", tag
+    gone = ['<ul class="menu">', '<div class="ad-box">', '<div class="ads">', '<section class="related articles">', '<div class="share-buttons">', '<p class="cookie-notice">',
+            '<div class="newsletter-signup">', '<div class="notice">']
+    for tag in gone:
+        assert text(f"<article><p>a</p>{tag}b</{tag[1:].split()[0]}><p>c</p></article>") == "a\n\nc", tag
+
+
+def test_formulas_and_inline_controls():
+    assert text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold</p></article>") == "Let x=2 hold"
+    assert text("<article><p>one <select><option>a<option selected>b</select> two <input value=v> three <legend>l</legend> four</p></article>") == "one two three four"
+    assert text("<article><p>one <select><optgroup label=g><option>a</option></optgroup></select> two</p><p>x <option>o</option> y</p></article>") == "one two\n\nx y"
+    assert text("<article><p>one <select><option>a<p>two</article>") == "one\n\ntwo"
+
+
+def plain_templates(pages):
+    """Hosts' templates by the rules of the module, counted page by page."""
+    sites = {}
+    for url, html in pages:
+        host = url.split("://")[1].split("/")[0]
+        blocks, subtrees = parse_page(html)
+        sites.setdefault(host, {})["\0".join(b for b, _ in blocks)] = (blocks, subtrees)  # pages of equal content once
+    out = {}
+    for host, found in sites.items():
+        shingled = {}
+        for content, (blocks, _) in found.items():
+            weights = {}
+            for b, _ in blocks:
+                for part in shingles(b):
+                    weights[part] = weights.get(part, 0) + len(b)
+            shingled[content] = weights
+        stands = {}
+        for weights in shingled.values():
+            for part in weights:
+                stands[part] = stands.get(part, 0) + 1
+        n, d, kinds = {}, {}, {}
+        for content, (blocks, subtrees) in found.items():
+            own = sum(w for part, w in shingled[content].items() if stands[part] == 1)
+            total = sum(len(b) for b, _ in blocks)
+            size = {}
+            for e, h, kind in subtrees:
+                size[h] = size.get(h, 0) + sum(len(b) for b, inside in blocks if e in inside)
+                kinds[h] = kind
+            for h, s in size.items():
+                n[h] = n.get(h, 0) + 1
+                d[h] = d.get(h, 0) + (kinds[h] != H.FRAGMENT and own >= max(1, 2 * H.OWN_SHARE * (total - s)))
+        many = len(found)
+        part = {h: H.PART_SHARE if kinds[h] == H.CONTAINER else H.PARAGRAPH_SHARE for h in n}
+        hit = {h for h in n if n[h] >= 10 and n[h] >= many / 2 or d[h] >= 10 and d[h] >= part[h] * many and d[h] >= H.OWN_PAGES * n[h] or d[h] >= 3 and d[h] >= many / 2}
+        if hit:
+            out[host] = hit
+    return out
+
+
+def shingles(block):
+    words = block.encode().split()
+    parts = [b" ".join(words[k:k + H.SHINGLE]) for k in range(len(words) - H.SHINGLE + 1)] or [b" ".join(words)]
+    return min(parts, key=H.crc32), max(parts, key=H.crc32)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_against_a_plain_count(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    pages = []
+    for host, n_pages in (("a.org", 60), ("b.org", 25), ("c.org", 7), ("d.org", 3)):
+        parts = [(f"<{tag}><p>{prose(6)}</p></{tag}>", rnd.random()) for tag in ("div", "section", "ul", "blockquote") for _ in range(3)]
+        parts += [(f"<{tag}>{prose(5)}</{tag}>", rnd.random()) for tag in ("p", "p", "p", "h2", "li")]
+        stock = [prose(12) for _ in range(5)]
+        for k in range(n_pages):
+            body = [f"<p>{rnd.choice(stock) if rnd.random() < 0.2 else prose(rnd.randint(1, 25))}</p>" for _ in range(rnd.randint(0, 4))]
+            body += [part for part, often in parts if rnd.random() < often * rnd.choice([0.2, 1])]
+            rnd.shuffle(body)
+            page = "".join(body)
+            pages += [(f"http://{host}/{k}", f"<article>{page}</article>")] * rnd.choice([1, 1, 2])
+    df = spark.createDataFrame(pages, "url string, html string").repartition(3)
+    assert {r.host: set(r.hashes) for r in H.site_templates(df).collect()} == plain_templates(pages)
+
+
+def test_a_paragraph_of_a_twentieth_of_the_pages_stays(spark):
+    """A container on a tenth of a host's pages is a template, a paragraph only from a quarter on."""
+    rnd = random.Random(3)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    pages = []
+    for k in range(200):
+        box = "<div><p>In a box.</p></div>" if k % 10 == 0 else ""
+        closing = "<p>Closing words.</p>" if k % 10 == 1 else ""
+        often = "<p>On many pages.</p>" if k % 10 < 3 else ""
+        pages.append((k, f"http://x.org/{k}", f"<article><p>{prose()}</p>{box}{closing}{often}</article>"))
+    got = {r.k: r.text for r in extract_text(spark.createDataFrame(pages, "k long, url string, html string")).collect()}
+    assert all("In a box" not in t and "On many" not in t for t in got.values())
+    assert sum("Closing words." in t for t in got.values()) == 20
