@@ -21,8 +21,9 @@ alone, status ``no_id``); several calls or results with one id: the first (by
 turn, then by content) is used, the others are ``duplicate``; a result
 without a call is ``orphan_result``, a call without one ``missing_result``; references to
 unknown calls are errors and are ignored for the order; calls on or above a
-cycle have a null level and the error ``cycle``; arguments that are no JSON object
-are errors; a null text of a result is JSON null; empty tables give an empty
+cycle have a null level and the error ``cycle``; arguments that are no JSON object,
+or nested deeper than ``MAX_DEPTH`` (kept as their text), or with half of a surrogate pair
+(U+FFFD takes its place) are errors; a null text of a result is JSON null; empty tables give an empty
 result; other columns are not read.
 """
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -39,6 +41,9 @@ from pyspark.sql import functions as F
 
 from spendlens.llm.common import materialize
 
+MAX_DEPTH = 100
+DEEP = f"$: nested deeper than {MAX_DEPTH}"
+SURROGATE = re.compile("[\ud800-\udfff]")
 CHECKED = "conv_id bigint, call_id string, turn bigint, name string, arguments string, errors array<string>, refs array<string>"
 
 
@@ -120,16 +125,37 @@ def references(value: Any) -> set[str]:
     return set().union(*map(references, value)) if isinstance(value, list) and value else set()
 
 
+def too_deep(value: Any, most: int = MAX_DEPTH) -> bool:
+    """Whether lists and objects are nested deeper than ``most``, without recursion."""
+    level = [value]
+    for _ in range(most + 1):
+        level = [x for v in level if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
+
+
 def check_call(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str, list[str], list[str]]:
     """Canonical arguments, errors and references of one call."""
     try:
         value = json.loads(arguments) if arguments is not None else None
-    except (ValueError, RecursionError):
+    except ValueError:
         return canonical(arguments), ["$: not JSON"], []
+    except RecursionError:  # far deeper than MAX_DEPTH
+        return canonical(arguments), [DEEP], []
+    if too_deep(value):
+        return canonical(arguments), [DEEP], []
+    text = canonical(value)
+    whole = not SURROGATE.search(text)
     if not isinstance(value, dict):
-        return canonical(value), ["$: not an object"], []
-    errors = validate(value, schemas[name]) if name in schemas else [f"unknown tool {name}"]
-    return canonical(value), errors, sorted(references(value))
+        errors, refs = ["$: not an object"], []
+    else:
+        errors = validate(value, schemas[name]) if name in schemas else [f"unknown tool {name}"]
+        refs = sorted(references(value))
+    if whole:
+        return text, errors, refs
+    clean = lambda x: SURROGATE.sub("\ufffd", x)
+    return clean(text), [*map(clean, errors), "$: lone surrogate"], [r for r in refs if not SURROGATE.search(r)]
 
 
 def _first(rows: DataFrame, *order: str) -> DataFrame:

@@ -89,3 +89,17 @@ def test_empty(spark):
     assert run(spark, [], []) == []
     assert [r.status for r in run(spark, [], [(1, "a", 0, "x")])] == ["orphan_result"]
     assert [r.status for r in run(spark, [(1, "a", 0, "f", '{"a":1}')], [])] == ["missing_result"]
+
+
+def test_surrogates_and_depth_are_errors_of_the_call(spark):
+    deep = lambda n: '{"text":' + "[" * n + "]" * n + "}"
+    arguments = ['{"text":"\\ud800"}', '{"\\udc00":1}', '{"text":{"$ref":"\\ud800"}}', '"\\udfff"', '{"text":"\\ud83d\\ude00"}',
+                 deep(99), deep(100), deep(1000), deep(3000), deep(200_000), "[" * 50]
+    calls = spark.createDataFrame([(1, f"c{i}", i, "t", a) for i, a in enumerate(arguments)], "conv_id long, call_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {r.turn: r for r in T.link_tool_calls(calls, results, {"t": {"type": "object"}}).collect()}
+    assert [got[i].errors for i in (0, 2, 4, 5)] == [["$: lone surrogate"], ["$: lone surrogate"], [], []]
+    assert got[1].errors == ["$: lone surrogate"] and got[3].errors == ["$: not an object", "$: lone surrogate"]
+    assert json.loads(got[0].message)["call"]["arguments"] == {"text": "\ufffd"}
+    assert all(got[i].errors == ["$: nested deeper than 100"] for i in (6, 7, 8, 9)) and got[10].errors == ["$: not JSON"]
+    assert json.loads(got[7].message)["call"]["arguments"] == deep(1000)
