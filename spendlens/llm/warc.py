@@ -5,20 +5,30 @@ as the block), ``parse_records`` reads them from the bytes of a WARC file, and
 ``derive`` turns each response into two linked records:
 
 * ``metadata`` (``application/warc-fields``): status, media type, charset, title,
-  outlinks, the response's digests and its HTTP headers;
+  outlinks, the response's digests, its HTTP headers, and the source record's own
+  WARC headers that the derived records do not carry (IP address, truncation, warcinfo id ...);
 * ``conversion`` (``text/plain``): the visible text, for a 2xx response whose
   media type is HTML or text.
 
+The payload is what is left of the message after its transfer encoding (chunked) and content
+encoding (gzip, deflate, zstd) are undone; a charset comes from the HTTP header, a byte order
+mark or a ``meta`` element, else it is UTF-8.  A payload that cannot be decoded has no conversion
+and a metadata field ``undecoded``.
+
 Both carry ``WARC-Refers-To`` (the response's id), ``WARC-Refers-To-Target-URI``,
 ``WARC-Refers-To-Date`` and ``WARC-Payload-Digest`` as in the response; the
 metadata record names the conversion in ``WARC-Concurrent-To``.  Record ids are
 derived from the response's id and the type, so building twice gives the same
 records.  ``record_bytes`` serialises a record.
 
-Every step is a row-wise map: nothing is shuffled, however large a site is.
+Every step is a row-wise map: nothing is shuffled, however large a site is.  ``read_warc``
+lets Spark's text reader cut the files at the records' starts: plain files are read by
+splits, a gzipped one (``.gz``, members one after the other) is streamed record by record
+in one task, and no file is ever held whole.
 
 Defined cases: a null URL gives a record without ``WARC-Target-URI``; a null
-page an empty payload and an empty conversion; a null id stays null; a response without a status line or blank line counts as a payload alone
+page an empty payload and an empty conversion; a null id stays null; a response without a
+record id has no ``WARC-Refers-To``, and its derived ids come from its URI, date and block; a response without a status line or blank line counts as a payload alone
 (status 0) and has no conversion; a null or missing block gives no records;
 repeated rows give the same records again; an empty table gives an empty
 result; other columns are not read.
@@ -27,15 +37,19 @@ result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,23 +93,55 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip(): v.strip() for k, v in (line.split(":", 1) for line in lines[1:] if ":" in line)}
+        headers = _headers(data[at:end])
         n = int(headers.get("Content-Length", "0"))
         yield headers, data[end + 4:end + 4 + n]
         at = end + 4 + n
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``source_id``, ``headers``, ``block`` of the response records of WARC files (one task reads a whole file)."""
+_NEXT = b"\r\n\r\nWARC/1."
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for data in f["content"]:
-                rows = [(h.get("WARC-Record-ID"), h, b) for h, b in parse_records(data) if h.get("WARC-Type") == "response"]
-                yield pd.DataFrame(rows, columns=["source_id", "headers", "block"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, RESPONSE)
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """``source_id``, ``headers``, ``block`` of the response records of WARC files, plain or ``.gz``.
+
+    A record whose block holds the text of a record's start comes in several
+    pieces, which are put together by its length; one that a split cuts there,
+    or the end of the file, fails the job.
+    """
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], bytes]]:
+        held, name = b"", None
+        for batch in batches:
+            for piece, file in zip(batch.column("piece").to_pylist(), batch.column("file").to_pylist(), strict=True):
+                if held and file != name:
+                    raise ValueError(f"a record of {name} is cut off")
+                name = file
+                held = held + _NEXT + piece if held else piece
+                end = held.find(b"\r\n\r\n")
+                headers = _headers(held[:end]) if end >= 0 else {}
+                n = int(headers.get("Content-Length", "0"))
+                if end >= 0 and len(held) - end - 4 >= n:
+                    yield headers, held[end + 4:end + 4 + n]
+                    held = b""
+                elif not held.strip():
+                    held = b""
+        if held:
+            raise ValueError(f"a record of {name} is cut off")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
+        for headers, block in records(batches):
+            if headers.get("WARC-Type") == "response":
+                yield pa.RecordBatch.from_arrays([pa.array([headers.get("WARC-Record-ID")], pa.string()), pa.array([list(headers.items())], kind),
+                                                  pa.array([block], pa.binary())], ["source_id", "headers", "block"])
+
+    lines = spark.read.option("lineSep", _NEXT.decode()).text(path)
+    return lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file")).mapInArrow(read, RESPONSE)
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    return {k.strip(): v.strip() for k, v in (line.split(":", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)}
 
 
 def response(source_id: str, url: str | None, page: str | None, date: str = DATE) -> tuple[dict[str, str], bytes]:
@@ -121,6 +167,71 @@ def split_http(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
     return int(status[1]) if status else 0, headers, block[end + 4:]
 
 
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked message; what is no chunk (a crawler may have undone it) stays as it is."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = re.fullmatch(rb"\s*([0-9a-fA-F]{1,16})\s*(?:;.*)?", data[at:end]) if end >= 0 else None
+        if not size:
+            return b"".join(out) if out else data
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(data[end + 2:end + 2 + n])
+        at = end + 2 + n + 2
+        if at > len(data):
+            return b"".join(out)
+
+
+def inflated(data: bytes, wbits: int) -> bytes:
+    """All members of a zlib stream of that kind; one cut short gives what it has."""
+    out = []
+    while data:
+        one = zlib.decompressobj(wbits)
+        out.append(one.decompress(data) + one.flush())
+        data = one.unused_data if one.eof else b""
+    return b"".join(out)
+
+
+def decoded(http: list[tuple[str, str]], payload: bytes) -> tuple[bytes, str | None]:
+    """The payload without its encodings, and the encoding that could not be undone."""
+    tokens = lambda name: [t.strip().lower() for k, v in http if k.lower() == name for t in v.split(",") if t.strip()]
+    if "chunked" in tokens("transfer-encoding"):
+        payload = unchunked(payload)
+    for kind in reversed(tokens("content-encoding") + [t for t in tokens("transfer-encoding") if t != "chunked"]):
+        try:
+            if kind in ("gzip", "x-gzip"):
+                if payload[:2] == b"\x1f\x8b":  # else it is stored without
+                    payload = inflated(payload, 31)
+            elif kind == "deflate":
+                try:
+                    payload = inflated(payload, 15)
+                except zlib.error:
+                    payload = inflated(payload, -15)
+            elif kind == "zstd":
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+            elif kind != "identity":
+                return payload, kind
+        except (zlib.error, zstandard.ZstdError):
+            return payload, kind
+    return payload, None
+
+
+_META = re.compile(rb"<meta\s[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def charset_of(media: str, payload: bytes) -> str:
+    found = re.search(r"charset\s*=\s*\"?([\w.:-]+)", media, re.I)
+    if found:
+        return found[1]
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if payload.startswith(mark):
+            return name
+    meta = _META.search(payload[:1024])
+    return meta[1].decode("ascii") if meta else "utf-8"
+
+
 def plain_text(page: str) -> tuple[str, str, list[str]]:
     """The visible text (blocks on lines of their own), the title and the links of an HTML page."""
     out: list[str] = []
@@ -152,32 +263,36 @@ def plain_text(page: str) -> tuple[str, str, list[str]]:
 def derive_records(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The metadata and, where there is text, the conversion record of one response."""
     status, http, payload = split_http(block)
-    source, uri = headers.get("WARC-Record-ID") or "", headers.get("WARC-Target-URI")
+    source, uri = headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI")
+    name = source or f"{uri or ''} {headers.get('WARC-Date') or ''} {digest(block)}"
+    stored = payload
+    payload, undecoded = decoded(http, payload)
     media = next((v for k, v in http if k.lower() == "content-type"), "")
-    kind, _, rest = media.partition(";")
-    found = re.search(r"charset\s*=\s*\"?([\w.:-]+)", rest, re.I)
-    charset = found[1] if found else "utf-8"
+    kind = media.partition(";")[0]
+    charset = charset_of(media.partition(";")[2], payload)
     try:
         page = payload.decode(charset, "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # unknown, or no encoding of text
         charset, page = "utf-8", payload.decode("utf-8", "replace")
     kind = kind.strip().lower()
-    convert = 200 <= status < 300 and kind.startswith(TEXT_TYPES)
+    convert = 200 <= status < 300 and kind.startswith(TEXT_TYPES) and not undecoded
     is_html = kind in ("text/html", "application/xhtml+xml")
     text, title, links = plain_text(page) if is_html else (page, "", [])
     linked = {"WARC-Date": headers.get("WARC-Date"), "WARC-Target-URI": uri, "WARC-Refers-To": source, "WARC-Refers-To-Target-URI": uri,
-              "WARC-Refers-To-Date": headers.get("WARC-Date"), "WARC-Payload-Digest": headers.get("WARC-Payload-Digest") or digest(payload)}
-    conversion_id = record_id(f"conversion:{source}")
+              "WARC-Refers-To-Date": headers.get("WARC-Date"), "WARC-Payload-Digest": headers.get("WARC-Payload-Digest") or digest(stored)}
+    conversion_id = record_id(f"conversion:{name}")
     fields = [("status", str(status)), ("media-type", kind), ("charset", charset), ("title", title), ("payload-length", str(len(payload))),
               ("payload-digest", linked["WARC-Payload-Digest"]), ("block-digest", headers.get("WARC-Block-Digest") or digest(block))]
+    fields += [("undecoded", undecoded)] if undecoded else []
     fields += [("http-header", f"{k}: {v}") for k, v in http]
+    fields += [("warc-header", f"{k}: {headers[k]}") for k in sorted(headers) if k not in FIELDS and headers[k] is not None]
     for link in links:
         try:
             fields.append(("outlink", urljoin(uri or "", link)))
         except ValueError:
             fields.append(("outlink", link))
     about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode("utf-8", "replace")
-    made = [("metadata", record_id(f"metadata:{source}"), "application/warc-fields", about, conversion_id if convert else None)]
+    made = [("metadata", record_id(f"metadata:{name}"), "application/warc-fields", about, conversion_id if convert else None)]
     if convert:
         made.append(("conversion", conversion_id, "text/plain; charset=utf-8", text.encode("utf-8", "replace"), None))
     return [({"WARC-Type": kind_, "WARC-Record-ID": id_, **linked, "WARC-Concurrent-To": other, "WARC-Block-Digest": digest(data),
