@@ -127,9 +127,9 @@ def references(value: Any) -> set[str]:
 
 def too_deep(value: Any, most: int = MAX_DEPTH) -> bool:
     """Whether lists and objects are nested deeper than ``most``, without recursion."""
-    level = [value]
-    for _ in range(most + 1):
-        level = [x for v in level if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+    level = [value] if isinstance(value, dict | list) else []
+    for _ in range(most):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, dict | list)]
         if not level:
             return False
     return True
