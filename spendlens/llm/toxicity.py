@@ -10,7 +10,8 @@ the class prior.
 Features are the distinct words of the whole text and their first four to six
 characters, hashed; each weighs the log-ratio of its share in P and in U.  The fit runs in numpy on a bounded
 sample: at most about ``max_positive`` toxic and ``max_unlabelled`` other texts,
-chosen by a hash of the text's id (documented bound, the only sample here).
+chosen by a hash of the text's id (documented bound, the only sample here; where ids
+repeat with different texts, by a hash of those).
 Scoring reads every whole text of every row on the executors; the model is one
 array of ``2 ** BITS`` floats.
 
@@ -41,6 +42,7 @@ PREFIXES = (4, 5, 6)  # characters
 _WORD = re.compile(r"[^\W\d_]+")
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 THRESHOLD = 0.3
+NEVER = -500.0  # the bias of a model without toxic texts: every score is 0
 
 
 def features(text: str | None) -> np.ndarray:
@@ -60,7 +62,7 @@ class ToxicityModel:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = np.array([self.weights[features(t)].sum(dtype="float64") for t in texts], dtype="float64") + self.bias
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(z > NEVER, 1.0 / (1.0 + np.exp(-np.clip(z, NEVER, -NEVER))), 0.0)
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,24 +70,39 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.concatenate(rows) if rows else np.zeros(0, dtype="<u4")
 
 
-def toxic_features(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, min_share: float = 0.02, min_texts: int = 4,
-                   min_ratio: float = 0.7, min_z: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+def toxic_features(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, min_texts: int = 4, min_z: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
     """Which features are used, and every feature's log-ratio, from the numbers of texts that have them.
 
-    Used are those that stand in at least ``min_share`` (and ``min_texts``) of the
-    toxic texts, clearly more often than in the unlabelled ones.
+    Used are those that stand significantly (``min_z``) more often in the toxic
+    texts than in the unlabelled ones, in ``min_texts`` of them at least.  How
+    much more often is no condition: U holds toxic texts too, so where they are
+    many the ratio is small for all; the penalty decides what a feature weighs.
     """
     share = (in_u + 0.5) / (n_u + 1.0)
     ratio = np.log((in_p + 0.5) / (n_p + 1.0)) - np.log(share)
     z = (in_p - n_p * share) / np.sqrt(n_p * share * (1 - share) + 0.25)
-    return (in_p >= max(min_texts, min_share * n_p)) & (ratio >= min_ratio) & (z >= min_z), ratio
+    return (in_p >= min_texts) & (z >= min_z), ratio
+
+
+def nnpu_risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with the logistic loss: of P as positive, and of the negatives (U less the share of P in it)."""
+    return float(prior * np.logaddexp(0, -z_p).mean()), float(np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean())
+
+
+def nnpu_gradient(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The direction of a step by the logits of P and of U: the gradient of the risk, or, where its second part is negative, against that part's."""
+    s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
+    of_p, of_u = -prior * s_p / len(z_p), s_u / len(z_u)  # of the second part
+    if nnpu_risk(z_p, z_u, prior)[1] < 0:
+        return -of_p, -of_u
+    return of_p + prior * (s_p - 1) / len(z_p), of_u
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-3) -> ToxicityModel:
     """Full-batch Adam on the non-negative risk with the logistic loss, over the ``toxic_features`` of the rows."""
     size = 1 << BITS
     if not positive or not unlabelled:
-        return ToxicityModel(np.zeros(size, dtype="float32"), -500.0)
+        return ToxicityModel(np.zeros(size, dtype="float32"), NEVER)
     (po, pf), (uo, uf) = _flat(positive), _flat(unlabelled)
     in_p, in_u = np.bincount(pf, minlength=size), np.bincount(uf, minlength=size)
     used, ratio = toxic_features(in_p, in_u, len(positive), len(unlabelled))
@@ -106,11 +123,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         return np.append(np.bincount(cols, weights=by_row[owner], minlength=k) * x, by_row.sum())
 
     for step in range(1, steps + 1):
-        zp, zu = logits(po, pf, n_p), logits(uo, uf, n_u)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = gradient(uo, uf, su / n_u) - prior * gradient(po, pf, sp / n_p)
-        g = prior * gradient(po, pf, (sp - 1) / n_p) + g_neg if as_negative >= 0 else -g_neg
+        by_p, by_u = nnpu_gradient(logits(po, pf, n_p), logits(uo, uf, n_u), prior)
+        g = gradient(po, pf, by_p) + gradient(uo, uf, by_u)
         g[:k] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -137,13 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n_pos, n_lab = marks.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     n_docs = texts.count()
     if not n_pos or n_docs <= n_pos:
-        return ToxicityModel(np.zeros(1 << BITS, dtype="float32"), -500.0)
+        return ToxicityModel(np.zeros(1 << BITS, dtype="float32"), NEVER)
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share_p, share_u = min(1.0, max_positive / n_pos), min(1.0, max_unlabelled / n_docs)
-    toxic = marks.where((F.col("y") == 1) & (draw < share_p)).select("id")
-    p = texts.where(draw < share_p).join(toxic, "id", "left_semi").select(F.lit(1).alias("p"), _features("t").alias("f")).limit(2 * max_positive)
-    u = texts.where(draw < share_u).select(F.lit(0).alias("p"), _features("t").alias("f")).limit(2 * max_unlabelled)
+    # the drawn ids are few and written first, so the planner sees that they can be broadcast and the texts stay where they are
+    toxic = materialize(marks.where((F.col("y") == 1) & (draw < share_p)).select("id"), "toxic-ids")
+    p = texts.where(draw < share_p).join(toxic, "id", "left_semi").select(F.lit(1).alias("p"), _features("t").alias("f"))
+    u = texts.where(draw < share_u).select(F.lit(0).alias("p"), _features("t").alias("f"))
     sample = materialize(p.unionByName(u).distinct(), "toxicity-sample")  # texts with the same words are one: copies are no evidence
+    sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
+    most = {1: 2 * max_positive, 0: 2 * max_unlabelled}
+    if any(n > most[k] for k, n in sizes.items()):  # ids with many different texts: drawn again by the texts
+        rate = F.when(F.col("p") == 1, max_positive / max(1, sizes.get(1, 0))).otherwise(max_unlabelled / max(1, sizes.get(0, 0)))
+        sample = materialize(sample.where(F.pmod(F.xxhash64("f"), F.lit(1_000_003)) / F.lit(1_000_003.0) < rate), "toxicity-sample")
+        sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,7 +172,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 got, n = np.unique(np.frombuffer(b"".join(part["f"]), dtype="<u4"), return_counts=True)
                 yield pd.DataFrame({"p": np.int32(kind), "feature": got.astype("int64"), "n": n})
 
-    sizes = {r["p"]: r["count"] for r in sample.groupBy("p").count().collect()}
     texts_with = {k: np.zeros(1 << BITS, dtype="int64") for k in (0, 1)}
     counted = sample.mapInPandas(count, "p int, feature bigint, n bigint").groupBy("p", "feature").agg(F.sum("n").alias("n"))
     for kind, part in counted.toPandas().groupby("p"):  # at most 2 ** BITS rows for each
