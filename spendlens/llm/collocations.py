@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import materialize
+from spendlens.llm.common import bitmap_of, marked, materialize
 from spendlens.operators.attach import attach
 
 SUPPORT = 30
@@ -156,22 +156,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = np.uint64(len(bitmap) * 8 - 1)
-    at = hashes & bits
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
-    """A bitmap of ``2**bits`` bits (at least 2**15) of a column ``h``, put together on the executors in blocks of 4 KB."""
-    at = F.col("h").bitwiseAND((1 << bits) - 1) + 1  # Spark's bitmap positions count from 1
-    blocks = hashes.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = bytearray(1 << bits - 3)
-    for r in blocks.toLocalIterator():
-        out[(r.block - 1) * 4096:r.block * 4096] = r.bits
-    return bytes(out)
-
-
 def _alive(shard: Shard, words: np.ndarray, pairs: np.ndarray | None, n: int) -> np.ndarray:
     """Starts of ``n`` words in one piece, each frequent, and each pair frequent where the pairs are known."""
     live = shard.alive_words(words)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,20 @@ def unused(df: DataFrame, base: str) -> str:
 def crc_remainder(key: Column, modulus: int) -> Column:
     """``crc32(key as text) mod modulus``; null for a null key."""
     return F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(modulus))
+
+
+def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (uint64) have their bit in a bitmap (uint8, a power of two long) of ``bitmap_of``."""
+    bits = np.uint64(len(bitmap) * 8 - 1)
+    at = hashes & bits
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
+    """A bitmap of ``2**bits`` bits (at least 2**15) of a column ``h``, put together on the executors in blocks of 4 KB."""
+    at = F.col("h").bitwiseAND((1 << bits) - 1) + 1  # Spark's bitmap positions count from 1
+    blocks = hashes.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = bytearray(1 << bits - 3)
+    for r in blocks.toLocalIterator():
+        out[(r.block - 1) * 4096:r.block * 4096] = r.bits
+    return bytes(out)

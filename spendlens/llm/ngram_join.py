@@ -9,7 +9,10 @@ shingles is at least 0.8.
    the least text of its bucket, and connected components of these star edges
    are the candidate clusters.  No list of a bucket's pairs is ever written.
 3. In a cluster every two texts are compared.  A cluster is cut into blocks of
-   about ``BLOCK`` texts, a task gets two blocks.  MinHash values are compared
+   about ``BLOCK_SHINGLES`` shingles, a task gets two blocks; a text goes to as many
+   tasks as its cluster has blocks.  Only the texts of clusters are shuffled: a bitmap of
+   ``2**FILTER_BITS`` bits of their hashes, of fixed size, is broadcast, and what it
+   lets through by chance goes in the join.  MinHash values are compared
    ``STEP`` at a time; with a uniform prior the posterior of reaching the
    threshold after ``m`` of ``n`` agreements is ``P(Binomial(n + 1, t) <= m)``, and
    pairs for which it falls below ``TOLERANCE`` are dropped.
@@ -40,15 +43,18 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import materialize, unused
+from spendlens.llm.common import bitmap_of, marked, materialize, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 40
-BLOCK = 400
+BLOCK_SHINGLES = 1 << 19  # of the texts of a block, about: 4 MB of shingle ids
+FILTER_BITS = 26
+SIGNED = 20_000  # texts whose signature a worker remembers
 STEP, STEPS = 16, 6
 TOLERANCE = 1e-5
 WORD_CACHE = 300_000
@@ -126,14 +132,15 @@ def _linked(a: list[int], b: list[int], sigs: np.ndarray, sets: list[np.ndarray]
     if len(x) < 2 * (len(a) + len(b)):
         shared = np.array([len(np.intersect1d(sets[a[i]], sets[b[j]], assume_unique=True)) for i, j in zip(x, y, strict=True)])
     else:
-        both = np.zeros((len(a), len(b)), dtype="float32")  # counts below 2**24 are exact
+        exact = "float32" if max(len(sets[b[j]]) for j in np.unique(y)) < 1 << 24 else "float64"  # counts are whole numbers
+        both = np.zeros((len(a), len(b)), dtype=exact)
         rows_a, rows_b = np.unique(x), np.unique(y)
         universe = np.unique(np.concatenate([sets[b[j]] for j in rows_b]))
         for at in range(0, len(universe), 4096):
             part = universe[at:at + 4096]
 
             def table(members: list[int], rows: np.ndarray, part: np.ndarray = part) -> np.ndarray:
-                t = np.zeros((len(members), len(part)), dtype="float32")
+                t = np.zeros((len(members), len(part)), dtype=exact)
                 for r in rows:
                     s = sets[members[r]]
                     s = s[np.searchsorted(s, part[0]):np.searchsorted(s, part[-1], side="right")]
@@ -187,18 +194,39 @@ def _has_words(text: Column) -> Column:
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per text with words: ``h``, ``uid``, least id, number of copies, signature."""
-
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"h": f["h"], "id": f["id"], "sig": [signature(shingles(t)).astype("<u4").tobytes() for t in f["t"]]})
+    """One row per text with words: ``h``, ``uid``, least id, number of copies, signature, ``size`` (shingles)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[bytes, int]] = {}  # copies of a text are often near each other
+        for batch in batches:
+            hashes, out = batch.column("h").to_pylist(), []
+            for h, t in zip(hashes, batch.column("t").to_pylist(), strict=True):
+                if h not in known:
+                    if len(known) >= SIGNED:
+                        known.clear()
+                    ids = shingles(t)
+                    known[h] = signature(ids).astype("<u4").tobytes(), len(ids)
+                out.append(known[h])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("id"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())],
+                                             ["h", "id", "sig", "size"])
 
     rows = docs.where(_has_words(F.col(text))).select(_digest(F.col(text)).alias("h"), F.col(key).cast("bigint").cast("string").alias("id"), F.col(text).alias("t"))
-    signed = rows.mapInPandas(sign, "h binary, id string, sig binary")
-    texts = signed.groupBy("h").agg(F.min(F.col("id").cast("bigint")).alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.min("sig").alias("sig"))
+    signed = rows.mapInArrow(sign, "h binary, id string, sig binary, size bigint")
+    texts = signed.groupBy("h").agg(F.min(F.col("id").cast("bigint")).alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.min("sig").alias("sig"), F.max("size").alias("size"))
     return materialize(texts.withColumn("uid", F.monotonically_increasing_id()), "texts")
 
 
+def among(spark: SparkSession, hashes: DataFrame):
+    """A condition on a long column: it may be one of ``h``; other values pass with the share of the bits that are set."""
+    sent = spark.sparkContext.broadcast(bitmap_of(hashes, FILTER_BITS))
+
+    @F.pandas_udf("boolean")
+    def known(values: pd.Series) -> pd.Series:
+        return pd.Series(marked(np.frombuffer(sent.value, np.uint8), values.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return known
+
+
 def candidate_clusters(texts: DataFrame) -> DataFrame:
     """``node`` (uid) and ``label`` of the texts that share a band with another."""
     size = 4 * ROWS
@@ -211,14 +239,17 @@ def candidate_clusters(texts: DataFrame) -> DataFrame:
 
 def verified_links(docs: DataFrame, text: str, texts: DataFrame, clusters: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows ``(a, null, n)``: the text ``a`` has ``n`` links in a pair of blocks; ``(a, b, null)``: a link of the forest."""
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "label").join(texts.select(F.col("uid").alias("node"), "h", "sig"), "node")
-    n_small = clusters.count() // BLOCK + 1
+    own = clusters.join(texts.select(F.col("uid").alias("node"), "h", "sig", "size"), "node")
+    own = materialize(own, "cluster-members")
+    sizes = own.groupBy("label").agg(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = own.drop("size").join(sizes, "label")
+    n_small = (own.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // BLOCK_SHINGLES + 1
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # grouped before the join: of many copies a map task sends one
+    candidate = among(docs.sparkSession, members.select(F.xxhash64("h").alias("h")))
+    # only texts of clusters, grouped before the join: of many copies a map task sends one
     whole = (docs.where(_has_words(F.col(text))).select(_digest(F.col(text)).alias("h"), F.col(text).alias("t"))
-             .groupBy("h").agg(F.min("t").alias("t")))
+             .where(candidate(F.xxhash64("h"))).groupBy("h").agg(F.min("t").alias("t")))
     rows = materialize(members.withColumn("own", own).join(whole, "h").drop("h"), "members")
     rows = rows.withColumn("other", other).select(
         "label", "node", "own", "sig", "t", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),

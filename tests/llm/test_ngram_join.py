@@ -60,7 +60,7 @@ def brute(rows):
 
 @pytest.mark.parametrize("seed, block", [(1, 400), (2, 3)])
 def test_equals_brute_force(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 30 * block)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(4)
     out = J.jaccard_join(docs).collect()
