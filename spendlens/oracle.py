@@ -338,6 +338,33 @@ _SIX = {"own_share_pct": 6, "own_rev_log": 6, "total_spend_log": 6}
 
 
 
+def comparison() -> str:
+    """Welch's F from averages and variances, chi-square from observed and expected counts of every cell."""
+    moments = " UNION ALL ".join(f"SELECT cohort, '{m}' AS variable, category, count({m}) AS n, avg(CAST({m} AS DOUBLE)) AS mean, var_samp(CAST({m} AS DOUBLE)) AS v "
+                                 f"FROM members GROUP BY cohort, category" for m in MEANS)
+    cells = " UNION ALL ".join(f"SELECT cohort, '{c}' AS variable, {c} AS level, category, count(*) AS n FROM members GROUP BY ALL" for c in CATEGORICAL)
+    return query("""SELECT cohort, variable, round(f, 6) AS statistic, k - 1 AS df1, round(CASE WHEN f IS NOT NULL THEN (k * k - 1) / (3 * part) END, 6) AS df2 FROM welch
+UNION ALL SELECT cohort, variable, round(sum((n - e) * (n - e) / e), 6), (count(DISTINCT level) - 1) * (count(DISTINCT category) - 1), NULL FROM expected GROUP BY cohort, variable""",
+                 members("base"), f"moments AS ({moments})", "weights AS (SELECT *, CASE WHEN v > 0 THEN n / v END AS w FROM moments)",
+                 "centred AS (SELECT *, sum(w) OVER o AS sw, sum(w * mean) OVER o / sum(w) OVER o AS centre, count(*) OVER o AS k FROM weights WINDOW o AS (PARTITION BY cohort, variable))",
+                 "parts AS (SELECT cohort, variable, max(k) AS k, sum(w * (mean - centre) ** 2) / (max(k) - 1) AS a, sum((1 - w / sw) ** 2 / (n - 1)) AS part FROM centred GROUP BY ALL)",
+                 "welch AS (SELECT *, a / (1 + 2 * (k - 2) * part / (k * k - 1)) AS f FROM parts)", f"cells AS ({cells})",
+                 "every AS (SELECT * FROM (SELECT DISTINCT cohort, variable, level FROM cells) JOIN (SELECT DISTINCT cohort, variable, category FROM cells) USING (cohort, variable))",
+                 "full_cells AS (SELECT e.*, coalesce(c.n, 0) AS n FROM every e LEFT JOIN cells c USING (cohort, variable, level, category))",
+                 "expected AS (SELECT *, CAST(sum(n) OVER (PARTITION BY cohort, variable, level) AS DOUBLE) * sum(n) OVER (PARTITION BY cohort, variable, category) "
+                 "/ sum(n) OVER (PARTITION BY cohort, variable) AS e FROM full_cells)")
+
+
+def differences() -> str:
+    parts = []
+    for variant, src in (("raw", "banded"), ("balanced", "sample")):
+        for m in MEANS:
+            of = lambda f, c, m=m: f"{f}(CAST({m} AS DOUBLE)) FILTER (WHERE category = '{c}')"
+            parts.append(f"SELECT '{variant}' AS variant, '{m}' AS variable, round(({of('avg', 'Detractor')} - {of('avg', 'Promoter')}) "
+                         f"/ nullif(sqrt(({of('var_samp', 'Detractor')} + {of('var_samp', 'Promoter')}) / 2), 0), 6) AS difference FROM {src}")
+    return query("\nUNION ALL ".join(parts), _SEG)
+
+
 def contract_rows() -> str:
     """Nulls of every declared column, rows outside bounds and allowed values, repeated keys: counted relation by relation."""
     sources = {"survey": ("relation_survey", "survey_id"), "spend_y2": ("relation_spend_y2", "party_id"), "spend_y1": ("relation_spend_y1", "party_id"),
@@ -436,6 +463,8 @@ ORACLE_SQL: dict[str, str] = {
     "outcome_report_from_cube": query(report("members", ["cohort"]), members("base")),
     "cohort_summary_from_cube": query(continuous("members", ["cohort"]), members("base")),
     "latest_survey_incremental": query("SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM latest"),
+    "group_comparison": comparison(),
+    "balance_differences": differences(),
     "pull_ledger": query("\nUNION ALL ".join(f"SELECT {i} AS step_no, '{step}' AS step, ({sql}) AS n_rows" for i, (step, sql) in enumerate(_LEDGER_STEPS))),
     "contract_report": query(contract_rows(), *_RELATIONS),
     "report_store": query(report("base")),

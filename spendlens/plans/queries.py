@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.operators.attach import attach
-from spendlens.operators.balance import balance, balance_diagnostics, balance_quota, mark_sample, stratum_shares
+from spendlens.operators.balance import REF_PAIR, balance, balance_diagnostics, balance_quota, mark_sample, stratum_shares
+from spendlens.operators.compare import chi_square, standardised_differences, welch
 from spendlens.operators.crosstab import crosstab_margins
-from spendlens.operators.cube import cube_measures
+from spendlens.operators.cube import cube_levels, cube_measures
 from spendlens.operators.quantile_bands import band_bounds, band_intervals, quantile_edges, with_group_band, with_value_band
 from spendlens.operators.share import group_share
-from spendlens.operators.summary import continuous_rows, level_counts, summarize_categorical, summarize_continuous, summarize_levels
+from spendlens.operators.summary import continuous_rows, group_measures, level_counts, summarize_categorical, summarize_continuous, summarize_levels
 from spendlens.plans.cohorts import BALANCED, RAW, REF_STRATA, balanced_cohorts, cohort_frames, explode_cohorts, variant_share
 from spendlens.plans.incremental import LatestSurveys
 from spendlens.plans.derive import SHARE_SPECS, analysis_base, in_base, profile
@@ -324,6 +325,23 @@ def q_cohort_summary_from_cube(spark, sf_dir):
     return rounded(continuous_rows(measures, MEANS, keys=["cohort"], ratios=SHARE_SPECS), "sd")
 
 
+def q_group_comparison(spark, sf_dir):
+    """Welch's F of the means and chi-square of the levels between the categories, for every raw cohort, from the cube."""
+    cube = reused(explode_cohorts(outcome_cube(base(spark, sf_dir, ["survey_dt", "stage"])), COHORTS))
+    means = welch(cube_measures(cube, MEANS, "category", ["cohort"]), MEANS, keys=["cohort"])
+    levels = chi_square(cube_levels(cube, [*CATEGORICAL, "category"], ["cohort"]), CATEGORICAL, keys=["cohort"])
+    return rounded(means.unionByName(levels), "statistic", "df2")
+
+
+def q_balance_differences(spark, sf_dir, strata=SEGMENT_STRATA):
+    """Standardised differences of the reference pair before and after balancing."""
+    rows = banded_base(spark, sf_dir, strata)
+    marked = mark_sample(rows, strata, seed=SEED, mark="_in")
+    variants = F.array_compact(F.array(F.lit(RAW), F.when(F.col("_in"), F.lit(BALANCED))))
+    agg = group_measures(marked.withColumn("variant", F.explode(variants)), MEANS, "category", ["variant"])
+    return rounded(standardised_differences(agg, MEANS, REF_PAIR, keys=["variant"]), "difference")
+
+
 def _scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/core/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -34,30 +33,31 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Mark a narrow frame that several steps read.
+#: persisted frames by application, and whether other queries of the session read them too
+_HELD: dict[str, list[tuple[DataFrame, bool]]] = {}
+
+
+def reused(df: DataFrame, shared: bool = False) -> DataFrame:
+    """Mark a narrow frame that several steps of a query read, or (``shared``) several queries.
 
     Nothing runs here: the first reader fills the blocks, and a block lost with
     its executor is computed again from the sources.  ``release`` frees them.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _HELD.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
+    _HELD.setdefault(df.sparkSession.sparkContext.applicationId, []).append((df, shared))
     return df
 
 
-#: persisted frames by application
-_HELD: dict[str, list[DataFrame]] = {}
-
-
-def release(spark: SparkSession, keep: Sequence[DataFrame] = ()) -> int:
-    """Free the frames that queries of this application have persisted, but for those in ``keep``; returns how many.
+def release(spark: SparkSession, shared: bool = False) -> int:
+    """Free what the queries run so far have persisted (the shared frames only on request); returns how many frames.
 
     Queries built before stay right: what they need again is computed again.
     """
     held = _HELD.pop(spark.sparkContext.applicationId, [])
-    kept = [df for df in held if any(df is k for k in keep)]
-    for df in held:
-        if not any(df is k for k in kept):
+    kept = [] if shared else [(df, True) for df, of_session in held if of_session]
+    plans = [df for df, _ in kept]
+    for df, of_session in held:
+        if (shared or not of_session) and not any(df.sameSemantics(k) for k in plans):
             df.unpersist()
     if kept:
         _HELD[spark.sparkContext.applicationId] = kept

@@ -164,7 +164,7 @@ class BoundTables(Mapping):
             aggs += [F.sum(of_year(c)).alias(f"{c}_{y}") for c in (*sums, *counts)]
             aggs += [F.max(of_year(c)).alias(f"{c}_{y}") for c in tops]
             aggs.append(F.count(of_year("o_orderkey")).alias(f"trips_{y}"))
-        return reused(per_order.groupBy(F.col("o_custkey").alias("party_id")).agg(*aggs))
+        return reused(per_order.groupBy(F.col("o_custkey").alias("party_id")).agg(*aggs), shared=True)
 
     def customer_years(self) -> DataFrame:
         return self._once("customer_years", self._customer_years)

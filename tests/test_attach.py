@@ -41,6 +41,7 @@ def test_light_keys_have_one_copy(spark):
 
 
 def test_release(spark):
-    a, b = reused(spark.range(3)), reused(spark.range(4))
-    assert release(spark, keep=[b]) >= 1 and not a.is_cached and b.is_cached
-    assert release(spark) == 1 and not b.is_cached and b.count() == 4
+    release(spark, shared=True)
+    a, b = reused(spark.range(3)), reused(spark.range(4), shared=True)
+    assert release(spark) == 1 and not a.is_cached and b.is_cached and spark.range(4).storageLevel.useMemory
+    assert release(spark, shared=True) == 1 and not spark.range(4).storageLevel.useMemory and b.count() == 4
