@@ -17,7 +17,7 @@ driver and no length is a task of its own.
 Defined cases: a null text is an empty one, whose only token is the end token;
 a very long text is cut as a whole; repeated rows and null ids are packed like
 any others; an empty table gives an empty result; other columns of the items
-are kept, the added ones get the names given (they must not be taken).
+are kept but for those with the names of the added ones.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = SEQUENCE, sequence: str = "sequence_id",
                   offset: str = "offset") -> DataFrame:
-    """Add ``sequence`` and ``offset`` to the items; lengths must lie in 1..``capacity``."""
+    """Add ``sequence`` and ``offset`` to the items (columns of theirs with these names go); lengths must lie in 1..``capacity``."""
+    items = items.drop(*[c for c in items.columns if c.lower() in (sequence.lower(), offset.lower())])
     part, rank = unused(items, "_part"), unused(items, "_rank")
     schema = items.withColumns({part: F.lit(0).cast("int"), rank: F.lit(0).cast("bigint")}).schema
 

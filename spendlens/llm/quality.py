@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import WS, unused
+from spendlens.llm.common import WS, materialize, unused
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -125,6 +125,11 @@ def build_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return one.select(F.col(key), "m.*", _fail_bits("m").alias("fail_bits"))
 
 
+def stored_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger written once: policies and ablations read it (numbers, no text) as often as they like."""
+    return materialize(build_ledger(docs, key, text), "quality-ledger")
+
+
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
     """Add ``base_failed``, ``kept`` and the policy's version to a ledger."""
     return ledger.withColumns({
@@ -153,7 +158,7 @@ def ablations(ledger: DataFrame, policies: list[Policy] | None = None) -> DataFr
     each = spark.createDataFrame(rows, "policy string, rule string, mask bigint, bit bigint")
     bits, mask, bit = F.col("fail_bits"), F.col("mask"), F.col("bit")
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("bigint")
-    pairs = each.join(masks, F.lit(True), "left")  # a few rules against at most 2**len(RULES) masks
+    pairs = each.join(masks, F.lit(True), "left")  # a nested loop over a few rules and at most 2**len(RULES) masks, whatever the corpus
     return pairs.groupBy("policy", "rule").agg(
         n(bits.bitwiseAND(bit) != 0).alias("n_failed"),
         n(bits.bitwiseAND(mask) == bit).alias("n_failed_only_this"),

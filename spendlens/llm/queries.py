@@ -32,7 +32,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality.build_ledger(read_table(spark, sf_dir, "documents"))
+    ledger = quality.stored_ledger(read_table(spark, sf_dir, "documents"))
     return quality.apply_policy(ledger, quality.POLICIES[quality.DEFAULT_POLICY])
 
 

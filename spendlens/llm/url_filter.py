@@ -23,7 +23,7 @@ and no rule; the model scores a null URL like an empty text; equally long
 rules: the first of the list wins; without accepted or without rejected
 training URLs everything that no rule rejects is allowed; repeated rows count
 each time; other columns are kept, new ones replace none
-(``judge_urls`` needs the names it adds to be free).
+(of the input those with the names that ``judge_urls`` adds are replaced).
 """
 
 from __future__ import annotations

@@ -59,3 +59,15 @@ def test_ablations(spark):
         assert (r.n_failed, r.n_failed_only_this) == (sum(bool(b & bit) for b in bits), sum(b & mask == bit for b in bits))
         assert (r.n_kept, r.n_kept_without) == (sum(not b & mask for b in bits), sum(not b & (mask & ~bit) for b in bits))
     assert {r.n_kept for r in Q.ablations(Q.build_ledger(docs.limit(0))).collect()} == {0}
+
+
+def test_stored_ledger_is_read_without_the_texts(spark):
+    _, docs = frame(spark)
+    ledger = Q.stored_ledger(docs)
+    for version in Q.POLICIES:
+        judged = Q.apply_policy(ledger, Q.POLICIES[version])
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+        assert all("/quality-ledger-" in f for f in judged.inputFiles()) and "Python" not in plan
+        assert judged.where("kept").count() == Q.apply_policy(Q.build_ledger(docs), Q.POLICIES[version]).where("kept").count()
+    from_texts = sorted(map(tuple, Q.ablations(Q.build_ledger(docs)).collect()))
+    assert sorted(map(tuple, Q.ablations(ledger).collect())) == from_texts
