@@ -463,6 +463,9 @@ ORACLE_SQL: dict[str, str] = {
     "outcome_report_from_cube": query(report("members", ["cohort"]), members("base")),
     "cohort_summary_from_cube": query(continuous("members", ["cohort"]), members("base")),
     "latest_survey_incremental": query("SELECT party_id, survey_id, survey_dt, category, transactor_stage, tenure FROM latest"),
+    "stamped_report": query(f"SELECT *, strftime(TIMESTAMP '2000-07-01 03:30:00' - INTERVAL 5 HOUR, '%Y_%m_%d') AS run_day FROM ({report('base')})"),
+    "population_head": query("SELECT party_id, category, tier, age_band, CAST(own_rev_y1 AS DOUBLE) AS own_rev_y1, CAST(own_rev_y2 AS DOUBLE) AS own_rev_y2, "
+                             "cust_value FROM population ORDER BY party_id LIMIT 5"),
     "group_comparison": comparison(),
     "balance_differences": differences(),
     "pull_ledger": query("\nUNION ALL ".join(f"SELECT {i} AS step_no, '{step}' AS step, ({sql}) AS n_rows" for i, (step, sql) in enumerate(_LEDGER_STEPS))),

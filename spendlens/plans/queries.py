@@ -8,6 +8,7 @@ with the SQL oracles.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -32,6 +33,7 @@ from spendlens.session import reused, shared_folder
 from spendlens.sources import contracts
 from spendlens.sources.relation_store import RelationStore, write_store
 from spendlens.sources.relations import CONTRACTS
+from spendlens.sources.sinks import run_stamp
 from spendlens.sources.tpch_binding import COHORTS, LABELS, Binding, BoundTables
 from spendlens.sources.versions import VersionedTable
 
@@ -325,6 +327,20 @@ def q_cohort_summary_from_cube(spark, sf_dir):
     return rounded(continuous_rows(measures, MEANS, keys=["cohort"], ratios=SHARE_SPECS), "sd")
 
 
+#: a run late in the evening of 30 June in Chicago
+RUN = dt.datetime(2000, 7, 1, 3, 30)
+
+
+def q_stamped_report(spark, sf_dir):
+    """The outcome report with the day of the run in the reporting time zone, as file names carry it."""
+    return outcome_report(base(spark, sf_dir)).withColumn("run_day", run_stamp(RUN))
+
+
+def q_population_head(spark, sf_dir, n: int = 5):
+    """The first people by id (top-k: a few rows a task before one merges them)."""
+    return out(population(spark, sf_dir, ["category", "tier", "age_band", "own_rev_y1", "own_rev_y2", "cust_value"]).orderBy("party_id").limit(n))
+
+
 def q_group_comparison(spark, sf_dir):
     """Welch's F of the means and chi-square of the levels between the categories, for every raw cohort, from the cube."""
     cube = reused(explode_cohorts(outcome_cube(base(spark, sf_dir, ["survey_dt", "stage"])), COHORTS))
