@@ -3,6 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor
 kept; all but the last return the columns of ``documents``.  ``run`` writes
 each stage's result as Parquet in the shared folder and reads it back.
+
+Defined cases, the same in every stage: an empty table gives an empty one; other
+columns are kept, whatever their names (the last stage returns pieces); repeated
+rows are judged each, and are copies in the third stage; a null id is kept or
+rejected by its text like any other and never learned from.  A null or empty text
+fails the quality rules (too few words); the later stages, given one, keep it:
+it has the classifier's score without any word, no copies, no benchmark passage,
+and packs as its end token.
 """
 
 from __future__ import annotations
