@@ -22,8 +22,7 @@ Defined cases: a null URL, or one without ``://``, has an empty host and path
 and no rule; the model scores a null URL like an empty text; equally long
 rules: the first of the list wins; without accepted or without rejected
 training URLs everything that no rule rejects is allowed; repeated rows count
-each time; other columns are kept, new ones replace none
-(of the input those with the names that ``judge_urls`` adds are replaced).
+each time; other columns are kept, but for those with the names that ``judge_urls`` adds.
 """
 
 from __future__ import annotations
