@@ -28,8 +28,17 @@ def heavy_hitter_salts(rows: DataFrame, keys: Sequence[str], least_rows: int = L
     return sketch.select(F.map_from_entries(entries).alias("salts")).scalar()
 
 
+def known_salts(table: DataFrame, keys: Sequence[str], sizes: str, least_rows: int = LEAST_ROWS) -> Column:
+    """The same from a table with the rows of each key: fewer keys than tasks have more than a task's due."""
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = table.select(F.xxhash64(*keys).alias("h"), F.col(sizes).alias("n"))
+    due = F.greatest(sized.agg(F.sum("n") / tasks).scalar(), F.lit(float(least_rows)))
+    heavy = sized.groupBy("h").agg(F.ceil(F.sum("n") / due).cast("int").alias("n")).where("n > 1")
+    return heavy.agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("salts")).scalar()
+
+
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str | None = None,
-           how: str = "inner", least_rows: int = LEAST_ROWS) -> DataFrame:
+           how: str = "inner", least_rows: int = LEAST_ROWS, sizes: str | None = None) -> DataFrame:
     """Equi-join where null matches null; ``table`` has one row per key.
 
     The planner chooses the strategy from the sizes it sees at run time.  Where
@@ -38,6 +47,8 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str |
     rows finds the heavy keys, their rows are dealt to as many salts as the
     key's size asks for, and the table has a copy for each; all other keys have
     one place and one copy.  A wrong estimate costs balance, not a result.
+    ``sizes`` names a column of the table with the rows of each key: then these
+    decide, and the rows are not read for a sketch.
     """
     names = {k: f"_t_{k}" for k in keys}
     right = table.select(*[F.col(k).alias(v) for k, v in names.items()],
@@ -45,7 +56,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str |
     left = rows
     on = [left[k].eqNullSafe(right[v]) for k, v in names.items()]
     if spread is not None:
-        salts = heavy_hitter_salts(rows, keys, least_rows)
+        salts = known_salts(table, keys, sizes, least_rows) if sizes else heavy_hitter_salts(rows, keys, least_rows)
         of = lambda cols: F.coalesce(F.element_at(salts, F.xxhash64(*cols)), F.lit(1))
         left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), of(keys)).cast("int"))
         right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), of(names.values()) - 1)))

@@ -10,19 +10,21 @@ evaluated on integer positions: no value lies strictly between two adjacent
 order statistics, so comparing with the lower one decides, with no float
 interpolation.  Duplicate edges raise, like the analysed workload, or merge.
 
-``quantile_edges`` finds the order statistics of all groups in one plan whose
-size depends neither on the number of groups nor on q; edges are rows, and
-nothing is collected.  A *part* is a group, or an interval of one that holds a
-wanted rank.  Parts of at most ``leaf_rows`` values are aggregated to (value,
-count) and ranked by running counts.  A larger part is cut: a mergeable sketch
-gives it up to ``splits`` split values, a row's cell is its place among them
-(the values equal to a split are a cell of their own, so a value repeated by a
+``quantile_edges`` finds the order statistics of all groups; edges are rows,
+and no value of the data is collected.  A *part* is a group, or an interval of one that
+holds a wanted rank.  Parts of at most ``leaf_rows`` values are aggregated to
+(value, count) and ranked by running counts.  A larger part is cut: a mergeable
+sketch gives it up to ``splits`` split values, a row's cell is its place among
+them (the values equal to a split are a cell of their own, so a value repeated by a
 third of all rows is settled by its count), running counts of the cells say
 which wanted ranks a cell covers, and the cells that cover any are the next
 parts.  A round keeps about (q + 1) / ``splits`` of the rows, so a few rounds
 reach any size, and every cell is smaller than its part, so it always ends.
 Which ranks a value covers is arithmetic on its running count; no list of
-targets is joined.  The only job while building asks for the largest part.
+targets is joined.  A job asks for the largest part; a round's split values and
+cell counts (at most 2 * ``splits`` a part) are written and read back, so that
+a round adds two joins with files to the rows' plan instead of copies of it, and
+every reader cuts at the same values (a sketch taken twice may differ).
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.operators.attach import attach
-from spendlens.session import reused
+from spendlens.session import kept, reused
 
 LEAF_ROWS = 250_000
 SPLITS = 64
@@ -69,14 +71,12 @@ def _covered(lo: Column, hi: Column, last: Column, q: int, up: int) -> tuple[Col
 
 def _hits(ranked: DataFrame, q: int) -> DataFrame:
     """``(_g, i, n, lower, upper)`` of the wanted ranks that values ``_v`` with ranks [_lo, _hi) cover."""
-    out = []
-    for up, name in ((0, "lower"), (1, "upper")):
-        first, final = _covered(F.col("_lo"), F.col("_hi"), F.col("_n") - 1, q, up)
-        at = ranked.withColumns({"_first": first, "_final": final}).where(F.col("_first") <= F.col("_final"))
-        at = at.withColumn("i", F.explode(F.sequence(F.col("_first").cast("int"), F.col("_final").cast("int"))))
-        value, other = F.col("_v").alias(name), F.lit(None).cast("double").alias("upper" if name == "lower" else "lower")
-        out.append(at.select("_g", "i", F.col("_n").alias("n"), *([value, other] if name == "lower" else [other, value])))
-    return out[0].unionByName(out[1])
+    none, value, covered = F.lit(None).cast("double"), F.col("_v"), []
+    for up, (lower, upper) in enumerate([(value, none), (none, value)]):
+        first, final = (x.cast("int") for x in _covered(F.col("_lo"), F.col("_hi"), F.col("_n") - 1, q, up))
+        places = F.when(first <= final, F.sequence(first, final)).otherwise(F.array().cast("array<int>"))
+        covered.append(F.transform(places, lambda i: F.struct(i.alias("i"), lower.alias("lower"), upper.alias("upper"))))  # noqa: B023
+    return ranked.select("_g", F.col("_n").alias("n"), F.explode(F.concat(*covered)).alias("r")).select("_g", "r.i", "n", "r.lower", "r.upper")
 
 
 def _running(counted: DataFrame, order: str) -> DataFrame:
@@ -95,18 +95,16 @@ def quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None,
     group = F.col(by) if by else F.lit(0)
     v = F.col(col).cast("double")
     rows = df.select(group.alias("_g"), F.lit("").alias("_part"), v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
-    whole = reused(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_size")).withColumns({"_n": F.col("_size"), "_before": F.lit(0).cast("long")}))
-    parts, found, leaves = whole, [], []
+    parts = reused(rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_size")).withColumns({"_n": F.col("_size"), "_before": F.lit(0).cast("long")}))
+    found, leaves = [], []
     count = F.count(F.lit(1)).alias("c")
-    while True:
-        largest = parts.agg(F.max("_size")).first()[0] or 0
-        if largest <= leaf_rows:
-            leaves.append(attach(rows.groupBy(*_KEY, "_v").agg(count), parts, _KEY, spread="_v"))
-            break
-        small = attach(rows, parts.where(F.col("_size") <= leaf_rows), _KEY, spread="_v")
-        leaves.append(small.groupBy(*_KEY, "_n", "_before", "_size", "_v").agg(count))
-        rows, parts, settled = _cut(rows, parts.where(F.col("_size") > leaf_rows), q, splits)
+    while (parts.agg(F.max("_size")).first()[0] or 0) > leaf_rows:
+        parts = parts if found else kept(parts, "groups")
+        inside = attach(rows, parts, _KEY, spread="_v", sizes="_size")
+        leaves.append(inside.where(F.col("_size") <= leaf_rows).groupBy(*_KEY, "_n", "_before", "_size", "_v").agg(count))
+        rows, parts, settled = _cut(inside.where(F.col("_size") > leaf_rows), q, splits)
         found.append(settled)
+    leaves.append(attach(rows.groupBy(*_KEY, "_v").agg(count), parts, _KEY))  # at most leaf_rows of a key
     values = leaves[0]
     for leaf in leaves[1:]:
         values = values.unionByName(leaf)
@@ -117,16 +115,15 @@ def quantile_edges(df: DataFrame, col: str, q: int = 10, by: str | None = None,
     return edges.withColumnRenamed("_g", by or "group")
 
 
-def _cut(rows: DataFrame, big: DataFrame, q: int, splits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cut(inside: DataFrame, q: int, splits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: the rows and the parts that go on, and the edges settled by repeated values."""
     grid = [k / splits for k in range(1, splits)]
-    inside = attach(rows, big, _KEY, spread="_v")
-    sketch = inside.groupBy(*_KEY).agg(F.percentile_approx("_v", grid, 100 * splits).alias("_at")).withColumn("_at", F.array_sort(F.array_distinct("_at")))
-    inside = attach(inside, sketch, _KEY, spread="_v")
+    sketch = inside.groupBy(*_KEY).agg(F.max("_size").alias("_rows"), F.percentile_approx("_v", grid, 100 * splits).alias("_at"))
+    sketch = kept(sketch.withColumn("_at", F.array_sort(F.array_distinct("_at"))), "splits")
     cell = F.size(F.filter("_at", lambda s: s < F.col("_v"))) * 2 + F.array_contains("_at", F.col("_v")).cast("int")
-    celled = inside.withColumn("_cell", cell)
+    celled = attach(inside, sketch, _KEY, spread="_v", sizes="_rows").withColumn("_cell", cell)
     counted = celled.groupBy(*_KEY, "_n", "_before", "_cell").agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("_v"))
-    ranked = reused(_running(counted, "_cell"))
+    ranked = kept(_running(counted, "_cell"), "cells")
     last = F.col("_n") - 1
     wanted = [first <= final for first, final in (_covered(F.col("_lo"), F.col("_hi"), last, q, up) for up in (0, 1))]
     settled = F.col("_cell") % 2 == 1

@@ -29,7 +29,7 @@ from spendlens.plans.derive import SHARE_SPECS, analysis_base, in_base, profile
 from spendlens.plans.ledger import observed_pull
 from spendlens.plans.population import build_population, latest_survey
 from spendlens.plans.report import CATEGORICAL, MEANS, base_shares, format_report, outcome_cube, outcome_report, outcome_report_from_cube
-from spendlens.session import reused, shared_folder
+from spendlens.session import kept, reused, shared_folder
 from spendlens.sources import contracts
 from spendlens.sources.relation_store import RelationStore, write_store
 from spendlens.sources.relations import CONTRACTS
@@ -191,7 +191,7 @@ def _cohort_bands(spark, sf_dir, columns: Sequence[str] = ()):
     """Members of the raw cohorts with the value band recut within each cohort, and the edges."""
     members = explode_cohorts(base(spark, sf_dir, ["survey_dt", "stage"]), COHORTS)
     members = reused(members.select("cohort", "cust_value", *columns))
-    edges = reused(quantile_edges(members, "cust_value", 10, by="cohort"))
+    edges = kept(quantile_edges(members, "cust_value", 10, by="cohort"), "edges")
     return with_group_band(members, "cust_value", "cohort", edges), edges
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,18 @@ def release(spark: SparkSession, shared: bool = False) -> int:
     return len(held) - len(kept)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a small frame as Parquet in the shared folder and return what reads it (a job; nulls are allowed in all columns).
+
+    For a step's result that many later plans contain: they show a file instead
+    of the plan that made it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/core/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir``; one is set only with a local master and none named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -135,3 +135,13 @@ def test_grouped_edges(spark):
     e = exact_quantile_edges(df, "v", by="g")
     assert list(e["a"]) == brute_edges([float(i) for i in range(21)])
     assert list(e["b"]) == brute_edges([float(i * i) for i in range(31)])
+
+
+def test_rounds_do_not_multiply_the_plan(spark):
+    """Each round adds the rows' plan a constant number of times, and the edges are right."""
+    df = spark.range(2000).selectExpr("cast(id * 7919 % 2003 as double) AS v")
+    edges = quantile_edges(df, "v", leaf_rows=250, splits=4)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 < plan.count("Range (") <= 8
+    values = sorted(i * 7919 % 2003 for i in range(2000))
+    assert {r.i: r.lower for r in edges.collect()} == {i: float(values[1999 * i // 10]) for i in range(11)}
