@@ -54,6 +54,7 @@ THRESHOLD = 0.8
 ROWS, BANDS = 6, 40
 BLOCK_SHINGLES = 1 << 19  # of the texts of a block, about: 4 MB of shingle ids
 FILTER_BITS = 26
+TILE = 1024  # texts of a block that are compared at once with as many of another: what pairs need of a task's memory
 SIGNED = 20_000  # texts whose signature a worker remembers
 STEP, STEPS = 16, 6
 TOLERANCE = 1e-5
@@ -124,7 +125,8 @@ def _linked(a: list[int], b: list[int], sigs: np.ndarray, sets: list[np.ndarray]
             x, y = np.nonzero(agree >= least)
             n = agree[x, y].astype("int64")
         else:
-            n = n + (left[x, part] == right[y, part]).sum(axis=1)
+            for k in range(part.start, part.stop):
+                n += left[x, k] == right[y, k]
             stay = n >= least
             x, y, n = x[stay], y[stay], n[stay]
     if not len(x):
@@ -156,6 +158,18 @@ def _linked(a: list[int], b: list[int], sigs: np.ndarray, sets: list[np.ndarray]
     return np.stack([x[ok], y[ok]], axis=1)
 
 
+def _block_links(a: np.ndarray, b: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], need: list[int], limit: Fraction,
+                 tile: int = TILE) -> Iterator[np.ndarray]:
+    """Linked pairs of positions, those of two tiles at a time; each pair once, and of a block with itself those in order."""
+    same = len(a) == len(b) and bool((a == b).all())
+    for at in range(0, len(a), tile):
+        for bt in range(at if same else 0, len(b), tile):
+            left, right = a[at:at + tile], b[bt:bt + tile]
+            links = _linked(left.tolist(), right.tolist(), sigs, sets, need, limit)
+            links = np.stack([left[links[:, 0]], right[links[:, 1]]], axis=1)
+            yield links[links[:, 0] < links[:, 1]] if same and at == bt else links
+
+
 def connected_components(edges: DataFrame, name: str = "component") -> DataFrame:
     """``node`` and ``label`` (one node of its component) for the ends of ``a``-``b`` edges.
 
@@ -264,11 +278,7 @@ def verified_links(docs: DataFrame, text: str, texts: DataFrame, clusters: DataF
             sigs = np.frombuffer(b"".join(part["sig"]), dtype="<u4").reshape(len(part), -1)
             sets = [shingles(t) for t in part["t"]]
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            links = _linked(a.tolist(), b.tolist(), sigs, sets, need, limit)
-            links = np.stack([a[links[:, 0]], b[links[:, 1]]], axis=1)
-            if i == j:
-                links = links[links[:, 0] < links[:, 1]]
-            count = np.bincount(links.reshape(-1), minlength=len(part))
+            count = np.zeros(len(part), dtype="int64")
             root = list(range(len(part)))
 
             def find(v: int, root: list[int] = root) -> int:
@@ -277,13 +287,19 @@ def verified_links(docs: DataFrame, text: str, texts: DataFrame, clusters: DataF
                     v = root[v]
                 return v
 
-            for u, v in links.tolist():
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    root[rv] = ru
-                    out_a.append(nodes[u])
-                    out_b.append(nodes[v])
-                    out_n.append(None)
+            for links in _block_links(a, b, sigs, sets, need, limit):
+                count += np.bincount(links.reshape(-1), minlength=len(part))
+                while len(links):  # most links of a tile are within a tree already
+                    tops = np.array([find(v) for v in range(len(part))])
+                    links = links[tops[links[:, 0]] != tops[links[:, 1]]]
+                    for u, v in links[:TILE].tolist():
+                        ru, rv = find(u), find(v)
+                        if ru != rv:
+                            root[rv] = ru
+                            out_a.append(nodes[u])
+                            out_b.append(nodes[v])
+                            out_n.append(None)
+                    links = links[TILE:]
             for u in np.flatnonzero(count).tolist():
                 out_a.append(nodes[u])
                 out_b.append(None)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from spendlens.llm import ngram_join as J
@@ -114,3 +115,23 @@ def test_empty(spark):
     assert J.jaccard_join(docs).count() == 0
     assert J.keep_representatives(docs).count() == 0
     assert J.jaccard_join(spark.createDataFrame([(1, None)], docs.schema)).collect()[0].class_id == 1
+
+
+def test_near_copies_of_a_block_in_bounded_memory():
+    """2,000 near copies: every pair is linked, and the pairs do not all lie in memory."""
+    import tracemalloc
+    from fractions import Fraction
+
+    n = 2000
+    common = " ".join(f"w{k}" for k in range(150))
+    sets = [J.shingles(f"{common} own{k}") for k in range(n)]
+    sigs = np.stack([J.signature(x) for x in sets])
+    every = np.arange(n)
+    tracemalloc.start()
+    links = [(len(x), int((x[:, 0] < x[:, 1]).sum())) for x in J._block_links(every, every, sigs, sets, J.least_agreements(), Fraction("0.8"))]
+    half = [len(x) for x in J._block_links(every[:n // 2], every[n // 2:], sigs, sets, J.least_agreements(), Fraction("0.8"), tile=300)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x for x, _ in links) == sum(x for _, x in links) == n * (n - 1) // 2
+    assert sum(half) == n * n // 4
+    assert peak < 150e6
