@@ -31,7 +31,7 @@ from spendlens.plans.population import build_population, latest_survey
 from spendlens.plans.report import CATEGORICAL, MEANS, base_shares, format_report, outcome_cube, outcome_report, outcome_report_from_cube
 from spendlens.session import kept, reused, shared_folder
 from spendlens.sources import contracts
-from spendlens.sources.relation_store import RelationStore, write_store
+from spendlens.sources.relation_store import RelationStore, buckets_for, write_store
 from spendlens.sources.relations import CONTRACTS
 from spendlens.sources.sinks import run_stamp
 from spendlens.sources.tpch_binding import COHORTS, LABELS, Binding, BoundTables
@@ -391,7 +391,8 @@ def q_report_store(spark, sf_dir):
 def q_population_from_store(spark, sf_dir):
     """The whole pull from relations written bucketed by person and partitioned by month."""
     prefix = f"spendlens_{uuid.uuid4().hex}"
-    write_store(tables(spark, sf_dir), prefix, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    relations = tables(spark, sf_dir)
+    write_store(relations, prefix, buckets_for(relations))
     store = RelationStore(spark, prefix, BINDING.survey_start, BINDING.survey_end)
     return rounded(out(build_population(store, BINDING.survey_start, BINDING.survey_end, LABELS, on_duplicates="trust")), "own_share_pct")
 

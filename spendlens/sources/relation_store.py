@@ -22,6 +22,17 @@ from spendlens.sources.relations import SCHEMAS, one_per_key
 
 KEY = "party_id"
 MONTH = "survey_month"
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(tables: Mapping[str, DataFrame], rows: int = BUCKET_ROWS) -> int:
+    """Buckets of at most about ``rows`` surveys (the largest relation), one for each core at least.
+
+    Surveys are a file per bucket and month, and a file costs a fifth of a second
+    however few rows it has, so their number follows the data.
+    """
+    survey = tables["survey"]
+    return max(survey.sparkSession.sparkContext.defaultParallelism, -(-survey.count() // rows))
 
 
 def write_store(tables: Mapping[str, DataFrame], prefix: str, buckets: int, on_duplicates: str = "first") -> None:

@@ -12,7 +12,7 @@ from spendlens.plans.ledger import observed_pull
 from spendlens.plans.population import build_population
 from spendlens.plans.queries import base
 from spendlens.plans.report import CATEGORICAL, CUBE_DIMENSIONS, MEANS, outcome_cube, outcome_report, outcome_report_from_cube
-from spendlens.sources.relation_store import RelationStore, drop_store, write_store
+from spendlens.sources.relation_store import RelationStore, buckets_for, drop_store, write_store
 from spendlens.sources.tpch_binding import COHORTS, LABELS, Binding, BoundTables
 
 B = Binding()
@@ -70,3 +70,10 @@ def test_cube_moments_with_nulls_and_single_rows(spark):
     key = lambda f: {(r.category, r._overall): (r.n_rows, r.n_x, r.mean_x, None if r.sd_x is None else round(r.sd_x, 9)) for r in f.collect()}
     assert key(cube_measures(cube, ["x"], "category")) == key(group_measures(df, ["x"], "category"))
     assert MEANS and cube_measures(cube.where("false"), ["x"], "category", ["day"]).count() == 0
+
+
+def test_buckets_follow_the_surveys(spark):
+    """Not the shuffle partitions: each bucket is a file a month."""
+    surveys, cores = {"survey": spark.range(50)}, spark.sparkContext.defaultParallelism
+    assert buckets_for(surveys) == cores
+    assert buckets_for(surveys, rows=2) == max(cores, 25)
