@@ -29,7 +29,7 @@ from spendlens.plans.derive import SHARE_SPECS, analysis_base, in_base, profile
 from spendlens.plans.ledger import observed_pull
 from spendlens.plans.population import build_population, latest_survey
 from spendlens.plans.report import CATEGORICAL, MEANS, base_shares, format_report, outcome_cube, outcome_report, outcome_report_from_cube
-from spendlens.session import kept, reused, shared_folder
+from spendlens.session import kept, reused, reused_or_kept, shared_folder
 from spendlens.sources import contracts
 from spendlens.sources.relation_store import RelationStore, buckets_for, write_store
 from spendlens.sources.relations import CONTRACTS
@@ -39,6 +39,8 @@ from spendlens.sources.versions import VersionedTable
 
 BINDING = Binding()
 SEED = 88
+#: rows of a frame with exact bands beyond which it is written
+MOST_ROWS = 20_000
 SEGMENTS = ["transactor_stage", "stage", "generation", "cust_type"]
 COVERAGE = ["transactor_stage", "cust_type", "generation", "intent", "tier"]
 SEGMENT_STRATA = ["value_band", "stage"]
@@ -71,14 +73,19 @@ def base(spark, sf_dir, columns: Sequence[str] = ()) -> DataFrame:
     return analysis_base(people(spark, sf_dir, [*SPEND, "cust_value", *columns]))
 
 
+def _narrow(spark, sf_dir, columns: Sequence[str]) -> DataFrame:
+    return base(spark, sf_dir, columns).select("party_id", "category", "cust_value", *REPORTED, *columns)
+
+
 def narrow_base(spark, sf_dir, columns: Sequence[str] = ()) -> DataFrame:
     """What the steps that read the base several times need of it."""
-    return reused(base(spark, sf_dir, columns).select("party_id", "category", "cust_value", *REPORTED, *columns))
+    return reused(_narrow(spark, sf_dir, columns))
 
 
 def banded_base(spark, sf_dir, strata: Sequence[str] = REF_STRATA, columns: Sequence[str] = ()) -> DataFrame:
     pulled = dict.fromkeys([*[s for s in strata if s != "value_band"], *columns])
-    return with_value_band(narrow_base(spark, sf_dir, list(pulled)), "cust_value", "value_band")
+    rows = reused_or_kept(_narrow(spark, sf_dir, list(pulled)), "base", MOST_ROWS)
+    return with_value_band(rows, "cust_value", "value_band")
 
 
 def grid_frames(spark, sf_dir, strata: Sequence[str] = REF_STRATA) -> DataFrame:
@@ -184,13 +191,14 @@ def q_coverage_profile(spark, sf_dir):
 
 
 def q_value_band(spark, sf_dir):
-    return with_value_band(reused(base(spark, sf_dir).select("party_id", "cust_value")), "cust_value")
+    rows = base(spark, sf_dir).select("party_id", "cust_value")
+    return with_value_band(reused_or_kept(rows, "base", MOST_ROWS), "cust_value")
 
 
 def _cohort_bands(spark, sf_dir, columns: Sequence[str] = ()):
     """Members of the raw cohorts with the value band recut within each cohort, and the edges."""
     members = explode_cohorts(base(spark, sf_dir, ["survey_dt", "stage"]), COHORTS)
-    members = reused(members.select("cohort", "cust_value", *columns))
+    members = reused_or_kept(members.select("cohort", "cust_value", *columns), "members", MOST_ROWS)
     edges = kept(quantile_edges(members, "cust_value", 10, by="cohort"), "edges")
     return with_group_band(members, "cust_value", "cohort", edges), edges
 

@@ -77,6 +77,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reused_or_kept(df: DataFrame, name: str, most_rows: int) -> DataFrame:
+    """``reused``, or ``kept`` if the frame has more than ``most_rows`` rows (a job counts them).
+
+    Every reader's plan holds the whole plan of a persisted frame, and the
+    driver keeps the text of each; a written frame is one file scan in them,
+    and takes no memory of the executors.
+    """
+    held = reused(df)
+    if held.count() <= most_rows:
+        return held
+    written = kept(held, name)
+    held.unpersist()
+    return written
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir``; one is set only with a local master and none named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -145,3 +145,44 @@ def test_rounds_do_not_multiply_the_plan(spark):
     assert 1 < plan.count("Range (") <= 8
     values = sorted(i * 7919 % 2003 for i in range(2000))
     assert {r.i: r.lower for r in edges.collect()} == {i: float(values[1999 * i // 10]) for i in range(11)}
+
+
+def _written(folder, base=2000):
+    """Tables of our own: ``base`` people with a survey, a line of the first year and a customer value each."""
+    import datetime as dt
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = range(base)
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    tables = {
+        "customer": {"c_custkey": list(n), "c_nationkey": pa.array([i % 25 for i in n], pa.int32()), "c_acctbal": [i * 0.37 - 99 for i in n],
+                     "c_mktsegment": [segments[i % 5] for i in n]},
+        "orders": {"o_orderkey": [3 * i + 1 for i in n], "o_custkey": list(n), "o_orderstatus": ["F" if i % 2 else "O" for i in n],
+                   "o_orderdate": pa.array([dt.datetime(2000, 1 + i % 6, 1 + i % 28) for i in n], pa.timestamp("us")),
+                   "o_orderpriority": ["1-URGENT" if i % 3 else "5-LOW" for i in n]},
+        "lineitem": {"l_orderkey": [3 * i + 1 for i in n], "l_suppkey": [i % 7 for i in n], "l_extendedprice": [100.005 + i for i in n],
+                     "l_discount": [0.05] * base, "l_tax": [0.02] * base, "l_quantity": [float(1 + i % 9) for i in n],
+                     "l_returnflag": ["A" if i % 2 else "N" for i in n], "l_linestatus": ["F"] * base},
+        "nation": {"n_nationkey": pa.array(range(25), pa.int32()), "n_name": [f"NATION_{i}" for i in range(25)], "n_regionkey": pa.array([i % 5 for i in range(25)], pa.int32())},
+        "region": {"r_regionkey": pa.array(range(5), pa.int32()), "r_name": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]},
+    }
+    for name, columns in tables.items():
+        pq.write_table(pa.table(columns), os.path.join(folder, f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["cohort_grid_by_segment", "balance_quota"])
+def test_a_large_base_is_one_file_scan_in_the_plans(spark, tmp_path, monkeypatch, name):
+    from spendlens.plans import queries as Q
+
+    folder = _written(tmp_path)
+    plain = Q.QUERIES[name](spark, folder)
+    monkeypatch.setattr(Q, "MOST_ROWS", 500)
+    large = Q.QUERIES[name](spark, folder)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString() for df in (plain, large)]
+    assert "l_extendedprice" in plans[0] and "l_extendedprice" not in plans[1] and len(plans[1]) < 0.5 * len(plans[0])
+    rows = [sorted(map(repr, df.collect())) for df in (plain, large)]
+    assert rows[0] == rows[1] and rows[0]
