@@ -135,8 +135,12 @@ class BoundTables(Mapping):
                   .select("o_orderkey", "o_custkey", F.when(odate <= _d(b.year1_end), 1).otherwise(2).alias("yr")))
         dec = lambda c: F.col(c).cast(DEC)
         lines = self._read("lineitem").select(
-            "l_orderkey", "l_suppkey", dec("l_extendedprice").alias("price"), dec("l_discount").alias("disc"), dec("l_tax").alias("tax"),
-            dec("l_quantity").alias("qty"), (F.col("l_linestatus") == "F").alias("final"), (F.col("l_returnflag") == "A").alias("own"))
+            "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity",
+            (F.col("l_linestatus") == "F").alias("final"), (F.col("l_returnflag") == "A").alias("own"))
+        # the slow conversion to decimals is for the lines of the two years only
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "o_orderkey", "o_custkey", "yr", "l_suppkey", dec("l_extendedprice").alias("price"), dec("l_discount").alias("disc"),
+            dec("l_tax").alias("tax"), dec("l_quantity").alias("qty"), "final", "own")
         price, disc, tax, final = F.col("price"), F.col("disc"), F.col("tax"), F.col("final")
         sums = {
             "own_f": F.when(final, F.when(F.col("own"), price).otherwise(F.lit(0).cast(DEC))),
@@ -155,7 +159,7 @@ class BoundTables(Mapping):
             sums[name] = F.when(of_class, price)
             tops[f"top_{name}"] = F.when(of_class, F.col("l_suppkey"))
         counts = {"lines": F.lit(1), "n_f": F.when(final, 1)}
-        per_order = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey", "yr")
+        per_order = (lines.groupBy("o_orderkey", "o_custkey", "yr")
                      .agg(*[F.sum(e).alias(c) for c, e in sums.items()], *[F.max(e).alias(c) for c, e in tops.items()],
                           *[F.count(e).alias(c) for c, e in counts.items()]))
         aggs = []

@@ -186,3 +186,16 @@ def test_a_large_base_is_one_file_scan_in_the_plans(spark, tmp_path, monkeypatch
     assert "l_extendedprice" in plans[0] and "l_extendedprice" not in plans[1] and len(plans[1]) < 0.5 * len(plans[0])
     rows = [sorted(map(repr, df.collect())) for df in (plain, large)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_lines_are_converted_after_the_join(spark, tmp_path):
+    """The shuffled lines carry the table's own numbers; decimals are made of those of the two years."""
+    from spendlens.plans.queries import tables
+
+    frame = tables(spark, _written(tmp_path, 300)).customer_years()
+    lines = frame._jdf.queryExecution().logical().toString().split("\n")
+    join = next(i for i, line in enumerate(lines) if "Join " in line)
+    made = [i for i, line in enumerate(lines) if "cast('l_extendedprice" in line or "cast(l_extendedprice" in line]
+    assert made and max(made) < join
+    total = frame.agg(F.sum("ticket_1").cast("string")).first()[0]
+    assert total == "74853.00"
