@@ -62,3 +62,12 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str |
         right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), of(names.values()) - 1)))
         on = [left[k].eqNullSafe(right[v]) for k, v in names.items()] + [left["_salt"] == right["_copy"]]
     return left.join(right, on, how).drop(*names.values(), "_salt", "_copy")
+
+
+def attach_totals(rows: DataFrame, totals: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """``attach`` by the groups ``by``; without any, the one row of ``totals`` comes as a scalar subquery instead of a
+    join without a condition."""
+    if by:
+        return attach(rows, totals, by, how=how)
+    one = totals.select(F.struct(*totals.columns).alias("one")).scalar()
+    return rows.withColumn("_one", one).select(*rows.columns, "_one.*")

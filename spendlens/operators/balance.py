@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.operators.attach import attach
+from spendlens.operators.attach import attach, attach_totals
 from spendlens.session import reused
 
 CATEGORIES = ("Detractor", "Passive", "Promoter")
@@ -52,10 +52,8 @@ def _shares(counts: DataFrame, strata: Sequence[str], category: str, categories:
     keys = [*by, *strata]
     wide = counts.groupBy(*keys).agg(*[
         F.coalesce(F.sum(F.when(F.col(category) == F.lit(c), F.col("n"))), F.lit(0)).cast("long").alias(f"n_{c}") for c in categories])
-    place = [*by, "_all"]
-    wide = wide.withColumn("_all", F.lit(0))
-    totals = wide.groupBy(*place).agg(*[F.sum(f"n_{c}").cast("long").alias(f"total_{c}") for c in categories])
-    out = attach(wide, totals, place)
+    totals = wide.groupBy(*by).agg(*[F.sum(f"n_{c}").cast("long").alias(f"total_{c}") for c in categories])
+    out = attach_totals(wide, totals, by)
     out = out.withColumns({f"share_{c}": F.when(F.col(f"total_{c}") > 0, F.col(f"n_{c}") / F.col(f"total_{c}")).otherwise(F.lit(0.0))
                            for c in categories})
     a, b = ref_pair
@@ -71,9 +69,8 @@ def stratum_shares(df: DataFrame, strata: Sequence[str], category: str = "catego
     """Counts, totals, column shares, the least share of the reference pair and
     its part of all least shares (a diagnostic that no quota uses)."""
     sh = _shares(stratum_counts(df, strata, category, by), strata, category, categories, ref_pair, by)
-    place = [*by, "_all"]
-    total = sh.groupBy(*place).agg(F.sum("least_share").alias("_sum"))
-    out = attach(sh, total, place)
+    total = sh.groupBy(*by).agg(F.sum("least_share").alias("_sum"))
+    out = attach_totals(sh, total, by)
     out = out.withColumn("least_share_norm", F.when(F.col("_sum") > 0, F.col("least_share") / F.col("_sum")))
     return out.select(*by, *strata, *[f"{p}_{c}" for p in ("n", "total", "share") for c in categories], "least_share", "least_share_norm")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.numeric import safe_ratio_pct
-from spendlens.operators.attach import attach
+from spendlens.operators.attach import attach_totals
 
 OVERALL = "Overall"
 
@@ -60,13 +60,11 @@ def summarize_continuous(df: DataFrame, columns: Sequence[str], by: str = "categ
         raise ValueError(f"unknown overall_ratio {overall_ratio!r}")
     agg = group_measures(df, columns, by, keys, ratios, share_mode)
     if ratios and overall_ratio == "mean":
-        place = [*keys, "_all"]
-        agg = agg.withColumn("_all", F.lit(0))
         named = agg.where((F.col("_overall") == 0) & F.col(by).isNotNull())
         total = F.sum("n_rows")
         sums = [x for _, _, out in ratios for x in ((F.sum(F.col("n_rows") * F.col(out)) / total).alias(f"_mean_{out}"),
                                                     (F.sum(F.col("n_rows") * F.col(out) * F.col(out)) / total).alias(f"_square_{out}"))]
-        agg = attach(agg, named.groupBy(*place).agg(total.alias("_total"), *sums), place, how="left")
+        agg = attach_totals(agg, named.groupBy(*keys).agg(total.alias("_total"), *sums), keys, how="left")
         for _, _, out in ratios:
             variance = F.greatest(F.lit(0.0), F.col(f"_square_{out}") - F.pow(f"_mean_{out}", F.lit(2))) * F.col("_total") / (F.col("_total") - 1)
             agg = agg.withColumn(f"_sd_{out}", F.when(F.col("_total") > 1, F.sqrt(variance)))
